@@ -185,7 +185,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, i
                 before = full_before + np.concatenate([[0], np.cumsum(full)])
                 full_before = int(before[-1])
                 rank, heads, tails = np.empty(len(n), np.int64), [], []
-                for i, (b, k, f, t) in enumerate(zip(begin.tolist(), n.tolist(), full.tolist(), tail.tolist(), strict=True)):
+                for i, (b, k, f, t) in enumerate(zip(begin[:-1].tolist(), n.tolist(), full.tolist(), tail.tolist(), strict=True)):
                     own = np.append(ids[b : b + k - 1], np.uint32(end_id)).astype("<u4")
                     heads.append(own[: f * window].tobytes())
                     tails.append(own[f * window :].tobytes())
@@ -207,7 +207,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, i
         full_base.append((row["part"], n_packed + n_full))
         n_full += row["n"]
     placed: dict[tuple[int, int], list] = {}
-    for tail, start, tokens, rank, count, sequence, offset in sorted(rows, key=lambda r: r[:4]):
+    for tail, start, tokens, rank, count, sequence, offset in sorted(rows, key=lambda r: (r[0], r[1], r[3])):
         placed.setdefault((tail, start), []).append((rank, tokens, sequence - rank, offset))
     shared_plan = spark.sparkContext.broadcast((placed, dict(full_base)))
 
