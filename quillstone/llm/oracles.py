@@ -1,5 +1,145 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express.
+
+Absent: op3 (patience diff), op7 and op8 (tokenizers), op10 (looks around matches) and the pipeline; tests hold these
+against brute force. The SQL of op6 has no aliases: no page of the given tables declares one; tests cover them.
+"""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+SPACES = r"[^\x20\x09-\x0D]+"
+ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP1 = """
+WITH o AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos
+  FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations)),
+w AS (SELECT conv_id, list({'r': role, 't': text} ORDER BY pos) AS l, count(*) AS n FROM o GROUP BY conv_id),
+pre AS (SELECT DISTINCT l[1:k] AS l FROM (SELECT l, unnest(range(1, n)) AS k FROM w)),
+m AS (SELECT l, n, min(conv_id) AS conv_id FROM w GROUP BY l, n),
+r AS (SELECT conv_id, n, list_aggregate(list_transform(l, lambda x: '<|' || coalesce(x.r, '') || '|>' || chr(10) || coalesce(x.t, '') || '<|end|>' || chr(10)), 'string_agg', '') AS t
+  FROM m ANTI JOIN pre USING (l))
+SELECT conv_id, n AS n_turns, length(t) AS n_chars, sha256(t) AS rendered_sha256 FROM r
+"""
+
+OP2 = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS stratum, regexp_extract_all(coalesce(text, ''), '{SPACES}') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '{SPACES}')) AS l,
+    length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[A-Z]', '', 'g')) AS n_upper
+  FROM documents),
+t AS (SELECT doc_id, i, w[i:i + 2] AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, t) AS c FROM t) WHERE c > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS j) GROUP BY doc_id),
+f AS (
+  SELECT d.doc_id, stratum, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, n_symbols,
+    len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, n_upper
+  FROM d LEFT JOIN rep ON d.doc_id = rep.doc_id),
+s AS (
+  SELECT *, greatest(coalesce(1000 * n_symbols // nullif(n_words, 0), 0), coalesce(1000 * n_repeat_words // nullif(n_words, 0), 0),
+    coalesce(1000 * n_upper // nullif(word_chars, 0), 0), coalesce(1000 * n_dup_lines // nullif(n_lines, 0), 0))::BIGINT AS score FROM f),
+known AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+p AS (
+  SELECT stratum, least(ceil(score / 25.0), 41)::BIGINT AS place, count(*) FILTER (quality = 1) AS good, count(*) FILTER (quality = 0) AS bad
+  FROM s JOIN known USING (doc_id) GROUP BY ALL),
+g AS (SELECT stratum, unnest(range(0, 41)) AS place FROM (SELECT DISTINCT stratum FROM p)),
+c AS (
+  SELECT g.stratum, g.place, coalesce(sum(good) FILTER (p.place > g.place), 0)::BIGINT AS k, coalesce(sum(bad) FILTER (p.place > g.place), 0)::BIGINT AS bad_out, sum(good)::BIGINT AS n
+  FROM g JOIN p ON g.stratum = p.stratum GROUP BY ALL),
+sure AS (
+  SELECT c.*, list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.01) + (n - i) * ln(0.99)))) AS chance
+  FROM c WHERE k <= n * 0.01),
+ok AS (SELECT *, max(bad_out) OVER (PARTITION BY stratum) AS best FROM sure WHERE chance <= 0.05 / (41 * (SELECT count(DISTINCT stratum) FROM p))),
+cut AS (SELECT stratum, max(place) * 25 AS cutoff FROM ok WHERE bad_out > 0 AND bad_out >= 0.99 * best GROUP BY stratum)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT coalesce(score > cutoff, false) AS kept, score, cutoff::BIGINT AS cutoff
+FROM s LEFT JOIN cut USING (stratum)
+"""
+
+
+def _found(kind: str, rank: int, pattern: str, group: int, least: int) -> str:
+    p = pattern.replace("'", "''")
+    return f"""
+{kind}_m AS (SELECT doc_id, t, string_split_regex(t, '{p}') AS g, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {group}) AS v FROM d WHERE regexp_matches(t, '{p}')),
+{kind}_s AS (
+  SELECT doc_id, {rank} AS rank, '{kind}' AS kind, s AS a, s + length(m[i]) AS b, m[i] AS value FROM (
+    SELECT doc_id, m, v, i, length(array_to_string(g[1:i], '')) + length(array_to_string(m[1:i - 1], '')) AS s FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM {kind}_m))
+  WHERE length(v[i]) >= {least})"""
+
+
+OP4 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+{_found("assign", 0, r'''((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)''', 2, 6)},
+{_found("access", 1, "AKIA[A-Z0-9]+", 0, 20)},
+{_found("hex", 2, "[0-9a-f]+", 0, 24)},
+{_found("entropy", 3, "[A-Za-z0-9+/_=-]{20,}", 0, 20)},
+base AS (SELECT * FROM assign_s UNION ALL SELECT * FROM access_s UNION ALL SELECT * FROM hex_s),
+cand AS (
+  SELECT *, CASE WHEN regexp_matches(value, '^([0-9a-f]+|[0-9A-F]+)$') AND regexp_matches(value, '[a-fA-F]') THEN 3.0
+    WHEN regexp_matches(value, '^[A-Z2-7]+=*$') AND regexp_matches(value, '[A-Z]') THEN 3.5
+    WHEN regexp_matches(value, '[A-Z][^A-Z]*[a-z]|[a-z][^a-z]*[A-Z]') THEN 3.8 END AS least
+  FROM entropy_s
+  WHERE regexp_matches(value, '[0-9]') AND NOT regexp_matches(value, '(?i)example|placeholder|dummy|changeme|redacted|x{{6}}')
+    AND NOT regexp_matches(value, '(?i)0123456789|123456789|abcdefghijkl|qwertyuiop')
+    AND NOT regexp_matches(value, '^[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}$')),
+win AS (SELECT *, list_aggregate(string_split(substring(value, i, 20), ''), 'entropy') AS bits FROM (SELECT *, unnest(range(1, length(value) - 18)) AS i FROM cand WHERE least IS NOT NULL)),
+added AS (
+  SELECT doc_id, rank, kind, a + min(i) - 1 AS a, a + max(i) + 19 AS b FROM win WHERE bits >= least - 1e-9 GROUP BY doc_id, rank, kind, a
+  HAVING NOT EXISTS (SELECT 1 FROM base x WHERE x.doc_id = win.doc_id AND x.a <= win.a + min(win.i) - 1 AND x.b >= win.a + max(win.i) + 19)),
+every AS (SELECT doc_id, rank, kind, a, b FROM base UNION ALL SELECT * FROM added),
+j AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) FILTER (rank < 3) AS base, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) AS spans
+  FROM every GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN j USING (doc_id)
+"""
+OP4 = OP4.replace("SELECT * FROM assign_s", "SELECT doc_id, rank, kind, a, b FROM assign_s").replace("SELECT * FROM access_s", "SELECT doc_id, rank, kind, a, b FROM access_s").replace("SELECT * FROM hex_s", "SELECT doc_id, rank, kind, a, b FROM hex_s")
+
+OP5 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWER}, '{SPACES}') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, w[i:i + 3] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS i FROM d WHERE len(w) >= 4)
+  UNION ALL SELECT doc_id, w FROM d WHERE len(w) BETWEEN 1 AND 3),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reach AS (SELECT a, b FROM l UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+low AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(low.b, d.doc_id)) AS component_id, d.doc_id <= coalesce(low.b, d.doc_id) AS kept
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN low ON d.doc_id = low.a
+"""
+
+OP6 = r"""
+WITH u AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+r(action, h, p) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+f AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(action, length(h || p)) AS action FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM u LEFT JOIN f USING (page_id)
+"""
+
+OP9 = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOWER}, '{ALNUM}') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({LOWER}, '{ALNUM}') AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, w[i:i + 9] AS x, 10 AS n FROM (SELECT item_id, w, unnest(range(1, len(w) - 8)) AS i FROM b WHERE len(w) >= 10)
+  UNION SELECT item_id, w, len(w) FROM b WHERE len(w) BETWEEN 1 AND 9),
+places AS (
+  SELECT doc_id, n, i, w[i:i + n - 1] AS x FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
+m AS (SELECT doc_id, i, places.n, item_id FROM places JOIN win ON places.n = win.n AND places.x = win.x),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM m) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_chat_snapshots": OP1,
+    "op2_quality_rules": OP2,
+    "op4_secret_scan": OP4,
+    "op5_minhash_near_dedup": OP5,
+    "op6_url_filter": OP6,
+    "op9_decontamination": OP9,
+}

@@ -54,7 +54,7 @@ def _windows(value: str, alphabet: str, least: float) -> str:
     cin, cout = f"a.counts[{new}]", f"a.counts[{old}]"
     change = f"if({new} = {old}, 0D, {f(f'({cin} + 1)')} - {f(cin)} + if({old} < 0, 0D, {f(f'({cout} - 1)')} - {f(cout)}))".replace(cout, f"get(a.counts, {old})")
     now = f"a.s + {change}"
-    passes = f"i >= {WINDOW - 1} AND log2({WINDOW}D) - ({now}) / {WINDOW} >= {least}D"
+    passes = f"i >= {WINDOW - 1} AND log2({WINDOW}D) - ({now}) / {WINDOW} >= {least}D - 1e-9D"
     step = f"(a, i) -> named_struct('counts', {counts}, 's', {now}, 'low', if({passes} AND a.low < 0, i - {WINDOW - 1}, a.low), 'high', if({passes}, i + 1, a.high))"
     return f"transform(array(named_struct('codes', {codes})), k -> aggregate(sequence(0, size(k.codes) - 1), named_struct('counts', array_repeat(0, {bins}), 's', 0D, 'low', -1, 'high', -1), {step}, a -> named_struct('low', a.low, 'high', a.high)))[0]"
 
