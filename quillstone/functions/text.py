@@ -84,12 +84,17 @@ def symbol_id(path: Column, name: Column, line: Column) -> Column:
     return F.substring(F.sha1(F.concat_ws("#", path, name, line.cast("string"))), 1, 16)
 
 
+def valid_text(content: Column) -> Column:
+    """Bytes as text; what is no UTF-8 becomes replacement characters."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
 def truncate(text: Column, lines: int = C.SNIPPET_LINES, size: int = C.SNIPPET_BYTES) -> Column:
     """The first lines, then at most so many bytes without a broken character at the end."""
     head = F.array_join(F.slice(F.split(text, "\n"), 1, lines), "\n")
     cut = F.substring(F.encode(head, "UTF-8"), 1, size)
-    # A byte cut may leave the first bytes of a character, which decode to replacement characters.
-    whole = F.regexp_replace(F.decode(F.concat(cut, F.encode(F.lit(""), "UTF-8")), "UTF-8"), "�+$", "")
+    # A byte cut may leave the first bytes of a character, which become replacement characters.
+    whole = F.regexp_replace(valid_text(cut), "�+$", "")
     return F.when(F.octet_length(head) <= size, head).otherwise(whole)
 
 
@@ -112,9 +117,13 @@ def redact_blocks(lines: Column) -> Column:
 
 def _where(line: Column, pattern: str, test, replacement) -> Column:
     """Replaces the matches that pass a test; what lies between matches stays."""
-    gaps, found = F.split(line, pattern, -1), F.regexp_extract_all(line, F.lit(pattern), F.lit(0))
-    pieces = F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.transform(F.filter(F.array(F.get(found, i)), lambda x: x.isNotNull()), lambda m: F.when(test(m), replacement(m)).otherwise(m))[0], F.lit(""))))
-    return F.when(line.rlike(pattern), F.array_join(pieces, "")).otherwise(line)
+
+    def put(x: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), lambda m: F.when(test(m), replacement(m)).otherwise(m))
+        pieces = F.zip_with(F.split(x, pattern, -1), found, lambda gap, m: F.concat(gap, F.coalesce(m, F.lit(""))))
+        return F.when(x.rlike(pattern), F.array_join(pieces, "")).otherwise(x)
+
+    return F.transform(F.array(line), put)[0]  # the line is computed once, however often put() names it
 
 
 def redact_line(line: Column, without: str | None = None) -> Column:
