@@ -134,7 +134,9 @@ def line_overlaps(docs: DataFrame, rare: int = 1000, least_line_words: int = 5,
 def remove_lines(docs: DataFrame, overlaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the lines named by line_overlaps() taken out of text_col; all rows and all other columns stay. A text
     that loses no line is unchanged; one that loses all is empty."""
-    marks = overlaps.where("size(removed) > 0").select(F.col(id_col).alias("__id"), F.col("fp").alias("__fp"), F.col("removed").alias("__removed"))
-    joined = docs.join(marks, (docs[id_col] == marks["__id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == marks["__fp"]), "left")
-    left = F.expr(f"array_join(filter(split(`{text_col}`, '\\n', -1), (x, i) -> NOT array_contains(__removed, i)), '\\n')")
-    return joined.withColumn(text_col, F.when(F.col("__removed").isNotNull(), left).otherwise(F.col(text_col))).select(*docs.columns)
+    free = lambda name: next(n for n in (name + "_" * i for i in range(1, 99)) if n not in docs.columns)
+    at, which, removed = free("__id"), free("__fp"), free("__removed")
+    marks = overlaps.where("size(removed) > 0").select(F.col(id_col).alias(at), F.col("fp").alias(which), F.col("removed").alias(removed))
+    joined = docs.join(marks, (docs[id_col] == marks[at]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == marks[which]), "left")
+    left = F.expr(f"array_join(filter(split(`{text_col}`, '\\n', -1), (x, i) -> NOT array_contains(`{removed}`, i)), '\\n')")
+    return joined.withColumn(text_col, F.when(F.col(removed).isNotNull(), left).otherwise(F.col(text_col))).select(*docs.columns)

@@ -1,0 +1,27 @@
+"""Every stage takes effect on its own input, keeps the columns, and the last packs what is left."""
+
+from __future__ import annotations
+
+import corpus_pipeline
+import __spark_entry__
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    counts = [docs.count()]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        docs = corpus_pipeline.keep(out)
+        counts.append(docs.count())
+    assert counts == sorted(counts, reverse=True) and counts[0] > counts[1] == counts[2] >= counts[3] > counts[4] > 0
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert pieces.select("doc_id").distinct().count() == counts[-1]
+
+
+def test_every_query_is_registered():
+    names = __spark_entry__.queries()
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+    assert set(__spark_entry__.oracle_sql()) <= set(names)
