@@ -9,13 +9,10 @@ from __future__ import annotations
 import ast
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SYMBOL_SCHEMA = "path string, name string, kind string, start_line int, end_line int, is_exported boolean, container_name string"
-IMPORT_SCHEMA = "path string, specifier string, line int, kind string, is_type_only boolean"
-
 
 def _symbols(tree: ast.Module) -> Iterator[tuple]:
     for node in tree.body:
@@ -45,45 +42,42 @@ def _imports(tree: ast.Module) -> Iterator[tuple]:
             yield str(node.args[0].value), node.lineno, "dynamic"
 
 
-def _each(files: DataFrame, schema: str, rows) -> DataFrame:
-    names = [c.split()[0] for c in schema.split(", ")]
+SYMBOL_TYPES = {"path": pa.string(), "name": pa.string(), "kind": pa.string(), "start_line": pa.int32(), "end_line": pa.int32(), "is_exported": pa.bool_(), "container_name": pa.string()}
+IMPORT_TYPES = {"path": pa.string(), "specifier": pa.string(), "line": pa.int32(), "kind": pa.string(), "is_type_only": pa.bool_()}
+FAILURE_TYPES = {"path": pa.string(), "severity": pa.string(), "code": pa.string()}
+
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _each(files: DataFrame, types: dict[str, pa.DataType], rows, failed=None) -> DataFrame:
+    """Rows of each file that parses, or a row for each that doesn't."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for path, text in zip(batch["path"], batch["text"], strict=True):
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
                     tree = ast.parse(text or "")
                 except (SyntaxError, ValueError, RecursionError):
+                    out += [(path, *failed)] if failed else []
                     continue
                 out += [(path, *row) for row in rows(tree)]
-            yield pd.DataFrame(out, columns=names)
+            columns = list(zip(*out, strict=True)) or [()] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values(), strict=True)], list(types))
 
-    return files.select("path", "text").mapInPandas(parse, schema)
+    spark_types = {pa.string(): "string", pa.int32(): "int", pa.bool_(): "boolean"}
+    return files.select("path", "text").mapInArrow(parse, ", ".join(f"{k} {spark_types[v]}" for k, v in types.items()))
 
 
 def python_symbols(files: DataFrame) -> DataFrame:
-    return _each(files, SYMBOL_SCHEMA, _symbols)
+    return _each(files, SYMBOL_TYPES, _symbols)
 
 
 def python_imports(files: DataFrame) -> DataFrame:
-    return _each(files, IMPORT_SCHEMA, lambda tree: ((*row, False) for row in _imports(tree)))
+    return _each(files, IMPORT_TYPES, lambda tree: ((*row, False) for row in _imports(tree)))
 
 
 def parse_failures(files: DataFrame) -> DataFrame:
-    """Diagnostics of Python files that don't parse: severity, code, path."""
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            bad = []
-            for path, text in zip(batch["path"], batch["text"], strict=True):
-                try:
-                    ast.parse(text or "")
-                except (SyntaxError, ValueError, RecursionError):
-                    bad.append(path)
-            yield pd.DataFrame({"severity": "warning", "code": "PARSE_FAILED", "path": bad})
-
-    return files.select("path", "text").mapInPandas(parse, "severity string, code string, path string")
+    """Diagnostics of Python files that don't parse: path, severity, code."""
+    return _each(files, FAILURE_TYPES, lambda tree: (), ("warning", "PARSE_FAILED"))
 
 
 def module_guards(files: DataFrame) -> DataFrame:

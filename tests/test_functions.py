@@ -42,7 +42,7 @@ def test_classes_in_order(spark):
 def test_lines_and_skip_reasons(spark):
     assert column(spark, ["", "a", "a\n", "a\nb", "\n\n"], T.n_lines) == [0, 1, 1, 2, 2]
     assert column(spark, ["", "ab\n", "abc\nd"], T.mean_line) == [0.0, 1.0, 2.0]
-    reasons = column(spark, ["ok", "a\0b", "x" * 5001, ("y" * 401 + "\n") * 3], lambda x: T.skip_reason(F.length(x), x, F.lit(True)))
+    reasons = column(spark, ["ok", "a\0b", "x" * 5001, "\n".join(["y" * 401] * 3)], lambda x: T.skip_reason(F.length(x), x, F.lit(True)))
     assert reasons == [None, "binary", "minified", "minified"]
     assert column(spark, ["ok"], lambda x: T.skip_reason(F.lit(C.MAX_PARSE_BYTES + 1), x, F.lit(True))) == ["too-large"]
     assert column(spark, ["ok"], lambda x: T.skip_reason(F.lit(1), x, F.lit(False))) == ["unsupported-language"]
@@ -77,7 +77,7 @@ SECRETS = {
     "google": "AIza" + "A1b_-" * 7,
     "openai": "sk-" + "abcd1234" * 3,
     "anthropic": "sk-ant-" + "a_b-c1" * 4,
-    "jwt": "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeK",
+    "jwt": "eyJhbGciOiJIUzI1.eyJzdWIiOiIx.SflKxwRJSMeK",
     "connection": "postgres://user:pass@host/db",
     "assignment": "DB_PASSWORD = hunter2hunter2",
     "entropy": "x = 'aB3$eF6&hI9*kL2@nO5#qR8!'",
