@@ -221,3 +221,24 @@ SELECT answer_id, coalesce(n_cited, 0) AS n_cited, coalesce(ok, false) AND NOT c
     "session_counts": "SELECT user_id, count(*) AS n_sessions, max(n) AS longest FROM (SELECT user_id, s, count(*) AS n FROM (SELECT user_id, sum(g) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 2 HOURS THEN 0 ELSE 1 END AS g FROM events)) GROUP BY 1, 2) GROUP BY user_id",
     "lookup_contains": "SELECT p_partkey, p_name FROM part WHERE contains(p_name, 'dget') OR contains(p_name, '%')",
 }
+
+_near = "regexp_replace(regexp_extract(o.path, '([^/]*)$', 1), '\\.[a-z]+$', '')"
+_far = "regexp_replace(o.path, '\\.[a-z]+$', '')"
+_direct = " UNION ALL ".join(f"SELECT import_id, {i} AS pos, base || {q(x)} AS p FROM b" for i, x in enumerate([*C.PROBE_SUFFIXES, *C.INDEX_SUFFIXES]))
+ORACLES |= {
+    "resolve_imports": f"""WITH f AS MATERIALIZED (SELECT id, path, {DIRNAME} AS d FROM {FILES}),
+i AS (SELECT f.id, f.d, f.path, (f.id // 24) % 8 AS form, {_near} AS near, {_far} AS far FROM f JOIN f o ON f.id = o.id + 24),
+b AS (SELECT id AS import_id, form, CASE form WHEN 0 THEN d || '/' || near WHEN 1 THEN CASE WHEN contains(d, '/') THEN regexp_extract(d, '^(.*)/', 1) || '/' ELSE '' END || near WHEN 2 THEN 'src/' || substring(far, 5) WHEN 3 THEN far WHEN 6 THEN 'packages/web/src/' || near WHEN 7 THEN d || '/' || near || '/gone' END AS base FROM i),
+c AS ({_direct}),
+t AS (SELECT import_id, arg_min(p, pos) AS to_path FROM c WHERE p IN (SELECT path FROM f) GROUP BY import_id)
+SELECT import_id, CASE WHEN to_path IS NOT NULL THEN 'edge' WHEN form IN (0, 1, 2, 3, 7) THEN 'unresolved' ELSE 'external' END AS outcome, to_path,
+  CASE WHEN to_path IS NULL THEN CASE form WHEN 4 THEN 'react' WHEN 5 THEN '@scope/pkg' WHEN 6 THEN 'web' END END AS package,
+  CASE WHEN to_path IS NULL THEN CASE WHEN form IN (0, 1, 7) THEN 'no-match-on-disk' WHEN form IN (2, 3) THEN 'alias-unmapped' END END AS reason
+FROM b LEFT JOIN t USING (import_id)""",
+    "neighborhood": f"WITH e AS MATERIALIZED (SELECT * FROM {EDGES}), h AS (SELECT src AS id FROM e GROUP BY src HAVING count(*) = 5) SELECT id, 'out' AS direction, dst AS neighbour FROM h JOIN e ON src = id UNION ALL SELECT id, 'in', src FROM h JOIN e ON dst = id",
+    "collapse_edges": f"WITH s AS (SELECT id, CASE WHEN starts_with(path, 'src/') THEN 'src' WHEN starts_with(path, 'packages/api/') THEN 'packages/api' WHEN starts_with(path, 'docs/') THEN 'docs' ELSE path END AS shown FROM {FILES}) SELECT a.shown AS from_shown, b.shown AS to_shown, count(*) AS n_edges FROM {EDGES} e JOIN s a ON a.id = e.src JOIN s b ON b.id = e.dst WHERE a.shown <> b.shown GROUP BY 1, 2",
+    "rank_steps": f"SELECT id, importance_rank, lead(id) OVER (ORDER BY importance_rank) AS next_id, lag(id) OVER (ORDER BY importance_rank) AS previous_id FROM (SELECT id, row_number() OVER (ORDER BY {_order}) AS importance_rank FROM {RANKED})",
+    "depth_budget": f"SELECT greatest(coalesce(max(depth) FILTER (shown <= 60), 1), 1)::BIGINT AS depth FROM (SELECT depth, sum(n) OVER (ORDER BY depth) AS shown FROM (SELECT len(string_split(dir, '/')) AS depth, count(DISTINCT dir) AS n FROM (SELECT unnest({ANCESTORS}) AS dir FROM {URL_PATHS}) WHERE dir <> '' GROUP BY 1))",
+    "detected_type": f"""SELECT brand, CASE WHEN s > 1 THEN 'Monorepo (' || s || ' workspaces)' WHEN u > n THEN 'React application' WHEN n > 0 THEN 'Node.js service' WHEN p > 0 THEN 'Python package' ELSE 'Unknown' END AS label
+FROM (SELECT brand, count(DISTINCT CASE WHEN starts_with(path, 'packages/') THEN split_part(path, '/', 2) END) AS s, count(*) FILTER (language IN ('tsx', 'jsx')) AS u, count(*) FILTER (language IN ('ts', 'js')) AS n, count(*) FILTER (language = 'py') AS p FROM {FILES_PLUS} GROUP BY brand)""",
+}

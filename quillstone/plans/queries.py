@@ -11,7 +11,7 @@ from quillstone.functions import constants as C
 from quillstone.functions import paths as P
 from quillstone.functions import text as T
 from quillstone.operators import graph as G
-from quillstone.operators import privacy, search, structure
+from quillstone.operators import privacy, resolve, search, structure
 from quillstone.plans.base import CODE, EDGES, FILES, URL_PATHS, base
 from quillstone.sources.tables import keep, table
 from quillstone.streaming import limits
@@ -493,3 +493,67 @@ def lookup_contains(spark, sf_dir):
 @query
 def fingerprint(spark, sf_dir):
     return structure.fingerprint(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey"))
+
+
+@query
+def resolve_imports(spark, sf_dir):
+    """Every file imports one other place, written in one of eight ways."""
+    f = keep(base(spark, sf_dir, FILES))
+    other = f.select((F.col("id") + 24).alias("id"), F.regexp_replace(P.basename(F.col("path")), r"\.[a-z]+$", "").alias("near"), F.regexp_replace("path", r"\.[a-z]+$", "").alias("far"))
+    i = f.join(other, "id").select(F.col("id").alias("import_id"), "path", "near", "far", (F.floor(F.col("id") / 24) % 8).cast("int").alias("form"))
+    forms = ["concat('./', near)", "concat('../x/../', near)", "concat('@/', substring(far, 5))", "concat('~', far)", "'react/jsx-runtime'", "'@scope/pkg/sub'", "concat('web/', near)", "concat('./', near, '/gone')"]
+    i = i.select("import_id", "path", F.expr("CASE form " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(forms)) + " END").alias("specifier"))
+    aliases = spark.createDataFrame([("@/", "src/"), ("~", ""), ("~src/", "./src/")], "prefix string, target string")
+    packages = spark.createDataFrame([("web", "packages/web/src"), ("api", "packages/api/src")], "name string, dir string")
+    return resolve.resolve(i, f, aliases, packages)
+
+
+@query
+def neighborhood(spark, sf_dir):
+    """What each file with exactly five links out reaches in one step, and what reaches it."""
+    e = keep(base(spark, sf_dir, EDGES))
+    hubs = e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n")).where("n = 5").select("id")
+    outs = hubs.join(e, F.col("id") == F.col("src")).select("id", F.lit("out").alias("direction"), F.col("dst").alias("neighbour"))
+    ins = hubs.join(e, F.col("id") == F.col("dst")).select("id", F.lit("in").alias("direction"), F.col("src").alias("neighbour"))
+    return outs.union(ins)
+
+
+@query
+def collapse_edges(spark, sf_dir):
+    """Edges between collapsed directories: each end becomes its shallowest collapsed ancestor, inner edges go."""
+    f = _files(spark, sf_dir).select("id", "path")
+    collapsed = spark.createDataFrame([("src/core",), ("src",), ("packages/api",), ("docs",)], "dir string")  # a view's open folders
+    up = f.select("id", F.posexplode(P.ancestors(F.col("path"))).alias("depth", "dir")).join(F.broadcast(collapsed), "dir").groupBy("id").agg(F.min_by("dir", "depth").alias("shown"))
+    shown = keep(f.join(up, "id", "left").select("id", F.coalesce("shown", "path").alias("shown")))
+    e = base(spark, sf_dir, EDGES).join(shown.selectExpr("id AS src", "shown AS a"), "src").join(shown.selectExpr("id AS dst", "shown AS b"), "dst")
+    return e.where("a <> b").groupBy(F.col("a").alias("from_shown"), F.col("b").alias("to_shown")).agg(F.count("*").alias("n_edges"))
+
+
+@query
+def rank_steps(spark, sf_dir):
+    """For each file the next and previous by importance rank."""
+    f = _ranked(spark, sf_dir)
+    order = [F.desc("is_parsed"), F.desc("importance"), F.desc("in_degree"), F.desc("line_count"), F.col("path"), F.col("id")]
+    r = keep(G.rank_rows(f, order, "importance_rank").select("id", "importance_rank"))
+    after = r.select(F.col("id").alias("next_id"), (F.col("importance_rank") - 1).alias("importance_rank"))
+    before = r.select(F.col("id").alias("previous_id"), (F.col("importance_rank") + 1).alias("importance_rank"))
+    return r.join(after, "importance_rank", "left").join(before, "importance_rank", "left").select("id", "importance_rank", "next_id", "previous_id")
+
+
+@query
+def depth_budget(spark, sf_dir):
+    """The deepest directory level at which no more than 60 directories show, at least 1."""
+    d = base(spark, sf_dir, URL_PATHS).select(F.explode(P.ancestors(F.col("path"))).alias("dir")).where("dir <> ''").distinct()
+    n = d.groupBy(F.size(F.split("dir", "/")).alias("depth")).agg(F.count("*").alias("n"))
+    w = Window.orderBy("depth").rowsBetween(Window.unboundedPreceding, 0)  # a row for each depth
+    total = n.withColumn("shown", F.sum("n").over(w))
+    return total.agg(F.greatest(F.coalesce(F.max(F.when(F.col("shown") <= 60, F.col("depth"))), F.lit(1)), F.lit(1)).cast("long").alias("depth"))
+
+
+@query
+def detected_type(spark, sf_dir):
+    """A label for each brand's files by what they are written in."""
+    f = _files(spark, sf_dir)
+    g = f.groupBy("brand").agg(F.countDistinct(F.when(F.startswith("path", F.lit("packages/")), F.substring_index("path", "/", 2))).alias("n_spaces"), F.expr("count_if(language IN ('tsx', 'jsx'))").alias("n_ui"), F.expr("count_if(language IN ('ts', 'js'))").alias("n_node"), F.expr("count_if(language = 'py')").alias("n_py"))
+    label = F.when(F.col("n_spaces") > 1, F.concat(F.lit("Monorepo ("), F.col("n_spaces"), F.lit(" workspaces)"))).when(F.col("n_ui") > F.col("n_node"), "React application").when(F.col("n_node") > 0, "Node.js service").when(F.col("n_py") > 0, "Python package").otherwise("Unknown")
+    return g.select("brand", label.alias("label"))
