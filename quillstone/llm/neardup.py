@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import kernels as K
@@ -16,6 +16,10 @@ from quillstone.llm.shared import BROADCAST_ROWS, components, keep
 CIRCLE = 1 << 20
 #: At a similarity of 0.8, (1 - 0.8 ** 5) ** 30 = 7 of a million pairs share no band.
 BANDS, ROWS = 30, 5
+#: Bits of a set's mask; larger sets than about as many shingles are compared without its help.
+MASK_BITS = 2048
+#: Members of a bucket that one task compares with one another, or with as many others, at once.
+BLOCK = 512
 #: Shingles whose signature windows are held in memory at once.
 AT_ONCE = 4096
 
@@ -76,13 +80,22 @@ def _sign(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(sign, "node long, n_shingles long, s1 long, s2 long, bands array<long>")
 
 
+def mask(shingles: np.ndarray) -> bytes:
+    """A bit of MASK_BITS for each shingle, several may share one."""
+    bits = np.zeros(MASK_BITS, dtype=np.uint8)
+    bits[(shingles & np.uint64(MASK_BITS - 1)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
 def _sets(docs: DataFrame, k: int) -> DataFrame:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, raw, offsets in K.blocks(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array([K.as_long(x) for x in shingle_sets(raw, offsets, k)], pa.list_(pa.int64()))], ["node", "shingles"])
+                found = list(shingle_sets(raw, offsets, k))
+                masks = [mask(x) for x in found]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array([K.as_long(x) for x in found], pa.list_(pa.int64())), pa.array(masks, pa.binary())], ["node", "shingles", "mask"])
 
-    return docs.mapInArrow(sets, "node long, shingles array<long>")
+    return docs.mapInArrow(sets, "node long, shingles array<long>, mask binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -92,44 +105,84 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.col("common") * 100 >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
 
 
-def _links(members: DataFrame, sets: DataFrame, percent: int, bands: int) -> DataFrame | None:
-    """Links that connect, within each bucket of members (key, node, n), all that are similar.
+def _possible_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) within a bucket of members (key, node, n, label, mask) that have different labels and may be alike.
 
-    Each round compares the members of every open bucket with a few pivots of it: one in the first
-    round, then twice as many each time. A pair is compared only if its ends are not connected yet
-    and their sizes allow the similarity; after a round the pivots leave the bucket, as they have met
-    all others. So a tight group of any size closes after a round or two, and no pair of an open
-    bucket is left out. Pairs are made in blocks of one bucket's pivots, never a whole bucket with itself.
+    A bit that only one mask has stands for a shingle that only that set has, so such bits bound what
+    two sets share: no similar pair fails the bound. Buckets are dealt in blocks of about BLOCK members; a
+    task compares two blocks at a time, however large the bucket is, and only possible pairs come out.
     """
-    found: DataFrame | None = None
-    labels: DataFrame | None = None
-    open_, pivots = members, 1
-    while True:
-        if labels is None:
-            here = open_.withColumn("label", F.col("node"))
-        else:
-            here = open_.join(labels.selectExpr("node", "component"), "node", "left").selectExpr("key", "node", "n", "coalesce(component, node) AS label")
-        order = F.xxhash64("node", F.lit(pivots))
-        if pivots == 1:
-            chosen = here.groupBy("key").agg(F.min_by(F.struct("node", "n", "label"), F.struct(order, "node")).alias("p"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key", "p")
-        else:
-            here = keep(here)
-            mixed = here.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-            here = keep(here.join(mixed, "key", "left_semi"))
-            rank = F.row_number().over(Window.partitionBy("key").orderBy(order, "node"))
-            chosen = here.withColumn("r", rank).where(F.col("r") <= pivots).select("key", F.struct("node", "n", "label").alias("p"))
-        met = here.join(chosen, "key").where(f"label <> p.label AND 100 * least(n, p.n) >= {percent} * greatest(n, p.n)")
-        pairs = keep(met.selectExpr("least(node, p.node) AS a", "greatest(node, p.node) AS b").distinct())
-        links = keep(_verified(pairs, sets, percent))
-        if not links.isEmpty():
-            found = links if found is None else found.union(links)
-            labels = keep(components(found))
-        open_ = here.join(chosen.select("key", F.col("p.node").alias("node")), ["key", "node"], "left_anti").join(chosen.select("key").distinct(), "key", "left_semi").select("key", "node", "n")
-        size = open_.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-        open_ = keep(open_.join(size, "key", "left_semi"))
-        if open_.isEmpty():
-            return labels
-        pivots *= 2
+    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "n", "label", "mask")
+    dealt = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+
+    def alike(own: np.ndarray, node: np.ndarray, n: np.ndarray, label: np.ndarray, masks: np.ndarray, across: bool) -> tuple[np.ndarray, np.ndarray]:
+        bits = np.unpackbits(masks, axis=1).astype(np.float32)
+        common, count = bits @ bits.T, bits.sum(axis=1)
+        left = n - count
+        most = common + np.minimum(left[:, None], left[None, :])
+        ok = (100 + percent) * most >= percent * (n[:, None] + n[None, :])
+        ok &= (label[:, None] != label[None, :]) & (node[:, None] < node[None, :])
+        if across:
+            ok &= own[:, None] != own[None, :]
+        i, j = np.nonzero(ok)
+        return node[i], node[j]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+
+        def groups(part: pa.Table) -> Iterator[pa.RecordBatch]:
+            where = [part.column(c).to_numpy() for c in ("key", "low", "high")]
+            cut = np.flatnonzero(np.any([np.diff(x, prepend=x[0] - 1) != 0 for x in where], axis=0))
+            own, node, n, label = (part.column(c).to_numpy() for c in ("own", "node", "n", "label"))
+            masks = np.frombuffer(b"".join(part.column("mask").to_pylist()), dtype=np.uint8).reshape(part.num_rows, -1)
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for x, y in zip(cut.tolist(), [*cut[1:].tolist(), part.num_rows], strict=True):
+                if y - x > 1 and (label[x:y] != label[x]).any():
+                    i, j = alike(own[x:y], node[x:y], n[x:y].astype(np.float32), label[x:y], masks[x:y], where[1][x] != where[2][x])
+                    a.append(i), b.append(j)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+        for batch in batches:  # the last group of a batch may go on in the next one
+            if not batch.num_rows:
+                continue
+            now = pa.Table.from_batches([batch])
+            now = now if rest is None else pa.concat_tables([rest, now]).combine_chunks()
+            last = [now.column(c).to_numpy() for c in ("key", "low", "high")]
+            before = np.flatnonzero(np.any([x != x[-1] for x in last], axis=0))
+            begin = int(before[-1]) + 1 if len(before) else 0
+            if begin:
+                yield from groups(now.slice(0, begin).combine_chunks())
+            rest = now.slice(begin).combine_chunks()
+        if rest is not None and rest.num_rows:
+            yield from groups(rest)
+
+    return dealt.mapInArrow(compare, "a long, b long").distinct()
+
+
+def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Labels (node, component) that connect, within each bucket of members (key, node, n, c), all that are similar.
+
+    First every member is compared with one pivot of its bucket, the one that shares the most
+    buckets, hence nearest to a common original: this joins tight groups of any size with a row for each member. In
+    buckets that then hold more than one component, _possible_pairs() finds the members of different
+    components that may be alike, and those are compared on full sets. So no possible pair is left
+    out, and the pairs of a tight group are not formed.
+    """
+    order = F.struct((-F.col("c")).alias("c"), F.xxhash64("node").alias("x"), F.col("node"))
+    pivot = members.groupBy("key").agg(F.min_by(F.struct("node", "n"), order).alias("p"))
+    met = members.join(pivot, "key").where(f"node <> p.node AND 100 * least(n, p.n) >= {percent} * greatest(n, p.n)")
+    links = keep(_verified(keep(met.selectExpr("least(node, p.node) AS a", "greatest(node, p.node) AS b").distinct()), sets, percent))
+    labels = keep(components(links))
+    here = keep(members.join(labels, "node", "left").selectExpr("key", "node", "n", "coalesce(component, node) AS label"))
+    mixed = here.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high AND size > 2").select("key")
+    here = keep(here.join(mixed, "key", "left_semi").join(sets.select("node", "mask"), "node"))
+    more = keep(_verified(keep(_possible_pairs(here, percent)), sets, percent))
+    if not more.isEmpty():
+        labels = keep(components(links.union(more)))
+    return labels
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,7 +207,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     sets = keep(_sets(named.join(wanted, "node", "left_semi").select("node", "text"), shingle_words).withColumn("which", F.xxhash64("shingles")).dropDuplicates(["node", "which"]).drop("which"))
-    linked = _links(members, sets, percent, bands)
+    members = keep(members.join(members.groupBy("node").agg(F.count("*").alias("c")), "node"))
+    linked = _links(members, sets, percent)
     grouped = classes.select("s1", "s2", F.col("node").alias("representative"))
     if linked is not None:
         grouped = grouped.join(linked.selectExpr("node AS representative", "component"), "representative", "left").selectExpr("s1", "s2", "coalesce(component, representative) AS component")
