@@ -125,7 +125,7 @@ def cutoffs(scored: DataFrame, labels: DataFrame, most_rejected: float = 0.01, e
     all_ = Window.partitionBy("stratum")
     table = grid.join(places, ["stratum", "place"], "left").select("stratum", "place", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("good", "bad")))
     table = table.select("stratum", "place", *(F.coalesce(F.sum(c).over(beyond), F.lit(0)).alias(f"{c}_out") for c in ("good", "bad")), F.sum("good").over(all_).alias("n_good"))
-    table = table.where(F.col("place") <= STEPS).crossJoin(F.broadcast(places.agg((F.countDistinct("stratum") * (STEPS + 1)).alias("tried"))))  # one row
+    table = table.where(F.col("place") <= STEPS).withColumn("tried", F.count("*").over(Window.partitionBy()))  # a row for each cutoff of each stratum
     sure = table.withColumn("chance", binomial_cdf("good_out", "n_good", most_rejected)).where(F.col("chance") <= error / F.col("tried"))
     best = sure.withColumn("best", F.max("bad_out").over(all_)).where("bad_out > 0 AND bad_out >= 0.99D * best")
     return best.groupBy("stratum").agg((F.max("place") * STEP).alias("cutoff"), F.max_by(F.col("n_good"), "place").alias("n_good"), F.max_by("good_out", "place").alias("n_rejected"))
