@@ -125,6 +125,11 @@ def changed(current: DataFrame, cached: DataFrame) -> DataFrame:
     return current.join(cached.select("path", "content_hash"), ["path", "content_hash"], "left_anti")
 
 
+def hits(current: DataFrame, cached: DataFrame) -> DataFrame:
+    """Files whose (path, content_hash) the cache has, whose parse results can be reused."""
+    return current.join(cached.select("path", "content_hash"), ["path", "content_hash"], "left_semi")
+
+
 def vanished(current: DataFrame, cached: DataFrame) -> DataFrame:
     """Cached paths that no longer exist."""
     return cached.join(current.select("path"), "path", "left_anti")

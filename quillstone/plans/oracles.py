@@ -242,3 +242,13 @@ FROM b LEFT JOIN t USING (import_id)""",
     "detected_type": f"""SELECT brand, CASE WHEN s > 1 THEN 'Monorepo (' || s || ' workspaces)' WHEN u > n THEN 'React application' WHEN n > 0 THEN 'Node.js service' WHEN p > 0 THEN 'Python package' ELSE 'Unknown' END AS label
 FROM (SELECT brand, count(DISTINCT CASE WHEN starts_with(path, 'packages/') THEN split_part(path, '/', 2) END) AS s, count(*) FILTER (language IN ('tsx', 'jsx')) AS u, count(*) FILTER (language IN ('ts', 'js')) AS n, count(*) FILTER (language = 'py') AS p FROM {FILES_PLUS} GROUP BY brand)""",
 }
+
+_synonyms = ", ".join(f"({q(k)}, {q(x)})" for k, v in C.KEYWORDS.items() for x in v)
+ORACLES |= {
+    "keyword_expand": f"""WITH w AS (SELECT event_type AS query FROM events UNION SELECT p_name || ' config' FROM part),
+t AS (SELECT DISTINCT query, unnest(string_split_regex(lower(query), '[^a-z0-9_]+')) AS term FROM w), k(term, synonym) AS (VALUES {_synonyms})
+SELECT query, term, max(weight) AS weight FROM (SELECT query, term, 1::DOUBLE AS weight FROM t WHERE length(term) >= 3 UNION ALL SELECT query, synonym, 0.6::DOUBLE FROM t JOIN k USING (term) WHERE length(t.term) >= 3) GROUP BY query, term""",
+    "cache_hits": "SELECT doc_id AS path, sha256(coalesce(text, '')) AS content_hash FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 5 <> 0",
+    "canonical_json": "SELECT c_custkey, to_json({'c_custkey': c_custkey, 'c_mktsegment': c_mktsegment, 'c_name': c_name, 'c_nationkey': c_nationkey})::VARCHAR AS json FROM customer",
+    "internal_edges": f"WITH f AS (SELECT id, {DIRNAME} AS d FROM {FILES}) SELECT a.d AS component, count(*) AS edge_count FROM {EDGES} e JOIN f a ON a.id = e.src JOIN f b ON b.id = e.dst WHERE a.d = b.d GROUP BY a.d",
+}

@@ -557,3 +557,33 @@ def detected_type(spark, sf_dir):
     g = f.groupBy("brand").agg(F.countDistinct(F.when(F.startswith("path", F.lit("packages/")), F.substring_index("path", "/", 2))).alias("n_spaces"), F.expr("count_if(language IN ('tsx', 'jsx'))").alias("n_ui"), F.expr("count_if(language IN ('ts', 'js'))").alias("n_node"), F.expr("count_if(language = 'py')").alias("n_py"))
     label = F.when(F.col("n_spaces") > 1, F.concat(F.lit("Monorepo ("), F.col("n_spaces"), F.lit(" workspaces)"))).when(F.col("n_ui") > F.col("n_node"), "React application").when(F.col("n_node") > 0, "Node.js service").when(F.col("n_py") > 0, "Python package").otherwise("Unknown")
     return g.select("brand", label.alias("label"))
+
+
+@query
+def keyword_expand(spark, sf_dir):
+    """Terms of every event type and part name with their synonyms and weights; the largest weight of a term counts."""
+    words = table(spark, sf_dir, "events").select(F.col("event_type").alias("query")).union(table(spark, sf_dir, "part").select(F.concat("p_name", F.lit(" config"))))
+    terms = words.distinct().select("query", F.explode(T.query_terms(F.col("query"))["terms"]).alias("term"))
+    known = spark.createDataFrame([(k, s) for k, v in C.KEYWORDS.items() for s in v], "term string, synonym string")  # a fixed table
+    more = terms.join(F.broadcast(known), "term").select("query", F.col("synonym").alias("term"), F.lit(C.EXPANSION_DECAY).alias("weight"))
+    return terms.withColumn("weight", F.lit(1.0)).union(more).groupBy("query", "term").agg(F.max("weight").alias("weight"))
+
+
+@query
+def cache_hits(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"))
+    cached = d.where("path % 3 <> 0").withColumn("content_hash", F.when(F.col("path") % 5 == 0, "old").otherwise(F.col("content_hash")))
+    return structure.hits(d, cached).select("path", "content_hash")
+
+
+@query
+def canonical_json(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_name", "c_custkey", "c_mktsegment", "c_nationkey")
+    return c.select("c_custkey", F.to_json(F.struct(*sorted(c.columns))).alias("json"))
+
+
+@query
+def internal_edges(spark, sf_dir):
+    """Edges within each path's own directory."""
+    f = keep(_files(spark, sf_dir).select("id", P.dirname(F.col("path")).alias("component")))
+    return G.internal_edges(f, base(spark, sf_dir, EDGES))
