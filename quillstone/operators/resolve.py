@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,3 +61,30 @@ def resolve(imports: DataFrame, files: DataFrame, aliases: DataFrame, packages:
         F.when(F.col("outcome") == "external", package_of(F.col("specifier"))).alias("package"),
         F.when(F.col("outcome") == "unresolved", F.when(F.col("is_relative"), "no-match-on-disk").otherwise("alias-unmapped")).alias("reason"),
     )
+
+
+def resolve_python(imports: DataFrame, files: DataFrame, roots: list[str]) -> DataFrame:
+    """import_id, outcome (edge, stdlib, external, unresolved), to_path, package of Python imports (import_id, path, specifier).
+
+    Leading dots walk up from the importing file; absolute names are tried below each root, longest
+    root first. Of the candidates of one base, ``m.py`` goes before ``m/__init__.py``, then the
+    same for the module that holds the imported name, then any file of a namespace folder. What no root has is
+    the standard library's, by this interpreter's own list, or an external package.
+    """
+    ordered = sorted(roots, key=lambda r: (-len(r), r))
+    dots = F.length(F.regexp_extract("specifier", r"^(\.*)", 1))
+    name = F.replace(F.regexp_replace("specifier", r"^\.+", ""), F.lit("."), F.lit("/"))
+    base = imports.select("import_id", "path", "specifier", dots.alias("dots"), name.alias("name"))
+    up = F.array_join(F.slice(P.segments(P.dirname(F.col("path"))), 1, F.greatest(F.size(P.segments(P.dirname(F.col("path")))) - F.col("dots") + 1, F.lit(0))), "/")
+    starts = F.when(F.col("dots") > 0, F.array(up)).otherwise(F.array(*(F.lit(r) for r in ordered)))
+    each = base.select("import_id", F.posexplode(starts).alias("tier", "start"), "name")
+    whole = F.regexp_replace(F.concat_ws("/", F.nullif("start", F.lit("")), F.nullif("name", F.lit(""))), "/+$", "")
+    holder = P.dirname(whole)
+    candidates = F.array(F.concat(whole, F.lit(".py")), F.concat(whole, F.lit("/__init__.py")), F.concat(holder, F.lit(".py")), F.concat(holder, F.lit("/__init__.py")), F.concat(whole, F.lit("/")))
+    each = each.select("import_id", "tier", F.posexplode(candidates).alias("pos", "candidate"))
+    known = files.select(F.col("path").alias("candidate"), "path").union(files.where(P.ext(F.col("path")) == "py").groupBy(F.concat(P.dirname(F.col("path")), F.lit("/")).alias("candidate")).agg(F.min("path").alias("path")))
+    found = each.join(known, "candidate").groupBy("import_id").agg(F.min_by("path", F.struct("tier", "pos")).alias("to_path"))
+    top = F.substring_index("specifier", ".", 1)
+    out = base.join(found, "import_id", "left")
+    kind = F.when(F.col("to_path").isNotNull(), "edge").when(F.col("dots") > 0, "unresolved").when(top.isin(sorted(sys.stdlib_module_names)), "stdlib").otherwise("external")
+    return out.select("import_id", kind.alias("outcome"), "to_path", F.when(F.col("to_path").isNull() & (F.col("dots") == 0), top).alias("package"))

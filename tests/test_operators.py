@@ -206,3 +206,23 @@ def test_parsers(spark):
     js = spark.createDataFrame([("a.tsx", ts)], "path string, text string")
     assert {(r.specifier, r.kind) for r in parse.script_imports(js).collect()} == {("./t", "type"), ("react", "static"), ("./r", "reexport"), ("q", "require"), ("./d", "dynamic")}
     assert {(r.name, r.kind) for r in parse.script_symbols(js).collect()} == {("q", "const"), ("d", "const"), ("useThing", "hook"), ("Panel", "component"), ("I", "interface"), ("v", "variable")}
+
+
+def test_resolution_tiers(spark):
+    from quillstone.operators import resolve
+
+    files = spark.createDataFrame([("src/a/x.ts",), ("src/a/y.ts",), ("src/b/index.ts",), ("packages/web/src/u.ts",)], "path string")
+    imports = spark.createDataFrame([(1, "src/a/x.ts", "./y"), (2, "src/a/x.ts", "../b"), (3, "src/a/x.ts", "./nope"), (4, "src/a/x.ts", "@/b"), (5, "src/a/x.ts", "@/gone"), (6, "src/a/x.ts", "web/u"), (7, "src/a/x.ts", "@s/p/q"), (8, "src/a/x.ts", "react/jsx"), (9, "src/a/x.ts", ".")], "import_id long, path string, specifier string")
+    aliases = spark.createDataFrame([("@/", "src/"), ("@", "nowhere/")], "prefix string, target string").where("prefix = '@/'")
+    packages = spark.createDataFrame([("web", "packages/web/src")], "name string, dir string")
+    got = {r.import_id: (r.outcome, r.to_path or r.package or r.reason) for r in resolve.resolve(imports, files, aliases, packages).collect()}
+    assert got == {1: ("edge", "src/a/y.ts"), 2: ("edge", "src/b/index.ts"), 3: ("unresolved", "no-match-on-disk"), 4: ("edge", "src/b/index.ts"), 5: ("unresolved", "alias-unmapped"), 6: ("edge", "packages/web/src/u.ts"), 7: ("external", "@s/p"), 8: ("external", "react"), 9: ("unresolved", "no-match-on-disk")}
+
+
+def test_python_resolution(spark):
+    from quillstone.operators import resolve
+
+    files = spark.createDataFrame([("app/main.py",), ("app/models/__init__.py",), ("app/models/user.py",), ("lib/tool.py",), ("ns/deep/x.py",)], "path string")
+    rows = [(1, "app/main.py", ".models.user"), (2, "app/models/user.py", "..main"), (3, "app/main.py", "app.models.User"), (4, "app/main.py", "tool"), (5, "app/main.py", "os.path"), (6, "app/main.py", "requests.api"), (7, "app/main.py", ".gone"), (8, "app/main.py", "ns.deep"), (9, "app/models/user.py", ".")]
+    got = {r.import_id: (r.outcome, r.to_path or r.package) for r in resolve.resolve_python(spark.createDataFrame(rows, "import_id long, path string, specifier string"), files, ["", "lib"]).collect()}
+    assert got == {1: ("edge", "app/models/user.py"), 2: ("edge", "app/main.py"), 3: ("edge", "app/models/__init__.py"), 4: ("edge", "lib/tool.py"), 5: ("stdlib", "os"), 6: ("external", "requests"), 7: ("unresolved", None), 8: ("edge", "ns/deep/x.py"), 9: ("edge", "app/models/__init__.py")}
