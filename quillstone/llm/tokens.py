@@ -16,8 +16,8 @@ from quillstone.llm import kernels as K
 #: Bytes of text given to the tokenizer library at once.
 ENCODE_BYTES = 1 << 17
 #: A Python worker remembers the ids of so many pieces at most, and so many ids; a newer piece takes the place of an older one.
-REMEMBERED = 1 << 21
-REMEMBERED_IDS = 1 << 23
+REMEMBERED = 1 << 20
+REMEMBERED_IDS = 1 << 22
 
 _MARK = K.byte_class([(ord(c), ord(c)) for c in ",.;:!?"])
 _LETTER = K.byte_class([(0x41, 0x5A), (0x61, 0x7A)])
