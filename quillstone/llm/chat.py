@@ -17,8 +17,7 @@ def prefix_hashes(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "
     t = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
     w = Window.partitionBy("conv").orderBy("turn", "role", "text")
     t = t.withColumn("me", F.xxhash64(F.lit(1), "turn", F.col("turn").isNull(), "role", F.col("role").isNull(), "text", F.col("text").isNull()))
-    t = t.withColumn("again", F.row_number().over(Window.partitionBy("conv", "turn", "role", "text").orderBy("me")))
-    t = t.where("again = 1").withColumn("pos", F.row_number().over(w))
+    t = t.withColumn("before", F.lag("me").over(w)).where("before IS NULL OR before <> me").withColumn("pos", F.row_number().over(w))
     one = lambda seed: F.xxhash64(F.lit(seed), "pos", "role", F.col("role").isNull(), "text", F.col("text").isNull())
     rolling = w.rowsBetween(Window.unboundedPreceding, 0)
     return t.select("conv", "pos", F.count("*").over(Window.partitionBy("conv")).alias("n"), F.bit_xor(one(11)).over(rolling).alias("h1"), F.bit_xor(one(23)).over(rolling).alias("h2"))
