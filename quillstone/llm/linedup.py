@@ -1,4 +1,4 @@
-"""Line de-duplication: shared rare lines find overlapping documents, patience diff aligns them."""
+"""Line de-duplication: hashes of short runs of lines find every block that an earlier document has."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +15,9 @@ from quillstone.llm import kernels as K
 from quillstone.llm.shared import keep
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """id, fp, lines (a hash of the words of each line, 0 without words), words (number by line)."""
+def _runs(docs: DataFrame, least_words: int) -> DataFrame:
+    """id, fp, words (number by line), h, at, to: hash, first line and line after the last of each run of lines that is the
+    shortest of ``least_words`` words from its first line on, or up to its last line."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -33,12 +35,25 @@ def _lines(docs: DataFrame) -> DataFrame:
                 if len(line):
                     sums[line[begin]] = K.mix(np.add.reduceat(K.mix(hashes + K.mix(index.astype(np.uint64))), begin)) | np.uint64(1)
                 words = np.bincount(line, minlength=total)
-                cuts = pa.array(np.concatenate([[0], np.cumsum(n_lines)]), pa.int32())
+                cuts = np.concatenate([[0], np.cumsum(n_lines)])
+                upto = np.concatenate([[0], np.cumsum(words)])
+                lines, low_end, high_end = np.arange(total), np.repeat(cuts[:-1], n_lines), np.repeat(cuts[1:], n_lines)
+                to = np.searchsorted(upto, upto[:-1] + least_words, "left")
+                at = np.searchsorted(upto, upto[1:] - least_words, "right") - 1
+                whole, ending = to <= high_end, at >= low_end
+                both = np.unique(np.concatenate([lines[whole] * (total + 1) + to[whole], at[ending] * (total + 1) + lines[ending] + 1]))
+                at, to = np.divmod(both, total + 1)
+                h = K.span_hashes(K.running_hash(K.mix(sums + np.uint64(2))), at, to)
+                back = cuts[np.searchsorted(cuts, at, "right") - 1]
+                by_line, by_run = pa.array(cuts, pa.int32()), pa.array(np.searchsorted(at, cuts), pa.int32())
                 m = last_row - first_row
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first_row, m), batch.column(1).slice(first_row, m), pa.ListArray.from_arrays(cuts, pa.array(K.as_long(sums))), pa.ListArray.from_arrays(cuts, pa.array(words, pa.int32()))], ["id", "fp", "lines", "words"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(first_row, m), batch.column(1).slice(first_row, m), pa.ListArray.from_arrays(by_line, pa.array(words, pa.int32()))] + [pa.ListArray.from_arrays(by_run, x) for x in (pa.array(K.as_long(h)), pa.array(at - back, pa.int32()), pa.array(to - back, pa.int32()))],
+                    ["id", "fp", "words", "h", "at", "to"],
+                )
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "fp", "text").mapInArrow(cut, f"id {kind}, fp long, lines array<long>, words array<int>")
+    return docs.select("id", "fp", "text").mapInArrow(cut, f"id {kind}, fp long, words array<int>, h array<long>, at array<int>, to array<int>")
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -83,52 +98,51 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def aligned_blocks(later: list[int], earlier: list[int], words: list[int], least_words: int) -> list[int]:
-    """Lines of the later text in blocks of consecutive matched lines that hold so many words."""
-    out: list[int] = []
-    block: list[int] = []
-    last = (-2, -2)
-    for i, j in [*patience(later, earlier), (-9, -9)]:
-        if (i, j) != (last[0] + 1, last[1] + 1):
-            if sum(words[x] for x in block) >= least_words:
-                out += block
-            block = []
-        block.append(i)
-        last = (i, j)
-    return out
+def covered(words: pa.Array, runs: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """For each text the lines (from 0) that lie in one of its runs (structs at, to), and the words of these lines."""
+    n = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    n_runs = pc.fill_null(pc.list_value_length(runs), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    cuts = np.concatenate([[0], np.cumsum(n)])
+    flat, by_line = runs.flatten(), words.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    at, to = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(cuts[:-1], n_runs) for i in (0, 1))
+    inside = np.cumsum(np.bincount(at, minlength=cuts[-1] + 1) - np.bincount(to, minlength=cuts[-1] + 1))[:-1] > 0
+    lines = np.flatnonzero(inside)
+    upto = np.concatenate([[0], np.cumsum(np.where(inside, by_line, 0))])
+    removed = pa.ListArray.from_arrays(pa.array(np.searchsorted(lines, cuts), pa.int32()), pa.array(lines - np.repeat(cuts[:-1], n)[lines], pa.int32()))
+    return removed, pa.array(upto[cuts[1:]] - upto[cuts[:-1]], pa.int64())
 
 
-def line_overlaps(docs: DataFrame, rare: int = 1000, least_line_words: int = 5, long_line_words: int = 30, least_block_words: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_overlaps(docs: DataFrame, least_block_words: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Lines to delete from each document because an earlier one (with a smaller id) has them in the same order.
 
     Returns id_col, fp (xxhash64 of the text), n_lines, removed (line numbers from 0), n_removed_words; one row
     for each different (id, text). Lines are parted by \\n and compared by their words, A-Z
-    lower-cased. A line of ``least_line_words`` words that two documents share and at most ``rare`` have,
-    or of ``long_line_words`` words however many have it, pairs each of its documents with the
-    first of them, so pairs grow with the lines, not with the square of a group. Pairs are aligned by
-    patience diff; aligned blocks of ``least_block_words`` words go. The first document with a
-    line keeps it. Null texts are empty; lines without words go only within a block; a repeated row has
-    one result; a repeated id with other texts is ordered by fp; rows without id are never paired.
+    lower-cased. Every block of consecutive lines of ``least_block_words`` words that an earlier document
+    has too goes, however often it occurs within or among documents, and whatever its lines' lengths: each
+    line of such a block lies in a run that is the shortest of so many words from its first line on or
+    up to its last, and each run is looked up once, with the first document that has it. So nothing grows
+    faster than the lines. That first document keeps the run. Null texts are empty; lines without words
+    go only within a block; a repeated row has one result; a repeated id with other texts is ordered
+    by fp; rows without id are never paired.
     """
+    if least_block_words < 1:
+        raise ValueError("least_block_words must be 1 at least")
     named = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("fp"), F.col(text_col).alias("text"))
-    lines = keep(_lines(named).dropDuplicates(["id", "fp"]))
-    each = lines.where("id IS NOT NULL").select("id", "fp", F.explode(F.array_distinct(F.expr(f"filter(transform(lines, (h, i) -> if(words[i] >= {least_line_words}, named_struct('h', h, 'long', words[i] >= {long_line_words}), null)), x -> x IS NOT NULL)"))).alias("x")).select("id", "fp", "x.h", "x.long")
-    shared = keep(each.groupBy("h", "long").agg(F.min(F.struct("id", "fp")).alias("first"), F.count("*").alias("df")).where(F.expr(f"df > 1 AND (long OR df <= {rare})")).select("h", "first"))
-    pairs = each.join(shared, "h").where("struct(id, fp) > first").select("id", "fp", F.col("first.id").alias("id0"), F.col("first.fp").alias("fp0")).distinct()
-    pairs = keep(pairs)
-    both = pairs.join(lines, ["id", "fp"]).join(lines.selectExpr("id AS id0", "fp AS fp0", "lines AS lines0"), ["id0", "fp0"]).select("id", "fp", "lines", "words", "lines0")
-
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    texts = keep(_runs(named, least_block_words).dropDuplicates(["id", "fp"]))
+    each = texts.where("id IS NOT NULL").select("id", "fp", F.expr("inline(arrays_zip(h, at, to))"))
+    here = F.struct("id", "fp")
+    shared = keep(each.groupBy("h").agg(F.min(here).alias("first"), F.max(here).alias("last")).where("first < last").select("h", "first"))
+    runs = each.join(shared, "h").where("struct(id, fp) > first").groupBy("id", "fp").agg(F.collect_list(F.struct("at", "to")).alias("runs"))
+    both = texts.select("id", "fp", "words").join(runs, ["id", "fp"], "left")
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            later, words, earlier = (batch.column(i).to_pylist() for i in (2, 3, 4))
-            found = [aligned_blocks(a, b, w, least_block_words) for a, w, b in zip(later, words, earlier, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["id", "fp", "removed"])
+            removed, n_words = covered(batch.column(2), batch.column(3))
+            n_lines = pc.list_value_length(batch.column(2)).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n_lines, removed, n_words], ["id", "fp", "n_lines", "removed", "n_removed_words"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    found = both.mapInArrow(align, f"id {kind}, fp long, removed array<int>").where("size(removed) > 0")
-    removed = keep(found.select("id", "fp", F.explode("removed").alias("line")).groupBy("id", "fp").agg(F.array_sort(F.collect_set("line")).alias("removed")))
-    out = lines.join(removed, ["id", "fp"], "left")
-    return out.select(F.col("id").alias(id_col), "fp", F.size("lines").cast("long").alias("n_lines"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"), F.expr("aggregate(coalesce(removed, array()), 0L, (a, i) -> a + words[i])").alias("n_removed_words"))
+    return keep(both.mapInArrow(mark, f"id {kind}, fp long, n_lines long, removed array<int>, n_removed_words long")).withColumnRenamed("id", id_col)
 
 
 def remove_lines(docs: DataFrame, overlaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
