@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from quillstone.llm import linedup
 
 
@@ -17,3 +19,36 @@ def test_common_lines_and_short_lines_go(spark):
     out = removed(spark, values)
     assert out[0] == (4, [], 0) and all(out[i] == (4, [0, 1, 2], 27) for i in range(1, 1100))
     assert out[1100] == (6, [], 0) and out[1101] == (6, [0, 1, 2, 3, 4], 10)
+
+
+def brute(values, least_words=10):
+    """Lines of all common blocks with an earlier document, from every pair of places."""
+    lines = [[tuple(x.lower().split()) for x in v.split("\n")] for v in values]
+    out = {}
+    for d, mine in enumerate(lines):
+        gone = set()
+        for other in lines[:d]:
+            for i in range(len(mine)):
+                for j in range(len(other)):
+                    n = 0
+                    while i + n < len(mine) and j + n < len(other) and mine[i + n] == other[j + n]:
+                        n += 1
+                    if sum(map(len, mine[i : i + n])) >= least_words:
+                        gone |= set(range(i, i + n))
+        out[d] = (len(mine), sorted(gone), sum(len(mine[i]) for i in gone))
+    return out
+
+
+def test_repeated_and_exchanged_passages_go(spark):
+    first, second = ("\n".join(f"{name} passage line {i} with these words in it" for i in range(2)) for name in ("first", "second"))
+    values = [f"own a\n{first}\nown b\n{second}\nown c", f"{first}\nown d\n{first}", f"{second}\nown e\n{first}", f"own f\n{second}\nown g\n{second}\n{first}\n{first}"]
+    out = removed(spark, values)
+    assert out == brute(values)
+    assert out[0][1] == [] and out[1][1] == [0, 1, 3, 4] and out[2][1] == [0, 1, 3, 4] and out[3][1] == [1, 2, 4, 5, 6, 7, 8, 9]
+
+
+def test_blocks_match_brute_force(spark):
+    rng = random.Random(8)
+    kinds = ["", "a", "b c", "d e f", "G h  i j", "k l m n o", " \t", "p q r s t u v w x y z"]
+    values = ["\n".join(rng.choice(kinds[: rng.choice([4, 8])]) for _ in range(rng.randrange(0, 14))) for _ in range(150)]
+    assert removed(spark, values) == brute(values)
