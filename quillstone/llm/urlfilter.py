@@ -9,6 +9,9 @@ from quillstone.llm.shared import components, keep
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
+QUERY = r"(?s)^.*?://[^?#]*\?([^#]*)"
+#: Parameters that name where a visitor came from, not what the server answers.
+TRACKING = r"(?i)^(?:utm_\w+|gclid|dclid|fbclid|msclkid|mc_cid|mc_eid)(?:=|$)"
 CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
 HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
 REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
@@ -31,16 +34,23 @@ def fitting_rule(rules: list[tuple[str, str, str]], h: Column, p: Column) -> Col
     return F.coalesce(*(F.when(fits(r), F.struct(F.lit(r[0]).alias("action"), F.lit(r[1] + r[2]).alias("rule"))) for r in ordered), F.lit(None).cast("struct<action:string,rule:string>"))
 
 
-def alias_key(h: Column, p: Column) -> Column:
-    """URLs that a server answers alike: without www., a default port, an index page or a closing slash."""
+def query(url: Column) -> Column:
+    """What follows the ?, without tracking parameters."""
+    parts = F.split(F.coalesce(F.regexp_extract(url, QUERY, 1), F.lit("")), "&")
+    return F.array_join(F.filter(parts, lambda x: (x != "") & ~x.rlike(TRACKING)), "&")
+
+
+def alias_key(h: Column, p: Column, q: Column) -> Column:
+    """URLs that a server answers alike: without www., a default port, an index page, a closing slash or tracking parameters."""
     h = F.regexp_replace(F.regexp_replace(h, r"^www\.", ""), r":(?:80|443)$", "")
-    return F.concat(h, F.regexp_replace(F.regexp_replace(p, r"/index\.html?$", "/"), r"/+$", ""))
+    return F.concat(h, F.regexp_replace(F.regexp_replace(p, r"/index\.html?$", "/"), r"/+$", ""), F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))
 
 
 def redirect_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(from_url, to_url) by canonical links and refresh redirects that the pages themselves declare."""
+    """(from_url, to_url) by all canonical links and refresh redirects that the pages themselves declare."""
     u, h = F.col(url_col), F.coalesce(F.col(html_col), F.lit(""))
-    to = F.array(F.regexp_extract(F.regexp_extract(h, CANONICAL, 0), HREF, 1), F.regexp_extract(F.regexp_extract(h, REFRESH, 0), REFRESH_TO, 1))
+    every = lambda tag, link: F.transform(F.regexp_extract_all(h, F.lit(tag), F.lit(0)), lambda x: F.regexp_replace(F.regexp_extract(x, link, 1), r"(?i)&(?:amp|#38|#x26);", "&"))
+    to = F.concat(every(CANONICAL, HREF), every(REFRESH, REFRESH_TO))
     root = F.regexp_extract(u, r"(?s)^(.*?://[^/?#]*)", 1)
     folder = F.regexp_extract(u, r"(?s)^(.*?://[^/?#]*(?:[^?#]*/)?)", 1)
     each = pages.where(u.contains("://")).select(u.alias("from_url"), root.alias("root"), folder.alias("folder"), F.explode(to).alias("to")).where("`to` <> ''")
@@ -49,6 +59,8 @@ def redirect_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html
         F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to)
         .when(to.startswith("//"), F.concat(F.regexp_extract("root", r"^(.*?:)//", 1), to))
         .when(to.startswith("/"), F.concat("root", to))
+        .when(to.startswith("?"), F.concat(F.regexp_extract("from_url", r"(?s)^[^?#]*", 0), to))
+        .when(to.startswith("#"), F.concat(F.regexp_extract("from_url", r"(?s)^[^#]*", 0), to))
         .when(F.col("folder") == F.col("root"), F.concat("root", F.lit("/"), to))
         .otherwise(F.concat("folder", to))
     )
@@ -67,18 +79,18 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], edges: DataFrame
     edges = redirect_edges(pages, url_col, html_col) if edges is None else edges.select("from_url", "to_url")
 
     def keyed(url: Column) -> list[Column]:
-        return [alias_key(host(url), path(url)).alias("key"), fitting_rule(rules, host(url), path(url))["action"].alias("action")]
+        return [alias_key(host(url), path(url), query(url)).alias("key"), fitting_rule(rules, host(url), path(url))["action"].alias("action")]
 
     edges = keep(edges.where("from_url LIKE '%://%' AND to_url LIKE '%://%'").select(F.struct(*keyed(F.col("from_url"))).alias("x"), F.struct(*keyed(F.col("to_url"))).alias("y")))
-    own = pages.select(id_col, host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"))
+    own = pages.select(id_col, host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"), alias_key(host(F.col(url_col)), path(F.col(url_col)), query(F.col(url_col))).alias("alias"))
     own = own.withColumn("fit", fitting_rule(rules, F.col("host"), F.col("path")))
     if edges.isEmpty():
         return own.select(id_col, "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.action", F.lit("allow")).alias("verdict"))
     linked = keep(components(edges.selectExpr("x.key AS a", "y.key AS b")))
     # A page's own rule counts for its aliases too, whichever form of the URL has it.
-    named = edges.select("x.key", "x.action").union(edges.select("y.key", "y.action")).union(own.select(alias_key(F.col("host"), F.col("path")).alias("key"), "fit.action").where("action IS NOT NULL"))
+    named = edges.select("x.key", "x.action").union(edges.select("y.key", "y.action")).union(own.select(F.col("alias").alias("key"), "fit.action").where("action IS NOT NULL"))
     seeds = named.where("action IS NOT NULL").distinct().join(linked.withColumnRenamed("node", "key"), "key")
     decided = seeds.groupBy("component").agg(F.when(F.bool_or(F.col("action") == "allow"), F.lit("allow")).otherwise(F.lit("block")).alias("passed_on"))
     aliases = keep(linked.join(decided, "component").selectExpr("node AS key", "passed_on"))
-    out = own.withColumn("key", alias_key(F.col("host"), F.col("path"))).join(aliases, "key", "left")
+    out = own.withColumnRenamed("alias", "key").join(aliases, "key", "left")
     return out.select(id_col, "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.action", "passed_on", F.lit("allow")).alias("verdict"))
