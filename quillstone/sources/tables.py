@@ -5,11 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side of known width is broadcast; beyond, the join shuffles.
+#: Rows up to which a side of fixed-width columns is broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 1_000_000
+#: Bytes up to which a side with strings or arrays is broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,11 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a folder of our own only where none is named."""
+    """The folder that the cluster names for checkpoints. Only a local master, whose executors share the driver's disk,
+    gets a folder of its own where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         context = spark.sparkContext
         if not context.getCheckpointDir():
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         named = context.getCheckpointDir()
     return named.rstrip("/")
@@ -35,6 +40,25 @@ def keep(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows; df must be cheap to count."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS, width: Column | None = None, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows and, where ``width`` gives a row's bytes, so many bytes;
+    df must be cheap to count (kept)."""
+    small = df.limit(rows + 1).count() <= rows
+    if small and width is not None:
+        small = (df.agg(F.sum(width)).first()[0] or 0) <= most_bytes
+    return F.broadcast(df) if small else df
+
+
+def join_hot(rows: DataFrame, side: DataFrame, key: str, n: str, parts: int = 20_000) -> DataFrame:
+    """rows joined to side (one row for each key, with the number n of rows that the key has).
+
+    Keys that hold more than a ``parts``-th of all rows, of which there can be at most ``parts``,
+    are broadcast, so that none of them fills a task; the others shuffle. side must be kept.
+    """
+    total = side.agg(F.sum(n)).first()[0] or 0
+    hot = side.where(F.col(n) * parts > total)
+    if hot.isEmpty():
+        return rows.join(side, key)
+    beside = rows.join(F.broadcast(hot.select(key, F.lit(True).alias("__hot"))), key, "left")  # at most `parts` rows
+    often = beside.where("__hot").drop("__hot").join(F.broadcast(hot), key)
+    return often.unionByName(beside.where("__hot IS NULL").drop("__hot").join(side.where(F.col(n) * parts <= total), key))
