@@ -19,7 +19,7 @@ FILTER_BITS = 24
 def _words(raw: np.ndarray, offsets: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     low = K.lower_ascii(raw)
     starts, ends, first = K.spans(low, offsets, K.NOT_ALNUM)
-    return low.tobytes(), starts, ends, first, K.span_hashes(K.running_hash(low), starts, ends)
+    return low.tobytes(), starts, ends, first, K.span_hashes(low, starts, ends)
 
 
 def item_windows(items: DataFrame, window: int, shingle: int, id_col: str, text_col: str) -> DataFrame:

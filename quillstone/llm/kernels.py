@@ -16,8 +16,7 @@ import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 19
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
 _M1 = np.uint64(0xFF51AFD7ED558CCD)
 _M2 = np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)
@@ -38,19 +37,6 @@ NOT_ALNUM = byte_class([(0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-_powers = {"up": np.ones(1, dtype=np.uint64), "down": np.ones(1, dtype=np.uint64)}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers["up"]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
-            table = np.full(size, base, dtype=np.uint64)
-            table[0] = 1
-            _powers[name] = np.multiply.accumulate(table)
-    return _powers["up"], _powers["down"]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit."""
     x = x ^ (x >> _S33)
@@ -105,18 +91,47 @@ def spans(raw: np.ndarray, offsets: np.ndarray, between: np.ndarray) -> tuple[np
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def running_hash(raw: np.ndarray) -> np.ndarray:
-    """Prefix values from which span_hashes() takes the hash of any span."""
-    up, _ = _power_tables(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])
-    return total
+_BYTE_KEYS = mix(np.arange(1, 257, dtype=np.uint64) * _GOLD)
+_PLACE_KEYS = mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64) * _M2)
 
 
-def span_hashes(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of raw[start:end], the same wherever the span lies."""
-    _, down = _power_tables(len(total))
-    return mix((total[ends] - total[starts]) * down[starts])
+def _place_keys(place: np.ndarray, longest: int) -> np.ndarray:
+    """A key for each place of a span; those of the first 65,536 are kept."""
+    if longest <= len(_PLACE_KEYS):
+        return _PLACE_KEYS[place]
+    return mix((place + 1).astype(np.uint64) * _M2)
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of raw[start:end] for ascending spans that don't overlap, the same wherever the span lies.
+
+    Each byte is mixed with its place in the span, and the mixed values are added up. There is no
+    polynomial in it, so no family of strings collides by construction. Empty spans are allowed.
+    """
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
+    n = ends - starts
+    upto = np.concatenate([[0], np.cumsum(n)])
+    place = np.arange(upto[-1]) - np.repeat(upto[:-1], n)
+    data = raw[: upto[-1]] if starts[0] == 0 and ends[-1] == upto[-1] else raw[place + np.repeat(starts, n)]
+    v = (_BYTE_KEYS[data] ^ _place_keys(place, int(n.max()))) * _GOLD
+    v ^= v >> _S33
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(v)])
+    return mix(total[upto[1:]] - total[upto[:-1]] + n.astype(np.uint64))
+
+
+def ragged(starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The indices of ranges of n places from each start, one after another, and each one's place in its range."""
+    upto = np.concatenate([[0], np.cumsum(n)])
+    place = np.arange(upto[-1]) - np.repeat(upto[:-1], n)
+    return place + np.repeat(starts, n), place
+
+
+def sums(values: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums modulo 2^64 of consecutive groups of n values."""
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values)])
+    upto = np.concatenate([[0], np.cumsum(n)])
+    return total[upto[1:]] - total[upto[:-1]]
 
 
 def owners(first: np.ndarray) -> np.ndarray:

@@ -53,7 +53,7 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.nd
     """For each text the sorted hashes of its different k-word shingles; of a shorter text, of its whole word sequence."""
     low = K.lower_ascii(raw)
     starts, ends, first = K.spans(low, offsets, K.SPACE)
-    words = K.span_hashes(K.running_hash(low), starts, ends)
+    words = K.span_hashes(low, starts, ends)
     whole = K.sequences(words, k)
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= k:

@@ -3,21 +3,21 @@
 from __future__ import annotations
 
 import bisect
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import kernels as K
-from quillstone.llm.shared import keep
 from quillstone.llm.tokens import encoder, share_tokenizer
 
 #: Gaps of fewer tokens are padded; larger ones are filled by cutting a tail.
 LEAST_CUT = 8
+#: Tokens of tails that a task plans at once, and pieces that it hands over at once.
+CHUNK_TOKENS, BATCH_PIECES = 1 << 21, 1024
 
 
 def combinations(window: int, histogram: np.ndarray, shallow: int = 8) -> np.ndarray:
@@ -151,92 +151,107 @@ def plan(histogram: np.ndarray, window: int) -> tuple[list[tuple[int, int, int,
                     cut = (n, gap)
                     break
                 i -= 1
+            if cut is None:  # the last tails: a sequence as long as a power of two, then what is left
+                room, whole = 1 << (total.bit_length() - 1), []
+                for n in parts:
+                    if n > room:
+                        cut = (n, room) if room else None
+                        break
+                    whole.append(n)
+                    room -= n
+                pool.place(whole, cut, 1)
+                continue
         pool.place(parts, cut, 1 << 62)
     return pool.rows, pool.sequences
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _pieces(ids: pa.Array, which: np.ndarray, start: np.ndarray, length: np.ndarray, doc_tokens: np.ndarray, sequence: np.ndarray, offset: np.ndarray, data: np.ndarray) -> pa.RecordBatch:
+    """A row for each piece; data has the ids of all pieces one after another."""
+    ends = np.concatenate([[0], np.cumsum(length * 4)]).astype(np.int32)
+    binary = pa.Array.from_buffers(pa.binary(), len(which), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(which, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, doc_tokens, sequence, offset)), binary], ["id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+
+
+class Chunk:
+    """Tails of texts that wait for their plan."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.tokens = 0
+
+    def add(self, ids: pa.Array, doc_tokens: np.ndarray, start: np.ndarray, tail: np.ndarray, data: np.ndarray) -> None:
+        self.parts.append((ids, doc_tokens, start, tail, data))
+        self.tokens += len(data)
+
+    def packed(self, window: int, first_sequence: int) -> tuple[Iterator[pa.RecordBatch], int]:
+        """The pieces of all tails, and the number of sequences they fill."""
+        ids = pa.concat_arrays([p[0] for p in self.parts])
+        doc_tokens, start, tail, data = (np.concatenate([p[k] for p in self.parts]) for k in range(1, 5))
+        self.__init__()
+        rows, n = plan(np.bincount(tail[tail > 0], minlength=window), window)
+        if not rows:
+            return iter(()), 0
+        length, begin, tokens, rank, count, sequence, offset = np.array(sorted(rows, key=lambda r: r[5]), dtype=np.int64).T
+        order = np.argsort(tail, kind="stable")
+        where, k = K.ragged(np.searchsorted(tail[order], length) + rank, count)
+        which, row = order[where], np.repeat(np.arange(len(rows)), count)
+        base = np.concatenate([[0], np.cumsum(tail)])[:-1]
+
+        def batches() -> Iterator[pa.RecordBatch]:
+            for low in range(0, len(which), BATCH_PIECES):
+                w, r, j = (x[low : low + BATCH_PIECES] for x in (which, row, k))
+                at, _ = K.ragged(base[w] + begin[r], tokens[r])
+                yield _pieces(ids, w, start[w] + begin[r], tokens[r], doc_tokens[w], first_sequence + sequence[r] + j, offset[r], data[at])
+
+        return batches(), n
+
+
+def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, chunk_tokens: int = CHUNK_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Packs all texts into sequences of at most ``window`` tokens: a row for each piece with id_col, start, length,
-    ids_crc32, doc_tokens, sequence_id, offset, ids (little-endian unsigned 32-bit).
+    doc_tokens, sequence_id, offset, ids (little-endian unsigned 32-bit).
 
     A text is its ids followed by end_id, so an empty or null text is a piece of one id. Windows
-    that one text fills are sequences of their own; what is left of each text, its tail, is placed
-    by plan(), which sees only the histogram of tail lengths (at most window - 1 numbers). Ranks
-    of tails are counted by task and length and added up in Spark, so that a length that many
-    texts share needs no sort. Repeated ids and rows are packed like any others; an empty table gives
-    no piece; other columns of docs are not read. Sequences are to be padded to the window, unless
-    their length is a power of two.
+    that one text fills are sequences of their own and leave at once; what is left of each text, its
+    tail, waits until its task has ``chunk_tokens`` of tails, which are then placed by plan() from
+    the histogram of their lengths. So a task holds one chunk, nothing is shuffled or sent to
+    the driver, and a lost task is done again by itself. What no combination fills is cut to sequences
+    whose lengths are powers of two, which are not padded; others are to be padded to
+    the window. Repeated and null ids and rows are packed like any others; an empty table gives no piece;
+    very long texts are windows but for their tail; other columns of docs are not read.
     """
-    spark = docs.sparkSession
-    shared = share_tokenizer(spark, tokenizer)
+    shared = share_tokenizer(docs.sparkSession, tokenizer)
     id_type = docs.schema[id_col].dataType.simpleString()
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, part = encoder(shared), TaskContext.get().partitionId()
-        ranks = np.zeros(window, dtype=np.int64)
-        full_before = 0
-        names = ["id", "part", "doc_tokens", "full_before", "full_ids", "tail", "tail_rank", "tail_ids"]
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, n_sequences, chunk = encoder(shared), TaskContext.get().partitionId() << 40, Chunk()
         for batch in batches:
             for first, last, raw, offsets in K.blocks(batch.column(1)):
-                ids, begin = model.encode(raw, offsets)
-                ids = ids.astype("<u4")
+                coded, begin = model.encode(raw, offsets)
                 n = np.diff(begin) + 1
-                full, tail = n // window, n % window
-                before = full_before + np.concatenate([[0], np.cumsum(full)])
-                full_before = int(before[-1])
-                rank, heads, tails = np.empty(len(n), np.int64), [], []
-                for i, (b, k, f, t) in enumerate(zip(begin[:-1].tolist(), n.tolist(), full.tolist(), tail.tolist(), strict=True)):
-                    own = np.append(ids[b : b + k - 1], np.uint32(end_id)).astype("<u4")
-                    heads.append(own[: f * window].tobytes())
-                    tails.append(own[f * window :].tobytes())
-                    rank[i] = ranks[t]
-                    ranks[t] += 1
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(np.full(len(n), part)), pa.array(n), pa.array(before[:-1]), pa.array([_crcs(h, window) for h in heads], pa.list_(pa.int64())), pa.array(tail), pa.array(rank), pa.array(tails, pa.binary())], names)
-
-    coded = keep(docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(encode, f"id {id_type}, part long, doc_tokens long, full_before long, full_ids array<long>, tail long, tail_rank long, tail_ids binary"))
-
-    counts = coded.groupBy("part", "tail").agg(F.count("*").alias("n"), F.sum(F.size("full_ids")).alias("n_full"))
-    by_tail = Window.partitionBy("tail").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    tail_base = keep(counts.withColumn("tail_base", F.coalesce(F.sum("n").over(by_tail), F.lit(0))))
-    histogram = np.zeros(window, dtype=np.int64)
-    for row in tail_base.where("tail > 0").groupBy("tail").agg(F.sum("n").alias("n")).collect():  # at most window - 1 rows
-        histogram[row["tail"]] = row["n"]
-    rows, n_packed = plan(histogram, window)
-    full_base, n_full = [], 0
-    for row in tail_base.groupBy("part").agg(F.sum("n_full").alias("n")).orderBy("part").collect():  # a row for each task
-        full_base.append((row["part"], n_packed + n_full))
-        n_full += row["n"]
-    placed: dict[tuple[int, int], list] = {}
-    for tail, start, tokens, rank, count, sequence, offset in sorted(rows, key=lambda r: (r[0], r[1], r[3])):
-        placed.setdefault((tail, start), []).append((rank, tokens, sequence - rank, offset))
-    shared_plan = spark.sparkContext.broadcast((placed, dict(full_base)))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        placed, full_base = shared_plan.value
-        for batch in batches:
-            cols = batch.to_pydict()
-            out = [[] for _ in range(7)]
-            which = []
-            for i in range(batch.num_rows):
-                n = cols["doc_tokens"][i]
-                base = full_base[cols["part"][i]] + cols["full_before"][i]
-                for j, crc in enumerate(cols["full_ids"][i]):
-                    which.append(i)
-                    for o, v in zip(out, (j * window, window, crc, n, base + j, 0), strict=False):
-                        o.append(v)
-                tail, rank, start, ids = cols["tail"][i], cols["tail_rank"][i] + cols["tail_base"][i], 0, cols["tail_ids"][i]
-                while start < tail:
-                    runs = placed[tail, start]
-                    _, tokens, sequence, offset = runs[bisect.bisect_right(runs, rank, key=lambda r: r[0]) - 1]
-                    which.append(i)
-                    for o, v in zip(out, (n - tail + start, tokens, zlib.crc32(ids[4 * start : 4 * (start + tokens)]), n, sequence + rank, offset), strict=False):
-                        o.append(v)
-                    start += tokens
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which, pa.int64())), *(pa.array(x, pa.int64()) for x in out[:6])], [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-
-    ranked = coded.join(tail_base.select("part", "tail", "tail_base"), ["part", "tail"]).select("id", "part", "doc_tokens", "full_before", "full_ids", "tail", "tail_rank", "tail_base", "tail_ids")
-    return ranked.mapInArrow(place, f"`{id_col}` {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
-
-
-def _crcs(head: bytes, window: int) -> list[int]:
-    return [zlib.crc32(head[i : i + 4 * window]) for i in range(0, len(head), 4 * window)]
+                upto = np.concatenate([[0], np.cumsum(n)])
+                own = np.full(upto[-1], end_id, dtype="<u4")
+                own[np.arange(len(coded)) + np.repeat(np.arange(len(n)), n - 1)] = coded
+                ids, full, tail = batch.column(0).slice(first, last - first), n // window, n % window
+                which, place = K.ragged(np.zeros(len(n), np.int64), full)
+                which = np.repeat(np.arange(len(n)), full)
+                for low in range(0, len(which), BATCH_PIECES):
+                    w, start = which[low : low + BATCH_PIECES], place[low : low + BATCH_PIECES] * window
+                    at, _ = K.ragged(upto[w] + start, np.full(len(w), window))
+                    yield _pieces(ids, w, start, np.full(len(w), window), n[w], n_sequences + np.arange(len(w)), np.zeros(len(w)), own[at])
+                    n_sequences += len(w)
+                at, _ = K.ragged(upto[:-1] + full * window, tail)
+                chunk.add(ids, n, full * window, tail, own[at])
+                if chunk.tokens >= chunk_tokens:
+                    packed, used = chunk.packed(window, n_sequences)
+                    yield from packed
+                    n_sequences += used
+        if chunk.parts:
+            yield from chunk.packed(window, n_sequences)[0]
+
+    out = docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(fill, f"id {id_type}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return out.withColumnRenamed("id", id_col)
+
+
+def with_digest(pieces: DataFrame) -> DataFrame:
+    """Pieces with the CRC of their ids instead of the ids."""
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")

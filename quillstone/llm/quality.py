@@ -49,14 +49,13 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
                 m = last_row - first_row
                 starts, ends, first = K.spans(raw, offsets, K.SPACE)
                 owner = K.owners(first)
-                total = K.running_hash(raw)
 
                 def each(flags: np.ndarray, offsets=offsets) -> np.ndarray:
                     sums = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
                     return sums[offsets[1:]] - sums[offsets[:-1]]
 
                 salt = K.mix(owner.astype(np.uint64))
-                triples = K.sequences(K.span_hashes(total, starts, ends), 3)
+                triples = K.sequences(K.span_hashes(raw, starts, ends), 3)
                 whole = owner[2:] == owner[:-2] if len(owner) > 2 else np.zeros(0, bool)
                 at = np.flatnonzero(whole)
                 at = at[_repeated(triples[at] ^ salt[at])]
@@ -77,7 +76,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
                 with_word = np.searchsorted(starts, high) > words_before
                 low, high = low[with_word], high[with_word]
                 line_owner = np.searchsorted(offsets, low, "right") - 1
-                dup = _earlier(K.span_hashes(total, low, high) ^ K.mix(line_owner.astype(np.uint64)))
+                dup = _earlier(K.span_hashes(raw, low, high) ^ K.mix(line_owner.astype(np.uint64)))
 
                 n_words = np.diff(first)
                 columns = [n_words, each((raw & 0xC0) != 0x80) - each(K.SPACE[raw]), each(SYMBOLS[raw]), np.bincount(line_owner, minlength=m), np.bincount(line_owner[dup], minlength=m), np.bincount(owner[repeat], minlength=m), each(UPPER[raw])]

@@ -38,9 +38,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = linedup.line_overlaps(docs)
-    left = linedup.remove_lines(docs, found).select("doc_id", F.length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
-    found = found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed_lines"), "n_removed_words", F.array_join("removed", ",").alias("removed"))
-    return found.join(left, "doc_id")
+    left = linedup.remove_lines(docs.withColumn("fp", F.xxhash64(F.coalesce("text", F.lit("")))), found)
+    left = left.select(F.col("doc_id").alias("id"), F.col("fp").alias("of"), F.length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
+    out = left.join(found, left["id"].eqNullSafe(found["doc_id"]) & (left["of"] == found["fp"]))
+    return out.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed_lines"), "n_removed_words", F.array_join("removed", ",").alias("removed"), F.size("blocks").cast("long").alias("n_blocks"), F.size(F.array_distinct("blocks.partner")).cast("long").alias("n_partners"), "n_chars_left", "text_sha256")
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +63,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.with_digest(packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

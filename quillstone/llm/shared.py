@@ -2,42 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows up to which a side of known width is broadcast; beyond, the join shuffles.
-BROADCAST_ROWS = 1_000_000
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a folder of our own only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        context = spark.sparkContext
-        if not context.getCheckpointDir():
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        named = context.getCheckpointDir()
-    return named.rstrip("/")
-
-
-def keep(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back: any executor may be lost afterwards."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillstone-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+from quillstone.sources.tables import BROADCAST_ROWS, join_hot, keep, shared_dir, sized, table
 
-def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows; df must be cheap to count (kept)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+__all__ = ["BROADCAST_ROWS", "components", "join_hot", "keep", "shared_dir", "sized", "table"]
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

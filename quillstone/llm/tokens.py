@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Iterator
 from itertools import chain
 
@@ -15,9 +14,10 @@ from quillstone.llm import kernels as K
 
 #: Bytes of text given to the tokenizer library at once.
 ENCODE_BYTES = 1 << 17
-#: A Python worker remembers the ids of so many pieces at most, and so many ids; a newer piece takes the place of an older one.
-REMEMBERED = 1 << 20
-REMEMBERED_IDS = 1 << 22
+#: A Python worker remembers the ids of so many pieces of at most so many bytes, and drops them all when it has more ids.
+REMEMBERED = 1 << 17
+REMEMBERED_BYTES = 48
+REMEMBERED_IDS = 1 << 20
 
 _MARK = K.byte_class([(ord(c), ord(c)) for c in ",.;:!?"])
 _LETTER = K.byte_class([(0x41, 0x5A), (0x61, 0x7A)])
@@ -67,10 +67,9 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.keys = np.full(REMEMBERED, ~np.uint64(0))
-        self.slots = np.full(REMEMBERED, -1, dtype=np.int32)
-        self.ids = np.zeros(1 << 20, dtype=np.uint32)
-        self.ends = np.zeros(1 << 16, dtype=np.int64)
+        self.known: dict[bytes, int] = {}
+        self.ids = np.zeros(1 << 16, dtype=np.uint32)
+        self.ends = np.zeros(1 << 12, dtype=np.int64)
         self.n = 0
 
     def _learn(self, texts: list[str]) -> None:
@@ -89,39 +88,38 @@ class Encoder:
         self.n += len(coded)
 
     def pieces(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each piece its slot; for each text its first piece (one more at the end)."""
+        """For each piece its slot, found by its bytes; for each text its first piece (one more at the end)."""
         if self.kind == "sentencepiece" or not self.cuttable:
             starts = offsets[:-1][np.diff(offsets) > 0]
         else:
             starts = safe_cuts(raw, offsets)
-        ends = np.append(starts[1:], len(raw))
         first = np.searchsorted(starts, offsets)
-        if self.ends[self.n] > REMEMBERED_IDS:
+        if not len(starts):
+            return np.zeros(0, np.int64), first
+        if self.n > REMEMBERED or self.ends[self.n] > REMEMBERED_IDS:
             self.forget()
-        keys = K.span_hashes(K.running_hash(raw), starts, ends) & ~np.uint64(1)  # never that of an empty place
-        place = (keys & np.uint64(REMEMBERED - 1)).astype(np.int64)
-        slots = self.slots[place].astype(np.int64)
-        missed = np.flatnonzero(self.keys[place] != keys)
-        place = ((keys[missed] >> np.uint64(32)) & np.uint64(REMEMBERED - 1)).astype(np.int64)
-        found = self.keys[place] == keys[missed]
-        slots[missed[found]] = self.slots[place[found]]
-        missed = missed[~found]
-        new, at, inverse = np.unique(keys[missed], return_index=True, return_inverse=True)
-        base, data, batch, size = self.n, raw.tobytes(), [], 0
-        for low, high in zip(starts[missed[at]].tolist(), ends[missed[at]].tolist(), strict=True):
-            batch.append(data[low:high].decode())
-            size += high - low
-            if size >= ENCODE_BYTES:
-                self._learn(batch)
-                batch, size = [], 0
+        bounds = np.append(starts, len(raw)).astype(np.int64)  # pieces follow one another without a gap
+        every = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(raw))])
+        coded = every.dictionary_encode()
+        different = coded.dictionary.to_pylist()
+        slots = np.empty(len(different), dtype=np.int64)
+        base, batch, size, known = self.n, [], 0, self.known
+        fresh = 0
+        for i, piece in enumerate(different):
+            slot = known.get(piece)
+            if slot is None:
+                slot, fresh = base + fresh, fresh + 1
+                if len(piece) <= REMEMBERED_BYTES:
+                    known[piece] = slot
+                batch.append(piece.decode())
+                size += len(piece)
+                if size >= ENCODE_BYTES:
+                    self._learn(batch)
+                    batch, size = [], 0
+            slots[i] = slot
         if batch:
             self._learn(batch)
-        slots[missed] = base + inverse
-        place = (new & np.uint64(REMEMBERED - 1)).astype(np.int64)
-        place = np.where(self.slots[place] < 0, place, ((new >> np.uint64(32)) & np.uint64(REMEMBERED - 1)).astype(np.int64))
-        self.keys[place] = new
-        self.slots[place] = np.arange(base, self.n)
-        return slots, first
+        return slots[coded.indices.to_numpy()], first
 
     def lengths(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Tokens of each text."""
