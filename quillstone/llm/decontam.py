@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm import kernels as K
-from quillstone.llm.shared import keep, sized
+from quillstone.llm.shared import fingerprint, keep, sized
 
 #: Bits by which a task tells shingles that no item has from those that one may have; 2 MB, whatever the benchmark's size.
 FILTER_BITS = 24
@@ -54,7 +54,7 @@ def shared_runs(docs: DataFrame, bits: np.ndarray, sizes: list[int], id_col: str
         bits = bits_shared.value
         run_type = pa.list_(pa.struct([("start", pa.int64()), ("words", pa.list_(pa.string())), ("hits", pa.list_(pa.struct([("at", pa.int32()), ("h", pa.int64())])))]))
         for batch in batches:
-            for first_row, last_row, raw, offsets in K.blocks(batch.column(1)):
+            for first_row, last_row, raw, offsets in K.blocks(batch.column(2)):
                 data, starts, ends, first, hashes = _words(raw, offsets)
                 own_end = np.repeat(first[1:], np.diff(first))
                 at, size, found = [], [], []
@@ -80,45 +80,56 @@ def shared_runs(docs: DataFrame, bits: np.ndarray, sizes: list[int], id_col: str
                     run["words"] += [data[starts[x] : ends[x]].decode() for x in range(reach, w + k)]
                     reach = max(reach, w + k)
                     run["hits"].append({"at": w - int(first[i]) - run["start"], "h": h})
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first_row, last_row - first_row), pa.array(np.diff(first)), pa.array(runs, run_type)], ["id", "n_words", "runs"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(first_row, last_row - first_row) for k in (0, 1)), pa.array(np.diff(first)), pa.array(runs, run_type)], ["id", "fp", "n_words", "runs"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(find, f"id {kind}, n_words long, runs array<struct<start:long,words:array<string>,hits:array<struct<at:int,h:long>>>>").withColumn("row", F.monotonically_increasing_id())
+    return docs.select(id_col, fingerprint(text_col).alias("fp"), text_col).mapInArrow(find, f"id {kind}, fp long, n_words long, runs array<struct<start:long,words:array<string>,hits:array<struct<at:int,h:long>>>>").withColumn("row", F.monotonically_increasing_id())
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """Which words of each document lie in an occurrence of a window of an item: id_col, n_words, n_hit, n_items, items
-    (sorted ids as strings), contaminated; one row for each row of docs.
+    """Which words of each document lie in an occurrence of a window of an item: id_col, fp (xxhash64 of the text), n_words,
+    n_hit, n_items, items (sorted ids as strings), contaminated; one row for each row of docs.
 
     Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after A-Z became a-z. A window is ``window``
     consecutive words of an item, or all words of a shorter one. Every window has one necessary
     prefix token, its rarest shingle over all documents (exact containment leaves a prefix of one);
     windows with a shingle that no document has are dropped at once. Occurrences of prefix tokens
     give candidates at one position each, which must lie within a run of shared shingles and are
-    then compared word by word. Null and empty texts have no words and no hits; an empty table of
+    then compared word by word. A window that many items share is matched once, and its items are
+    added to each document once. Null and empty texts have no words and no hits; an empty table of
     items or documents gives no hits or no rows; repeated rows and ids are judged each by itself;
     null item ids hit but are not listed; other columns are not read.
     """
     windows = keep(item_windows(items, window, shingle, item_col, item_text_col))
-    tokens = windows.select(F.explode("shingles").alias("s"))
-    bits = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8)
-    places = tokens.select(F.shiftrightunsigned("s.h", 64 - FILTER_BITS).cast("int").alias("p")).distinct().toPandas()["p"].to_numpy()  # at most 2 ** FILTER_BITS
-    np.bitwise_or.at(bits, places >> 3, (1 << (places & 7)).astype(np.uint8))
+    classes = keep(windows.groupBy("words").agg(F.first("shingles").alias("shingles")).withColumn("window", F.monotonically_increasing_id()))
+    tokens = classes.select(F.explode("shingles").alias("s"))
     sizes = sorted(r["k"] for r in tokens.select("s.k").distinct().collect())  # at most `shingle`
-    runs = keep(shared_runs(docs, bits, sizes, id_col, text_col))
+    runs = keep(shared_runs(docs, _bits(tokens.select("s.h")), sizes, id_col, text_col))
 
     found = runs.where("runs IS NOT NULL").select("row", F.explode("runs").alias("run"))
     near = window - 1
     local = found.select("row", "run.start", "run.words", F.explode("run.hits").alias("hit")).selectExpr("row", "start", "hit.at AS at", "hit.h AS h", f"greatest(hit.at - {near}, 0) AS low", f"slice(words, greatest(hit.at - {near}, 0) + 1, {2 * window}) AS around")
     frequency = found.select("row", F.explode(F.array_distinct("run.hits.h")).alias("h")).groupBy("h").agg(F.count("*").alias("df"))
-    each = windows.select("item_id", "words", F.explode("shingles").alias("s")).select("item_id", "words", "s.off", "s.h")
-    prefix = each.join(frequency, "h", "left").groupBy("item_id", "words").agg(F.min_by(F.struct("off", "h"), F.struct(F.coalesce("df", F.lit(0)), "h", "off")).alias("p"), F.min(F.coalesce("df", F.lit(0))).alias("least")).where("least > 0")
-    prefix = sized(keep(prefix.select("item_id", "words", "p.off", "p.h")))
+    each = classes.select("window", "words", F.explode("shingles").alias("s")).select("window", "words", "s.off", "s.h")
+    prefix = each.join(frequency, "h", "left").groupBy("window").agg(F.first("words").alias("words"), F.min_by(F.struct("off", "h"), F.struct(F.coalesce("df", F.lit(0)), "h", "off")).alias("p"), F.min(F.coalesce("df", F.lit(0))).alias("least")).where("least > 0")
+    prefix = sized(keep(prefix.select("window", "words", "p.off", "p.h")), width=F.octet_length(F.array_join("words", " ")))
     met = local.join(prefix, "h").withColumn("from", F.expr("at - off - low")).where("`from` >= 0 AND `from` + size(words) <= size(around)").where(F.expr("slice(around, `from` + 1, size(words)) = words"))
-    met = keep(met.selectExpr("row", "start + at - off AS low", "start + at - off + size(words) AS high", "item_id"))
+    met = keep(met.selectExpr("row", "start + at - off AS low", "start + at - off + size(words) AS high", "window"))
 
     before = F.max("high").over(Window.partitionBy("row").orderBy("low", "high").rowsBetween(Window.unboundedPreceding, -1))
     hits = met.select("row", "low", "high").distinct().withColumn("before", F.coalesce(before, F.lit(0))).groupBy("row").agg(F.sum(F.expr("greatest(0, high - greatest(low, before))")).alias("n_hit"))
-    listed = met.groupBy("row").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    holders = keep(windows.join(classes.select("words", "window"), "words").select("window", F.col("item_id").cast("string").alias("item_id")))
+    listed = met.select("row", "window").distinct().join(sized(holders, width=F.octet_length("item_id") + 8), "window").groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     out = runs.drop("runs").join(hits, "row", "left").join(listed, "row", "left")
-    return out.select(F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+    return out.select(F.col("id").alias(id_col), "fp", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+
+
+def _bits(tokens: DataFrame) -> np.ndarray:
+    """One bit for each value of the first FILTER_BITS bits of a hash h. The bits are set in Spark: at most 2 ** FILTER_BITS / 32,768
+    rows of 4 KB each come to the driver."""
+    place: Column = F.shiftrightunsigned("h", 64 - FILTER_BITS)
+    parts = tokens.select(F.bitmap_bucket_number(place + 1).alias("bucket"), F.bitmap_bit_position(place + 1).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8)
+    for row in parts.collect():  # bucket 1 has the places from 0 on
+        out[(row["bucket"] - 1) * 4096 : row["bucket"] * 4096] = np.frombuffer(row["bits"], dtype=np.uint8)
+    return out

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import kernels as K
-from quillstone.llm.shared import BROADCAST_ROWS, components, keep
+from quillstone.llm.shared import components, fingerprint, join_hot, keep, sized, without
 
 #: Places of the permutations.
 CIRCLE = 1 << 20
@@ -63,21 +63,21 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.nd
 
 
 def _sign(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """node, n_shingles, s1 and s2 (128 bits that identify the set), bands."""
+    """id, fp, n_shingles, s1 and s2 (128 bits that identify the set), bands of docs (id, fp, text)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         circle = Circulant(bands * rows)
         for batch in batches:
-            for first, last, raw, offsets in K.blocks(batch.column(1)):
+            for first, last, raw, offsets in K.blocks(batch.column(2)):
                 n, s1, s2, keys = [], [], [], []
                 for x in shingle_sets(raw, offsets, k):
                     n.append(len(x))
                     s1.append(int(K.mix(x + np.uint64(1)).sum(dtype=np.uint64).view(np.int64)))
                     s2.append(int(K.mix(x ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)))
                     keys.append(K.as_long(circle.bands(x, bands, rows)) if len(x) else None)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["node", "n_shingles", "s1", "s2", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "fp", "n_shingles", "s1", "s2", "bands"])
 
-    return docs.mapInArrow(sign, "node long, n_shingles long, s1 long, s2 long, bands array<long>")
+    return docs.select("id", "fp", "text").mapInArrow(sign, "id long, fp long, n_shingles long, s1 long, s2 long, bands array<long>")
 
 
 def mask(shingles: np.ndarray) -> bytes:
@@ -105,16 +105,47 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.col("common") * 100 >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
 
 
-def _possible_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) within a bucket of members (key, node, n, label, mask) that have different labels and may be alike.
+def _mixed(members: DataFrame) -> DataFrame:
+    """Members (key, node, n, label) of the groups in which labels differ, with total, big and n_big: the group's size, its
+    commonest label and how many have it."""
+    sizes = members.groupBy("key", "label").agg(F.count("*").alias("m")).groupBy("key")
+    sizes = keep(sizes.agg(F.sum("m").alias("total"), F.max_by("label", F.struct("m", "label")).alias("big"), F.max("m").alias("n_big")).where("n_big < total"))
+    return join_hot(members, sizes, "key", "total")
+
+
+def _by_prefix(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members (node, n, label), grouped anew by the shingles of their prefixes.
+
+    Sets that are alike share so many shingles that, in any common order, one lies among the first
+    n - ceil(n * percent / 100) + 1 of each. Ordered by rarity those are shingles that few members have, so
+    the groups are small but for members whose shingles are all common.
+    """
+    each = keep(members.join(sets.select("node", F.explode("shingles").alias("h")), "node"))
+    df = keep(each.groupBy("h").agg(F.count("*").alias("df")))
+    ordered = join_hot(each, df, "h", "df").groupBy("node", "n", "label").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("all"))  # one set's shingles
+    first = F.expr(f"slice(all, 1, cast(n - ceil(n * {percent} / 100D) + 1 AS int))")
+    return ordered.select(F.explode(first).alias("x"), "node", "n", "label").select(F.col("x.h").alias("key"), "node", "n", "label")
+
+
+def _possible_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) within a bucket of members (key, node, n, label) that have different labels and may be alike.
 
-    A bit that only one mask has stands for a shingle that only that set has, so such bits bound what
-    two sets share: no similar pair fails the bound. Buckets are dealt in blocks of about BLOCK members; a
-    task compares two blocks at a time, however large the bucket is, and only possible pairs come out.
+    Buckets of more than BLOCK members are grouped anew by their members' rarest shingles. A bit that
+    only one mask has stands for a shingle that only that set has, so such bits bound what two sets
+    share: no similar pair fails the bound. Groups are dealt in blocks of about BLOCK members, those with the
+    group's commonest label apart, since they need not be compared with one another; a task
+    compares two blocks at a time, however large the group is, and only possible pairs come out.
     """
-    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    mixed = keep(_mixed(members))
+    few = mixed.where(F.col("total") <= BLOCK)
+    many = mixed.where(F.col("total") > BLOCK).select("node", "n", "label").distinct()
+    if not many.isEmpty():
+        few = few.unionByName(_mixed(keep(_by_prefix(keep(many), sets, percent))))
+    big, rest = (F.greatest(F.ceil(c / BLOCK), F.lit(1)).cast("int") for c in (F.col("n_big"), F.col("total") - F.col("n_big")))
+    one, is_big = F.col("total") <= BLOCK, F.col("label") == F.col("big")
+    own = F.when(one, 0).when(is_big, F.pmod(F.xxhash64("node"), big)).otherwise(big + F.pmod(F.xxhash64("node"), rest)).cast("int")
+    others = F.when(one, F.array(F.lit(0))).when(is_big, F.sequence(big, big + rest - 1)).otherwise(F.sequence(F.lit(0), big + rest - 1))
+    dealt = few.withColumn("own", own).withColumn("other", F.explode(others)).join(sets.select("node", "mask"), "node")
     dealt = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "n", "label", "mask")
     dealt = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
 
@@ -162,7 +193,7 @@ def _possible_pairs(members: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
-def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Labels (node, component) that connect, within each bucket of members (key, node, n, c), all that are similar.
 
     First every member is compared with one pivot of its bucket, the one that shares the most
@@ -177,43 +208,54 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | Non
     links = keep(_verified(keep(met.selectExpr("least(node, p.node) AS a", "greatest(node, p.node) AS b").distinct()), sets, percent))
     labels = keep(components(links))
     here = keep(members.join(labels, "node", "left").selectExpr("key", "node", "n", "coalesce(component, node) AS label"))
-    mixed = here.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high AND size > 2").select("key")
-    here = keep(here.join(mixed, "key", "left_semi").join(sets.select("node", "mask"), "node"))
-    more = keep(_verified(keep(_possible_pairs(here, percent)), sets, percent))
+    more = keep(_verified(keep(_possible_pairs(here, sets, percent)), sets, percent))
     if not more.isEmpty():
         labels = keep(components(links.union(more)))
     return labels
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Near-duplicate groups of all docs: id_col, n_shingles, component_id, kept; one row for each row of docs.
+    """Near-duplicate groups of all docs: id_col, fp (xxhash64 of the text), n_shingles, component_id, component_fp, kept;
+    one row for each row of docs.
 
     Words are what white space parts, A-Z lower-cased; a text's set are its different shingles of
     ``shingle_words`` words (a shorter text: its whole word sequence). Texts with 100 * common >=
     percent * union are linked, confirmed on full sets; component_id is the smallest id reachable,
-    kept is true for that id. Texts without words, and null texts, are linked with nothing. Texts
-    with the same set are one class, represented by the smallest id, so copies are never paired.
-    A row with a repeated id gets the component of its own text. Null ids are linked
-    with nothing (component_id null, kept true). Other columns of docs are not read. Ids are integers.
+    component_fp the fp of its text (the least, if rows of that id have several), kept is true for that id. Texts
+    without words, and null texts, are linked with nothing. Texts with the same set are one class, so
+    copies are never paired. A row with a repeated id has the component of its own text; two texts
+    of one id don't link each other's copies. Null ids are linked with nothing (component_id null, kept
+    true). Other columns of docs are not read. Ids are integers.
     """
-    named = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
+    named = docs.select(F.col(id_col).cast("long").alias("id"), fingerprint(text_col).alias("fp"), F.col(text_col).alias("text"))
     signed = keep(_sign(named, shingle_words, bands, rows))
-    real = signed.where("n_shingles > 0 AND node IS NOT NULL")
-    classes = keep(real.groupBy("s1", "s2").agg(F.min("node").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
+    real = signed.where("n_shingles > 0 AND id IS NOT NULL")
+    classes = real.groupBy("s1", "s2").agg(F.min(F.struct("id", "fp")).alias("low"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = keep(classes.withColumn("node", F.monotonically_increasing_id()))
     keyed = classes.select(F.explode("bands").alias("key"), "node", "n")
     shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
     members = keep(keyed.join(shared, "key", "left_semi"))
-    wanted = keep(members.select("node").distinct())
-    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    sets = keep(_sets(named.join(wanted, "node", "left_semi").select("node", "text"), shingle_words).withColumn("which", F.xxhash64("shingles")).dropDuplicates(["node", "which"]).drop("which"))
+    wanted = keep(members.select("node").distinct().join(classes.select("node", "low.id", "low.fp"), "node"))
+    sets = keep(_sets(named.join(sized(wanted), ["id", "fp"]).select("node", "text"), shingle_words).dropDuplicates(["node"]))
     members = keep(members.join(members.groupBy("node").agg(F.count("*").alias("c")), "node"))
-    linked = _links(members, sets, percent)
-    grouped = classes.select("s1", "s2", F.col("node").alias("representative"))
-    if linked is not None:
-        grouped = grouped.join(linked.selectExpr("node AS representative", "component"), "representative", "left").selectExpr("s1", "s2", "coalesce(component, representative) AS component")
-    else:
-        grouped = grouped.withColumnRenamed("representative", "component")
+    linked = _links(members, sets, percent).join(classes.select("node", "low"), "node")
+    first = linked.groupBy("component").agg(F.min("low").alias("first"))
+    grouped = classes.select("s1", "s2", "node", "low").join(linked.select("node", "component"), "node", "left").join(first, "component", "left").select("s1", "s2", F.coalesce("first", "low").alias("first"))
     out = signed.drop("bands").join(grouped, ["s1", "s2"], "left")
-    out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).otherwise(F.col("node")))
-    return out.select(F.col("node").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("node") == F.col("component_id"), F.lit(True)).alias("kept"))
+    real_row = (F.col("n_shingles") > 0) & F.col("id").isNotNull()
+    out = out.withColumn("component_id", F.when(real_row, F.col("first.id")).otherwise(F.col("id"))).withColumn("component_fp", F.when(real_row, F.col("first.fp")).otherwise(F.col("fp")))
+    return out.select(F.col("id").alias(id_col), "fp", "n_shingles", "component_id", "component_fp", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group that near_duplicates() found (kept): the one with the smallest id, of rows that share
+    it the one with the least fp, of equal rows the least in all columns. Rows without words or id all stay."""
+    linked = found.where("n_shingles > 0").where(F.col(id_col).isNotNull())
+    chosen = (F.col(id_col) == F.col("component_id")) & (F.col("fp") == F.col("component_fp"))
+    again = keep(linked.where(chosen).groupBy(id_col, "fp").agg(F.count("*").alias("n")).where("n > 1").select(id_col, "fp"))
+    if again.isEmpty():
+        return without(docs, linked.where(~chosen), id_col, text_col)
+    every = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    row = docs.select(F.struct(F.col(id_col).alias("id"), fingerprint(text_col).alias("fp")).alias("key"), every.alias("row"))
+    repeated = row.join(sized(again.select(F.struct(F.col(id_col).alias("id"), "fp").alias("key"))), "key").groupBy("key").agg(F.min("row").alias("row")).select("row.*")
+    return without(docs, linked.where(~chosen).select(id_col, "fp").union(again), id_col, text_col).unionByName(repeated)

@@ -47,10 +47,13 @@ g AS (SELECT stratum, unnest(range(0, 41)) AS place FROM (SELECT DISTINCT stratu
 c AS (
   SELECT g.stratum, g.place, coalesce(sum(good) FILTER (p.place > g.place), 0)::BIGINT AS k, coalesce(sum(bad) FILTER (p.place > g.place), 0)::BIGINT AS bad_out, sum(good)::BIGINT AS n
   FROM g JOIN p ON g.stratum = p.stratum GROUP BY ALL),
+tried AS (
+  SELECT c.*, CASE WHEN k > n * 0.01 THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.01) + (n - i) * ln(0.99)))) END AS chance FROM c),
 sure AS (
-  SELECT c.*, list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.01) + (n - i) * ln(0.99)))) AS chance
-  FROM c WHERE k <= n * 0.01),
-ok AS (SELECT *, max(bad_out) OVER (PARTITION BY stratum) AS best FROM sure WHERE chance <= 0.05 / (41 * (SELECT count(DISTINCT stratum) FROM p))),
+  SELECT *, bool_and(chance <= 0.05 / (SELECT count(DISTINCT stratum) FROM p)) OVER (PARTITION BY stratum ORDER BY place DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS passed FROM tried),
+ok AS (
+  SELECT *, max(bad_out) OVER (PARTITION BY stratum) AS best
+  FROM sure WHERE passed),
 cut AS (SELECT stratum, max(place) * 25 AS cutoff FROM ok WHERE bad_out > 0 AND bad_out >= 0.99 * best GROUP BY stratum)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT coalesce(score > cutoff, false) AS kept, score, cutoff::BIGINT AS cutoff

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm import kernels as K
-from quillstone.llm.shared import keep, sized
+from quillstone.llm.shared import fingerprint, keep, sized
 
 SYMBOLS = K.byte_class([(ord(c), ord(c)) for c in "#*$%&|<>"])
 UPPER = K.byte_class([(0x41, 0x5A)])
@@ -40,12 +40,13 @@ def _earlier(keys: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """Counts over each whole text: id_col, stratum, n_words, word_chars, n_symbols, n_lines (with a word), n_dup_lines,
-    n_repeat_words, n_upper. Row by row, nothing is shuffled; null text has no words, null stratum is ''."""
+    """Counts over each whole text: id_col, fp (xxhash64 of the text), stratum, n_words, word_chars, n_symbols, n_lines
+    (with a word), n_dup_lines, n_repeat_words, n_upper. Row by row, nothing is shuffled; null text has no words, null
+    stratum is ''."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first_row, last_row, raw, offsets in K.blocks(batch.column(2)):
+            for first_row, last_row, raw, offsets in K.blocks(batch.column(3)):
                 m = last_row - first_row
                 starts, ends, first = K.spans(raw, offsets, K.SPACE)
                 owner = K.owners(first)
@@ -80,11 +81,11 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
 
                 n_words = np.diff(first)
                 columns = [n_words, each((raw & 0xC0) != 0x80) - each(K.SPACE[raw]), each(SYMBOLS[raw]), np.bincount(line_owner, minlength=m), np.bincount(line_owner[dup], minlength=m), np.bincount(owner[repeat], minlength=m), each(UPPER[raw])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first_row, m), batch.column(1).slice(first_row, m), *(pa.array(c.astype(np.int64)) for c in columns)], ["id", "stratum", *NAMES])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(first_row, m) for k in range(3)), *(pa.array(c.astype(np.int64)) for c in columns)], ["id", "fp", "stratum", *NAMES])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    chosen = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), F.col(text_col).alias("text"))
-    return chosen.mapInArrow(count, f"id {id_type}, stratum string, {', '.join(f'{n} long' for n in NAMES)}").withColumnRenamed("id", id_col)
+    chosen = docs.select(F.col(id_col).alias("id"), fingerprint(text_col).alias("fp"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), F.col(text_col).alias("text"))
+    return chosen.mapInArrow(count, f"id {id_type}, fp long, stratum string, {', '.join(f'{n} long' for n in NAMES)}").withColumnRenamed("id", id_col)
 
 
 NAMES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper"]
@@ -109,38 +110,45 @@ def binomial_cdf(k: str, n: str, p: float) -> Column:
 def cutoffs(scored: DataFrame, labels: DataFrame, most_rejected: float = 0.01, error: float = 0.05, id_col: str = "doc_id") -> DataFrame:
     """A cutoff for each stratum that has one: stratum, cutoff, n_good, n_rejected.
 
-    A cutoff is certified if the labelled good documents it rejects are so few that, were the true
-    share of rejected good documents over ``most_rejected``, so few would occur with probability
-    ``error`` / m at most (the exact binomial bound); m, the number of cutoffs tried in all strata,
-    corrects for trying many. So with probability 1 - ``error``, every chosen cutoff rejects at most that
-    share of its stratum's good documents. Of the certified cutoffs, the most lenient one is chosen whose
-    catch of labelled bad documents is within a hundredth of the best catch; a stratum without a certified
-    cutoff has none and rejects nothing. Scores are fixed beforehand, so all labels are holdout.
+    A cutoff passes if the labelled good documents it rejects are so few that, were the true share of
+    rejected good documents over ``most_rejected``, so few would occur with probability ``error`` / m at
+    most (the exact binomial bound), m being the number of strata. In each stratum cutoffs are tried from the
+    most lenient one on, up to the first that doesn't pass: a fixed sequence needs no further
+    correction, so with probability 1 - ``error`` every cutoff that passes, in any stratum, rejects at
+    most that share of its stratum's good documents. At 1 %, 5 % and four strata this takes 436 good labels in
+    a stratum. Of the cutoffs that pass, the most lenient is chosen whose catch of labelled bad
+    documents is within a hundredth of the best catch; a stratum without one rejects nothing. Scores
+    are fixed beforehand, so all labels are holdout. Documents with several rows count once for each different text.
     """
     known = labels.where("quality IS NOT NULL").groupBy(id_col).agg(F.min("quality").alias("quality"))
     places = scored.join(known, id_col).groupBy("stratum", F.expr(f"least(cast(ceil(score / {STEP}D) AS int), {STEPS + 1})").alias("place")).agg(F.expr("count_if(quality = 1)").alias("good"), F.expr("count_if(quality = 0)").alias("bad"))
+    places = keep(places)  # at most STEPS + 2 rows for each stratum
     grid = places.select("stratum").distinct().select("stratum", F.explode(F.sequence(F.lit(0), F.lit(STEPS + 1))).alias("place"))
-    beyond = Window.partitionBy("stratum").orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, -1)
+    lenient = Window.partitionBy("stratum").orderBy(F.desc("place"))
+    beyond, upto = lenient.rowsBetween(Window.unboundedPreceding, -1), lenient.rowsBetween(Window.unboundedPreceding, 0)
     all_ = Window.partitionBy("stratum")
     table = grid.join(places, ["stratum", "place"], "left").select("stratum", "place", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("good", "bad")))
-    table = table.select("stratum", "place", *(F.coalesce(F.sum(c).over(beyond), F.lit(0)).alias(f"{c}_out") for c in ("good", "bad")), F.sum("good").over(all_).alias("n_good"))
-    table = table.where(F.col("place") <= STEPS).withColumn("tried", F.count("*").over(Window.partitionBy()))  # a row for each cutoff of each stratum
-    sure = table.withColumn("chance", binomial_cdf("good_out", "n_good", most_rejected)).where(F.col("chance") <= error / F.col("tried"))
+    table = table.select("stratum", "place", *(F.coalesce(F.sum(c).over(beyond), F.lit(0)).alias(f"{c}_out") for c in ("good", "bad")), F.sum("good").over(all_).alias("n_good")).where(F.col("place") <= STEPS)
+    strata = places.agg(F.countDistinct("stratum").alias("strata"))
+    table = table.crossJoin(F.broadcast(strata)).withColumn("chance", binomial_cdf("good_out", "n_good", most_rejected))  # one row
+    sure = table.withColumn("passed", F.bool_and(F.col("chance") <= error / F.col("strata")).over(upto)).where("passed")
     best = sure.withColumn("best", F.max("bad_out").over(all_)).where("bad_out > 0 AND bad_out >= 0.99D * best")
     return best.groupBy("stratum").agg((F.max("place") * STEP).alias("cutoff"), F.max_by(F.col("n_good"), "place").alias("n_good"), F.max_by("good_out", "place").alias("n_rejected"))
 
 
 def quality(docs: DataFrame, labels: DataFrame, most_rejected: float = 0.01, error: float = 0.05, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """Judges every row of docs: id_col, stratum, the counts of features(), score, cutoff, base_failed, kept.
+    """Judges every row of docs: id_col, fp (xxhash64 of the text), stratum, the counts of features(), score, cutoff,
+    base_failed, kept.
 
     base_failed: fewer than 50 words, or more than half of the words in repeated 3-word windows. kept:
     not base_failed, and the score is not over the stratum's cutoff (null: none is certified). Null
     text fails the base rule; null strata are one stratum ''; a document with several labels counts
     by the lowest; labels of other documents and null labels are ignored; without labels nothing
-    but the base rule rejects. Repeated rows are judged alike; other columns are not read.
+    but the base rule rejects. Repeated rows are judged alike, rows of one id with other texts by their own text; other
+    columns are not read.
     """
     scored = keep(features(docs, id_col, text_col, stratum_col).withColumn("score", score()))
-    chosen = keep(cutoffs(scored.dropDuplicates([id_col]), labels, most_rejected, error, id_col)).select("stratum", "cutoff")
+    chosen = keep(cutoffs(scored.dropDuplicates([id_col, "fp", "stratum"]), labels, most_rejected, error, id_col)).select("stratum", "cutoff")
     out = scored.join(sized(chosen), "stratum", "left")
     out = out.withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
     return out.withColumn("kept", F.expr("NOT base_failed AND NOT coalesce(score > cutoff, false)"))

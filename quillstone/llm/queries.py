@@ -51,7 +51,7 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4)
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4).drop("fp", "component_fp")
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

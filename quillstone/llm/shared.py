@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.sources.tables import BROADCAST_ROWS, join_hot, keep, shared_dir, sized, table
 
-__all__ = ["BROADCAST_ROWS", "components", "join_hot", "keep", "shared_dir", "sized", "table"]
+__all__ = ["BROADCAST_ROWS", "components", "fingerprint", "join_hot", "keep", "shared_dir", "sized", "table", "without"]
+
+
+def fingerprint(text_col: str) -> Column:
+    """A hash of a whole text (null: empty), by which rows that share an id are told apart."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def without(docs: DataFrame, rejected: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows of these (id_col, fp); a row stays if only its id, or only its text, is that of a rejected one."""
+    free = [next(n for n in (f"__{x}" + "_" * i for i in range(99)) if n not in docs.columns) for x in ("id", "fp")]
+    gone = sized(keep(rejected.select(F.col(id_col).alias(free[0]), F.col("fp").alias(free[1])).distinct()))
+    return docs.join(gone, docs[id_col].eqNullSafe(gone[free[0]]) & (fingerprint(text_col) == gone[free[1]]), "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
