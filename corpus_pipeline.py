@@ -2,6 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before kept and returns documents with
 the same columns; the last returns packed pieces. Between stages the documents are written as Parquet.
+Decisions hold for a row's id and text together, so rows that share an id are judged each by its own
+text; rows without id are judged like others but never paired; empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -10,17 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillstone.llm import decontam, linedup, neardup, packing, quality
 from quillstone.llm.queries import tokenizer_path
-from quillstone.llm.shared import keep, sized, table
-
-
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """docs without the documents of these ids; a document without id stays."""
-    return docs.join(sized(keep(rejected.select("doc_id").distinct())), "doc_id", "left_anti").select(*docs.columns)
+from quillstone.llm.shared import keep, table, without
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return _without(docs, quality.quality(docs, table(spark, sf_dir, "labels")).where("NOT kept"))
+    return without(docs, quality.quality(docs, table(spark, sf_dir, "labels")).where("NOT kept"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,17 +27,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest id."""
-    return _without(docs, neardup.near_duplicates(docs).where("NOT kept"))
+    return neardup.one_of_each(docs, keep(neardup.near_duplicates(docs)))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of a benchmark item go."""
-    return _without(docs, decontam.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+    return without(docs, decontam.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All pieces of all documents, packed into sequences of at most 1024 tokens."""
-    return packing.pack(docs, tokenizer_path())
+    return packing.with_digest(packing.pack(docs, tokenizer_path()))
 
 
 STAGES = [
