@@ -1,11 +1,13 @@
 """DuckDB SQL for the queries that SQL can express.
 
-Absent: op3 (patience diff), op7 and op8 (tokenizers), op10 (looks around matches) and the pipeline; tests hold these
-against brute force. The SQL of op6 has no aliases: no page of the given tables declares one; tests cover them.
+Absent: op3 (patience diff), op7 and op8 (tokenizers) and the pipeline; tests hold these against brute force. Tests
+also run the SQL over planted tables, with secrets, aliases and licences that the given tables lack.
 """
 
 from __future__ import annotations
 
+from quillstone.llm.licenses import RULES, SENTENCES
+
 SPACES = r"[^\x20\x09-\x0D]+"
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -64,41 +66,41 @@ FROM s LEFT JOIN cut USING (stratum)
 def _found(kind: str, rank: int, pattern: str, group: int, least: int) -> str:
     p = pattern.replace("'", "''")
     return f"""
-{kind}_m AS (SELECT doc_id, t, string_split_regex(t, '{p}') AS g, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {group}) AS v FROM d WHERE regexp_matches(t, '{p}')),
+{kind}_m AS (SELECT n, t, string_split_regex(t, '{p}') AS g, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {group}) AS v FROM d WHERE regexp_matches(t, '{p}')),
 {kind}_s AS (
-  SELECT doc_id, {rank} AS rank, '{kind}' AS kind, s AS a, s + length(m[i]) AS b, m[i] AS value FROM (
-    SELECT doc_id, m, v, i, length(array_to_string(g[1:i], '')) + length(array_to_string(m[1:i - 1], '')) AS s FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM {kind}_m))
+  SELECT n, {rank} AS rank, '{kind}' AS kind, s AS a, s + length(m[i]) AS b, m[i] AS value FROM (
+    SELECT n, m, v, i, length(array_to_string(g[1:i], '')) + length(array_to_string(m[1:i - 1], '')) AS s FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM {kind}_m))
   WHERE length(v[i]) >= {least})"""
 
 
 OP4 = f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t FROM documents),
 {_found("assign", 0, r'''((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)''', 2, 6)},
 {_found("access", 1, "AKIA[A-Z0-9]+", 0, 20)},
 {_found("hex", 2, "[0-9a-f]+", 0, 24)},
 {_found("entropy", 3, "[A-Za-z0-9+/_=-]{20,}", 0, 20)},
 base AS (SELECT * FROM assign_s UNION ALL SELECT * FROM access_s UNION ALL SELECT * FROM hex_s),
 cand AS (
-  SELECT *, CASE WHEN regexp_matches(value, '^([0-9a-f]+|[0-9A-F]+)$') AND regexp_matches(value, '[a-fA-F]') THEN 3.0
-    WHEN regexp_matches(value, '^[A-Z2-7]+=*$') AND regexp_matches(value, '[A-Z]') THEN 3.5
-    WHEN regexp_matches(value, '[A-Z][^A-Z]*[a-z]|[a-z][^a-z]*[A-Z]') THEN 3.8 END AS least
+  SELECT *, CASE WHEN NOT regexp_matches(value, '[0-9]') THEN 4.1 WHEN regexp_matches(value, '^([0-9a-f]*[a-f][0-9a-f]*|[0-9A-F]*[A-F][0-9A-F]*)$') THEN 3.0
+    WHEN regexp_matches(value, '^[A-Z2-7]*[A-Z][A-Z2-7]*=*$') THEN 3.5 WHEN regexp_matches(value, '^([a-z0-9]+|[A-Z0-9]+)$') THEN 3.6
+    WHEN regexp_matches(value, '[A-Z][^A-Z]*[a-z]|[a-z][^a-z]*[A-Z]') THEN 3.8 ELSE 4.1 END AS least
   FROM entropy_s
-  WHERE regexp_matches(value, '[0-9]') AND NOT regexp_matches(value, '(?i)example|placeholder|dummy|changeme|redacted|x{{6}}')
+  WHERE NOT regexp_matches(value, '(?i)example|placeholder|dummy|changeme|redacted|x{{6}}')
     AND NOT regexp_matches(value, '(?i)0123456789|123456789|abcdefghijkl|qwertyuiop')
     AND NOT regexp_matches(value, '^[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}$')),
-win AS (SELECT *, list_aggregate(string_split(substring(value, i, 20), ''), 'entropy') AS bits FROM (SELECT *, unnest(range(1, length(value) - 18)) AS i FROM cand WHERE least IS NOT NULL)),
+win AS (SELECT *, list_aggregate(string_split(substring(value, i, 20), ''), 'entropy') AS bits FROM (SELECT *, unnest(range(1, length(value) - 18)) AS i FROM cand)),
 added AS (
-  SELECT doc_id, rank, kind, a + min(i) - 1 AS a, a + max(i) + 19 AS b FROM win WHERE bits >= least - 1e-9 GROUP BY doc_id, rank, kind, a
-  HAVING NOT EXISTS (SELECT 1 FROM base x WHERE x.doc_id = win.doc_id AND x.a <= win.a + min(win.i) - 1 AND x.b >= win.a + max(win.i) + 19)),
-every AS (SELECT doc_id, rank, kind, a, b FROM base UNION ALL SELECT * FROM added),
+  SELECT n, rank, kind, a + min(i) - 1 AS a, a + max(i) + 19 AS b FROM win WHERE bits >= least - 1e-9 GROUP BY n, rank, kind, a
+  HAVING NOT EXISTS (SELECT 1 FROM base x WHERE x.n = win.n AND x.a <= win.a + min(win.i) - 1 AND x.b >= win.a + max(win.i) + 19)),
+every AS (SELECT n, rank, kind, a, b FROM base UNION ALL SELECT * FROM added),
 j AS (
-  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  SELECT n, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
     string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) FILTER (rank < 3) AS base, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) AS spans
-  FROM every GROUP BY doc_id)
+  FROM every GROUP BY n)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
-FROM d LEFT JOIN j USING (doc_id)
+FROM d LEFT JOIN j USING (n)
 """
-OP4 = OP4.replace("SELECT * FROM assign_s", "SELECT doc_id, rank, kind, a, b FROM assign_s").replace("SELECT * FROM access_s", "SELECT doc_id, rank, kind, a, b FROM access_s").replace("SELECT * FROM hex_s", "SELECT doc_id, rank, kind, a, b FROM hex_s")
+OP4 = OP4.replace("SELECT * FROM assign_s", "SELECT n, rank, kind, a, b FROM assign_s").replace("SELECT * FROM access_s", "SELECT n, rank, kind, a, b FROM access_s").replace("SELECT * FROM hex_s", "SELECT n, rank, kind, a, b FROM hex_s")
 
 OP5 = f"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWER}, '{SPACES}') AS w FROM documents),
@@ -115,12 +117,29 @@ FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN low ON d.doc_id = low.a
 """
 
 OP6 = r"""
-WITH u AS (
-  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-    regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+WITH RECURSIVE u AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+l AS (
+  SELECT url AS a, regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) AS root, regexp_extract(url, '(?s)^(.*?://[^/?#]*(?:[^?#]*/)?)', 1) AS folder, regexp_replace(unnest(list_concat(
+    list_transform(regexp_extract_all(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), lambda x: regexp_extract(x, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)),
+    list_transform(regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), lambda x: regexp_extract(x, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)))), '(?i)&(amp|#38|#x26);', '&', 'g') AS t
+  FROM u WHERE contains(url, '://')),
+e AS (
+  SELECT a, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN starts_with(t, '//') THEN regexp_extract(root, '^(.*?:)//', 1) || t WHEN starts_with(t, '/') THEN root || t
+    WHEN starts_with(t, '?') THEN regexp_extract(a, '(?s)^[^?#]*') || t WHEN starts_with(t, '#') THEN regexp_extract(a, '(?s)^[^#]*') || t WHEN folder = root THEN root || '/' || t ELSE folder || t END AS b
+  FROM l WHERE t <> ''),
+x AS (
+  SELECT url, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path,
+    array_to_string(list_filter(string_split(regexp_extract(url, '(?s)^.*?://[^?#]*\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '(?i)^(utm_\w+|gclid|dclid|fbclid|msclkid|mc_cid|mc_eid)(=|$)')), '&') AS q
+  FROM (SELECT url FROM u UNION SELECT a FROM e UNION SELECT b FROM e)),
 r(action, h, p) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
-f AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(action, length(h || p)) AS action FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
-SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM u LEFT JOIN f USING (page_id)
+f AS (SELECT url, arg_max(h || p, length(h || p)) AS rule, arg_max(action, length(h || p)) AS action FROM x JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY url),
+k AS (
+  SELECT x.url, host, path, rule, action, regexp_replace(regexp_replace(host, '^www\.', ''), ':(80|443)$', '') || regexp_replace(regexp_replace(path, '/index\.html?$', '/'), '/+$', '') || CASE WHEN q = '' THEN '' ELSE '?' || q END AS key
+  FROM x LEFT JOIN f ON x.url = f.url),
+g AS (SELECT DISTINCT y.key AS a, z.key AS b FROM e JOIN k y ON e.a = y.url JOIN k z ON e.b = z.url WHERE contains(e.b, '://')),
+reach AS (SELECT a, b FROM g UNION SELECT b, a FROM g UNION SELECT reach.a, s.b FROM reach JOIN (SELECT a, b FROM g UNION SELECT b, a FROM g) s ON reach.b = s.a),
+passed AS (SELECT reach.a AS key, CASE WHEN bool_or(k.action = 'allow') THEN 'allow' ELSE 'block' END AS action FROM reach JOIN k ON reach.b = k.key WHERE k.action IS NOT NULL GROUP BY reach.a)
+SELECT page_id, host, path, rule, coalesce(k.action, passed.action, 'allow') AS verdict FROM u JOIN k ON u.url = k.url LEFT JOIN passed ON k.key = passed.key
 """
 
 OP9 = f"""
@@ -138,6 +157,32 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
+
+
+def _op10() -> str:
+    """Sentences by splitting and normalising, then one step for each rule in order."""
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    space, marks = r"[ \t\n\x0B\f\r]", r"[ \t\n\x0B\f\r#*/;-]"
+    norm = lambda x: f"""regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(lower({x}), '["''`‘’“”]', '', 'g'), '^{marks}+|{space}*\\n{marks}*', ' ', 'g'), '{space}+', ' ', 'g')), '[ \\t\\n\\x0B\\f\\r.;:,!]+$', '')"""
+    known = ", ".join(f"({q(k)}, {q(v)})" for k, v in SENTENCES.items())
+    steps = ""
+    for i, (sequence, name) in enumerate(RULES):
+        seek = q("".join(f"|{x}|" for x in sequence))
+        steps += f",\nr{i + 1} AS MATERIALIZED (SELECT n, ids, replace(l, {seek}, '||') AS l, CASE WHEN contains(l, {seek}) AND NOT list_contains(names, {q(name)}) THEN list_append(names, {q(name)}) ELSE names END AS names FROM r{i})"
+    return f"""
+WITH known(k, v) AS (VALUES {known}),
+d AS MATERIALIZED (SELECT row_number() OVER () AS n, doc_id, text FROM documents),
+p AS (SELECT n, string_split(regexp_replace(regexp_replace(text, '\\n{marks}*\\n', chr(1), 'g'), '([.!?;]){space}+', '\\1' || chr(1), 'g'), chr(1)) AS p FROM d),
+s AS MATERIALIZED (SELECT n, i, p[i] AS s FROM (SELECT n, p, unnest(range(1, len(p) + 1)) AS i FROM p)),
+w AS MATERIALIZED (SELECT n, i, v FROM (SELECT n, i, {norm("s")} AS k FROM s) JOIN known USING (k)),
+ln AS (SELECT n, i, j, x[j] AS s FROM (SELECT n, i, x, unnest(range(1, len(x) + 1)) AS j FROM (SELECT n, i, string_split(s, chr(10)) AS x FROM s ANTI JOIN w USING (n, i) WHERE contains(s, chr(10))))),
+v AS (SELECT n, i, 0 AS j, v FROM w UNION ALL SELECT n, i, j, v FROM (SELECT n, i, j, {norm("s")} AS k FROM ln) JOIN known USING (k)),
+r0 AS MATERIALIZED (SELECT n, string_agg(v, '|' ORDER BY i, j) AS ids, '|' || string_agg(v, '||' ORDER BY i, j) || '|' AS l, []::VARCHAR[] AS names FROM v GROUP BY n){steps}
+SELECT doc_id, coalesce(ids, '') AS identifiers, coalesce(array_to_string(names, ','), '') AS licenses, coalesce(len(list_filter(string_split(l, '|'), lambda x: x <> '')), 0)::BIGINT AS unmatched
+FROM d LEFT JOIN r{len(RULES)} USING (n)
+"""
+
+
 ORACLES: dict[str, str] = {
     "op1_chat_snapshots": OP1,
     "op2_quality_rules": OP2,
@@ -145,4 +190,5 @@ ORACLES: dict[str, str] = {
     "op5_minhash_near_dedup": OP5,
     "op6_url_filter": OP6,
     "op9_decontamination": OP9,
+    "op10_license_scan": _op10(),
 }
