@@ -14,10 +14,11 @@ from quillstone.llm import kernels as K
 
 #: Bytes of text given to the tokenizer library at once.
 ENCODE_BYTES = 1 << 17
-#: A Python worker remembers the ids of so many pieces of at most so many bytes, and drops them all when it has more ids.
-REMEMBERED = 1 << 17
-REMEMBERED_BYTES = 48
-REMEMBERED_IDS = 1 << 20
+#: A Python worker finds the ids of so many pieces by their bytes; a newer piece takes the place of an older one. With more
+#: ids or bytes than so many it forgets them all.
+REMEMBERED = 1 << 20
+REMEMBERED_IDS = 1 << 22
+REMEMBERED_BYTES = 1 << 24
 
 _MARK = K.byte_class([(ord(c), ord(c)) for c in ",.;:!?"])
 _LETTER = K.byte_class([(0x41, 0x5A), (0x61, 0x7A)])
@@ -67,12 +68,16 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.ids = np.zeros(1 << 16, dtype=np.uint32)
-        self.ends = np.zeros(1 << 12, dtype=np.int64)
+        self.keys = np.zeros(REMEMBERED, dtype=np.uint64)
+        self.slots = np.full(REMEMBERED, -1, dtype=np.int32)
+        self.data = np.zeros(1 << 20, dtype=np.uint8)  # the bytes of each slot's piece, and where they end
+        self.bounds = np.zeros(1 << 16, dtype=np.int64)
+        self.ids = np.zeros(1 << 20, dtype=np.uint32)
+        self.ends = np.zeros(1 << 16, dtype=np.int64)
         self.n = 0
 
-    def _learn(self, texts: list[str]) -> None:
+    def _learn(self, pieces: list[bytes]) -> None:
+        texts = [piece.decode() for piece in pieces]
         if self.kind == "sentencepiece":
             coded = self.model.encode(texts, num_threads=1)
         else:
@@ -80,8 +85,15 @@ class Encoder:
         ends = int(self.ends[self.n]) + np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)))
         while ends[-1] > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        bounds = int(self.bounds[self.n]) + np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        while bounds[-1] > len(self.data):
+            self.data = np.concatenate([self.data, np.zeros_like(self.data)])
         while self.n + len(coded) >= len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+            self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
+        self.data[bounds[-1] - len(data) : bounds[-1]] = data
+        self.bounds[self.n + 1 : self.n + 1 + len(coded)] = bounds
         low = int(self.ends[self.n])
         self.ids[low : ends[-1]] = np.fromiter(chain.from_iterable(coded), np.uint32, int(ends[-1]) - low)
         self.ends[self.n + 1 : self.n + 1 + len(coded)] = ends
@@ -96,30 +108,48 @@ class Encoder:
         first = np.searchsorted(starts, offsets)
         if not len(starts):
             return np.zeros(0, np.int64), first
-        if self.n > REMEMBERED or self.ends[self.n] > REMEMBERED_IDS:
+        if self.ends[self.n] > REMEMBERED_IDS or self.bounds[self.n] > REMEMBERED_BYTES:
             self.forget()
-        bounds = np.append(starts, len(raw)).astype(np.int64)  # pieces follow one another without a gap
-        every = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(raw))])
-        coded = every.dictionary_encode()
-        different = coded.dictionary.to_pylist()
-        slots = np.empty(len(different), dtype=np.int64)
-        base, batch, size, known = self.n, [], 0, self.known
-        fresh = 0
-        for i, piece in enumerate(different):
-            slot = known.get(piece)
-            if slot is None:
-                slot, fresh = base + fresh, fresh + 1
-                if len(piece) <= REMEMBERED_BYTES:
-                    known[piece] = slot
-                batch.append(piece.decode())
+        ends = np.append(starts[1:], len(raw))  # pieces follow one another without a gap
+        keys = K.span_hashes(raw, starts, ends)
+        slots = self._look_up(raw, starts, ends - starts, keys)
+        missed = np.flatnonzero(slots < 0)
+        if len(missed):
+            bounds = np.append(starts, len(raw)).astype(np.int64)
+            every = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(raw))])
+            new = every.take(pa.array(missed)).dictionary_encode()
+            which, base, batch, size = new.indices.to_numpy(), self.n, [], 0
+            for piece in new.dictionary.to_pylist():
+                batch.append(piece)
                 size += len(piece)
                 if size >= ENCODE_BYTES:
                     self._learn(batch)
                     batch, size = [], 0
-            slots[i] = slot
-        if batch:
-            self._learn(batch)
-        return slots[coded.indices.to_numpy()], first
+            if batch:
+                self._learn(batch)
+            slots[missed] = base + which
+            _, first_of = np.unique(which, return_index=True)
+            self._remember(keys[missed[first_of]], np.arange(base, self.n))
+        return slots, first
+
+    def _remember(self, keys: np.ndarray, slots: np.ndarray) -> None:
+        one, two = ((keys >> np.uint64(s) & np.uint64(REMEMBERED - 1)).astype(np.int64) for s in (0, 32))
+        place = np.where(self.slots[one] < 0, one, two)
+        self.keys[place] = keys
+        self.slots[place] = slots
+
+    def _look_up(self, raw: np.ndarray, starts: np.ndarray, n: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The slot of each piece, -1 if it isn't there. Hashes only name a slot; the bytes decide."""
+        one, two = ((keys >> np.uint64(s) & np.uint64(REMEMBERED - 1)).astype(np.int64) for s in (0, 32))
+        place = np.where(self.keys[one] == keys, one, two)
+        slots = np.where(self.keys[place] == keys, self.slots[place], -1).astype(np.int64)
+        begin = self.bounds[slots]
+        slots[(slots >= 0) & (self.bounds[slots + 1] - begin != n)] = -1
+        there = np.flatnonzero(slots >= 0)
+        at, offset = K.ragged(starts[there], n[there])
+        other = raw[at] != self.data[offset + np.repeat(begin[there], n[there])]
+        slots[there[K.sums(other.astype(np.uint64), n[there]) > 0]] = -1
+        return slots
 
     def lengths(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Tokens of each text."""
