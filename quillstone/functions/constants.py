@@ -134,3 +134,61 @@ BUDGET_FILES, BUDGET_BYTES = 24, 98_304
 RATE_LIMIT, RATE_WINDOW_S = 10, 60
 PROBE_SUFFIXES = ["", ".ts", ".tsx", ".mts", ".cts", ".d.ts", ".js", ".jsx", ".mjs", ".cjs", ".json"]
 INDEX_SUFFIXES = ["/index.ts", "/index.tsx", "/index.mts", "/index.js", "/index.jsx", "/index.mjs", "/index.json"]
+
+#: Top-level modules of Python's standard library, those of earlier versions included.
+PYTHON_STDLIB = """
+abc aifc argparse array ast asynchat asyncio asyncore atexit audioop base64 bdb binascii bisect builtins bz2 cProfile calendar cgi cgitb chunk cmath
+cmd code codecs codeop collections colorsys compileall concurrent configparser contextlib contextvars copy copyreg crypt csv ctypes curses dataclasses
+datetime dbm decimal difflib dis distutils doctest email encodings ensurepip enum errno faulthandler fcntl filecmp fileinput fnmatch fractions ftplib
+functools gc getopt getpass gettext glob graphlib grp gzip hashlib heapq hmac html http imaplib imghdr imp importlib inspect io ipaddress itertools
+json keyword lib2to3 linecache locale logging lzma mailbox mailcap marshal math mimetypes mmap modulefinder msilib msvcrt multiprocessing netrc nis
+nntplib numbers operator optparse os ossaudiodev pathlib pdb pickle pickletools pipes pkgutil platform plistlib poplib pprint profile pstats pty pwd
+py_compile pydoc queue quopri random re readline reprlib resource rlcompleter runpy sched secrets select selectors shelve shlex shutil signal site
+smtpd smtplib sndhdr socket socketserver spwd sqlite3 ssl stat statistics string stringprep struct subprocess sunau symtable sys sysconfig syslog
+tabnanny tarfile telnetlib tempfile termios textwrap threading time timeit tkinter token tokenize tomllib trace traceback tracemalloc tty turtle types
+typing unicodedata unittest urllib uu uuid venv warnings wave weakref webbrowser winreg winsound wsgiref xdrlib xml xmlrpc zipapp zipfile zipimport
+zlib zoneinfo
+""".split()
+#: What a directory of that name is for.
+MODULE_PURPOSES = {
+    "routes": "HTTP route registration and request dispatch.",
+    "router": "HTTP route registration and request dispatch.",
+    "api": "Public API surface for this application.",
+    "controllers": "Request handlers that translate HTTP input into service calls.",
+    "handlers": "Request or event handlers.",
+    "services": "Business logic, independent of any transport layer.",
+    "usecases": "Application use-case orchestration.",
+    "domain": "Core domain logic and business rules.",
+    "models": "Data models, entities, and schemas.",
+    "entities": "Data models, entities, and schemas.",
+    "schemas": "Validation and data schemas.",
+    "migrations": "Database schema migrations.",
+    "repositories": "Data-access layer over a persistence store.",
+    "components": "UI components.",
+    "ui": "UI components and primitives.",
+    "widgets": "UI components and primitives.",
+    "hooks": "Reusable stateful logic (React-style hooks).",
+    "store": "Application/client-side state management.",
+    "stores": "Application/client-side state management.",
+    "state": "Application/client-side state management.",
+    "reducers": "State transition logic.",
+    "slices": "State transition logic.",
+    "utils": "Shared utility functions.",
+    "util": "Shared utility functions.",
+    "helpers": "Shared helper functions.",
+    "lib": "Shared library code.",
+    "libs": "Shared library code.",
+    "common": "Code shared across modules.",
+    "shared": "Code shared across modules.",
+    "config": "Configuration and environment setup.",
+    "tests": "Automated tests.",
+    "test": "Automated tests.",
+    "scripts": "Standalone operational or build scripts.",
+    "bin": "Executable entry scripts.",
+    "middleware": "Cross-cutting request/response middleware.",
+    "types": "Shared type definitions.",
+    "constants": "Shared constant values.",
+    "pages": "Top-level routed pages/views.",
+    "views": "Top-level views.",
+}
+KEY_FILES = 5

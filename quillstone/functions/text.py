@@ -66,11 +66,14 @@ def preview(line: Column, terms: list[str]) -> Column:
 
 
 def entropy(text: Column) -> Column:
-    """Shannon entropy in bits for each character, 0 for an empty text; terms go by character, so the sum is the same each time."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    """Shannon entropy in bits for each character, 0 for an empty text. Characters are sorted, so equal ones are neighbours
+    and one pass adds up each one's term."""
+    chars = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
     n = F.size(chars).cast("double")
-    terms = F.transform(F.array_sort(F.array_distinct(chars)), lambda c: F.size(F.filter(chars, lambda x: x == c)).cast("double") / n)
-    return F.when(F.size(chars) == 0, F.lit(0.0)).otherwise(-F.aggregate(terms, F.lit(0.0), lambda a, p: a + p * F.log2(p)))
+    term = lambda c: (c / n) * F.log2(c / n)
+    begin = F.struct(F.lit("").alias("last"), F.lit(0.0).alias("c"), F.lit(0.0).alias("s"))
+    step = lambda a, x: F.when(a["last"] == x, F.struct(x.alias("last"), (a["c"] + 1).alias("c"), a["s"].alias("s"))).otherwise(F.struct(x.alias("last"), F.lit(1.0).alias("c"), (a["s"] + F.when(a["c"] > 0, term(a["c"])).otherwise(0.0)).alias("s")))
+    return F.when(F.size(chars) == 0, F.lit(0.0)).otherwise(F.aggregate(chars, begin, step, lambda a: -(a["s"] + term(a["c"]))))
 
 
 def char_classes(text: Column) -> Column:

@@ -6,11 +6,15 @@ round is joins and grouped aggregates over edges; nothing is gathered but a coun
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import constants as C
-from quillstone.sources.tables import keep
+from quillstone.functions import paths as P
+from quillstone.sources.tables import keep, sized
 
 
 def links(edges: DataFrame) -> DataFrame:
@@ -97,11 +101,16 @@ def scc(vertices: DataFrame, edges: DataFrame) -> DataFrame:
                 break
         if left.isEmpty():
             break
-        colour = left.select("id", F.col("id").alias("colour"))
+        colour = keep(left.select("id", F.col("id").alias("colour")))
         seen = -1
         while True:
-            push = e.join(colour.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("colour").alias("pushed"))
-            colour = keep(colour.join(push, "id", "left").select("id", F.greatest("colour", "pushed").alias("colour")))
+            # two steps along the edges, then one along colours: a colour's own vertex may have got a larger one meanwhile
+            for _ in range(2):
+                push = e.join(colour.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("colour").alias("pushed"))
+                colour = colour.join(push, "id", "left").select("id", F.greatest("colour", "pushed").alias("colour"))
+            colour = keep(colour)
+            jump = colour.select(F.col("id").alias("colour"), F.col("colour").alias("further"))
+            colour = keep(colour.join(jump, "colour", "left").select("id", F.greatest("colour", "further").alias("colour")))
             now = colour.agg(F.sum(F.xxhash64("id", "colour").cast("decimal(38,0)"))).first()[0]
             if now == seen:
                 break
@@ -131,12 +140,81 @@ def internal_edges(parts: DataFrame, edges: DataFrame) -> DataFrame:
     return e.where("a = b").groupBy(F.col("a").alias("component")).agg(F.count("*").alias("edge_count"))
 
 
+def component_count(parts: DataFrame) -> DataFrame:
+    """n_components: strongly connected components, single vertices included."""
+    return parts.agg(F.countDistinct("component").alias("n_components"))
+
+
 def cycles(parts: DataFrame, edges: DataFrame) -> DataFrame:
     """Components of two or more: cycle_rank, component, size, edge_count, by edges, then by the smallest member."""
     sizes = parts.groupBy("component").agg(F.count("*").alias("size")).where("size > 1")
     out = sizes.join(internal_edges(parts, edges), "component")
-    w = Window.orderBy(F.desc("edge_count"), "component")  # a row for each cycle, not for each vertex
-    return out.select(F.row_number().over(w).cast("long").alias("cycle_rank"), "component", "size", "edge_count")
+    return rank_rows(out, [F.desc("edge_count"), F.col("component")], "cycle_rank").select("cycle_rank", "component", "size", "edge_count")
+
+
+def cycle_paths(parts: DataFrame, edges: DataFrame, largest: int = 1_000_000) -> DataFrame:
+    """component and path: a walk through every component of two or more, from the smallest member to the smallest
+    unvisited successor within it, or else to the smallest unvisited member.
+
+    A walk depends on all its steps and its path is one row, so a component is walked in one task;
+    for components of more than ``largest`` members, which no row could hold, path is null.
+    """
+    many = parts.groupBy("component").agg(F.count("*").alias("size")).where("size > 1")
+    inner = links(edges).join(parts.select(F.col("id").alias("src"), "component"), "src").join(parts.select(F.col("id").alias("dst"), F.col("component").alias("__to")), "dst").where("component = __to")
+    nexts = inner.groupBy("component", F.col("src").alias("id")).agg(F.array_sort(F.collect_list("dst")).alias("out"))
+    member = many.where(F.col("size") <= largest).select("component").join(parts, "component").join(nexts, ["component", "id"], "left")
+    kind = parts.schema["id"].dataType.simpleString()
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        after = {i: list(o) if o is not None else [] for i, o in zip(rows["id"], rows["out"], strict=True)}
+        order, seen, path, least = sorted(after), set(), [], 0
+        at = order[0]
+        while True:
+            seen.add(at)
+            path.append(at)
+            step = next((n for n in after[at] if n not in seen), None)
+            if step is None:
+                while least < len(order) and order[least] in seen:
+                    least += 1
+                if least == len(order):
+                    break
+                step = order[least]
+            at = step
+        return pd.DataFrame({"component": [rows["component"].iloc[0]], "path": [path]})
+
+    walked = member.groupBy("component").applyInPandas(walk, f"component {kind}, path array<{kind}>")
+    return many.select("component").join(walked, "component", "left")
+
+
+def neighbours(edges: DataFrame, of: DataFrame) -> DataFrame:
+    """id, direction (out, in), neighbour of the given vertices (id)."""
+    e = links(edges)
+    outs = of.select("id").join(e.withColumnRenamed("src", "id"), "id").select("id", F.lit("out").alias("direction"), F.col("dst").alias("neighbour"))
+    ins = of.select("id").join(e.withColumnRenamed("dst", "id"), "id").select("id", F.lit("in").alias("direction"), F.col("src").alias("neighbour"))
+    return outs.union(ins)
+
+
+def collapse_edges(files: DataFrame, edges: DataFrame, collapsed: DataFrame) -> DataFrame:
+    """from_shown, to_shown, n_edges: each end becomes its shallowest collapsed ancestor (collapsed: dir), edges within one
+    go. files: id, path."""
+    up = files.select("id", F.posexplode(P.ancestors(F.col("path"))).alias("depth", "dir")).join(sized(keep(collapsed.select("dir").distinct()), width=F.octet_length("dir")), "dir")
+    up = up.groupBy("id").agg(F.min_by("dir", "depth").alias("shown"))
+    shown = keep(files.select("id", "path").join(up, "id", "left").select("id", F.coalesce("shown", "path").alias("shown")))
+    e = edges.join(shown.selectExpr("id AS src", "shown AS a"), "src").join(shown.selectExpr("id AS dst", "shown AS b"), "dst")
+    return e.where("a <> b").groupBy(F.col("a").alias("from_shown"), F.col("b").alias("to_shown")).agg(F.count("*").alias("n_edges"))
+
+
+def rank_steps(ranked: DataFrame, edges: DataFrame, rank: str = "importance_rank") -> DataFrame:
+    """id, rank, next_id and previous_id by rank, first_dependency and first_dependent by path. ranked: id, path and a
+    rank without gaps, so neighbours join by it."""
+    r = ranked.select("id", "path", rank)
+    after, before = (r.select(F.col("id").alias(n), (F.col(rank) + d).alias(rank)) for n, d in (("next_id", -1), ("previous_id", 1)))
+    e = links(edges)
+    named = ranked.select(F.col("id").alias("other"), F.struct("path", "id").alias("named"))
+    outs = e.withColumnRenamed("src", "id").withColumnRenamed("dst", "other").join(named, "other").groupBy("id").agg(F.min("named").getField("id").alias("first_dependency"))
+    ins = e.withColumnRenamed("dst", "id").withColumnRenamed("src", "other").join(named, "other").groupBy("id").agg(F.min("named").getField("id").alias("first_dependent"))
+    out = r.join(after, rank, "left").join(before, rank, "left").join(outs, "id", "left").join(ins, "id", "left")
+    return out.select("id", rank, "next_id", "previous_id", "first_dependency", "first_dependent")
 
 
 def condense(parts: DataFrame, edges: DataFrame, importance: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -151,15 +229,19 @@ def condense(parts: DataFrame, edges: DataFrame, importance: DataFrame) -> tuple
 
 def bfs_layers(seeds: DataFrame, edges: DataFrame, deepest: int = C.ROADMAP_DEPTH) -> DataFrame:
     """id, layer: the shortest distance from any seed; deeper layers are pooled into ``deepest``."""
-    seen = frontier = keep(seeds.select("id").distinct().withColumn("layer", F.lit(0)))
-    depth = 0
+    frontier = keep(seeds.select("id").distinct().withColumn("layer", F.lit(0)))
+    layers, depth = [frontier], 0
+    e = keep(links(edges))
     while True:
         depth += 1
-        step = frontier.join(edges.withColumnRenamed("src", "id"), "id").select(F.col("dst").alias("id")).distinct()
+        step = e.join(frontier.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
+        seen = reduce(DataFrame.union, [x.select("id") for x in layers])
         frontier = keep(step.join(seen, "id", "left_anti").withColumn("layer", F.lit(min(depth, deepest))))
         if frontier.isEmpty():
-            return seen
-        seen = keep(seen.union(frontier))
+            return reduce(DataFrame.union, layers)
+        layers.append(frontier)
+        if len(layers) > 30:  # so many files are read as one again
+            layers = [keep(reduce(DataFrame.union, layers))]
 
 
 def importance(files: DataFrame) -> DataFrame:

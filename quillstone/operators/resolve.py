@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import sys
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions import constants as C
 from quillstone.functions import paths as P
-from quillstone.sources.tables import sized
+from quillstone.operators.structure import nearest_ancestor
+from quillstone.sources.tables import keep, sized
 
 
 def collapse(path: Column) -> Column:
@@ -31,35 +30,61 @@ def _first_existing(bases: DataFrame, files: DataFrame) -> DataFrame:
     return each.join(files.select("path").distinct(), "path").groupBy("import_id").agg(F.min_by("path", F.struct("tier_pos", "pos")).alias("to_path"))
 
 
-def resolve(imports: DataFrame, files: DataFrame, aliases: DataFrame, packages: DataFrame) -> DataFrame:
-    """import_id, outcome (edge, external, unresolved), to_path, package, reason.
+def _by_pattern(imports: DataFrame, configs: DataFrame, patterns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(import_id, tier_pos, base) of the targets of the most specific fitting pattern, and import_id of all that fit one.
 
-    imports: import_id, path, specifier; aliases: prefix, target (a pattern ``prefix*`` to ``target*``), tried by longest
-    prefix; packages: name, dir of workspace packages. A relative import that finds nothing is
-    unresolved (no-match-on-disk), and so is one whose alias finds nothing (alias-unmapped): later tiers are not tried.
-    Rule tables are a corpus's configuration; they are broadcast behind a count.
+    imports: import_id, path, specifier; configs: dir, base; patterns: dir, pattern (with one ``*`` at
+    most), targets. Only the nearest config above a file counts, by an equality join on its ancestors.
+    """
+    near = nearest_ancestor(imports.select("path").distinct(), configs.select("dir", F.struct("dir", "base").alias("config"))).select("path", "config.*")
+    star = F.instr("pattern", "*")
+    rules = patterns.select("dir", "pattern", "targets", F.when(star > 0, F.substr("pattern", F.lit(1), star - 1)).otherwise(F.col("pattern")).alias("before"), F.when(star > 0, F.substr("pattern", star + 1)).otherwise(F.lit("")).alias("after"), (star > 0).alias("open"))
+    rules = sized(keep(rules), width=F.octet_length("pattern") + F.octet_length(F.array_join("targets", " ")))
+    met = imports.join(near, "path").join(rules, "dir")
+    fits = F.when(F.col("open"), F.startswith("specifier", "before") & F.endswith("specifier", "after") & (F.length("specifier") >= F.length("before") + F.length("after"))).otherwise(F.col("specifier") == F.col("pattern"))
+    best = met.where(fits).groupBy("import_id").agg(F.min_by(F.struct("specifier", "base", "before", "after", "open", "targets"), F.struct((-F.length("before") - F.length("after")).alias("n"), F.col("pattern"))).alias("x")).select("import_id", "x.*")
+    capture = F.when(F.col("open"), F.substr("specifier", F.length("before") + 1, F.length("specifier") - F.length("before") - F.length("after"))).otherwise(F.lit(""))
+    each = best.select("import_id", "base", capture.alias("capture"), F.posexplode("targets").alias("tier_pos", "target"))
+    put = F.when(F.contains("target", F.lit("*")), F.concat(F.substring_index("target", "*", 1), "capture", F.substr("target", F.instr("target", "*") + 1))).otherwise(F.col("target"))
+    return each.select("import_id", "tier_pos", collapse(F.concat_ws("/", F.nullif("base", F.lit("")), put)).alias("base")), best.select("import_id")
+
+
+def resolve(imports: DataFrame, files: DataFrame, configs: DataFrame, patterns: DataFrame, packages: DataFrame, package_imports: DataFrame | None = None) -> DataFrame:
+    """import_id, outcome (edge, external, unresolved), to_path, package, reason of imports (import_id, path, specifier).
+
+    Tiers, the first that a specifier belongs to: ``./`` and ``../`` from the importing file; ``#`` names
+    by the nearest package that declares them (package_imports: dir, pattern, targets); the nearest
+    config's patterns (configs: dir, base; patterns: dir, pattern, targets), the most specific
+    that fits, its targets in order; workspace packages (name, dir, entry or null); else external. A specifier
+    stays in its tier: without a file it is unresolved, by a pattern alias-unmapped, else no-match-on-disk.
     """
-    relative = F.col("specifier").rlike(r"^\.{1,2}(/|$)")
-    base = imports.withColumn("is_relative", relative)
-    rel = base.where("is_relative").select("import_id", F.lit(0).alias("tier_pos"), collapse(F.concat_ws("/", P.dirname(F.col("path")), "specifier")).alias("base"))
-    bare = base.where("NOT is_relative")
-    w = Window.partitionBy("import_id").orderBy(F.desc(F.length("prefix")), "prefix")
-    alias = bare.join(sized(aliases), F.startswith("specifier", "prefix")).withColumn("k", F.row_number().over(w)).where("k = 1")
-    alias = alias.select("import_id", F.lit(0).alias("tier_pos"), collapse(F.concat("target", F.substr("specifier", F.length("prefix") + 1))).alias("base"))
-    rest = bare.join(alias.select("import_id"), "import_id", "left_anti")
-    wp = Window.partitionBy("import_id").orderBy(F.desc(F.length("name")), "name")
-    space = rest.join(sized(packages), (F.col("specifier") == F.col("name")) | F.startswith("specifier", F.concat("name", F.lit("/")))).withColumn("k", F.row_number().over(wp)).where("k = 1")
-    space = space.select("import_id", F.lit(0).alias("tier_pos"), collapse(F.concat("dir", F.substr("specifier", F.length("name") + 1))).alias("base"))
-    found = _first_existing(rel.union(alias).union(space), files)
-    out = base.join(alias.select("import_id", F.lit(True).alias("is_alias")), "import_id", "left").join(found, "import_id", "left")
-    kind = F.when(F.col("to_path").isNotNull(), "edge").when(F.col("is_relative") | F.col("is_alias").isNotNull(), "unresolved").otherwise("external")
-    out = out.withColumn("outcome", kind)
+    base = keep(imports.select("import_id", "path", "specifier", F.when(F.col("specifier").rlike(r"^\.{1,2}/"), "relative").when(F.startswith("specifier", F.lit("#")), "hash").otherwise("bare").alias("form")))
+    rel = base.where("form = 'relative'").select("import_id", F.lit(0).alias("tier_pos"), collapse(F.concat_ws("/", P.dirname(F.col("path")), "specifier")).alias("base"))
+    bare = base.where("form = 'bare'")
+    aliased, is_alias = _by_pattern(bare, configs, patterns)
+    is_alias = keep(is_alias)
+    if package_imports is not None:
+        own = package_imports.select("dir").distinct().withColumn("base", F.col("dir"))
+        hashed, fits = _by_pattern(base.where("form = 'hash'"), own, package_imports)
+        aliased, is_alias = aliased.union(hashed), is_alias.union(keep(fits))
+    rest = bare.join(is_alias, "import_id", "left_anti")
+    named = sized(keep(packages.select("name", "dir", F.coalesce("entry", F.lit("index")).alias("entry"))), width=F.octet_length(F.concat_ws(" ", "name", "dir", "entry")))
+    scope = rest.withColumn("package", package_of(F.col("specifier")))
+    # a package's name is the specifier's first one or two segments, so an equality join finds it
+    space = scope.join(named, scope["package"] == named["name"])
+    tail = F.substr("specifier", F.length("name") + 2)
+    space = space.select("import_id", F.lit(0).alias("tier_pos"), collapse(F.concat_ws("/", F.nullif("dir", F.lit("")), F.when(F.col("specifier") == F.col("name"), F.col("entry")).otherwise(tail))).alias("base"))
+    space = keep(space)
+    found = _first_existing(rel.union(aliased).union(space), files)
+    out = base.join(is_alias.withColumn("is_alias", F.lit(True)), "import_id", "left").join(space.select("import_id", F.lit(True).alias("is_space")).distinct(), "import_id", "left").join(found, "import_id", "left")
+    gone = (F.col("form") != "bare") | F.col("is_alias").isNotNull() | F.col("is_space").isNotNull()
+    out = out.withColumn("outcome", F.when(F.col("to_path").isNotNull(), "edge").when(gone, "unresolved").otherwise("external"))
     return out.select(
         "import_id",
         "outcome",
         "to_path",
         F.when(F.col("outcome") == "external", package_of(F.col("specifier"))).alias("package"),
-        F.when(F.col("outcome") == "unresolved", F.when(F.col("is_relative"), "no-match-on-disk").otherwise("alias-unmapped")).alias("reason"),
+        F.when(F.col("outcome") == "unresolved", F.when(F.col("is_alias").isNotNull(), "alias-unmapped").otherwise("no-match-on-disk")).alias("reason"),
     )
 
 
@@ -69,7 +94,7 @@ def resolve_python(imports: DataFrame, files: DataFrame, roots: list[str]) -> Da
     Leading dots walk up from the importing file; absolute names are tried below each root, longest
     root first. Of the candidates of one base, ``m.py`` goes before ``m/__init__.py``, then the
     same for the module that holds the imported name, then any file of a namespace folder. What no root has is
-    the standard library's, by this interpreter's own list, or an external package.
+    the standard library's, by a fixed table, or an external package.
     """
     ordered = sorted(roots, key=lambda r: (-len(r), r))
     dots = F.length(F.regexp_extract("specifier", r"^(\.*)", 1))
@@ -86,5 +111,5 @@ def resolve_python(imports: DataFrame, files: DataFrame, roots: list[str]) -> Da
     found = each.join(known, "candidate").groupBy("import_id").agg(F.min_by("path", F.struct("tier", "pos")).alias("to_path"))
     top = F.substring_index("specifier", ".", 1)
     out = base.join(found, "import_id", "left")
-    kind = F.when(F.col("to_path").isNotNull(), "edge").when(F.col("dots") > 0, "unresolved").when(top.isin(sorted(sys.stdlib_module_names)), "stdlib").otherwise("external")
+    kind = F.when(F.col("to_path").isNotNull(), "edge").when(F.col("dots") > 0, "unresolved").when(top.isin(C.PYTHON_STDLIB), "stdlib").otherwise("external")
     return out.select("import_id", kind.alias("outcome"), "to_path", F.when(F.col("to_path").isNull() & (F.col("dots") == 0), top).alias("package"))

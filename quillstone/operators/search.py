@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from functools import lru_cache
+from itertools import accumulate, chain
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,14 +16,94 @@ from quillstone.functions import paths as P
 from quillstone.functions import text as T
 
 
-def postings(files: DataFrame) -> DataFrame:
-    """token, path, count, lines (the first 20 different ones, ascending) of files (path, text)."""
-    lines = files.select("path", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "line"))
-    each = lines.select("path", (F.col("at") + 1).alias("line"), F.explode(T.tokens(F.col("line"))).alias("token"))
-    by_line = each.groupBy("token", "path", "line").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("token", "path").orderBy("line")
-    first = by_line.withColumn("k", F.row_number().over(w))
-    return first.groupBy("token", "path").agg(F.sum("n").alias("count"), F.array_sort(F.collect_list(F.when(F.col("k") <= C.LINES_PER_TOKEN, F.col("line")))).alias("lines"))
+_RAW = re.compile(r"[A-Za-z0-9_]+")
+_JOINTS = (re.compile("[_-]+"), re.compile("([a-z0-9])([A-Z])"), re.compile("([A-Z]+)([A-Z][a-z])"))
+
+
+@lru_cache(1 << 17)
+def _words(raw: str) -> tuple[str, ...]:
+    """text.tokens() of one run of letters, digits and underscores."""
+    spaced = _JOINTS[2].sub(r"\1 \2", _JOINTS[1].sub(r"\1 \2", _JOINTS[0].sub(" ", raw)))
+    words = [w for w in spaced.split(" ") if w]
+    if len(words) > 1:
+        words.append(raw)
+    return tuple(w for w in map(str.lower, words) if len(w) >= C.MIN_TERM)
+
+
+def postings(files: DataFrame, terms: list[str] | None = None) -> DataFrame:
+    """token, path, count, lines (the first 20 different ones, ascending) of files (path, text), whose paths are unique.
+
+    A file's postings come out of its own row, so nothing is shuffled. With ``terms``, only these
+    tokens count, and texts that hold none of them are passed over.
+    """
+    wanted = None if terms is None else frozenset(terms)
+    if wanted is not None:
+        files = files.where(F.lower("text").rlike("|".join(sorted(map(re.escape, wanted))) or "$^"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, which, counts, sizes, lines = [], [], [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                n: dict[str, int] = {}
+                at: dict[str, list[int]] = {}
+                for k, line in enumerate((text or "").split("\n"), 1):
+                    for raw in _RAW.findall(line):
+                        for token in _words(raw):
+                            if wanted is not None and token not in wanted:
+                                continue
+                            if token not in n:
+                                n[token], at[token] = 1, [k]
+                                continue
+                            n[token] += 1
+                            own = at[token]
+                            if own[-1] != k and len(own) < C.LINES_PER_TOKEN:
+                                own.append(k)
+                tokens += n
+                which += [i] * len(n)
+                counts += n.values()
+                sizes += map(len, at.values())
+                lines += chain.from_iterable(at.values())
+            begin = pa.array([0, *accumulate(sizes)], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), batch.column(0).take(pa.array(which, pa.int64())), pa.array(counts, pa.int64()), pa.ListArray.from_arrays(begin, pa.array(lines, pa.int32()))], ["token", "path", "count", "lines"])
+
+    return files.select("path", "text").mapInArrow(count, "token string, path string, count long, lines array<int>")
+
+
+def save_index(index: DataFrame, folder: str, buckets: int = 64) -> None:
+    """Writes postings once, in folders by a hash of the token and sorted by token within."""
+    bucketed = index.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int"))
+    spread = F.pmod(F.xxhash64("path"), F.lit(8))  # so that a common token's postings are several files
+    bucketed.repartition("bucket", spread).sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(folder)
+
+
+def open_index(spark: SparkSession, folder: str, terms: list[str], buckets: int = 64) -> DataFrame:
+    """The stored postings of some terms: other folders are not read, and the tokens are pushed down to the files."""
+    wanted = spark.createDataFrame([(t,) for t in terms], "token string").select(F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int").alias("b"))
+    places = sorted({r["b"] for r in wanted.collect()})  # a query's few terms
+    return spark.read.parquet(folder).where(F.col("bucket").isin(places) & F.col("token").isin(list(terms))).drop("bucket")
+
+
+def contains(rows: DataFrame, column: str, parts: list[str]) -> DataFrame:
+    """Rows whose column holds one of some literal strings; none of them is read as a pattern."""
+    test = F.lit(False)
+    for part in parts:
+        test = test | F.contains(column, F.lit(part))
+    return rows.where(test)
+
+
+def merged_keywords(own: dict[str, list[str]], base: dict[str, list[str]] | None = None) -> dict[str, list[str]]:
+    """The keyword map with the user's entries in place of those of the same key."""
+    return {**(C.KEYWORDS if base is None else base), **own}
+
+
+def expand(spark: SparkSession, queries: DataFrame, keywords: dict[str, list[str]] | None = None) -> DataFrame:
+    """query, term, weight of many queries (query) at once: their terms, and synonyms at less weight; the largest weight of
+    a term counts."""
+    keywords = C.KEYWORDS if keywords is None else keywords
+    terms = queries.distinct().select("query", F.explode(T.query_terms(F.col("query"))["terms"]).alias("term"))
+    known = spark.createDataFrame([(k, s) for k, v in keywords.items() for s in v], "term string, synonym string")  # a configuration
+    more = terms.join(F.broadcast(known), "term").select("query", F.col("synonym").alias("term"), F.lit(C.EXPANSION_DECAY).alias("weight"))
+    return terms.withColumn("weight", F.lit(1.0)).union(more).groupBy("query", "term").agg(F.max("weight").alias("weight"))
 
 
 def term_weights(query: str, keywords: dict[str, list[str]] | None = None) -> tuple[dict[str, float], list[str]]:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from quillstone.functions import constants as C
 from quillstone.functions import paths as P
+from quillstone.functions import text as T
 
 
 def language_stats(files: DataFrame) -> DataFrame:
@@ -67,11 +69,10 @@ def top_files_by_group(files: DataFrame, group: str, order: list, most: int = 5)
 
 
 def external_importers(imports: DataFrame) -> DataFrame:
-    """ecosystem, package, importers (sorted, distinct paths), n_importers; a package may be used by very many files, so
-    distinct pairs are formed before they are gathered."""
+    """ecosystem, package, importers (sorted, distinct paths), n_importers. Pairs are made distinct before they are gathered,
+    so a package's row holds each path once."""
     pairs = imports.select("ecosystem", "package", "path").distinct()
-    g = pairs.groupBy("ecosystem", "package").agg(F.count("*").alias("n_importers"), F.min("path").alias("first_importer"))
-    return g
+    return pairs.groupBy("ecosystem", "package").agg(F.array_sort(F.collect_list("path")).alias("importers"), F.count("*").alias("n_importers"))
 
 
 def dependency_usage(declared: DataFrame, imports: DataFrame) -> DataFrame:
@@ -112,12 +113,84 @@ def workspace_shares(files: DataFrame) -> DataFrame:
     return g.where("survivors >= 2 AND kept * 2 >= total").select("dir", "n")
 
 
-def entry_points(files: DataFrame) -> DataFrame:
-    """Entry points by conventional basenames: path, kind, rank (row number by kind priority, then path)."""
-    base = F.lower(P.stem(F.col("path")))
-    kind = F.when(base == "main", 1).when(base == "index", 2).when(base.isin("app", "server"), 3).when(base == "cli", 4)
-    found = files.select("path", kind.alias("priority")).where("priority IS NOT NULL")
-    return found.withColumn("rank", F.row_number().over(Window.orderBy("priority", "path")).cast("long"))
+def delete_cascade(children: DataFrame, parents: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose parent still exists."""
+    return children.join(parents.select(*keys).distinct(), keys, "left_semi")
+
+
+def reconcile(live: DataFrame, target: DataFrame, key: str) -> DataFrame:
+    """key and change (add, remove): what turns the live set into the target set."""
+    l, t = live.select(key).distinct().withColumn("__live", F.lit(True)), target.select(key).distinct().withColumn("__wanted", F.lit(True))
+    both = l.join(t, key, "full")
+    return both.where("__live IS NULL OR __wanted IS NULL").select(key, F.when(F.col("__live").isNull(), "add").otherwise("remove").alias("change"))
+
+
+def consecutive(rows: DataFrame, key: str, order: list, value: str) -> DataFrame:
+    """rows with next and previous: the value of the neighbouring rows of the same key."""
+    w = Window.partitionBy(key).orderBy(*order)
+    return rows.withColumn("next", F.lead(value).over(w)).withColumn("previous", F.lag(value).over(w))
+
+
+def min_max(rows: DataFrame, value: str, digits: int = 6) -> DataFrame:
+    """rows with scaled: value between the least (0) and the largest (1); 0 where all are equal."""
+    ends = rows.agg(F.min(value).alias("__low"), F.max(value).alias("__high"))
+    scaled = F.coalesce((F.col(value) - F.col("__low")) / F.nullif(F.col("__high") - F.col("__low"), F.lit(0)), F.lit(0.0))
+    return rows.crossJoin(F.broadcast(ends)).withColumn("scaled", F.round(scaled, digits)).drop("__low", "__high")  # one row
+
+
+def stats(files: DataFrame, symbols: DataFrame, edges: DataFrame, unresolved: DataFrame, diagnostics: DataFrame, entries: DataFrame, parts: DataFrame) -> DataFrame:
+    """One row of counters. files: path, language, line_count, size_bytes, is_parsed; parts: component of each file."""
+    f = files.agg(F.count("*").alias("n_files"), F.expr("count_if(is_parsed)").alias("n_parsed"), F.expr("count_if(NOT is_parsed)").alias("n_skipped"), F.coalesce(F.sum("line_count"), F.lit(0)).alias("n_lines"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("n_bytes"), F.countDistinct("language").alias("n_languages"))
+    out = f
+    for name, df in (("n_symbols", symbols), ("n_edges", edges), ("n_unresolved", unresolved), ("n_diagnostics", diagnostics), ("n_entry_points", entries)):
+        out = out.crossJoin(df.agg(F.count("*").alias(name)))  # one row each
+    return out.crossJoin(parts.agg(F.countDistinct("component").alias("n_components")))
+
+
+def depth_budget(dirs: DataFrame, most: int = 60) -> DataFrame:
+    """depth: the deepest level at which no more than ``most`` directories (dir) show, at least 1."""
+    n = dirs.where("dir <> ''").groupBy(F.size(F.split("dir", "/")).alias("depth")).agg(F.countDistinct("dir").alias("n"))
+    w = Window.orderBy("depth").rowsBetween(Window.unboundedPreceding, 0)  # a row for each depth
+    total = n.withColumn("shown", F.sum("n").over(w))
+    return total.agg(F.greatest(F.coalesce(F.max(F.when(F.col("shown") <= most, F.col("depth"))), F.lit(1)), F.lit(1)).cast("long").alias("depth"))
+
+
+def union_diagnostics(*sources: DataFrame) -> DataFrame:
+    """severity, code, path of all sources: the scan's, reading's, manifests' and the parsers'."""
+    out = sources[0].select("severity", "code", "path")
+    for s in sources[1:]:
+        out = out.unionByName(s.select("severity", "code", "path"))
+    return out
+
+
+def text_diagnostics(files: DataFrame) -> DataFrame:
+    """severity, code, path for texts (path, text) that reading had to repair, or whose lines are too long to be parsed."""
+    each = F.array(
+        F.when(F.col("text").isNull(), F.struct(F.lit("error").alias("severity"), F.lit("FILE_UNREADABLE").alias("code"))),
+        F.when(F.contains("text", F.lit("\ufffd")), F.struct(F.lit("warning").alias("severity"), F.lit("ENCODING_LOSSY").alias("code"))),
+        F.when(T.longest_line(F.col("text")) > C.MINIFIED_MAX_LINE, F.struct(F.lit("info").alias("severity"), F.lit("MINIFIED").alias("code"))),
+    )
+    return files.select("path", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("x")).select("x.severity", "x.code", "path")
+
+
+def canonical_json(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """A row as JSON with sorted keys at every depth, nulls written, no white space; numbers that JSON lacks raise."""
+
+    def ordered(c: Column, t: T_.DataType) -> Column:
+        if isinstance(t, T_.StructType):
+            inner = F.struct(*(ordered(c[f.name], f.dataType).alias(f.name) for f in sorted(t.fields, key=lambda f: f.name.encode())))
+            return F.when(c.isNotNull(), inner)
+        if isinstance(t, T_.ArrayType):
+            return F.transform(c, lambda x: ordered(x, t.elementType))
+        if isinstance(t, T_.MapType):
+            pairs = F.array_sort(F.map_entries(c))
+            return F.map_from_entries(F.transform(pairs, lambda x: F.struct(x["key"], ordered(x["value"], t.valueType))))
+        if isinstance(t, T_.FloatType | T_.DoubleType):
+            return F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.raise_error(F.lit("no JSON number")).cast(t)).otherwise(c)
+        return c
+
+    names = sorted(columns or df.columns, key=str.encode)
+    return F.to_json(F.struct(*(ordered(F.col(f"`{n}`"), df.schema[n].dataType).alias(n) for n in names)), {"ignoreNullFields": "false"})
 
 
 def changed(current: DataFrame, cached: DataFrame) -> DataFrame:
@@ -141,6 +214,8 @@ def upsert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """One row that identifies a table's rows whatever their order: n_rows, and a sum of row hashes."""
-    h = F.conv(F.substring(F.md5(F.to_json(F.struct(*sorted(df.columns)))), 1, 15), 16, 10).cast("decimal(38,0)")
-    return df.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(h), F.lit(0).cast("decimal(38,0)")).cast("string").alias("fingerprint"))
+    """One row that identifies a table's rows whatever their order: n_rows, and the SHA-256 of the number and the sum of the
+    rows' own digests (the first 60 bits of the SHA-256 of their canonical JSON). Sums combine before the shuffle."""
+    h = F.conv(F.substring(F.sha2(canonical_json(df), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    one = df.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(h), F.lit(0).cast("decimal(38,0)")).cast("string").alias("__sum"))
+    return one.select("n_rows", F.sha2(F.concat_ws(":", F.col("n_rows").cast("string"), "__sum"), 256).alias("fingerprint"))

@@ -1,7 +1,7 @@
 """DuckDB SQL for queries(), over views named as the tables.
 
-Absent are the data-dependent loop of pagerank_converged, the stateful rate_limit_admitted and throttle_progress, the
-whole roadmap and the order-free table fingerprint; tests hold those against small expected results.
+Absent are the data-dependent loop of pagerank_converged, the walks of cycle_paths, the whole roadmap and the rules of
+detected_entry_points; tests hold those against brute force or small expected results.
 """
 
 from __future__ import annotations
@@ -9,9 +9,10 @@ from __future__ import annotations
 from quillstone.functions import constants as C
 from quillstone.functions.paths import glob_regex, ignore_regex, workspace_regex
 from quillstone.operators.search import term_weights
-from quillstone.plans.base import CODE, EDGES, FILES, URL_PATHS, duck
+from quillstone.plans.base import CODE, EDGES, FILES, LAYERED, URL_PATHS, duck
+from quillstone.plans.queries import ROUNDS
 
-CODE, EDGES, FILES, URL_PATHS = (f"({duck(x)})" for x in (CODE, EDGES, FILES, URL_PATHS))
+CODE, EDGES, FILES, LAYERED, URL_PATHS = (f"({duck(x)})" for x in (CODE, EDGES, FILES, LAYERED, URL_PATHS))
 LF = "chr(10)"
 
 
@@ -61,14 +62,39 @@ def _class(header: str) -> str:
 
 
 FILES_PLUS = f"(SELECT *, {LANGUAGE} AS language, {_class(chr(39) * 2)} AS classification FROM {FILES})"
-DEG = f"""(SELECT f.id, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree FROM {FILES} f
-  LEFT JOIN (SELECT dst, count(*) AS n FROM {EDGES} GROUP BY dst) i ON i.dst = f.id LEFT JOIN (SELECT src, count(*) AS n FROM {EDGES} GROUP BY src) o ON o.src = f.id)"""
+
+
+def _degrees(edges: str) -> str:
+    return f"""(SELECT f.id, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree FROM {FILES} f
+  LEFT JOIN (SELECT dst, count(*) AS n FROM {edges} GROUP BY dst) i ON i.dst = f.id LEFT JOIN (SELECT src, count(*) AS n FROM {edges} GROUP BY src) o ON o.src = f.id)"""
+
+
+def _pagerank(rounds: int, edges: str) -> str:
+    out = f"WITH n AS (SELECT count(*) AS n FROM {FILES}), e AS MATERIALIZED (SELECT * FROM {edges}), o AS MATERIALIZED (SELECT src, count(*) AS n FROM e GROUP BY src), v AS MATERIALIZED (SELECT id FROM {FILES}), r0 AS (SELECT id, 1::DOUBLE / (SELECT n FROM n) AS r FROM v)"
+    for i in range(1, rounds + 1):
+        p = f"r{i - 1}"
+        out += f""", r{i} AS MATERIALIZED (SELECT v.id, 0.15::DOUBLE / (SELECT n FROM n) + 0.85::DOUBLE * (SELECT coalesce(sum(r), 0) FROM {p} WHERE id NOT IN (SELECT src FROM o)) / (SELECT n FROM n) + coalesce(g.s, 0) AS r
+FROM v LEFT JOIN (SELECT e.dst, sum({p}.r / o.n) AS s FROM e JOIN {p} ON {p}.id = e.src JOIN o ON o.src = e.src GROUP BY e.dst) g ON g.dst = v.id)"""
+    return out + f" SELECT id, round(r, 6) AS page_rank FROM r{rounds}"
+
+
 _boost = "CASE classification " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in C.ROLE_BOOST.items()) + " ELSE 0::DOUBLE END"
-RANKED = f"""(SELECT *, CASE WHEN is_parsed THEN greatest(0::DOUBLE, least(1::DOUBLE, round(0.55::DOUBLE * coalesce((page_rank - lp) / nullif(hp - lp, 0), 0) + 0.3::DOUBLE * coalesce((in_degree - li) / nullif(hi - li, 0), 0) + 0.15::DOUBLE * {_boost}, 6))) ELSE 0::DOUBLE END AS importance
-  FROM (SELECT f.*, d.in_degree, d.out_degree, d.in_degree / 8::DOUBLE AS page_rank, min(d.in_degree / 8::DOUBLE) FILTER (is_parsed) OVER () AS lp, max(d.in_degree / 8::DOUBLE) FILTER (is_parsed) OVER () AS hp,
-    min(d.in_degree) FILTER (is_parsed) OVER () AS li, max(d.in_degree) FILTER (is_parsed) OVER () AS hi FROM {FILES_PLUS} f JOIN {DEG} d USING (id)))"""
-REACH = f"e AS MATERIALIZED (SELECT src, dst FROM {EDGES}), reach AS (SELECT src AS a, dst AS b FROM e UNION SELECT reach.a, e.dst FROM reach JOIN e ON reach.b = e.src)"
-SCC = f"{REACH}, scc AS (SELECT f.id, least(f.id, coalesce(min(x.b), f.id)) AS component FROM {FILES} f LEFT JOIN (SELECT x.a, x.b FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a) x ON x.a = f.id GROUP BY f.id)"
+
+
+def _ranked(edges: str) -> str:
+    return f"""(SELECT *, CASE WHEN is_parsed THEN greatest(0::DOUBLE, least(1::DOUBLE, round(0.55::DOUBLE * coalesce((page_rank - lp) / nullif(hp - lp, 0), 0) + 0.3::DOUBLE * coalesce((in_degree - li) / nullif(hi - li, 0), 0) + 0.15::DOUBLE * {_boost}, 6))) ELSE 0::DOUBLE END AS importance
+  FROM (SELECT f.*, d.in_degree, d.out_degree, p.page_rank, min(p.page_rank) FILTER (is_parsed) OVER () AS lp, max(p.page_rank) FILTER (is_parsed) OVER () AS hp,
+    min(d.in_degree) FILTER (is_parsed) OVER () AS li, max(d.in_degree) FILTER (is_parsed) OVER () AS hi FROM {FILES_PLUS} f JOIN {_degrees(edges)} d USING (id) JOIN ({_pagerank(ROUNDS, edges)}) p USING (id)))"""
+
+
+DEG, RANKED = _degrees(EDGES), _ranked(EDGES)
+
+
+def _scc(edges: str) -> str:
+    reach = f"e AS MATERIALIZED (SELECT src, dst FROM {edges}), reach AS (SELECT src AS a, dst AS b FROM e UNION SELECT reach.a, e.dst FROM reach JOIN e ON reach.b = e.src)"
+    return f"{reach}, scc AS (SELECT f.id, least(f.id, coalesce(min(x.b), f.id)) AS component FROM {FILES} f LEFT JOIN (SELECT x.a, x.b FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a) x ON x.a = f.id GROUP BY f.id)"
+
+
 ANCESTORS = f"list_transform(range(0, len(string_split({DIRNAME}, '/')) + 1), lambda i: array_to_string(string_split({DIRNAME}, '/')[1:i], '/'))"
 ANCESTORS = f"CASE WHEN {DIRNAME} = '' THEN [''] ELSE {ANCESTORS} END"
 
@@ -88,15 +114,6 @@ top AS (SELECT dir FROM own GROUP BY dir ORDER BY count(*) DESC, dir LIMIT {most
 assigned AS (SELECT f.path, CASE WHEN own.dir IS NULL THEN NULL WHEN top.dir IS NULL THEN 'other' ELSE top.dir END AS module FROM f LEFT JOIN own USING (path) LEFT JOIN top ON top.dir = own.dir)"""
 
 
-def _pagerank(rounds: int) -> str:
-    out = f"WITH n AS (SELECT count(*) AS n FROM {FILES}), e AS MATERIALIZED (SELECT * FROM {EDGES}), o AS MATERIALIZED (SELECT src, count(*) AS n FROM e GROUP BY src), v AS MATERIALIZED (SELECT id FROM {FILES}), r0 AS (SELECT id, 1::DOUBLE / (SELECT n FROM n) AS r FROM v)"
-    for i in range(1, rounds + 1):
-        p = f"r{i - 1}"
-        out += f""", r{i} AS MATERIALIZED (SELECT v.id, 0.15::DOUBLE / (SELECT n FROM n) + 0.85::DOUBLE * (SELECT coalesce(sum(r), 0) FROM {p} WHERE id NOT IN (SELECT src FROM o)) / (SELECT n FROM n) + coalesce(g.s, 0) AS r
-FROM v LEFT JOIN (SELECT e.dst, sum({p}.r / o.n) AS s FROM e JOIN {p} ON {p}.id = e.src JOIN o ON o.src = e.src GROUP BY e.dst) g ON g.dst = v.id)"""
-    return out + f" SELECT id, round(r, 6) AS page_rank FROM r{rounds}"
-
-
 def _redact(t: str) -> str:
     """The rules that are plain replacements; the two that test a match change nothing in these tables."""
     for _, pattern, replacement in C.REDACTION_RULES:
@@ -163,7 +180,7 @@ ORACLES: dict[str, str] = {
     "identifier_split": f"SELECT p_partkey, array_to_string({words('name')}, ' ') AS words, array_to_string({tokens('name')}, ' ') AS tokens FROM (SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), '') || 'HTTPGet_' || p_size AS name FROM part)",
     "symbol_id": f"SELECT id, substring(sha1(path || '#' || name || '#' || line_count), 1, 16) AS symbol_id FROM {FILES}",
     "extract_query_terms": "SELECT conv_id, turn, array_to_string(list_filter(w, lambda x: length(x) >= 3), ' ') AS terms, array_to_string(list_filter(w, lambda x: length(x) < 3), ' ') AS dropped FROM (SELECT conv_id, turn, list_sort(list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9_]+'), lambda x: x <> ''))) AS w FROM conversations WHERE role = 'user')",
-    "trim_preview": f"SELECT doc_id, {_preview(f'string_split(text, {LF})[1]', ['token', 'heit', 'tion'])} AS preview FROM {CODE}",
+    "trim_preview": f"SELECT doc_id, line, {_preview('t', ['token', 'heit', 'tion'])} AS preview FROM (SELECT doc_id, unnest(string_split(text, {LF})) AS t, generate_subscripts(string_split(text, {LF}), 1) - 1 AS line FROM {CODE})",
     "entropy_items": "SELECT item_id, round(coalesce(list_aggregate(list_filter(string_split(coalesce(text, ''), ''), lambda c: c <> ''), 'entropy'), 0), 6) AS bits, (regexp_matches(coalesce(text, ''), '[a-z]')::BIGINT + regexp_matches(coalesce(text, ''), '[A-Z]')::BIGINT + regexp_matches(coalesce(text, ''), '[0-9]')::BIGINT + regexp_matches(coalesce(text, ''), '[^A-Za-z0-9]')::BIGINT) AS n_classes FROM benchmark",
     "redact_documents": f"SELECT doc_id, sha256(r) AS redacted_sha256, r <> text AS is_changed FROM (SELECT doc_id, text, {REDACTED} AS r FROM {CODE})",
     "redaction_stats": " UNION ALL ".join(f"SELECT {q(n)} AS rule, sum(len(regexp_extract_all(text, {q(p)})))::BIGINT AS n_matches, count(*) FILTER (regexp_matches(text, {q(p)})) AS n_documents FROM {CODE}" for n, p, _ in C.REDACTION_RULES if p),
@@ -193,27 +210,26 @@ SELECT answer_id, coalesce(n_cited, 0) AS n_cited, coalesce(ok, false) AND NOT c
     "adjacency": f"SELECT id, coalesce(o, '') AS out_links, coalesce(i, '') AS in_links FROM (SELECT src AS id, string_agg(dst::VARCHAR, ',' ORDER BY dst) AS o FROM {EDGES} GROUP BY src) FULL JOIN (SELECT dst AS id, string_agg(src::VARCHAR, ',' ORDER BY src) AS i FROM {EDGES} GROUP BY dst) USING (id)",
     "orphans": f"SELECT id FROM {DEG} WHERE in_degree = 0 AND out_degree = 0",
     "distinct_edges": "SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber::BIGINT AS l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey, l_linenumber) = 1",
-    "pagerank_fixed": _pagerank(10),
-    "scc": f"WITH RECURSIVE {SCC} SELECT id, component FROM scc",
-    "cycles_summary": f"WITH RECURSIVE {SCC} SELECT row_number() OVER (ORDER BY edge_count DESC, component) AS cycle_rank, component, size, edge_count FROM (SELECT component, count(*) AS size FROM scc GROUP BY component HAVING count(*) > 1) JOIN (SELECT x.component, count(*) AS edge_count FROM e JOIN scc x ON x.id = e.src JOIN scc y ON y.id = e.dst WHERE x.component = y.component GROUP BY x.component) USING (component)",
-    "condense_dag": f"WITH RECURSIVE {SCC}, rep AS (SELECT component, id AS rep FROM scc JOIN {RANKED} USING (id) QUALIFY row_number() OVER (PARTITION BY component ORDER BY importance DESC, id) = 1), o AS (SELECT id, rep FROM scc JOIN rep USING (component)) SELECT DISTINCT x.rep AS src, y.rep AS dst FROM e JOIN o x ON x.id = e.src JOIN o y ON y.id = e.dst WHERE x.rep <> y.rep",
-    "bfs_layers": f"WITH RECURSIVE e AS MATERIALIZED (SELECT src, dst FROM {EDGES}), b AS (SELECT id, 0 AS d FROM {FILES} WHERE id % 500 = 7 UNION SELECT e.dst, b.d + 1 FROM b JOIN e ON e.src = b.id WHERE b.d < 60) SELECT id, least(min(d), 4)::BIGINT AS layer FROM b GROUP BY id",
+    "pagerank_fixed": _pagerank(10, EDGES),
+    "scc": f"WITH RECURSIVE {_scc(EDGES)} SELECT id, component FROM scc",
+    "component_count": f"WITH RECURSIVE {_scc(LAYERED)} SELECT count(DISTINCT component) AS n_components FROM scc",
+    "cycles_summary": f"WITH RECURSIVE {_scc(LAYERED)} SELECT row_number() OVER (ORDER BY edge_count DESC, component) AS cycle_rank, component, size, edge_count FROM (SELECT component, count(*) AS size FROM scc GROUP BY component HAVING count(*) > 1) JOIN (SELECT x.component, count(*) AS edge_count FROM e JOIN scc x ON x.id = e.src JOIN scc y ON y.id = e.dst WHERE x.component = y.component GROUP BY x.component) USING (component)",
+    "condense_dag": f"WITH RECURSIVE {_scc(LAYERED)}, rep AS (SELECT component, id AS rep FROM scc JOIN {_ranked(LAYERED)} USING (id) QUALIFY row_number() OVER (PARTITION BY component ORDER BY importance DESC, id) = 1), o AS (SELECT id, rep FROM scc JOIN rep USING (component)) SELECT DISTINCT x.rep AS src, y.rep AS dst FROM e JOIN o x ON x.id = e.src JOIN o y ON y.id = e.dst WHERE x.rep <> y.rep",
+    "bfs_layers": f"WITH RECURSIVE e AS MATERIALIZED (SELECT src, dst FROM {LAYERED}), b AS (SELECT id, 0 AS d FROM {FILES} WHERE id % 500 = 10 UNION SELECT e.dst, b.d + 1 FROM b JOIN e ON e.src = b.id WHERE b.d < 60) SELECT id, least(min(d), 4)::BIGINT AS layer FROM b GROUP BY id",
     "importance_rank": f"SELECT id, importance, row_number() OVER (ORDER BY {_order}) AS importance_rank FROM {RANKED}",
     "top_important_files": f"SELECT id, path, importance FROM {RANKED} ORDER BY {_order} LIMIT {C.TOP_FILES}",
-    "top_key_files": f"SELECT classification, rank, path FROM (SELECT classification, path, row_number() OVER (PARTITION BY classification ORDER BY importance DESC, path, id) AS rank FROM {RANKED}) WHERE rank <= 5",
+    "top_key_files": f"WITH {_modules(['', 'packages'], C.MAX_MODULES)} SELECT module, rank, path FROM (SELECT module, r.path, row_number() OVER (PARTITION BY module ORDER BY importance DESC, r.path, id) AS rank FROM {RANKED} r JOIN (SELECT DISTINCT path, module FROM assigned WHERE module IS NOT NULL) a ON a.path = r.path) WHERE rank <= 5",
     "join_file_metrics": f"SELECT id, path, language, classification, in_degree, out_degree, importance, coalesce(n, 0) AS symbol_count FROM {RANKED} LEFT JOIN (SELECT l_partkey AS id, count(*) AS n FROM lineitem GROUP BY 1) USING (id)",
-    "external_importers": "SELECT l_returnflag AS ecosystem, l_suppkey::VARCHAR AS package, count(DISTINCT l_partkey) AS n_importers, min(l_partkey) AS first_importer FROM lineitem GROUP BY 1, 2",
-    "dependency_usage": f"WITH d AS (SELECT DISTINCT 'npm' AS ecosystem, {names(NPM)}[s_suppkey * 3 % 25 + 1] AS name FROM supplier), u AS (SELECT {names(NPM)}[l_suppkey % 25 + 1] AS name, count(DISTINCT l_partkey) AS n FROM lineitem WHERE l_quantity < 40 GROUP BY 1) SELECT ecosystem, name, coalesce(n, 0) AS imported_by_count, {_role} AS role FROM d LEFT JOIN u USING (name)",
+    "external_importers": "SELECT l_returnflag AS ecosystem, l_suppkey::VARCHAR AS package, count(DISTINCT l_partkey) AS n_importers, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_partkey) AS importers FROM (SELECT DISTINCT l_returnflag, l_suppkey, l_partkey FROM lineitem) GROUP BY 1, 2",
+    "dependency_usage": f"WITH d AS (SELECT DISTINCT 'npm' AS ecosystem, {names(NPM)}[s_suppkey * 3 % 25 + 1] AS name FROM supplier), u AS (SELECT {names(NPM)}[l_suppkey % 25 + 1] AS name, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1) SELECT ecosystem, name, coalesce(n, 0) AS imported_by_count, {_role} AS role FROM d LEFT JOIN u USING (name)",
     "probe_suffixes": f"WITH f AS (SELECT id, path, regexp_replace(path, '\\.[a-z]+$', '') AS base FROM {FILES}), c AS (SELECT id, base || unnest({_probes}) AS p, generate_subscripts({_probes}, 1) AS pos FROM f) SELECT f.id AS import_id, f.base, t.to_path FROM f LEFT JOIN (SELECT c.id, arg_min(c.p, c.pos) AS to_path FROM c WHERE c.p IN (SELECT path FROM f) GROUP BY c.id) t ON t.id = f.id",
     "semi_changed": "SELECT doc_id AS path, sha256(coalesce(text, '')) AS content_hash FROM documents WHERE doc_id % 3 = 0 OR doc_id % 5 = 0",
     "anti_orphaned": "SELECT doc_id AS path, source FROM documents WHERE doc_id % 4 = 1",
     "upsert_cache": "SELECT doc_id AS path, lang, CASE WHEN doc_id % 6 = 2 THEN 2 ELSE 1 END::BIGINT AS version FROM documents",
     "delete_cascade": "SELECT conv_id, turn, role FROM conversations WHERE conv_id % 5 <> 0",
-    "union_diagnostics": f"SELECT 'info' AS severity, 'MINIFIED' AS code, path FROM {CODE} WHERE list_max({SIZES}) > {C.MINIFIED_MAX_LINE} UNION ALL SELECT 'warning', 'ENCODING_LOSSY', path FROM {CODE} WHERE contains(text, chr(65533)) UNION ALL SELECT 'info', 'NEARLY_EMPTY', path FROM {CODE} WHERE strlen(text) < 60",
     "reconcile_diff": "SELECT coalesce(l.id, t.id) AS id, CASE WHEN l.id IS NULL THEN 'add' ELSE 'remove' END AS change FROM (SELECT DISTINCT o_custkey AS id FROM orders) l FULL JOIN (SELECT c_custkey AS id FROM customer WHERE c_acctbal > 5000) t ON l.id = t.id WHERE l.id IS NULL OR t.id IS NULL",
     "consecutive_pairs": "SELECT * FROM (SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_partkey, lead(l_partkey) OVER w AS next_part, lag(l_partkey) OVER w AS previous_part FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity)) WHERE next_part IS NOT NULL",
     "minmax_normalise": "SELECT p_partkey, round(coalesce((p_retailprice - min(p_retailprice) OVER ()) / nullif(max(p_retailprice) OVER () - min(p_retailprice) OVER (), 0), 0), 6) AS scaled FROM part",
-    "stats_counters": f"SELECT * FROM (SELECT count(*) AS n_files, count(*) FILTER (is_parsed) AS n_parsed, sum(line_count)::BIGINT AS n_lines, sum(size_bytes)::BIGINT AS n_bytes FROM {FILES}), (SELECT count(*) AS n_edges, count(DISTINCT src) AS n_sources FROM {EDGES}), (SELECT count(*) AS n_documents, count(DISTINCT source) AS n_directories FROM documents)",
     "bench_percentiles": "SELECT event_type, count(*) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS largest FROM events GROUP BY event_type",
     "rate_limit_offered": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS n_offered FROM events",
     "debounce_latest": "SELECT event_id, user_id FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after FROM events) WHERE after IS NULL OR after - ts >= INTERVAL 1800 SECONDS",
@@ -224,23 +240,76 @@ SELECT answer_id, coalesce(n_cited, 0) AS n_cited, coalesce(ok, false) AND NOT c
 
 _near = "regexp_replace(regexp_extract(o.path, '([^/]*)$', 1), '\\.[a-z]+$', '')"
 _far = "regexp_replace(o.path, '\\.[a-z]+$', '')"
-_direct = " UNION ALL ".join(f"SELECT import_id, {i} AS pos, base || {q(x)} AS p FROM b" for i, x in enumerate([*C.PROBE_SUFFIXES, *C.INDEX_SUFFIXES]))
+_tried = " UNION ALL ".join(f"SELECT import_id, tier * 100 + {i} AS pos, base || {q(x)} AS p FROM b2" for i, x in enumerate([*C.PROBE_SUFFIXES, *C.INDEX_SUFFIXES]))
+_other_modules = f"{_modules(['', 'packages'], C.MAX_MODULES)}, am AS (SELECT DISTINCT path, module FROM assigned WHERE module IS NOT NULL)"
+_purposes = "CASE lower(regexp_extract(module, '([^/]*)$', 1)) " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in C.MODULE_PURPOSES.items()) + " ELSE n || ' files; no directory convention matched.' END"
+_slug = lambda x: f"CASE WHEN regexp_replace(regexp_replace(lower({x}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') = '' THEN 'root' ELSE regexp_replace(regexp_replace(lower({x}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') END"
+SCRIPT_PATH = "replace(path, '.', '_') || '.ts'"
+_supplier = "(SELECT s_suppkey AS k, 'repo' || s_nationkey AS repo, 'repo' || s_nationkey || '/pkg' || s_suppkey || '/' AS dir FROM supplier)"
+DECLARED = f"""(SELECT repo, dir || 'package.json' AS path, 'npm' AS ecosystem, {names(NPM)}[k % 25 + 1] AS name, '^' || k AS version_spec, 'runtime' AS scope FROM {_supplier} WHERE k % 4 = 0 AND k % 28 <> 0
+  UNION ALL SELECT repo, dir || 'package.json', 'npm', 'jest', '*', 'dev' FROM {_supplier} WHERE k % 4 = 0 AND k % 28 <> 0
+  UNION ALL SELECT repo, dir || 'requirements.txt', 'pypi', 'flask', '==2.' || k, 'runtime' FROM {_supplier} WHERE k % 4 = 1 UNION ALL SELECT repo, dir || 'requirements.txt', 'pypi', 'lib' || k, '', 'runtime' FROM {_supplier} WHERE k % 4 = 1
+  UNION ALL SELECT repo, dir || 'go.mod', 'go', 'github.com/a/b' || k, 'v1.2.3', 'runtime' FROM {_supplier} WHERE k % 4 = 2 UNION ALL SELECT repo, dir || 'go.mod', 'go', 'golang.org/x/y', 'v0.1.0', 'indirect' FROM {_supplier} WHERE k % 4 = 2
+  UNION ALL SELECT repo, dir || 'Cargo.toml', 'cargo', n, CASE n WHEN 'serde' THEN '1.' || k WHEN 'rand' THEN '0.8' ELSE '0.5' END, CASE n WHEN 'criterion' THEN 'dev' ELSE 'runtime' END FROM {_supplier}, (SELECT unnest(['serde', 'rand', 'criterion']) AS n) WHERE k % 4 = 3)"""
+_has = lambda *x: f"coalesce(bool_or(name IN ({', '.join(map(q, x))})), false)"
 ORACLES |= {
     "resolve_imports": f"""WITH f AS MATERIALIZED (SELECT id, path, {DIRNAME} AS d FROM {FILES}),
-i AS (SELECT f.id, f.d, f.path, (f.id // 24) % 8 AS form, {_near} AS near, {_far} AS far FROM f JOIN f o ON f.id = o.id + 24),
-b AS (SELECT id AS import_id, form, CASE form WHEN 0 THEN d || '/' || near WHEN 1 THEN CASE WHEN contains(d, '/') THEN regexp_extract(d, '^(.*)/', 1) || '/' ELSE '' END || near WHEN 2 THEN 'src/' || substring(far, 5) WHEN 3 THEN far WHEN 6 THEN 'packages/web/src/' || near WHEN 7 THEN d || '/' || near || '/gone' END AS base FROM i),
-c AS ({_direct}),
-t AS (SELECT import_id, arg_min(p, pos) AS to_path FROM c WHERE p IN (SELECT path FROM f) GROUP BY import_id)
-SELECT import_id, CASE WHEN to_path IS NOT NULL THEN 'edge' WHEN form IN (0, 1, 2, 3, 7) THEN 'unresolved' ELSE 'external' END AS outcome, to_path,
-  CASE WHEN to_path IS NULL THEN CASE form WHEN 4 THEN 'react' WHEN 5 THEN '@scope/pkg' WHEN 6 THEN 'web' END END AS package,
-  CASE WHEN to_path IS NULL THEN CASE WHEN form IN (0, 1, 7) THEN 'no-match-on-disk' WHEN form IN (2, 3) THEN 'alias-unmapped' END END AS reason
-FROM b LEFT JOIN t USING (import_id)""",
-    "neighborhood": f"WITH e AS MATERIALIZED (SELECT * FROM {EDGES}), h AS (SELECT src AS id FROM e GROUP BY src HAVING count(*) = 5) SELECT id, 'out' AS direction, dst AS neighbour FROM h JOIN e ON src = id UNION ALL SELECT id, 'in', src FROM h JOIN e ON dst = id",
+i AS (SELECT f.id AS import_id, f.d, f.path, starts_with(f.path, 'packages/api/') AS api, starts_with(f.path, 'packages/web/') AS web, (f.id // 24) % 10 AS form, {_near} AS near, {_far} AS far FROM f JOIN f o ON f.id = o.id + 24),
+b AS (SELECT *, CASE form WHEN 0 THEN [d || '/' || near] WHEN 1 THEN [CASE WHEN contains(d, '/') THEN regexp_extract(d, '^(.*)/', 1) || '/' ELSE '' END || near]
+  WHEN 2 THEN CASE WHEN api THEN ['packages/api/src/routes/' || substring(far, 5), 'packages/api/src/' || substring(far, 5)] ELSE ['src/' || substring(far, 5)] END WHEN 3 THEN CASE WHEN api THEN [] ELSE [far] END
+  WHEN 6 THEN ['packages/web/src/' || near] WHEN 7 THEN [d || '/' || near || '/gone'] WHEN 8 THEN CASE WHEN web THEN ['packages/web/src/' || near] ELSE [] END WHEN 9 THEN CASE WHEN api THEN [] ELSE ['nowhere/' || near, 'src/utils/' || near] END ELSE [] END AS bases FROM i),
+b2 AS (SELECT import_id, unnest(bases) AS base, generate_subscripts(bases, 1) AS tier FROM b),
+c AS ({_tried}),
+t AS (SELECT import_id, arg_min(p, pos) AS to_path FROM c WHERE p IN (SELECT path FROM f) GROUP BY import_id),
+o AS (SELECT b.*, to_path, CASE WHEN to_path IS NOT NULL THEN 'edge' WHEN form IN (4, 5) OR (form IN (3, 9) AND api) THEN 'external' ELSE 'unresolved' END AS outcome FROM b LEFT JOIN t USING (import_id))
+SELECT import_id, outcome, to_path, CASE WHEN outcome = 'external' THEN CASE form WHEN 4 THEN 'react' WHEN 5 THEN '@scope/pkg' WHEN 3 THEN '~' || split_part(far, '/', 1) WHEN 9 THEN 'pre-' || near || '-post' END END AS package,
+  CASE WHEN outcome = 'unresolved' THEN CASE WHEN form IN (2, 3, 9) OR (form = 8 AND web) THEN 'alias-unmapped' ELSE 'no-match-on-disk' END END AS reason FROM o""",
+    "resolve_python": f"""WITH f AS (SELECT id FROM {FILES}), i AS (SELECT id, 'os.path' AS specifier FROM f UNION ALL SELECT id, '..p' || id % 6 || '.' || x FROM f, (SELECT unnest(['x', 'y']) AS x) UNION ALL SELECT id, 'src.mod' || (id + 7) FROM f)
+SELECT 'src/mod' || id || '.py' AS path, specifier, CASE WHEN specifier = 'os.path' THEN 'stdlib' WHEN starts_with(specifier, '.') THEN 'unresolved' WHEN id + 7 IN (SELECT id FROM f) THEN 'edge' ELSE 'external' END AS outcome,
+  CASE WHEN starts_with(specifier, 'src') AND id + 7 IN (SELECT id FROM f) THEN 'src/mod' || (id + 7) || '.py' END AS to_path, CASE WHEN specifier = 'os.path' THEN 'os' WHEN starts_with(specifier, 'src') AND id + 7 NOT IN (SELECT id FROM f) THEN 'src' END AS package FROM i""",
+    "neighborhood": f"SELECT src AS id, 'out' AS direction, dst AS neighbour FROM {EDGES} UNION ALL SELECT dst, 'in', src FROM {EDGES}",
     "collapse_edges": f"WITH s AS (SELECT id, CASE WHEN starts_with(path, 'src/') THEN 'src' WHEN starts_with(path, 'packages/api/') THEN 'packages/api' WHEN starts_with(path, 'docs/') THEN 'docs' ELSE path END AS shown FROM {FILES}) SELECT a.shown AS from_shown, b.shown AS to_shown, count(*) AS n_edges FROM {EDGES} e JOIN s a ON a.id = e.src JOIN s b ON b.id = e.dst WHERE a.shown <> b.shown GROUP BY 1, 2",
-    "rank_steps": f"SELECT id, importance_rank, lead(id) OVER (ORDER BY importance_rank) AS next_id, lag(id) OVER (ORDER BY importance_rank) AS previous_id FROM (SELECT id, row_number() OVER (ORDER BY {_order}) AS importance_rank FROM {RANKED})",
+    "rank_steps": f"""WITH r AS MATERIALIZED (SELECT id, path, row_number() OVER (ORDER BY {_order}) AS importance_rank FROM {RANKED}),
+d AS (SELECT src AS id, (min({{'p': path, 'i': r.id}})).i AS x FROM {EDGES} e JOIN r ON r.id = e.dst GROUP BY src), u AS (SELECT dst AS id, (min({{'p': path, 'i': r.id}})).i AS x FROM {EDGES} e JOIN r ON r.id = e.src GROUP BY dst)
+SELECT r.id, importance_rank, lead(r.id) OVER (ORDER BY importance_rank) AS next_id, lag(r.id) OVER (ORDER BY importance_rank) AS previous_id, d.x AS first_dependency, u.x AS first_dependent FROM r LEFT JOIN d ON d.id = r.id LEFT JOIN u ON u.id = r.id""",
     "depth_budget": f"SELECT greatest(coalesce(max(depth) FILTER (shown <= 60), 1), 1)::BIGINT AS depth FROM (SELECT depth, sum(n) OVER (ORDER BY depth) AS shown FROM (SELECT len(string_split(dir, '/')) AS depth, count(DISTINCT dir) AS n FROM (SELECT unnest({ANCESTORS}) AS dir FROM {URL_PATHS}) WHERE dir <> '' GROUP BY 1))",
-    "detected_type": f"""SELECT brand, CASE WHEN s > 1 THEN 'Monorepo (' || s || ' workspaces)' WHEN u > n THEN 'React application' WHEN n > 0 THEN 'Node.js service' WHEN p > 0 THEN 'Python package' ELSE 'Unknown' END AS label
-FROM (SELECT brand, count(DISTINCT CASE WHEN starts_with(path, 'packages/') THEN split_part(path, '/', 2) END) AS s, count(*) FILTER (language IN ('tsx', 'jsx')) AS u, count(*) FILTER (language IN ('ts', 'js')) AS n, count(*) FILTER (language = 'py') AS p FROM {FILES_PLUS} GROUP BY brand)""",
+    "stored_index": f"SELECT token, path, count, array_to_string(lines, ',') AS lines FROM {POSTINGS} WHERE token IN ('token', 'config', 'the', 'x1y')",
+    "ask_fallback": f"SELECT path, place FROM (SELECT path, row_number() OVER (ORDER BY {_order}) AS place FROM {RANKED}) WHERE place <= {C.TOP_FILES}",
+    "dominant_module": f"WITH {_other_modules}, x AS (SELECT dir, module, count(*) AS n FROM (SELECT unnest({ANCESTORS}) AS dir, {_slug('module')} AS module FROM assigned WHERE module IS NOT NULL) GROUP BY 1, 2) SELECT dir, module FROM x QUALIFY row_number() OVER (PARTITION BY dir ORDER BY n DESC, module) = 1",
+    "largest_candidate": f"WITH {_other_modules} SELECT d AS dir, count(*) AS n FROM f WHERE is_parsed AND d IN (SELECT dir FROM cand) GROUP BY d ORDER BY n DESC, d LIMIT 1",
+    "module_cards": f"""WITH {_other_modules}, r AS MATERIALIZED (SELECT id, path, row_number() OVER (ORDER BY {_order}) AS importance_rank FROM {RANKED}),
+u AS (SELECT path, min(importance_rank) AS importance_rank FROM r GROUP BY path), k AS (SELECT module, string_agg(path, ',' ORDER BY n) AS key_files FROM (SELECT module, path, row_number() OVER (PARTITION BY module ORDER BY importance_rank, path) AS n FROM u JOIN am USING (path)) WHERE n <= 5 GROUP BY module),
+c AS (SELECT module, count(*) AS n FROM am GROUP BY module), p AS (SELECT DISTINCT x.module AS a, y.module AS b FROM {EDGES} e JOIN r s ON s.id = e.src JOIN r t ON t.id = e.dst JOIN am x ON x.path = s.path JOIN am y ON y.path = t.path WHERE x.module <> y.module),
+o AS (SELECT a AS module, string_agg({_slug('b')}, ',' ORDER BY b) AS x FROM p GROUP BY a), i AS (SELECT b AS module, string_agg({_slug('a')}, ',' ORDER BY a) AS x FROM p GROUP BY b)
+SELECT module AS dir, {_slug('module')} AS id, CASE module WHEN 'other' THEN 'Other' ELSE regexp_extract(module, '([^/]*)$', 1) END AS name, CASE module WHEN 'other' THEN 'Small modules grouped together.' ELSE {_purposes} END AS purpose, n AS file_count, coalesce(key_files, '') AS key_files, coalesce(o.x, '') AS depends_on, coalesce(i.x, '') AS depended_on_by
+FROM c LEFT JOIN k USING (module) LEFT JOIN o USING (module) LEFT JOIN i USING (module)""",
+    "stats_counters": f"""WITH RECURSIVE {_scc(LAYERED)} SELECT * FROM (SELECT count(*) AS n_files, count(*) FILTER (is_parsed) AS n_parsed, count(*) FILTER (NOT is_parsed) AS n_skipped, sum(line_count)::BIGINT AS n_lines, sum(size_bytes)::BIGINT AS n_bytes, count(DISTINCT language) AS n_languages, count(*) FILTER (classification = 'entrypoint') AS n_entry_points FROM {FILES_PLUS}),
+(SELECT count(*) AS n_symbols, count(*) FILTER (l_returnflag = 'N') AS n_unresolved FROM lineitem), (SELECT count(*) AS n_edges FROM e), (SELECT count(*) FILTER (contains(text, chr(65533))) + count(*) FILTER (list_max({SIZES}) > {C.MINIFIED_MAX_LINE}) AS n_diagnostics FROM {CODE}), (SELECT count(DISTINCT component) AS n_components FROM scc)""",
+    "union_diagnostics": f"""WITH d AS (SELECT source || '/doc' || doc_id || '.md' AS path, text FROM documents) SELECT 'error' AS severity, 'FILE_UNREADABLE' AS code, path FROM d WHERE text IS NULL UNION ALL SELECT 'warning', 'ENCODING_LOSSY', path FROM d WHERE contains(text, chr(65533)) UNION ALL SELECT 'info', 'MINIFIED', path FROM d WHERE list_max({SIZES}) > {C.MINIFIED_MAX_LINE}
+UNION ALL SELECT 'warning', 'MANIFEST_INVALID', dir || 'package.json' FROM {_supplier} WHERE k % 28 = 0 UNION ALL SELECT 'warning', 'PARSE_FAILED', 'src/mod' || id || '.py' FROM {FILES} WHERE id % 13 = 0""",
+    "read_manifests": f"""SELECT dir || ['package.json', 'requirements.txt', 'go.mod', 'Cargo.toml'][k % 4 + 1] AS path, ['npm', 'pypi', 'go', 'cargo'][k % 4 + 1] AS ecosystem, CASE k % 4 WHEN 0 THEN CASE WHEN k % 28 <> 0 THEN 'p' || k END WHEN 2 THEN 'example.com/m' || k WHEN 3 THEN 'c' || k END AS project_name,
+  CASE k % 4 WHEN 0 THEN CASE WHEN k % 28 <> 0 THEN '1.' || k END WHEN 3 THEN '0.' || k END AS version FROM {_supplier}""",
+    "manifest_dependencies": f"SELECT path, ecosystem, name, version_spec, scope FROM {DECLARED}",
+    "distinct_deps": f"SELECT ecosystem, name, scope, version_spec, path FROM {DECLARED} QUALIFY row_number() OVER (PARTITION BY ecosystem, name, scope ORDER BY length({DIRNAME}), path, version_spec) = 1",
+    "detected_type": f"""WITH m AS (SELECT repo, bool_or(k % 4 = 0) AS npm, bool_or(k % 4 = 1) AS py FROM {_supplier} GROUP BY repo), d AS (SELECT repo, {_has('next')} AS nx, {_has('react', 'react-dom')} AS re, {_has('vue')} AS vu, {_has('flask', 'django', 'fastapi')} AS web FROM {DECLARED} GROUP BY repo),
+s AS (SELECT 'repo' || n_nationkey AS repo, n_nationkey % 2 + 1 AS n FROM nation WHERE n_nationkey % 3 = 0), a AS (SELECT repo FROM m UNION SELECT repo FROM s)
+SELECT a.repo, CASE WHEN s.n > 1 THEN 'Monorepo (' || s.n || ' workspaces)' WHEN npm THEN CASE WHEN nx THEN 'Next.js application' WHEN re THEN 'React application' WHEN vu THEN 'Vue application' ELSE 'Node.js service' END WHEN py THEN CASE WHEN web THEN 'Python web application' ELSE 'Python package' END ELSE 'Unknown project type' END AS label
+FROM a LEFT JOIN m USING (repo) LEFT JOIN d USING (repo) LEFT JOIN s USING (repo)""",
+    "script_imports": f"""SELECT {SCRIPT_PATH} AS path, CASE n WHEN 1 THEN './m' || size_bytes WHEN 2 THEN '../t' || id % 7 WHEN 3 THEN 'pkg-' || id % 5 || '/sub' WHEN 4 THEN 'lib' || id % 3 ELSE './lazy' || id % 4 END AS specifier, [2, 6, 8, 9, 12][n]::BIGINT AS line, ['static', 'type', 'reexport', 'require', 'dynamic'][n] AS kind, n = 2 AS is_type_only FROM {FILES}, (SELECT unnest(range(1, 6)) AS n)""",
+    "script_symbols": f"""SELECT {SCRIPT_PATH} AS path, CASE n WHEN 1 THEN 'q' WHEN 2 THEN 'K' || id WHEN 3 THEN 'run' ELSE 'use' || replace(brand, '#', '') END AS name, ['const', 'class', 'method', 'hook'][n] AS kind, [9, 10, 11, 15][n]::BIGINT AS start_line, [9, 14, 13, 17][n]::BIGINT AS end_line, n IN (2, 4) AS is_exported, CASE WHEN n = 3 THEN 'K' || id END AS container_name FROM {FILES}, (SELECT unnest(range(1, 5)) AS n)""",
+    "python_imports": f"SELECT 'src/mod' || id || '.py' AS path, CASE n WHEN 1 THEN 'os.path' WHEN 2 THEN '..p' || id % 6 || '.x' ELSE '..p' || id % 6 || '.y' END AS specifier, [1, 2, 2][n]::BIGINT AS line, 'static' AS kind FROM {FILES}, (SELECT unnest(range(1, 4)) AS n)",
+    "python_symbols": f"""SELECT 'src/mod' || id || '.py' AS path, CASE n WHEN 1 THEN 'LIMIT' WHEN 2 THEN '/items/' || id % 9 WHEN 3 THEN 'handle_' || id WHEN 4 THEN 'Thing' || id % 11 ELSE '_run' END AS name, ['const', 'route', 'function', 'class', 'method'][n] AS kind, [6, 8, 8, 13, 14][n]::BIGINT AS start_line, [6, 8, 11, 15, 15][n]::BIGINT AS end_line, n IN (1, 3, 4) AS is_exported, CASE WHEN n = 5 THEN 'Thing' || id % 11 END AS container_name FROM {FILES}, (SELECT unnest(range(1, 6)) AS n)""",
+    "module_guards": f"SELECT 'src/mod' || id || '.py' AS path FROM {FILES} WHERE id % 8 = 0",
+    "throttle_progress": """WITH RECURSIVE e AS MATERIALIZED (SELECT event_type, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT event_type, event_id, n, us AS passed, true AS admitted FROM e WHERE n = 1 UNION ALL SELECT e.event_type, e.event_id, e.n, CASE WHEN e.us - passed >= 900000000 THEN e.us ELSE passed END, e.us - passed >= 900000000 FROM r JOIN e ON e.event_type = r.event_type AND e.n = r.n + 1)
+SELECT event_type, event_id, admitted FROM r""",
+    "rate_limit_admitted": """WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT user_id, event_id, n, us, [us] AS taken, true AS admitted, NULL::BIGINT AS retry FROM e WHERE n = 1
+  UNION ALL SELECT user_id, event_id, n, us, CASE WHEN len(t) < 2 THEN list_append(t, us) ELSE t END, len(t) < 2, CASE WHEN len(t) >= 2 THEN (t[1] + 21600000000 - us) // 1000000 + 1 END
+  FROM (SELECT e.*, list_filter(r.taken, lambda x: x > e.us - 21600000000) AS t FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
+SELECT user_id, event_id, admitted, retry AS retry_after_s FROM r""",
+    "fingerprint": "SELECT n AS n_rows, sha256(n || ':' || s) AS fingerprint FROM (SELECT count(*) AS n, sum(('0x' || substr(sha256(to_json({'c_custkey': c_custkey, 'c_name': c_name, 'c_nationkey': c_nationkey})::VARCHAR), 1, 15))::BIGINT)::HUGEINT AS s FROM customer)",
+    "truncate_content": f"WITH h AS (SELECT doc_id, array_to_string(string_split(text, {LF})[1:5], {LF}) AS h FROM {CODE}), c AS (SELECT doc_id, CASE WHEN strlen(h) <= 1000 THEN h ELSE left(h, list_max(list_filter(range(0, 1001), lambda k: strlen(left(h, k)) <= 1000))) END AS c FROM h) SELECT doc_id, strlen(c) AS n_bytes, sha256(c) AS cut_sha256 FROM c",
 }
 
 _synonyms = ", ".join(f"({q(k)}, {q(x)})" for k, v in C.KEYWORDS.items() for x in v)
@@ -249,6 +318,6 @@ ORACLES |= {
 t AS (SELECT DISTINCT query, unnest(string_split_regex(lower(query), '[^a-z0-9_]+')) AS term FROM w), k(term, synonym) AS (VALUES {_synonyms})
 SELECT query, term, max(weight) AS weight FROM (SELECT query, term, 1::DOUBLE AS weight FROM t WHERE length(term) >= 3 UNION ALL SELECT query, synonym, 0.6::DOUBLE FROM t JOIN k USING (term) WHERE length(t.term) >= 3) GROUP BY query, term""",
     "cache_hits": "SELECT doc_id AS path, sha256(coalesce(text, '')) AS content_hash FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 5 <> 0",
-    "canonical_json": "SELECT c_custkey, to_json({'c_custkey': c_custkey, 'c_mktsegment': c_mktsegment, 'c_name': c_name, 'c_nationkey': c_nationkey})::VARCHAR AS json FROM customer",
+    "canonical_json": "SELECT c_custkey, to_json({'c_at': {'c_calls': [c_mktsegment, NULL], 'c_nationkey': c_nationkey}, 'c_custkey': c_custkey, 'c_mktsegment': CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END, 'c_name': c_name})::VARCHAR AS json FROM customer",
     "internal_edges": f"WITH f AS (SELECT id, {DIRNAME} AS d FROM {FILES}) SELECT a.d AS component, count(*) AS edge_count FROM {EDGES} e JOIN f a ON a.id = e.src JOIN f b ON b.id = e.dst WHERE a.d = b.d GROUP BY a.d",
 }

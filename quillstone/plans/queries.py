@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions import constants as C
 from quillstone.functions import paths as P
 from quillstone.functions import text as T
+from quillstone.operators import cards, parse, privacy, resolve, search, structure
 from quillstone.operators import graph as G
-from quillstone.operators import privacy, resolve, search, structure
-from quillstone.plans.base import CODE, EDGES, FILES, URL_PATHS, base
-from quillstone.sources.tables import keep, table
+from quillstone.plans.base import CODE, EDGES, FILES, LAYERED, MODULES, SCRIPTS, URL_PATHS, base, sources
+from quillstone.sources import files as S
+from quillstone.sources.tables import keep, shared_dir, table
 from quillstone.streaming import limits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,11 +37,18 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.withColumn("language", P.language(path)).withColumn("classification", P.classify(path, F.lit(""), P.stem(path) == "main"))
 
 
-def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """files with degree-based importance."""
-    f, e = keep(_files(spark, sf_dir)), base(spark, sf_dir, EDGES)
-    f = f.join(G.degrees(f, e), "id").withColumn("page_rank", F.col("in_degree") / 8.0)
-    return keep(G.importance(f))
+#: Rounds of the rank in queries; on cyclic graphs the rank's mass grows with each.
+ROUNDS = 10
+
+
+def _order() -> list:
+    return [F.desc("is_parsed"), F.desc("importance"), F.desc("in_degree"), F.desc("line_count"), F.col("path"), F.col("id")]
+
+
+def _ranked(spark: SparkSession, sf_dir: str, edges: str = EDGES) -> DataFrame:
+    """files with degrees, rank and importance."""
+    f, e = keep(_files(spark, sf_dir)), keep(base(spark, sf_dir, edges))
+    return keep(G.importance(f.join(G.degrees(f, e), "id").join(G.pagerank(f, e, ROUNDS, None), "id")))
 
 
 @query
@@ -120,8 +129,8 @@ def extract_query_terms(spark, sf_dir):
 
 @query
 def trim_preview(spark, sf_dir):
-    d = base(spark, sf_dir, CODE)
-    return d.select("doc_id", T.preview(F.element_at(F.split("text", "\n"), 1), ["token", "heit", "tion"]).alias("preview"))
+    lines = base(spark, sf_dir, CODE).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    return _long(lines.select("doc_id", "line", T.preview(F.col("t"), ["token", "heit", "tion"]).alias("preview")))
 
 
 @query
@@ -198,26 +207,37 @@ def token_top(spark, sf_dir):
     return g.orderBy(F.desc("n"), "token").limit(50)
 
 
-def _search_tables(spark, sf_dir):
+def _search_tables(spark, sf_dir, text):
+    """Files, symbols and the postings of a query's terms."""
     code = base(spark, sf_dir, CODE)
     files = code.select("path", F.when(F.col("doc_id") % 9 == 0, "test").when(F.col("doc_id") % 13 == 0, "fixture").otherwise("docs").alias("classification"), (F.col("doc_id") % 100 / 100.0).alias("importance"), "doc_id", "text")
     symbols = table(spark, sf_dir, "part").join(code.select(F.col("doc_id").alias("p_partkey"), "path"), "p_partkey").select("path", F.regexp_replace("p_name", " ", "_").alias("name"), (F.col("p_size") % 2 == 0).alias("is_exported"))
-    return files, symbols, search.postings(code.select("path", "text"))
+    return files, symbols, search.postings(code.select("path", "text"), list(search.term_weights(text)[0]))
 
 
 @query
 def keyword_search(spark, sf_dir):
-    out = search.search(spark, *_search_tables(spark, sf_dir), "token config widget x1 the")
+    text = "token config widget x1 the"
+    out = search.search(spark, *_search_tables(spark, sf_dir, text), text)
     return out.select("path", "score", F.array_join("match_kinds", ",").alias("match_kinds"), "best_symbol", F.array_join("lines", ",").alias("lines"))
 
 
 @query
 def search_previews(spark, sf_dir):
-    files, symbols, index = _search_tables(spark, sf_dir)
+    files, symbols, index = _search_tables(spark, sf_dir, "token the")
     hits = search.search(spark, files, symbols, index, "token the", limit=20)
     return search.line_previews(hits.where("lines IS NOT NULL"), files, ["the", "token"]).select("path", F.col("line").cast("long").alias("line"), "preview")
 
 
+@query
+def stored_index(spark, sf_dir):
+    """Postings of some terms, read back from an index that is written once."""
+    folder = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    search.save_index(search.postings(base(spark, sf_dir, CODE).select("path", "text")), folder)
+    found = search.open_index(spark, folder, ["token", "config", "the", "x1y"])
+    return found.select("token", "path", "count", F.array_join("lines", ",").alias("lines"))
+
+
 @query
 def dir_rollup(spark, sf_dir):
     return structure.directory_rollup(base(spark, sf_dir, URL_PATHS).select("path"))
@@ -294,8 +314,9 @@ def pagerank_fixed(spark, sf_dir):
 
 @query
 def pagerank_converged(spark, sf_dir):
-    # on edges that lead to larger ids there is no cycle, so the ranks settle
-    return G.pagerank(base(spark, sf_dir, FILES), base(spark, sf_dir, EDGES).where("src < dst"))
+    """Every pair of neighbours leads to the larger id, so there is no cycle and the ranks settle."""
+    e = base(spark, sf_dir, EDGES).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    return G.pagerank(base(spark, sf_dir, FILES), e)
 
 
 @query
@@ -303,41 +324,52 @@ def scc(spark, sf_dir):
     return G.scc(base(spark, sf_dir, FILES), base(spark, sf_dir, EDGES))
 
 
+@query
+def component_count(spark, sf_dir):
+    return G.component_count(G.scc(base(spark, sf_dir, FILES), base(spark, sf_dir, LAYERED)))
+
+
 @query
 def cycles_summary(spark, sf_dir):
-    e = keep(base(spark, sf_dir, EDGES))
+    e = keep(base(spark, sf_dir, LAYERED))
     return _long(G.cycles(keep(G.scc(base(spark, sf_dir, FILES), e)), e))
 
 
+@query
+def cycle_paths(spark, sf_dir):
+    e = keep(base(spark, sf_dir, LAYERED))
+    out = G.cycle_paths(keep(G.scc(base(spark, sf_dir, FILES), e)), e)
+    return out.select("component", F.size("path").cast("long").alias("n_steps"), F.array_join("path", ",").alias("path"))
+
+
 @query
 def condense_dag(spark, sf_dir):
-    f, e = _ranked(spark, sf_dir), keep(base(spark, sf_dir, EDGES))
+    f, e = _ranked(spark, sf_dir, LAYERED), keep(base(spark, sf_dir, LAYERED))
     return G.condense(keep(G.scc(f, e)), e, f.select("id", "importance"))[1]
 
 
 @query
 def bfs_layers(spark, sf_dir):
-    seeds = base(spark, sf_dir, FILES).where("id % 500 = 7").select("id")
-    return _long(G.bfs_layers(seeds, keep(base(spark, sf_dir, EDGES)), 4))
+    seeds = base(spark, sf_dir, FILES).where("id % 500 = 10").select("id")
+    return _long(G.bfs_layers(seeds, keep(base(spark, sf_dir, LAYERED)), 4))
 
 
 @query
 def importance_rank(spark, sf_dir):
-    f = _ranked(spark, sf_dir)
-    order = [F.desc("is_parsed"), F.desc("importance"), F.desc("in_degree"), F.desc("line_count"), F.col("path"), F.col("id")]
-    return G.rank_rows(f, order, "importance_rank").select("id", "importance", "importance_rank")
+    return G.rank_rows(_ranked(spark, sf_dir), _order(), "importance_rank").select("id", "importance", "importance_rank")
 
 
 @query
 def top_important_files(spark, sf_dir):
-    f = _ranked(spark, sf_dir)
-    return f.orderBy(F.desc("is_parsed"), F.desc("importance"), F.desc("in_degree"), F.desc("line_count"), "path", "id").limit(C.TOP_FILES).select("id", "path", "importance")
+    return _ranked(spark, sf_dir).orderBy(*_order()).limit(C.TOP_FILES).select("id", "path", "importance")
 
 
 @query
 def top_key_files(spark, sf_dir):
+    """By module."""
     f = _ranked(spark, sf_dir)
-    return structure.top_files_by_group(f, "classification", [F.desc("importance"), "path", "id"])
+    assigned = structure.modules(f, ["", "packages"])[0].distinct()
+    return structure.top_files_by_group(f.join(assigned.where("module IS NOT NULL"), "path"), "module", [F.desc("importance"), "path", "id"])
 
 
 @query
@@ -347,18 +379,39 @@ def join_file_metrics(spark, sf_dir):
     return f.join(symbols, "id", "left").select("id", "path", "language", "classification", "in_degree", "out_degree", "importance", F.coalesce("symbol_count", F.lit(0)).alias("symbol_count"))
 
 
+@query
+def module_cards(spark, sf_dir):
+    f = keep(G.rank_rows(_ranked(spark, sf_dir), _order(), "importance_rank"))
+    e = base(spark, sf_dir, EDGES).join(f.selectExpr("id AS src", "path AS from_path"), "src").join(f.selectExpr("id AS dst", "path AS to_path"), "dst")
+    out = cards.module_cards(structure.keep_first(f, ["path"], ["importance_rank"]), ["", "packages"], e)
+    return out.select("dir", "id", "name", "purpose", "file_count", *(F.array_join(c, ",").alias(c) for c in ("key_files", "depends_on", "depended_on_by")))
+
+
+@query
+def dominant_module(spark, sf_dir):
+    return cards.dominant_module(structure.modules(_files(spark, sf_dir), ["", "packages"])[0])
+
+
+@query
+def largest_candidate(spark, sf_dir):
+    return cards.largest_candidate(_files(spark, sf_dir), ["", "packages"])
+
+
 @query
 def roadmap(spark, sf_dir):
-    f = _ranked(spark, sf_dir)
-    entries = f.where("classification = 'entrypoint'").select("id", F.row_number().over(Window.orderBy("path", "id")).alias("rank"))
-    out = G.roadmap(f, entries, keep(base(spark, sf_dir, EDGES)))
-    return _long(out.withColumn("depends_on", F.array_join("depends_on", ",")))
+    f = keep(G.rank_rows(_ranked(spark, sf_dir, LAYERED), _order(), "importance_rank"))
+    entries = G.rank_rows(f.where("classification = 'entrypoint'").select("id", "path"), ["path", "id"])
+    out = keep(G.roadmap(f, entries.select("id", "rank"), keep(base(spark, sf_dir, LAYERED))))
+    named = structure.modules(f, ["", "packages"])[0].distinct()
+    why = cards.reasons(out.drop("in_degree").withColumn("evidence", F.lit("convention")), f.join(named, "path", "left"))
+    kept = out.join(why.select("id", "why"), "id")
+    return _long(kept.withColumn("depends_on", F.array_join("depends_on", ",")))
 
 
 @query
 def external_importers(spark, sf_dir):
     i = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("ecosystem"), F.col("l_suppkey").cast("string").alias("package"), F.col("l_partkey").alias("path"))
-    return structure.external_importers(i)
+    return structure.external_importers(i).select("ecosystem", "package", "n_importers", F.array_join("importers", ",").alias("importers"))
 
 
 @query
@@ -366,7 +419,7 @@ def dependency_usage(spark, sf_dir):
     names = list(C.DEPENDENCY_ROLES)[:25]
     pick = lambda c: F.element_at(F.array(*(F.lit(n) for n in names)), (c % 25 + 1).cast("int"))
     declared = table(spark, sf_dir, "supplier").select(F.lit("npm").alias("ecosystem"), pick(F.col("s_suppkey") * 3).alias("name")).distinct()
-    imports = table(spark, sf_dir, "lineitem").where("l_quantity < 40").select(F.lit("npm").alias("ecosystem"), pick(F.col("l_suppkey")).alias("package"), F.col("l_partkey").alias("path"))
+    imports = table(spark, sf_dir, "lineitem").select(F.lit("npm").alias("ecosystem"), pick(F.col("l_suppkey")).alias("package"), F.col("l_partkey").alias("path"))
     return structure.dependency_usage(declared, imports)
 
 
@@ -401,48 +454,41 @@ def upsert_cache(spark, sf_dir):
 def delete_cascade(spark, sf_dir):
     """Turns whose conversation no longer exists go with it."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
-    alive = c.select("conv_id").distinct().where("conv_id % 5 <> 0")
-    return c.join(alive, "conv_id", "left_semi")
+    return structure.delete_cascade(c, c.where("conv_id % 5 <> 0"), ["conv_id"])
 
 
 @query
 def union_diagnostics(spark, sf_dir):
-    d = base(spark, sf_dir, CODE).select("path", "text", F.octet_length("text").alias("size"))
-    long_ = d.where(T.longest_line(F.col("text")) > C.MINIFIED_MAX_LINE).select(F.lit("info").alias("severity"), F.lit("MINIFIED").alias("code"), "path")
-    lossy = d.where(F.col("text").contains("�")).select(F.lit("warning").alias("severity"), F.lit("ENCODING_LOSSY").alias("code"), "path")
-    empty = d.where("size < 60").select(F.lit("info").alias("severity"), F.lit("NEARLY_EMPTY").alias("code"), "path")
-    return long_.unionByName(lossy).unionByName(empty)
+    """Those of reading texts, of manifests and of the parsers."""
+    texts = table(spark, sf_dir, "documents").select(F.concat("source", F.lit("/doc"), "doc_id", F.lit(".md")).alias("path"), "text")
+    return structure.union_diagnostics(structure.text_diagnostics(texts), S.manifest_failures(_manifests(spark, sf_dir)), parse.parse_failures(sources(spark, sf_dir, MODULES)), parse.parse_failures(sources(spark, sf_dir, SCRIPTS)))
 
 
 @query
 def reconcile_diff(spark, sf_dir):
     """What to add and remove to go from the live set (customers with orders) to the target set (rich customers)."""
-    live = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")).distinct().withColumn("live", F.lit(True))
-    target = table(spark, sf_dir, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("id"), F.lit(True).alias("wanted"))
-    both = live.join(target, "id", "full")
-    return both.where("live IS NULL OR wanted IS NULL").select("id", F.when(F.col("live").isNull(), "add").otherwise("remove").alias("change"))
+    live = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"))
+    return structure.reconcile(live, table(spark, sf_dir, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("id")), "id")
 
 
 @query
 def consecutive_pairs(spark, sf_dir):
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.lead("l_partkey").over(w).alias("next_part"), F.lag("l_partkey").over(w).alias("previous_part"))
-    return _long(li.where("next_part IS NOT NULL"))
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    out = structure.consecutive(li, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], "l_partkey")
+    return _long(out.where("next IS NOT NULL").select("l_orderkey", "l_linenumber", "l_partkey", F.col("next").alias("next_part"), F.col("previous").alias("previous_part")))
 
 
 @query
 def minmax_normalise(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    ends = p.agg(F.min("p_retailprice").alias("low"), F.max("p_retailprice").alias("high"))
-    return p.crossJoin(F.broadcast(ends)).select("p_partkey", F.round(F.coalesce((F.col("p_retailprice") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0)), F.lit(0.0)), 6).alias("scaled"))  # one row
+    return structure.min_max(table(spark, sf_dir, "part"), "p_retailprice").select("p_partkey", "scaled")
 
 
 @query
 def stats_counters(spark, sf_dir):
-    f = base(spark, sf_dir, FILES).agg(F.count("*").alias("n_files"), F.expr("count_if(is_parsed)").alias("n_parsed"), F.sum("line_count").alias("n_lines"), F.sum("size_bytes").alias("n_bytes"))
-    e = base(spark, sf_dir, EDGES).agg(F.count("*").alias("n_edges"), F.countDistinct("src").alias("n_sources"))
-    d = table(spark, sf_dir, "documents").agg(F.count("*").alias("n_documents"), F.countDistinct("source").alias("n_directories"))
-    return f.crossJoin(e).crossJoin(d)  # one row each
+    f, e = _files(spark, sf_dir), keep(base(spark, sf_dir, LAYERED))
+    code = base(spark, sf_dir, CODE)
+    symbols = table(spark, sf_dir, "lineitem")
+    return structure.stats(f, symbols, e, symbols.where("l_returnflag = 'N'"), structure.text_diagnostics(code), f.where("classification = 'entrypoint'"), G.scc(f, e))
 
 
 @query
@@ -487,7 +533,7 @@ def session_counts(spark, sf_dir):
 @query
 def lookup_contains(spark, sf_dir):
     """Rows by a literal part of a name; the term is never read as a pattern."""
-    return table(spark, sf_dir, "part").where(F.contains("p_name", F.lit("dget")) | F.contains("p_name", F.lit("%"))).select("p_partkey", "p_name")
+    return search.contains(table(spark, sf_dir, "part"), "p_name", ["dget", "%"]).select("p_partkey", "p_name")
 
 
 @query
@@ -497,76 +543,148 @@ def fingerprint(spark, sf_dir):
 
 @query
 def resolve_imports(spark, sf_dir):
-    """Every file imports one other place, written in one of eight ways."""
+    """Every file imports one other place, written in one of ten ways; files of one package have a config of their own."""
     f = keep(base(spark, sf_dir, FILES))
     other = f.select((F.col("id") + 24).alias("id"), F.regexp_replace(P.basename(F.col("path")), r"\.[a-z]+$", "").alias("near"), F.regexp_replace("path", r"\.[a-z]+$", "").alias("far"))
-    i = f.join(other, "id").select(F.col("id").alias("import_id"), "path", "near", "far", (F.floor(F.col("id") / 24) % 8).cast("int").alias("form"))
-    forms = ["concat('./', near)", "concat('../x/../', near)", "concat('@/', substring(far, 5))", "concat('~', far)", "'react/jsx-runtime'", "'@scope/pkg/sub'", "concat('web/', near)", "concat('./', near, '/gone')"]
+    i = f.join(other, "id").select(F.col("id").alias("import_id"), "path", "near", "far", (F.floor(F.col("id") / 24) % 10).cast("int").alias("form"))
+    forms = ["concat('./', near)", "concat('../x/../', near)", "concat('@/', substring(far, 5))", "concat('~', far)", "'react/jsx-runtime'", "'@scope/pkg/sub'", "concat('web/', near)", "concat('./', near, '/gone')", "concat('#in/', near)", "concat('pre-', near, '-post')"]
     i = i.select("import_id", "path", F.expr("CASE form " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(forms)) + " END").alias("specifier"))
-    aliases = spark.createDataFrame([("@/", "src/"), ("~", ""), ("~src/", "./src/")], "prefix string, target string")
-    packages = spark.createDataFrame([("web", "packages/web/src"), ("api", "packages/api/src")], "name string, dir string")
-    return resolve.resolve(i, f, aliases, packages)
+    texts = [("tsconfig.json", '{ // of all\n"compilerOptions": {"paths": {"@/*": ["src/*"], "~*": ["*"], "~src/*": ["./src/*"], "pre-*-post": ["nowhere/*", "src/utils/*"],}}}'), ("packages/api/tsconfig.json", '{"extends": "../base", "compilerOptions": {"paths": {"@/*": ["routes/*", "*"]}}}'), ("packages/base.json", '{"compilerOptions": {"baseUrl": "./api/src", "paths": {"@/*": ["gone/*"]}}}')]
+    configs = keep(S.tsconfigs(spark.createDataFrame(texts, "path string, text string")))
+    packages = spark.createDataFrame([("web", "packages/web/src", None), ("api", "packages/api/src", None)], "name string, dir string, entry string")
+    own = spark.createDataFrame([("packages/web", "#in/*", ["./src/*"])], "dir string, pattern string, targets array<string>")
+    return resolve.resolve(i, f, configs, S.path_patterns(configs), packages, own)
+
+
+@query
+def resolve_python(spark, sf_dir):
+    """Imports that the Python parser finds, resolved."""
+    mods = keep(sources(spark, sf_dir, MODULES))
+    found = parse.python_imports(mods).select(F.xxhash64("path", "specifier", "line").alias("import_id"), "path", "specifier")
+    extra = mods.select(F.xxhash64("path", F.lit("x")).alias("import_id"), "path", F.concat(F.lit("src.mod"), F.col("id") + 7).alias("specifier"))
+    imports = keep(found.union(extra))
+    out = resolve.resolve_python(imports, mods, ["", "src"])
+    return out.join(imports, "import_id").select("path", "specifier", "outcome", "to_path", "package")
 
 
 @query
 def neighborhood(spark, sf_dir):
-    """What each file with exactly five links out reaches in one step, and what reaches it."""
-    e = keep(base(spark, sf_dir, EDGES))
-    hubs = e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n")).where("n = 5").select("id")
-    outs = hubs.join(e, F.col("id") == F.col("src")).select("id", F.lit("out").alias("direction"), F.col("dst").alias("neighbour"))
-    ins = hubs.join(e, F.col("id") == F.col("dst")).select("id", F.lit("in").alias("direction"), F.col("src").alias("neighbour"))
-    return outs.union(ins)
+    """What each file reaches in one step, and what reaches it."""
+    return G.neighbours(keep(base(spark, sf_dir, EDGES)), base(spark, sf_dir, FILES))
 
 
 @query
 def collapse_edges(spark, sf_dir):
-    """Edges between collapsed directories: each end becomes its shallowest collapsed ancestor, inner edges go."""
-    f = _files(spark, sf_dir).select("id", "path")
-    collapsed = spark.createDataFrame([("src/core",), ("src",), ("packages/api",), ("docs",)], "dir string")  # a view's open folders
-    up = f.select("id", F.posexplode(P.ancestors(F.col("path"))).alias("depth", "dir")).join(F.broadcast(collapsed), "dir").groupBy("id").agg(F.min_by("dir", "depth").alias("shown"))
-    shown = keep(f.join(up, "id", "left").select("id", F.coalesce("shown", "path").alias("shown")))
-    e = base(spark, sf_dir, EDGES).join(shown.selectExpr("id AS src", "shown AS a"), "src").join(shown.selectExpr("id AS dst", "shown AS b"), "dst")
-    return e.where("a <> b").groupBy(F.col("a").alias("from_shown"), F.col("b").alias("to_shown")).agg(F.count("*").alias("n_edges"))
+    """Edges between collapsed directories."""
+    collapsed = spark.createDataFrame([("src/core",), ("src",), ("packages/api",), ("docs",)], "dir string")  # a view's closed folders
+    return G.collapse_edges(_files(spark, sf_dir), base(spark, sf_dir, EDGES), collapsed)
 
 
 @query
 def rank_steps(spark, sf_dir):
-    """For each file the next and previous by importance rank."""
-    f = _ranked(spark, sf_dir)
-    order = [F.desc("is_parsed"), F.desc("importance"), F.desc("in_degree"), F.desc("line_count"), F.col("path"), F.col("id")]
-    r = keep(G.rank_rows(f, order, "importance_rank").select("id", "importance_rank"))
-    after = r.select(F.col("id").alias("next_id"), (F.col("importance_rank") - 1).alias("importance_rank"))
-    before = r.select(F.col("id").alias("previous_id"), (F.col("importance_rank") + 1).alias("importance_rank"))
-    return r.join(after, "importance_rank", "left").join(before, "importance_rank", "left").select("id", "importance_rank", "next_id", "previous_id")
+    """For each file the next and previous by importance rank, and its first dependency and dependent."""
+    r = keep(G.rank_rows(_ranked(spark, sf_dir), _order(), "importance_rank"))
+    return G.rank_steps(r, base(spark, sf_dir, EDGES))
 
 
 @query
 def depth_budget(spark, sf_dir):
-    """The deepest directory level at which no more than 60 directories show, at least 1."""
-    d = base(spark, sf_dir, URL_PATHS).select(F.explode(P.ancestors(F.col("path"))).alias("dir")).where("dir <> ''").distinct()
-    n = d.groupBy(F.size(F.split("dir", "/")).alias("depth")).agg(F.count("*").alias("n"))
-    w = Window.orderBy("depth").rowsBetween(Window.unboundedPreceding, 0)  # a row for each depth
-    total = n.withColumn("shown", F.sum("n").over(w))
-    return total.agg(F.greatest(F.coalesce(F.max(F.when(F.col("shown") <= 60, F.col("depth"))), F.lit(1)), F.lit(1)).cast("long").alias("depth"))
+    """The deepest directory level at which no more than 60 directories show."""
+    return structure.depth_budget(base(spark, sf_dir, URL_PATHS).select(F.explode(P.ancestors(F.col("path"))).alias("dir")))
+
+
+def _manifests(spark, sf_dir):
+    """A package.json, requirements.txt, go.mod or Cargo.toml for each supplier; some are malformed."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.concat(F.lit("repo"), F.col("s_nationkey"), F.lit("/pkg"), F.col("s_suppkey"), F.lit("/")).alias("dir"))
+    k = F.col("k").cast("string")
+    names = F.element_at(F.array(*(F.lit(n) for n in list(C.DEPENDENCY_ROLES)[:25])), (F.col("k") % 25 + 1).cast("int"))
+    npm = F.concat(F.lit('{"name": "p'), k, F.lit('", "version": "1.'), k, F.lit('", "dependencies": {"'), names, F.lit('": "^'), k, F.lit('"}, "devDependencies": {"jest": "*"}'), F.when(F.col("k") % 28 == 0, "").otherwise("}"))
+    pip = F.concat(F.lit("# of "), k, F.lit("\nFlask[async]==2."), k, F.lit(" ; python_version > '3'\n-r other.txt\nlib"), k, F.lit("\n"))
+    go = F.concat(F.lit("module example.com/m"), k, F.lit("\n\nrequire (\n\tgithub.com/a/b"), k, F.lit(" v1.2.3\n\tgolang.org/x/y v0.1.0 // indirect\n)\nreplace github.com/q/r => ../r\n"))
+    cargo = F.concat(F.lit('[package]\nname = "c'), k, F.lit('"\nversion = "0.'), k, F.lit('"\n\n[dependencies]\nserde = { version = "1.'), k, F.lit('", features = ["x"] }\nrand = "0.8"\n\n[dev-dependencies]\ncriterion = "0.5"\n'))
+    kind = (F.col("k") % 4).cast("int")
+    pick = lambda *xs: F.element_at(F.array(*xs), kind + 1)
+    return s.select(F.concat("dir", pick(*(F.lit(x) for x in ("package.json", "requirements.txt", "go.mod", "Cargo.toml")))).alias("path"), pick(npm, pip, go, cargo).alias("text"), F.substring_index("dir", "/", 1).alias("repo"))
+
+
+@query
+def read_manifests(spark, sf_dir):
+    return S.manifests(_manifests(spark, sf_dir)).select("path", "ecosystem", "project_name", "version")
+
+
+@query
+def manifest_dependencies(spark, sf_dir):
+    return S.dependencies(_manifests(spark, sf_dir))
+
+
+@query
+def distinct_deps(spark, sf_dir):
+    m = keep(_manifests(spark, sf_dir))
+    dirs = m.select(P.dirname(F.col("path")).alias("dir")).distinct().withColumn("place", F.length("dir"))
+    return S.distinct_dependencies(S.dependencies(m), dirs)
 
 
 @query
 def detected_type(spark, sf_dir):
-    """A label for each brand's files by what they are written in."""
-    f = _files(spark, sf_dir)
-    g = f.groupBy("brand").agg(F.countDistinct(F.when(F.startswith("path", F.lit("packages/")), F.substring_index("path", "/", 2))).alias("n_spaces"), F.expr("count_if(language IN ('tsx', 'jsx'))").alias("n_ui"), F.expr("count_if(language IN ('ts', 'js'))").alias("n_node"), F.expr("count_if(language = 'py')").alias("n_py"))
-    label = F.when(F.col("n_spaces") > 1, F.concat(F.lit("Monorepo ("), F.col("n_spaces"), F.lit(" workspaces)"))).when(F.col("n_ui") > F.col("n_node"), "React application").when(F.col("n_node") > 0, "Node.js service").when(F.col("n_py") > 0, "Python package").otherwise("Unknown")
-    return g.select("brand", label.alias("label"))
+    """A label for each nation's manifests."""
+    m = keep(_manifests(spark, sf_dir))
+    kinds, names = S.manifests(m), S.dependencies(m)
+    repo = F.substring_index("path", "/", 1).alias("repo")
+    few = table(spark, sf_dir, "nation").where("n_nationkey % 3 = 0").select(F.concat(F.lit("repo"), "n_nationkey").alias("repo"), F.explode(F.sequence(F.lit(0), F.col("n_nationkey") % 2)).alias("dir"))
+    return cards.detected_type(kinds.select(repo, "kind"), names.select(repo, "name"), few)
+
+
+@query
+def script_imports(spark, sf_dir):
+    return parse.script_imports(sources(spark, sf_dir, SCRIPTS)).select("path", "specifier", F.col("line").cast("long").alias("line"), "kind", "is_type_only")
+
+
+@query
+def script_symbols(spark, sf_dir):
+    return _long(parse.script_symbols(sources(spark, sf_dir, SCRIPTS)))
+
+
+@query
+def python_imports(spark, sf_dir):
+    return parse.python_imports(sources(spark, sf_dir, MODULES)).select("path", "specifier", F.col("line").cast("long").alias("line"), "kind")
+
+
+@query
+def python_symbols(spark, sf_dir):
+    return _long(parse.python_symbols(sources(spark, sf_dir, MODULES)))
+
+
+@query
+def module_guards(spark, sf_dir):
+    return parse.module_guards(sources(spark, sf_dir, MODULES))
+
+
+@query
+def detected_entry_points(spark, sf_dir):
+    """By manifests of the workspaces, conventional names and guards."""
+    f = keep(base(spark, sf_dir, FILES))
+    mods = sources(spark, sf_dir, MODULES)
+    dirs = f.select(F.concat_ws("/", F.lit("packages"), F.get(F.split("path", "/"), 1)).alias("dir")).where("dir IN ('packages/web', 'packages/api')").distinct().union(spark.createDataFrame([("",)], "dir string"))
+    first = f.groupBy(P.dirname(F.col("path")).alias("d")).agg(F.min("path").alias("p")).where(F.startswith("d", F.lit("packages/")))
+    named = first.select(F.substring_index("d", "/", 2).alias("dir"), "p").groupBy("dir").agg(F.min("p").alias("low"), F.max("p").alias("high"))
+    below = lambda c: F.concat(F.lit("./"), F.substr(c, F.length("dir") + 2))
+    m = named.select("dir", F.regexp_replace(below(F.col("low")), r"\.(ts|tsx|js)$", "").alias("main"), F.create_map(F.lit("run"), below(F.col("high"))).alias("bin"), F.lit("node gone.js --x").alias("start"))
+    return cards.entry_points(f.select("path").union(mods.select("path")), dirs, m, parse.module_guards(mods))
+
+
+@query
+def ask_fallback(spark, sf_dir):
+    """No file holds the first question's words, so the most important ones are asked about."""
+    hits = spark.createDataFrame([], "path string, place long")
+    ranked = G.rank_rows(_ranked(spark, sf_dir), _order(), "place")
+    return cards.ask_fallback(hits, ranked.where(F.col("place") <= C.TOP_FILES))
 
 
 @query
 def keyword_expand(spark, sf_dir):
-    """Terms of every event type and part name with their synonyms and weights; the largest weight of a term counts."""
+    """Terms of every event type and part name with their synonyms and weights."""
     words = table(spark, sf_dir, "events").select(F.col("event_type").alias("query")).union(table(spark, sf_dir, "part").select(F.concat("p_name", F.lit(" config"))))
-    terms = words.distinct().select("query", F.explode(T.query_terms(F.col("query"))["terms"]).alias("term"))
-    known = spark.createDataFrame([(k, s) for k, v in C.KEYWORDS.items() for s in v], "term string, synonym string")  # a fixed table
-    more = terms.join(F.broadcast(known), "term").select("query", F.col("synonym").alias("term"), F.lit(C.EXPANSION_DECAY).alias("weight"))
-    return terms.withColumn("weight", F.lit(1.0)).union(more).groupBy("query", "term").agg(F.max("weight").alias("weight"))
+    return search.expand(spark, words)
 
 
 @query
@@ -578,8 +696,8 @@ def cache_hits(spark, sf_dir):
 
 @query
 def canonical_json(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select("c_name", "c_custkey", "c_mktsegment", "c_nationkey")
-    return c.select("c_custkey", F.to_json(F.struct(*sorted(c.columns))).alias("json"))
+    c = table(spark, sf_dir, "customer").select("c_name", "c_custkey", F.when(F.col("c_custkey") % 5 != 0, F.col("c_mktsegment")).alias("c_mktsegment"), F.struct("c_nationkey", F.array("c_mktsegment", F.lit(None).cast("string")).alias("c_calls")).alias("c_at"))
+    return c.select("c_custkey", structure.canonical_json(c).alias("json"))
 
 
 @query

@@ -1,7 +1,7 @@
 """Decisions that depend on earlier decisions: admission by rate, throttling, and their streaming forms.
 
-In batch, events are partitioned by key and sorted; a task then reads them one after another and remembers only
-what the rule needs (the last admissions of one key), however many events a key has.
+In batch, each key's events are split at pauses after which nothing of the past counts; a task then reads a run's events one
+after another and remembers only what the rule needs (the last admissions), however many events a key has.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -16,54 +17,87 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillstone.functions import constants as C
+from quillstone.sources.tables import keep
 
 
 def _micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-def _scan(events: DataFrame, key: str, ts: str, id_col: str, decide) -> DataFrame:
+def with_runs(events: DataFrame, key: str, us: str, id_col: str, gap: int) -> DataFrame:
+    """events with run: the time at which the run of events began that this one belongs to; a run ends where the next event
+    of the key comes ``gap`` microseconds later or more.
+
+    Events are dealt by ranges of (key, time, id), so a key that holds a third of all rows lies in many
+    partitions; what a partition must know of those before it is one row for each.
+    """
+    order = [F.col(key), F.col(us), F.col(id_col)]
+    part = keep(events.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()).withColumn("__p", F.shiftright(F.monotonically_increasing_id(), 33)))
+    ends = part.groupBy("__p").agg(F.max_by(F.struct(F.col(key).alias("k"), F.col(us).alias("t")), "__at").alias("end"))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    ends = F.broadcast(ends.select("__p", F.lag("end").over(Window.orderBy("__p")).alias("__end")))
+    here = Window.partitionBy("__p").orderBy("__at")
+    last = F.coalesce(F.lag(F.struct(F.col(key).alias("k"), F.col(us).alias("t"))).over(here), F.col("__end"))
+    rows = part.join(ends, "__p").withColumn("__last", last)
+    begins = F.col("__last").isNull() | ~F.col("__last.k").eqNullSafe(F.col(key)) | (F.col(us) - F.col("__last.t") >= gap)
+    rows = keep(rows.withColumn("__begin", F.when(begins, F.col(us))).drop("__end", "__last"))
+    starts = rows.groupBy("__p").agg(F.max_by("__begin", F.when(F.col("__begin").isNotNull(), F.col("__at"))).alias("start"))
+    carried = F.broadcast(starts.select("__p", F.last("start", ignorenulls=True).over(before).alias("__start")))
+    own = F.last("__begin", ignorenulls=True).over(here.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.join(carried, "__p").withColumn("run", F.coalesce(own, F.col("__start"))).drop("__p", "__at", "__begin", "__start")
+
+
+def _scan(events: DataFrame, key: str, ts: str, id_col: str, gap: int, decide, forced: str | None = None) -> DataFrame:
+    """Decisions by key in the order of time; after a pause of ``gap`` a key's state is empty, so each run of events is
+    decided by itself and runs are dealt over all tasks."""
     kinds = {c: events.schema[c].dataType.simpleString() for c in (key, id_col)}
-    sorted_ = events.select(F.col(key), F.col(id_col), _micros(ts).alias("us")).repartition(F.col(key)).sortWithinPartitions(key, "us", id_col)
+    force = F.coalesce(F.col(forced), F.lit(False)) if forced else F.lit(False)
+    dealt = with_runs(events.select(F.col(key), F.col(id_col), _micros(ts).alias("us"), force.alias("force")), key, "us", id_col, gap)
+    sorted_ = dealt.select(key, id_col, "us", "run", "force").repartition(F.col(key), F.col("run")).sortWithinPartitions(key, "run", "us", id_col)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, last = None, object()
+        state, last = deque(), None
         for batch in batches:
             out = []
-            for k, us in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if k != last:
-                    state, last = deque(), k
-                out.append(decide(state, us))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], [key, id_col, "admitted"])
+            for k, us, run, force in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
+                if last != (k, run):
+                    state, last = deque(), (k, run)
+                out.append(decide(state, us, force))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([w == 0 for w in out], pa.bool_()), pa.array(out, pa.int64())], [key, id_col, "admitted", "wait_us"])
 
-    return sorted_.mapInArrow(scan, f"`{key}` {kinds[key]}, `{id_col}` {kinds[id_col]}, admitted boolean")
+    return sorted_.mapInArrow(scan, f"`{key}` {kinds[key]}, `{id_col}` {kinds[id_col]}, admitted boolean, wait_us long")
 
 
 def admit(events: DataFrame, key: str, ts: str, id_col: str, limit: int = C.RATE_LIMIT, window_s: int = C.RATE_WINDOW_S) -> DataFrame:
-    """At most ``limit`` admissions of a key within any trailing window; refused events don't count."""
+    """At most ``limit`` admissions of a key within any trailing window; refused events don't count. Of refused ones
+    retry_after_s tells the full seconds until the oldest admission leaves the window, plus one."""
+    size = window_s * 1_000_000
 
-    def decide(state: deque, us: int) -> bool:
-        while state and state[0] <= us - window_s * 1_000_000:
+    def decide(state: deque, us: int, force: bool) -> int:
+        while state and state[0] <= us - size:
             state.popleft()
         if len(state) >= limit:
-            return False
+            return max(1, state[0] + size - us)
         state.append(us)
-        return True
+        return 0
 
-    return _scan(events, key, ts, id_col, decide)
+    out = _scan(events, key, ts, id_col, size, decide)
+    return out.withColumn("retry_after_s", F.when(~F.col("admitted"), F.floor(F.col("wait_us") / 1_000_000) + 1)).drop("wait_us")
 
 
-def throttle(events: DataFrame, key: str, ts: str, id_col: str, gap_s: float = 0.1) -> DataFrame:
-    """An event passes if the last one that passed lies at least the gap before it."""
+def throttle(events: DataFrame, key: str, ts: str, id_col: str, gap_s: float = 0.1, final: str | None = None) -> DataFrame:
+    """An event passes if the last one that passed lies at least the gap before it; one whose ``final`` column is true
+    passes always."""
+    size = int(gap_s * 1_000_000)
 
-    def decide(state: deque, us: int) -> bool:
-        if state and us - state[0] < gap_s * 1_000_000:
-            return False
+    def decide(state: deque, us: int, force: bool) -> int:
+        if state and us - state[0] < size and not force:
+            return max(1, state[0] + size - us)
         state.clear()
         state.append(us)
-        return True
+        return 0
 
-    return _scan(events, key, ts, id_col, decide)
+    return _scan(events, key, ts, id_col, size, decide, final).drop("wait_us")
 
 
 def offered(events: DataFrame, key: str, ts: str, window_s: int = C.RATE_WINDOW_S) -> DataFrame:
@@ -91,20 +125,30 @@ def sessions(stream: DataFrame, ts: str = "ts", late: str = "10 minutes", gap: s
     return g.select(F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), by, "n")
 
 
-def admit_stream(stream: DataFrame, key: str, ts: str, id_col: str, limit: int = C.RATE_LIMIT, window_s: int = C.RATE_WINDOW_S) -> DataFrame:
-    """admit() over a stream: the admissions of the trailing window are the state of a key."""
+def admit_stream(stream: DataFrame, key: str, ts: str, id_col: str, limit: int = C.RATE_LIMIT, window_s: int = C.RATE_WINDOW_S, late: str = "1 minute") -> DataFrame:
+    """admit() over a stream: the admissions of the trailing window are the state of a key, at most ``limit`` times. The
+    state is dropped once the watermark, ``late`` behind the newest event, has passed its window."""
+    size = window_s * 1_000_000
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values([ts, id_col])
+        if state.hasTimedOut:
+            state.remove()
+            return
+        taken = deque(state.get[0] if state.exists else ())
+        parts = [(b[ts].astype("datetime64[us]").astype("int64").to_numpy(), b[id_col].to_numpy()) for b in batches]  # two numbers a row
+        times, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((ids, times))
         out = []
-        for us in rows[ts].astype("datetime64[us]").astype("int64"):
-            times = [t for t in times if t > us - window_s * 1_000_000]
-            out.append(len(times) < limit)
+        for us in times[order].tolist():
+            while taken and taken[0] <= us - size:
+                taken.popleft()
+            out.append(len(taken) < limit)
             if out[-1]:
-                times.append(us)
-        state.update((times,))
-        yield pd.DataFrame({key: k[0], id_col: rows[id_col].to_numpy(), "admitted": out})
+                taken.append(us)
+        state.update((list(taken),))
+        state.setTimeoutTimestamp(max(int(times.max()) // 1000 + window_s * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({key: k[0], id_col: ids[order], "admitted": out})
 
     kinds = {c: stream.schema[c].dataType.simpleString() for c in (key, id_col)}
-    return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {id_col} {kinds[id_col]}, admitted boolean", "times array<bigint>", "append", GroupStateTimeout.NoTimeout)
+    marked = stream.withWatermark(ts, late)
+    return marked.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {id_col} {kinds[id_col]}, admitted boolean", "times array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)

