@@ -15,8 +15,10 @@ LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghij
 OP1 = """
 WITH o AS (
   SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos
-  FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations)),
-w AS (SELECT conv_id, list({'r': role, 't': text} ORDER BY pos) AS l, count(*) AS n FROM o GROUP BY conv_id),
+  FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL)),
+w AS (
+  SELECT conv_id, list({'r': role, 't': text} ORDER BY pos) AS l, count(*) AS n FROM o GROUP BY conv_id
+  UNION ALL SELECT NULL, [{'r': role, 't': text}], 1 FROM conversations WHERE conv_id IS NULL),
 pre AS (SELECT DISTINCT l[1:k] AS l FROM (SELECT l, unnest(range(1, n)) AS k FROM w)),
 m AS (SELECT l, n, min(conv_id) AS conv_id FROM w GROUP BY l, n),
 r AS (SELECT conv_id, n, list_aggregate(list_transform(l, lambda x: '<|' || coalesce(x.r, '') || '|>' || chr(10) || coalesce(x.t, '') || '<|end|>' || chr(10)), 'string_agg', '') AS t

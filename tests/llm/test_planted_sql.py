@@ -175,3 +175,10 @@ def test_a_callers_own_table_is_used(spark):
 def test_hints_leave_no_sentence_out(known):
     words = licenses.hints(known)
     assert not words and "" in known or all(any(w in s for w in words) for s in known)
+
+
+def test_conversations_without_id(spark, tmp_path):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (None, 0, "user", "a"), (None, 5, "user", "c"), (None, 6, "user", "c"), (None, 0, None, ""), (2, 0, "user", "c"), (3, 0, None, None), (3, 0, None, None), (None, None, None, None)]
+    frame = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})
+    ours, theirs = both(spark, tmp_path, "op1_chat_snapshots", {"conversations": frame})
+    assert ours == theirs and sorted((r[0] or 0, r[1]) for r in ours) == [(0, 1), (1, 2), (2, 1), (3, 1)]
