@@ -129,7 +129,7 @@ def dominant_module(assigned: DataFrame) -> DataFrame:
 def reasons(steps: DataFrame, files: DataFrame) -> DataFrame:
     """steps (of graph.roadmap, with evidence for entries) with ``why``. files: id, path, classification, importance_rank,
     in_degree, module (null: none). Steps are a few dozen rows at most."""
-    f = files.select("id", "path", "classification", "importance_rank", F.coalesce("module", F.lit("this repository")).alias("module"))
+    f = files.select("id", "path", "classification", "importance_rank", "in_degree", F.coalesce("module", F.lit("this repository")).alias("module"))
     w = Window.orderBy("order")  # at most ROADMAP_MAX rows
     s = steps.join(f, "id").withColumn("before", F.lag(P.basename(F.col("path"))).over(w))
     n = F.col("in_degree").cast("string")
@@ -143,7 +143,7 @@ def reasons(steps: DataFrame, files: DataFrame) -> DataFrame:
         .when(F.col("section") == "unreached", "Not reached from any entry point — likely dead code or a separate tool.")
         .otherwise(text(F.col("classification"), " in ", F.col("module"), "; imported by ", n, " files."))
     )
-    return s.withColumn("why", why).drop("before", "path", "classification", "importance_rank", "module")
+    return s.withColumn("why", why).drop("before", "path", "classification", "importance_rank", "in_degree", "module")
 
 
 def ask_fallback(hits: DataFrame, important: DataFrame, most: int = C.BUDGET_FILES) -> DataFrame:

@@ -179,7 +179,7 @@ def test_scan_and_manifests(spark, tmp_path):
     assert got["bin.py"].skip_reason == "binary" and got["src/a.ts"].skip_reason is None and got["bad.md"].is_lossy
     deps = {(r.ecosystem, r.name, r.scope) for r in S.dependencies(files).collect()}
     assert deps == {("npm", "react", "runtime"), ("npm", "jest", "dev"), ("pypi", "flask", "runtime"), ("pypi", "requests", "runtime"), ("go", "github.com/a/b", "runtime")}
-    assert {(r.path, r.project_name) for r in S.manifests(files).collect()} == {("package.json", "n"), ("api/requirements.txt", None), ("api/go.mod", None)}
+    assert {(r.path, r.project_name) for r in S.manifests(files).collect()} == {("package.json", "n"), ("api/requirements.txt", None), ("api/go.mod", "m")}
     scanned = S.scan_files(spark, str(root))
     assert S.file_slice(scanned, "src/a.ts", 6).first().asDict() == {"path": "src/a.ts", "text": "export", "is_truncated": True, "line_count": 1}
     assert S.file_slice(scanned, "../x", 6).count() == 0 and S.over_cap(scanned, 3)
