@@ -120,7 +120,7 @@ def _by_prefix(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     n - ceil(n * percent / 100) + 1 of each. Ordered by rarity those are shingles that few members have, so
     the groups are small but for members whose shingles are all common.
     """
-    each = keep(members.join(sets.select("node", F.explode("shingles").alias("h")), "node"))
+    each = keep(members.join(sets.select("node", "shingles"), "node").select("node", "n", "label", F.explode("shingles").alias("h")))
     df = keep(each.groupBy("h").agg(F.count("*").alias("df")))
     ordered = join_hot(each, df, "h", "df").groupBy("node", "n", "label").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("all"))  # one set's shingles
     first = F.expr(f"slice(all, 1, cast(n - ceil(n * {percent} / 100D) + 1 AS int))")
