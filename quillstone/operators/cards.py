@@ -76,6 +76,13 @@ def entry_points(files: DataFrame, dirs: DataFrame, manifests: DataFrame, guards
     return rank_rows(first, ["priority", "path"])
 
 
+def likely_entry_points(files: DataFrame) -> DataFrame:
+    """path, priority, rank: entry points guessed from file names alone, where a corpus has no manifests."""
+    base = F.lower(P.stem(F.col("path")))
+    kind = F.when(base == "main", 1).when(base == "index", 2).when(base.isin("app", "server"), 3).when(base == "cli", 4)
+    return rank_rows(files.select("path", kind.alias("priority")).where("priority IS NOT NULL"), ["priority", "path"])
+
+
 def purpose(dir_: Column, n_files: Column) -> Column:
     """A sentence on what a directory is for, by its name."""
     table = F.create_map(*(F.lit(x) for pair in C.MODULE_PURPOSES.items() for x in pair))

@@ -9,7 +9,9 @@ from quillstone.functions import constants as C
 from quillstone.functions import paths as P
 from quillstone.functions import text as T
 
-CITATION = r"`([A-Za-z0-9_@./-]+\.[A-Za-z0-9]+)(?::([0-9]+))?`"
+PLACE = r"([A-Za-z0-9_@./-]+\.[A-Za-z0-9]+)(?::([0-9]+))?"
+#: Places are cited in code spans and as link targets.
+CITATIONS = [f"`{PLACE}`", rf"\]\({PLACE}\)"]
 
 
 def within_budget(snippets: DataFrame, key: str, order: list, size: str, most: int = C.BUDGET_FILES, most_bytes: int = C.BUDGET_BYTES) -> DataFrame:
@@ -31,10 +33,10 @@ def unstable(files: DataFrame, text: str = "text") -> DataFrame:
 
 
 def citations(answers: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, path, line of every cited place in code spans."""
-    spans = F.regexp_extract_all(F.col(text), F.lit(CITATION), F.lit(0))
+    """key, path, line of every cited place in code spans and link targets."""
+    spans = F.concat(*(F.regexp_extract_all(F.col(text), F.lit(c), F.lit(0)) for c in CITATIONS))
     each = answers.select(key, F.explode(spans).alias("c"))
-    return each.select(key, P.normalize(F.regexp_extract("c", CITATION, 1)).alias("path"), F.nullif(F.regexp_extract("c", CITATION, 2), F.lit("")).cast("int").alias("line"))
+    return each.select(key, P.normalize(F.regexp_extract("c", PLACE, 1)).alias("path"), F.nullif(F.regexp_extract("c", PLACE, 2), F.lit("")).cast("int").alias("line"))
 
 
 def verified(answers: DataFrame, index: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -186,10 +186,10 @@ ORACLES: dict[str, str] = {
     "redaction_stats": " UNION ALL ".join(f"SELECT {q(n)} AS rule, sum(len(regexp_extract_all(text, {q(p)})))::BIGINT AS n_matches, count(*) FILTER (regexp_matches(text, {q(p)})) AS n_documents FROM {CODE}" for n, p, _ in C.REDACTION_RULES if p),
     "redact_idempotent": f"SELECT count(*) FILTER (r <> array_to_string(list_transform(string_split(r, {LF}), lambda l: {_redact('l')}), {LF})) AS n_unstable FROM (SELECT {REDACTED} AS r FROM {CODE})",
     "redact_file_excluded": f"SELECT id, {EXCLUDED} AS is_excluded FROM (SELECT id, path || ['', '.pem', '/.env.local', '/id_rsa.pub', '/secrets.yaml'][id % 5 + 1] AS path FROM {FILES})",
-    "citation_verify": f"""WITH a AS (SELECT conv_id * 1000 + turn AS answer_id, coalesce(text, '') || ' `./doc' || conv_id || '.md:' || (turn * 3 + 1) || '`' || CASE WHEN conv_id % 7 = 0 THEN ' `nowhere/x.md`' ELSE '' END || CASE WHEN conv_id % 11 = 0 THEN ' [[x]]' ELSE '' END AS text FROM conversations WHERE role = 'assistant'),
+    "citation_verify": f"""WITH a AS (SELECT conv_id * 1000 + turn AS answer_id, coalesce(text, '') || ' `./doc' || conv_id || '.md:' || (turn * 3 + 1) || '`' || CASE WHEN conv_id % 7 = 0 THEN ' `nowhere/x.md`' ELSE '' END || CASE WHEN conv_id % 11 = 0 THEN ' [[x]]' ELSE '' END || CASE WHEN conv_id % 3 = 0 THEN ' [x](doc1.md:1)' ELSE '' END AS text FROM conversations WHERE role = 'assistant'),
 i AS (SELECT 'doc' || doc_id || '.md' AS path, {n_lines('text')} AS n FROM {CODE}),
-c AS (SELECT answer_id, regexp_replace(regexp_replace(regexp_extract(c, '`([A-Za-z0-9_@./-]+\\.[A-Za-z0-9]+)(?::([0-9]+))?`', 1), '^(\\./)+', ''), '^/+', '') AS path, try_cast(regexp_extract(c, '`([A-Za-z0-9_@./-]+\\.[A-Za-z0-9]+)(?::([0-9]+))?`', 2) AS INT) AS line
-  FROM (SELECT answer_id, unnest(regexp_extract_all(text, '`([A-Za-z0-9_@./-]+\\.[A-Za-z0-9]+)(?::([0-9]+))?`')) AS c FROM a)),
+c AS (SELECT answer_id, regexp_replace(regexp_replace(regexp_extract(c, '([A-Za-z0-9_@./-]+\\.[A-Za-z0-9]+)(?::([0-9]+))?', 1), '^(\\./)+', ''), '^/+', '') AS path, try_cast(regexp_extract(c, '([A-Za-z0-9_@./-]+\\.[A-Za-z0-9]+)(?::([0-9]+))?', 2) AS INT) AS line
+  FROM (SELECT answer_id, unnest(list_concat(regexp_extract_all(text, '`([A-Za-z0-9_@./-]+\\.[A-Za-z0-9]+)(?::([0-9]+))?`'), regexp_extract_all(text, '\\]\\(([A-Za-z0-9_@./-]+\\.[A-Za-z0-9]+)(?::([0-9]+))?\\)'))) AS c FROM a)),
 v AS (SELECT answer_id, count(*) AS n_cited, bool_and(n IS NOT NULL AND (line IS NULL OR line BETWEEN 1 AND n)) AS ok FROM c LEFT JOIN i USING (path) GROUP BY answer_id)
 SELECT answer_id, coalesce(n_cited, 0) AS n_cited, coalesce(ok, false) AND NOT contains(text, '[[') AS is_valid FROM a LEFT JOIN v USING (answer_id)""",
     "snippet_budget": BUDGET,

@@ -168,7 +168,7 @@ def redact_file_excluded(spark, sf_dir):
 @query
 def citation_verify(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").where("role = 'assistant'")
-    cited = F.concat(F.coalesce("text", F.lit("")), F.lit(" `./doc"), F.col("conv_id"), F.lit(".md:"), F.col("turn") * 3 + 1, F.lit("`"), F.when(F.col("conv_id") % 7 == 0, " `nowhere/x.md`").otherwise(""), F.when(F.col("conv_id") % 11 == 0, " [[x]]").otherwise(""))
+    cited = F.concat(F.coalesce("text", F.lit("")), F.lit(" `./doc"), F.col("conv_id"), F.lit(".md:"), F.col("turn") * 3 + 1, F.lit("`"), F.when(F.col("conv_id") % 7 == 0, " `nowhere/x.md`").otherwise(""), F.when(F.col("conv_id") % 11 == 0, " [[x]]").otherwise(""), F.when(F.col("conv_id") % 3 == 0, " [x](doc1.md:1)").otherwise(""))
     answers = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), cited.alias("text"))
     index = base(spark, sf_dir, CODE).select(F.concat(F.lit("doc"), "doc_id", F.lit(".md")).alias("path"), T.n_lines(F.col("text")).alias("line_count"))
     return privacy.verified(answers, index, "answer_id")
@@ -282,7 +282,7 @@ def workspace_shares(spark, sf_dir):
 @query
 def entry_points(spark, sf_dir):
     f = structure.keep_first(base(spark, sf_dir, FILES), ["path"], ["id"])
-    return _long(structure.entry_points(f))
+    return _long(cards.likely_entry_points(f))
 
 
 @query
