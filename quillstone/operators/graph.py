@@ -104,13 +104,13 @@ def scc(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         colour = keep(left.select("id", F.col("id").alias("colour")))
         seen = -1
         while True:
-            # two steps along the edges, then one along colours: a colour's own vertex may have got a larger one meanwhile
+            # a step along colours, since a colour's own vertex may have got a larger one, then two along the edges
+            jump = colour.select(F.col("id").alias("colour"), F.col("colour").alias("further"))
+            colour = colour.join(jump, "colour", "left").select("id", F.greatest("colour", "further").alias("colour"))
             for _ in range(2):
                 push = e.join(colour.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("colour").alias("pushed"))
                 colour = colour.join(push, "id", "left").select("id", F.greatest("colour", "pushed").alias("colour"))
             colour = keep(colour)
-            jump = colour.select(F.col("id").alias("colour"), F.col("colour").alias("further"))
-            colour = keep(colour.join(jump, "colour", "left").select("id", F.greatest("colour", "further").alias("colour")))
             now = colour.agg(F.sum(F.xxhash64("id", "colour").cast("decimal(38,0)"))).first()[0]
             if now == seen:
                 break
