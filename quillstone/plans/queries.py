@@ -15,7 +15,7 @@ from quillstone.operators import cards, parse, privacy, resolve, search, structu
 from quillstone.operators import graph as G
 from quillstone.plans.base import CODE, EDGES, FILES, LAYERED, MODULES, SCRIPTS, URL_PATHS, base, sources
 from quillstone.sources import files as S
-from quillstone.sources.tables import keep, shared_dir, table
+from quillstone.sources.tables import keep, shared_dir, spread, table
 from quillstone.streaming import limits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,14 +141,14 @@ def entropy_items(spark, sf_dir):
 
 @query
 def redact_documents(spark, sf_dir):
-    d = base(spark, sf_dir, CODE)
+    d = spread(base(spark, sf_dir, CODE))
     red = T.redact(F.col("text"))
     return d.select("doc_id", F.sha2(red, 256).alias("redacted_sha256"), (red != F.col("text")).alias("is_changed"))
 
 
 @query
 def redaction_stats(spark, sf_dir):
-    d = base(spark, sf_dir, CODE)
+    d = spread(base(spark, sf_dir, CODE))
     rules = [(n, p) for n, p, _ in C.REDACTION_RULES if p]
     each = d.select(F.explode(F.array(*(F.struct(F.lit(n).alias("rule"), F.regexp_count("text", F.lit(p)).alias("n")) for n, p in rules))).alias("x"))
     return each.groupBy("x.rule").agg(F.sum("x.n").alias("n_matches"), F.expr("count_if(x.n > 0)").alias("n_documents"))
@@ -196,20 +196,20 @@ def truncate_content(spark, sf_dir):
 
 @query
 def token_index(spark, sf_dir):
-    p = search.postings(base(spark, sf_dir, CODE).select("path", "text"))
+    p = search.postings(spread(base(spark, sf_dir, CODE).select("path", "text")))
     return p.select("token", "path", "count", F.array_join("lines", ",").alias("lines"))
 
 
 @query
 def token_top(spark, sf_dir):
-    p = search.postings(base(spark, sf_dir, CODE).select("path", "text"))
+    p = search.postings(spread(base(spark, sf_dir, CODE).select("path", "text")))
     g = p.groupBy("token").agg(F.sum("count").alias("n"), F.count("*").alias("n_files"))
     return g.orderBy(F.desc("n"), "token").limit(50)
 
 
 def _search_tables(spark, sf_dir, text):
     """Files, symbols and the postings of a query's terms."""
-    code = base(spark, sf_dir, CODE)
+    code = spread(base(spark, sf_dir, CODE))
     files = code.select("path", F.when(F.col("doc_id") % 9 == 0, "test").when(F.col("doc_id") % 13 == 0, "fixture").otherwise("docs").alias("classification"), (F.col("doc_id") % 100 / 100.0).alias("importance"), "doc_id", "text")
     symbols = table(spark, sf_dir, "part").join(code.select(F.col("doc_id").alias("p_partkey"), "path"), "p_partkey").select("path", F.regexp_replace("p_name", " ", "_").alias("name"), (F.col("p_size") % 2 == 0).alias("is_exported"))
     return files, symbols, search.postings(code.select("path", "text"), list(search.term_weights(text)[0]))
@@ -233,7 +233,7 @@ def search_previews(spark, sf_dir):
 def stored_index(spark, sf_dir):
     """Postings of some terms, read back from an index that is written once."""
     folder = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
-    search.save_index(search.postings(base(spark, sf_dir, CODE).select("path", "text")), folder)
+    search.save_index(search.postings(spread(base(spark, sf_dir, CODE).select("path", "text"))), folder)
     found = search.open_index(spark, folder, ["token", "config", "the", "x1y"])
     return found.select("token", "path", "count", F.array_join("lines", ",").alias("lines"))
 
