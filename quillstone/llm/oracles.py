@@ -185,6 +185,31 @@ FROM d LEFT JOIN r{len(RULES)} USING (n)
 """
 
 
+def _op12() -> str:
+    field = lambda c: f"coalesce(strlen(({c})::VARCHAR) || ':' || ({c})::VARCHAR, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(field, ["doc_id", "source", "lang", "n_chars", text])) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    bits = "list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+    crc = f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: {bits}), 4294967295)"
+    up = lambda t: f"SELECT g, lvl + 1, pos // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY pos)) FROM {t} WHERE n > 1 GROUP BY g, lvl, pos // 16, n"
+    walk = lambda t, kids: f"SELECT id, {t}.g, {t}.lvl + 1, pos // 16, (n + 15) // 16, proof || array_to_string(l[1:pos % 16] || l[pos % 16 + 2:], ''), sha256(array_to_string(l[1:pos % 16] || [fold] || l[pos % 16 + 2:], '')) FROM {t} JOIN {kids} ON {kids}.g = {t}.g AND {kids}.lvl = {t}.lvl AND p = pos // 16 WHERE n > 1"
+    return f"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, doc_id, coalesce('=' || source, '') AS g, {leaf("text")} AS leaf, CASE WHEN {crc} % 5 = 0 THEN {leaf(lower)} END AS claimed FROM documents),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM d),
+low(g, lvl, pos, n, h) AS (SELECT g, 0, pos, n, leaf FROM o UNION ALL {up("low")}),
+low_kids AS MATERIALIZED (SELECT g, lvl, pos // 16 AS p, list(h ORDER BY pos) AS l FROM low GROUP BY ALL),
+top AS MATERIALIZED (SELECT g AS id, '' AS g, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n, h FROM low WHERE n = 1),
+high(g, lvl, pos, n, h) AS (SELECT g, 0, pos, n, h FROM top UNION ALL {up("high")}),
+high_kids AS MATERIALIZED (SELECT g, lvl, pos // 16 AS p, list(h ORDER BY pos) AS l FROM high GROUP BY ALL),
+a(id, g, lvl, pos, n, proof, fold) AS (SELECT id, g, 0, pos, n, '', coalesce(claimed, leaf) FROM o UNION ALL {walk("a", "low_kids")}),
+b(id, g, lvl, pos, n, proof, fold) AS (
+  SELECT a.id, '', 0, top.pos, top.n, proof, fold FROM a JOIN top ON a.g = top.id WHERE a.n = 1 UNION ALL {walk("b", "high_kids")})
+SELECT doc_id, leaf, top.h AS subroot, high.h AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = high.h AS verified
+FROM o JOIN (SELECT id, proof, fold FROM b WHERE n = 1) USING (id) JOIN top ON o.g = top.id JOIN high ON high.n = 1
+"""
+
+
 ORACLES: dict[str, str] = {
     "op1_chat_snapshots": OP1,
     "op2_quality_rules": OP2,
@@ -193,4 +218,5 @@ ORACLES: dict[str, str] = {
     "op6_url_filter": OP6,
     "op9_decontamination": OP9,
     "op10_license_scan": _op10(),
+    "op12_merkle_manifest": _op12(),
 }
