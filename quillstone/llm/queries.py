@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import chat, decontam, licenses, linedup, merkle, neardup, packing, quality, secrets, tokens, urlfilter
+from quillstone.llm import bpe, chat, decontam, licenses, linedup, merkle, neardup, packing, quality, secrets, tokens, urlfilter
 from quillstone.llm.oracles import ORACLES
 from quillstone.llm.shared import table
 
@@ -82,8 +82,15 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = bpe.share_vocabulary(spark, tokenizer_path("word_bpe_49k.json"))
+    out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [op1_chat_snapshots, op2_quality_rules, op3_line_dedup, op4_secret_scan, op5_minhash_near_dedup, op6_url_filter, op7_token_counts, op8_packing, op9_decontamination, op10_license_scan, op12_merkle_manifest]
+    every = [op1_chat_snapshots, op2_quality_rules, op3_line_dedup, op4_secret_scan, op5_minhash_near_dedup, op6_url_filter, op7_token_counts, op8_packing, op9_decontamination, op10_license_scan, op12_merkle_manifest, op13_bpe]
     return {f.__name__: f for f in every}
 
 
