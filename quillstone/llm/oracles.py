@@ -185,6 +185,29 @@ FROM d LEFT JOIN r{len(RULES)} USING (n)
 """
 
 
+def _op11(rounds: int = 2) -> str:
+    d = "list_sum(list_transform(range(1, len(v) + 1), lambda i: (v[i] - e[i]) * (v[i] - e[i])))"
+    near = lambda i: f"a{i} AS MATERIALIZED (SELECT ref, part, any_value(v) AS v, min([d, entry]) AS m FROM (SELECT ref, part, v, entry, {d}::BIGINT AS d FROM p JOIN b{i} USING (part)) GROUP BY ref, part)"
+    mean = lambda i: f"""u{i} AS (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY j) AS e FROM (
+    SELECT part, m[2] AS entry, j, sum(v[j])::BIGINT AS s, count(*) AS n FROM (SELECT part, m, v, unnest(range(1, len(v) + 1)) AS j FROM a{i}) GROUP BY ALL) GROUP BY ALL),
+b{i + 1} AS MATERIALIZED (SELECT part, entry, coalesce(u{i}.e, b{i}.e) AS e FROM b{i} LEFT JOIN u{i} USING (part, entry))"""
+    steps = ",\n".join(x for i in range(rounds) for x in (near(i), mean(i)))
+    return f"""
+WITH k AS MATERIALIZED (
+  SELECT row_number() OVER () AS ref, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT ref, part, q[part * (len(q) // 16) + 1:(part + 1) * (len(q) // 16)] AS v FROM k, (SELECT unnest(range(16)) AS part)),
+s AS (SELECT ref, row_number() OVER (ORDER BY vec_id NULLS LAST, q) - 1 AS entry FROM k ORDER BY entry LIMIT 64),
+b0 AS MATERIALIZED (SELECT part, entry, v AS e FROM p JOIN s USING (ref)),
+{steps},
+{near(rounds)},
+c AS (SELECT ref, string_agg(lpad(lower(to_hex(m[2])), 2, '0'), '' ORDER BY part) AS code, sum(m[1])::BIGINT AS error FROM a{rounds} GROUP BY ref)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, entry)) FROM b{rounds}) AS codebooks_sha256
+FROM k JOIN c USING (ref)
+"""
+
+
 def _op12() -> str:
     field = lambda c: f"coalesce(strlen(({c})::VARCHAR) || ':' || ({c})::VARCHAR, '-')"
     leaf = lambda text: "sha256(" + " || ".join(map(field, ["doc_id", "source", "lang", "n_chars", text])) + ")"
@@ -218,5 +241,6 @@ ORACLES: dict[str, str] = {
     "op6_url_filter": OP6,
     "op9_decontamination": OP9,
     "op10_license_scan": _op10(),
+    "op11_vector_codes": _op11(),
     "op12_merkle_manifest": _op12(),
 }

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import bpe, chat, decontam, licenses, linedup, merkle, neardup, packing, quality, secrets, tokens, urlfilter
+from quillstone.llm import bpe, chat, decontam, licenses, linedup, merkle, neardup, packing, quality, secrets, tokens, urlfilter, vectorcodes
 from quillstone.llm.oracles import ORACLES
 from quillstone.llm.shared import table
 
@@ -76,6 +76,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.array_join("identifiers", "|").alias("identifiers"), F.array_join("licenses", ",").alias("licenses"), "unmatched")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, books = vectorcodes.compress(table(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", "code", "error", "label_error").withColumn("codebooks_sha256", F.sha2(F.lit(vectorcodes.flattened(books)), 256))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = merkle.manifest(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], tampered="crc32(CAST(doc_id AS string)) % 5 = 0")
     out = out.select("doc_id", "leaf", "subroot", "root", merkle.proof_hash(F.col("path")).alias("proof_sha256"), merkle.fold(F.col("claimed"), F.col("path")).alias("folded_root"))
@@ -90,7 +95,7 @@ def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [op1_chat_snapshots, op2_quality_rules, op3_line_dedup, op4_secret_scan, op5_minhash_near_dedup, op6_url_filter, op7_token_counts, op8_packing, op9_decontamination, op10_license_scan, op12_merkle_manifest, op13_bpe]
+    every = [op1_chat_snapshots, op2_quality_rules, op3_line_dedup, op4_secret_scan, op5_minhash_near_dedup, op6_url_filter, op7_token_counts, op8_packing, op9_decontamination, op10_license_scan, op11_vector_codes, op12_merkle_manifest, op13_bpe]
     return {f.__name__: f for f in every}
 
 
