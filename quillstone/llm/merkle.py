@@ -108,7 +108,7 @@ def manifest(docs: DataFrame, columns: list[str], id_col: str = "doc_id", group_
     condition on rows whose text_col becomes lower case for A-Z, claimed: the leaf of the row as
     it is then, else the leaf itself. fold() and proof_hash() use them.
 
-    Null ids come first, equal ids ascend by leaf; rows equal in all columns have equal leaves and each a
+    Null ids come first and match no condition of theirs, equal ids ascend by leaf; rows equal in all columns have equal leaves and each a
     place of its own. Null groups are one group, empty ones another. A null field differs from an empty one. An
     empty table gives no rows. Other columns of docs are neither hashed nor returned. Texts are read once, and only
     hashes are shuffled.

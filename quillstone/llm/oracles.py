@@ -195,7 +195,7 @@ b{i + 1} AS MATERIALIZED (SELECT part, entry, coalesce(u{i}.e, b{i}.e) AS e FROM
     return f"""
 WITH k AS MATERIALIZED (
   SELECT row_number() OVER () AS ref, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q
-  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 p AS MATERIALIZED (SELECT ref, part, q[part * (len(q) // 16) + 1:(part + 1) * (len(q) // 16)] AS v FROM k, (SELECT unnest(range(16)) AS part)),
 s AS (SELECT ref, row_number() OVER (ORDER BY vec_id NULLS LAST, q) - 1 AS entry FROM k ORDER BY entry LIMIT 64),
 b0 AS MATERIALIZED (SELECT part, entry, v AS e FROM p JOIN s USING (ref)),
@@ -218,7 +218,7 @@ def _op12() -> str:
     walk = lambda t, kids: f"SELECT id, {t}.g, {t}.lvl + 1, pos // 16, (n + 15) // 16, proof || array_to_string(l[1:pos % 16] || l[pos % 16 + 2:], ''), sha256(array_to_string(l[1:pos % 16] || [fold] || l[pos % 16 + 2:], '')) FROM {t} JOIN {kids} ON {kids}.g = {t}.g AND {kids}.lvl = {t}.lvl AND p = pos // 16 WHERE n > 1"
     return f"""
 WITH RECURSIVE d AS MATERIALIZED (
-  SELECT row_number() OVER () AS id, doc_id, coalesce('=' || source, '') AS g, {leaf("text")} AS leaf, CASE WHEN {crc} % 5 = 0 THEN {leaf(lower)} END AS claimed FROM documents),
+  SELECT row_number() OVER () AS id, doc_id, coalesce('=' || source, '') AS g, {leaf("text")} AS leaf, CASE WHEN doc_id IS NOT NULL AND {crc} % 5 = 0 THEN {leaf(lower)} END AS claimed FROM documents),
 o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM d),
 low(g, lvl, pos, n, h) AS (SELECT g, 0, pos, n, leaf FROM o UNION ALL {up("low")}),
 low_kids AS MATERIALIZED (SELECT g, lvl, pos // 16 AS p, list(h ORDER BY pos) AS l FROM low GROUP BY ALL),
