@@ -72,8 +72,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], edges: DataFrame
 
     A page's own rule decides. Other pages follow their aliases, the connected component over
     redirect and canonical edges (``edges``: from_url, to_url; by default what the pages declare):
-    allow if a URL of it has an allow rule, else block if one has a block rule, else allow. A null
-    URL, or one without ``://``, has empty host and path, no rule and no aliases. One row for each
+    allow if a URL of it has an allow rule, else block if one has a block rule, else allow. URLs of
+    equal alias_key() are one node of the graph as soon as one of them is an end of an edge, also of an edge
+    between two of them (a canonical link from a URL to its own form with www., a closing slash, ...);
+    without any edge they are judged apart. A null URL, or one without ``://``, has empty host and path, no rule and no aliases. One row for each
     row of pages, repeated ones too; an empty table gives none; other columns are not read.
     """
     edges = redirect_edges(pages, url_col, html_col) if edges is None else edges.select("from_url", "to_url")
@@ -86,7 +88,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], edges: DataFrame
     own = own.withColumn("fit", fitting_rule(rules, F.col("host"), F.col("path")))
     if edges.isEmpty():
         return own.select(id_col, "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.action", F.lit("allow")).alias("verdict"))
-    linked = keep(components(edges.selectExpr("x.key AS a", "y.key AS b")))
+    nodes = edges.selectExpr("x.key AS node").union(edges.selectExpr("y.key AS node")).distinct()
+    linked = components(edges.selectExpr("x.key AS a", "y.key AS b"))
+    linked = keep(nodes.join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
     # A page's own rule counts for its aliases too, whichever form of the URL has it.
     named = edges.select("x.key", "x.action").union(edges.select("y.key", "y.action")).union(own.select(F.col("alias").alias("key"), "fit.action").where("action IS NOT NULL"))
     seeds = named.where("action IS NOT NULL").distinct().join(linked.withColumnRenamed("node", "key"), "key")

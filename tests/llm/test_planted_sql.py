@@ -73,6 +73,21 @@ def test_redirects_and_canonical_links(spark, tmp_path):
     assert verdict[3] == "block" and verdict[49] == "block" and verdict[2] == "allow"
 
 
+FORMS = [("http://foo.com/en", "http://foo.com/en/"), ("http://www.foo.com/en/1", "http://foo.com/en/1"), ("http://foo.com:80/en/1", "http://foo.com/en/1"), ("http://foo.org/es", "http://foo.org/es/index.html"), ("http://foo.com/en?utm_source=a", "/en/"), ("http://bar.net/de", "http://bar.net/de/"), ("https://q.com/en?x=1&gclid=2", "http://q.com/en/?x=1")]
+
+
+@pytest.mark.parametrize("forms", [FORMS, *([f] for f in FORMS)])
+def test_a_links_other_form_of_the_same_url(spark, tmp_path, forms):
+    """Both ends have one key; also where that is the only link of the table, a rule for one form decides for the other."""
+    link = lambda to: f'<html><link href="{to}" rel=canonical></html>'
+    rows = [(url, link(to)) for url, to in forms] + [("http://other.com/en", ""), ("http://other.com/en/", ""), ("http://foo.fr/", "")]
+    ours, theirs = both(spark, tmp_path, "op6_url_filter", {"pages": pages(rows)})
+    assert ours == theirs
+    want = {0: "block", 1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "block"}
+    assert all(r[4] == want[FORMS.index(forms[r[0]])] for r in ours if r[0] < len(forms))
+    assert [r[4] for r in ours if r[0] >= len(forms)] == ["allow", "block", "allow"]
+
+
 MIT = """MIT License
 
 Copyright (c) 2020 Somebody
