@@ -186,5 +186,6 @@ def remove_lines(docs: DataFrame, overlaps: DataFrame, id_col: str = "doc_id", t
     at, which, removed = free("__id"), free("__fp"), free("__removed")
     marks = overlaps.where("size(removed) > 0").select(F.col(id_col).alias(at), F.col("fp").alias(which), F.col("removed").alias(removed))
     joined = docs.join(marks, docs[id_col].eqNullSafe(marks[at]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == marks[which]), "left")
-    left = F.expr(f"array_join(filter(split(`{text_col}`, '\\n', -1), (x, i) -> NOT array_contains(`{removed}`, i)), '\\n')")
+    # The lines are bound to l, so that the text is split once; array_except looks numbers up by hash.
+    left = F.expr(f"transform(array(split(`{text_col}`, '\\n', -1)), l -> array_join(transform(array_except(sequence(0, size(l) - 1), `{removed}`), i -> l[i]), '\\n'))[0]")
     return joined.withColumn(text_col, F.when(F.col(removed).isNotNull(), left).otherwise(F.col(text_col))).select(*docs.columns)

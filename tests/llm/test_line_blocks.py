@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 from quillstone.llm import linedup
 
@@ -52,3 +53,11 @@ def test_blocks_match_brute_force(spark):
     kinds = ["", "a", "b c", "d e f", "G h  i j", "k l m n o", " \t", "p q r s t u v w x y z"]
     values = ["\n".join(rng.choice(kinds[: rng.choice([4, 8])]) for _ in range(rng.randrange(0, 14))) for _ in range(150)]
     assert removed(spark, values) == brute(values)
+
+
+def test_many_lines_go_in_proportion(spark):
+    text = "\n".join(f"line {i} has some words of its own {i * 7919 % 1_000_003}" for i in range(300_000))
+    docs = spark.createDataFrame([(1, text), (2, f"first line\n{text}\nlast line")], "doc_id long, text string").repartition(2)
+    began = time.time()
+    left = {r.doc_id: r.text for r in linedup.remove_lines(docs, linedup.line_overlaps(docs)).collect()}
+    assert left == {1: text, 2: "first line\nlast line"} and time.time() - began < 60
