@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quillstone.llm import decontam, linedup, neardup, packing, quality
 from quillstone.llm.queries import tokenizer_path
 from quillstone.llm.shared import keep, table, without
+from quillstone.sources.library import shipped
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,11 +42,11 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [
-    ("quality_rules", quality_rules),
-    ("line_dedup", line_dedup),
-    ("minhash_near_dedup", minhash_near_dedup),
-    ("benchmark_decontamination", benchmark_decontamination),
-    ("packing", pack_sequences),
+    ("quality_rules", shipped(quality_rules)),
+    ("line_dedup", shipped(line_dedup)),
+    ("minhash_near_dedup", shipped(minhash_near_dedup)),
+    ("benchmark_decontamination", shipped(benchmark_decontamination)),
+    ("packing", shipped(pack_sequences)),
 ]
 
 #: Tokenizers and patience diff are beyond SQL; tests hold the stages against brute force.
