@@ -8,6 +8,7 @@ stored tokens back from the end gives the word's ids, those that merging by rank
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +21,9 @@ from quillstone.llm import kernels as K
 from quillstone.llm.tokens import Encoder
 
 #: A worker remembers the ids of so many words, and the answers for so many pairs of tokens; then it starts anew.
-REMEMBERED_WORDS, REMEMBERED_PAIRS = 1 << 18, 1 << 20
+REMEMBERED_WORDS, REMEMBERED_PAIRS = 1 << 15, 1 << 18
+#: What stands between pieces whose words are found together; no piece of printable characters and white space has it.
+BETWEEN = "\x01"
 
 
 def suffix_automaton(words: list[tuple[int, ...]]) -> tuple[list[dict[int, int]], list[int], list[int]]:
@@ -96,7 +99,6 @@ class Vocabulary:
     targets: np.ndarray
     link: np.ndarray
     longest: np.ndarray
-    found: np.ndarray  # for each state the next state on its chain of links, itself included, at which tokens end
     token_state: np.ndarray  # for each token the state in which it ends, -1 for tokens that no encoding has
     token_length: np.ndarray
     special: dict[str, int]
@@ -142,15 +144,12 @@ def read_vocabulary(path: str) -> Vocabulary:
         for c in word:
             state = go[state][c]
         ends.append(state if valid[t] else -1)
-    some, found = {*ends}, [0] * len(go)
-    for state in sorted(range(1, len(go)), key=longest.__getitem__):
-        found[state] = state if state in some else found[link[state]]
     moves = np.array([state << 10 | c for state, of in enumerate(go) for c in of], np.int64)
     targets = np.array([to for of in go for to in of.values()], np.int32)
     order = np.argsort(moves)
     by_id = {i: s for s, i in [*vocab.items(), *special.items()]}
     strings = [by_id.get(i, "") for i in range(max(by_id) + 1)]
-    return Vocabulary(content, {s: i for i, s in enumerate(base)}, ending, np.array([vocab[s] for s in number], np.int32), np.array(left, np.int32), np.array(right, np.int32), moves[order], targets[order], np.array(link, np.int32), np.array(longest, np.int32), np.array(found, np.int32), np.array(ends, np.int32), np.array([*map(len, spelled)], np.int32), special, strings, parsed["decoder"] is not None)
+    return Vocabulary(content, {s: i for i, s in enumerate(base)}, ending, np.array([vocab[s] for s in number], np.int32), np.array(left, np.int32), np.array(right, np.int32), moves[order], targets[order], np.array(link, np.int32), np.array(longest, np.int32), np.array(ends, np.int32), np.array([*map(len, spelled)], np.int32), special, strings, parsed["decoder"] is not None)
 
 
 class Coded:
@@ -169,14 +168,19 @@ class PrefixModel:
         self.ids, self.left, self.right = v.ids.tolist(), v.left.tolist(), v.right.tolist()
         self.merge = {a << 20 | b: t for t, (a, b) in enumerate(zip(self.left, self.right, strict=True)) if t >= self.n}
         self.go = dict(zip(v.moves.tolist(), v.targets.tolist(), strict=True))
-        self.link, self.longest, self.found = v.link.tolist(), v.longest.tolist(), v.found.tolist()
-        self.tokens: dict[int, list[tuple[int, int]]] = {}
+        self.link, self.longest = v.link.tolist(), v.longest.tolist()
+        self.ending_at: list[tuple[tuple[int, int], ...]] = [()] * len(self.link)
+        own: dict[int, list[tuple[int, int]]] = {}
         for t in np.argsort(-v.token_length, kind="stable").tolist():  # the longest first
             if v.token_state[t] >= 0:
-                self.tokens.setdefault(int(v.token_state[t]), []).append((int(v.token_length[t]), t))
+                own.setdefault(int(v.token_state[t]), []).append((int(v.token_length[t]), t))
+        for state in np.argsort(v.longest, kind="stable").tolist()[1:]:
+            rest = self.ending_at[self.link[state]]
+            self.ending_at[state] = (*own[state], *rest) if state in own else rest
         self.special = v.special
         self.words: dict[str, list[int]] = {}
         self.pairs: dict[int, bool] = {}
+        self.plain = plain_pattern(v.content)
 
     def fits(self, a: int, b: int) -> bool:
         key = a << 20 | b
@@ -193,33 +197,35 @@ class PrefixModel:
         symbols = [self.symbols[c] for c in text]
         if self.ending:
             symbols[-1] = self.symbols[text[-1] + self.ending]
-        last = [-1]  # the last token of each prefix
-        size = [0]
-        state = length = 0
-        for place, c in enumerate(symbols, 1):
-            while (to := self.go.get(state << 10 | c)) is None:
+        last, size = [-1], [0]  # of each prefix the last token and its length
+        state = length = place = 0
+        go, pairs, ending_at, fits = self.go.get, self.pairs.get, self.ending_at, self.fits
+        for c in symbols:
+            place += 1
+            while (to := go(state << 10 | c)) is None:
                 state = self.link[state]
                 length = self.longest[state]
-            state, length, at = to, length + 1, self.found[to]
-            while at:
-                for n, t in self.tokens[at]:
-                    if n <= length and (n == place or self.fits(last[place - n], t)):
+            state = to
+            length += 1
+            for n, t in ending_at[state]:
+                if n <= length:
+                    if n == place:
+                        break
+                    before = last[place - n]
+                    if (known := pairs(before << 20 | t)) or known is None and fits(before, t):
                         break
-                else:
-                    at = self.found[self.link[at]]
-                    continue
-                break
             last.append(t)
             size.append(n)
-        out, place = [], len(symbols)
+        out = []
         while place:
             out.append(self.ids[last[place]])
             place -= size[place]
-        if len(self.words) >= REMEMBERED_WORDS:
-            self.words.clear()
+        out.reverse()
         if len(text) <= 64:
-            self.words[text] = out[::-1]
-        return out[::-1]
+            if len(self.words) >= REMEMBERED_WORDS:
+                self.words.clear()
+            self.words[text] = out
+        return out
 
     def _plain(self, text: str) -> list[int]:
         if self.own.normalizer is not None:
@@ -240,7 +246,49 @@ class PrefixModel:
         return out + (self._plain(text[begin:]) if begin < len(text) else [])
 
     def encode_batch_fast(self, texts: list[str], add_special_tokens: bool = False) -> list[Coded]:
-        return [Coded(self.text(t)) for t in texts]
+        """The ids of many texts; words of those in plain ASCII are found in one go."""
+        if self.plain is None:
+            return [Coded(self.text(t)) for t in texts]
+        pattern, lower = self.plain
+        simple = [ODD.search(t) is None and not any(s in t for s in self.special) for t in texts]
+        joined = f"\n{BETWEEN}\n".join(t for t, s in zip(texts, simple, strict=True) if s)
+        words = iter(pattern.findall(joined.lower() if lower else joined))
+        out = []
+        for text, s in zip(texts, simple, strict=True):
+            if s:
+                ids: list[int] = []
+                for w in words:
+                    if w == BETWEEN:
+                        break
+                    ids += self.word(w)
+                out.append(Coded(ids))
+            else:
+                out.append(Coded(self.text(text)))
+        return out
+
+
+ODD = re.compile(r"[^\x20-\x7e\t\n\r]")
+
+
+def plain_pattern(content: str) -> tuple[re.Pattern, bool] | None:
+    """For printable ASCII texts the pattern of words as this module's own, and whether A-Z become lower case; None if the
+    tokenizer isn't known to be no more than that: its normalizers compose, fold white space or lower the case, and its
+    pre-tokenizer keeps what the pattern, which knows letters, numbers and white space, matches."""
+    parsed = json.loads(content)
+    steps = (parsed["normalizer"] or {}).get("normalizers", [])
+    pre = (parsed["pre_tokenizer"] or {}).get("pretokenizers", [])
+    if [p["type"] for p in pre] != ["Split", "ByteLevel"] or any(x["type"] not in ("NFC", "Replace", "Lowercase") for x in steps):
+        return None
+    if any(x["type"] == "Replace" and (x["pattern"].get("Regex"), x["content"]) != (r"\s+", " ") for x in steps):
+        return None
+    split, level = pre
+    pattern = split["pattern"].get("Regex", "")
+    if split["behavior"] != "Removed" or not split["invert"] or level["add_prefix_space"] or level["use_regex"]:
+        return None
+    # Only alternatives that can't match white space: then folding it changes nothing, and a word never leaves its piece.
+    if re.sub(r"'[a-z]+|\[(?:\^\\s)?(?:\\p\{[LN]\})+\]\+?", "", pattern).strip("|"):
+        return None
+    return re.compile(pattern.replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9"), re.ASCII), any(x["type"] == "Lowercase" for x in steps)
 
 
 class PrefixEncoder(Encoder):
