@@ -47,13 +47,17 @@ def keep(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sized(df: DataFrame, rows: int = BROADCAST_ROWS, width: Column | None = None, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows and, where ``width`` gives a row's bytes, so many bytes;
-    df must be cheap to count (kept)."""
+def is_small(df: DataFrame, rows: int | None = None, width: Column | None = None, most_bytes: int | None = None) -> bool:
+    """Whether df, which must be cheap to count (kept), has at most so many rows and, where ``width`` gives a row's bytes, so
+    many bytes."""
+    rows, most_bytes = BROADCAST_ROWS if rows is None else rows, BROADCAST_BYTES if most_bytes is None else most_bytes
     small = df.limit(rows + 1).count() <= rows
-    if small and width is not None:
-        small = (df.agg(F.sum(width)).first()[0] or 0) <= most_bytes
-    return F.broadcast(df) if small else df
+    return small and (width is None or (df.agg(F.sum(width)).first()[0] or 0) <= most_bytes)
+
+
+def sized(df: DataFrame, rows: int | None = None, width: Column | None = None, most_bytes: int | None = None) -> DataFrame:
+    """df with a broadcast hint if it is small (see is_small)."""
+    return F.broadcast(df) if is_small(df, rows, width, most_bytes) else df
 
 
 def join_hot(rows: DataFrame, side: DataFrame, key: str, n: str, parts: int = 20_000) -> DataFrame:
