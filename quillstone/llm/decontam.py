@@ -10,10 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm import kernels as K
-from quillstone.llm.shared import fingerprint, keep, sized
+from quillstone.llm.shared import fingerprint, is_small, join_hot, keep, sized
 
-#: Bits by which a task tells shingles that no item has from those that one may have; 2 MB, whatever the benchmark's size.
-FILTER_BITS = 24
+#: Least and greatest number of a hash's bits by which a task tells shingles that no item has from those that one may have:
+#: filters of 2 to 128 MB, sized by the items.
+FILTER_BITS = 24, 30
+#: Occurrences of a prefix token that a task gets at once, where its windows are too many to be broadcast.
+OCCURRENCES = 1 << 16
 
 
 def _words(raw: np.ndarray, offsets: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -43,6 +46,11 @@ def item_windows(items: DataFrame, window: int, shingle: int, id_col: str, text_
     return items.select(id_col, text_col).mapInArrow(cut, f"item_id {kind}, words array<string>, shingles array<struct<off:int,k:int,h:long>>").dropDuplicates(["item_id", "words"])
 
 
+def filter_bits(n_shingles: int) -> int:
+    """Bits of the filter: sixteen places or more for each shingle, as far as the greatest filter has them."""
+    return min(FILTER_BITS[1], max(FILTER_BITS[0], (16 * n_shingles - 1).bit_length()))
+
+
 def shared_runs(docs: DataFrame, bits: np.ndarray, sizes: list[int], id_col: str, text_col: str) -> DataFrame:
     """For each row of docs its words in number, and the runs of words whose shingles may be an item's.
 
@@ -52,6 +60,7 @@ def shared_runs(docs: DataFrame, bits: np.ndarray, sizes: list[int], id_col: str
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bits_shared.value
+        drop = np.uint64(61 - len(bits).bit_length() + 1)  # len(bits) is a power of two
         run_type = pa.list_(pa.struct([("start", pa.int64()), ("words", pa.list_(pa.string())), ("hits", pa.list_(pa.struct([("at", pa.int32()), ("h", pa.int64())])))]))
         for batch in batches:
             for first_row, last_row, raw, offsets in K.blocks(batch.column(2)):
@@ -60,7 +69,7 @@ def shared_runs(docs: DataFrame, bits: np.ndarray, sizes: list[int], id_col: str
                 at, size, found = [], [], []
                 for k in sizes:
                     h = K.sequences(hashes, k)
-                    place = h >> np.uint64(64 - FILTER_BITS)
+                    place = h >> drop
                     hit = np.flatnonzero((bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1)
                     hit = hit[hit + k <= own_end[hit]]
                     at.append(hit), size.append(np.full(len(hit), k)), found.append(K.as_long(h[hit]))
@@ -104,7 +113,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
     classes = keep(windows.groupBy("words").agg(F.first("shingles").alias("shingles")).withColumn("window", F.monotonically_increasing_id()))
     tokens = classes.select(F.explode("shingles").alias("s"))
     sizes = sorted(r["k"] for r in tokens.select("s.k").distinct().collect())  # at most `shingle`
-    runs = keep(shared_runs(docs, _bits(tokens.select("s.h")), sizes, id_col, text_col))
+    n_bits = filter_bits(tokens.select("s.h").distinct().count())
+    runs = keep(shared_runs(docs, _bits(tokens.select("s.h"), n_bits), sizes, id_col, text_col))
 
     found = runs.where("runs IS NOT NULL").select("row", F.explode("runs").alias("run"))
     near = window - 1
@@ -112,8 +122,15 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
     frequency = found.select("row", F.explode(F.array_distinct("run.hits.h")).alias("h")).groupBy("h").agg(F.count("*").alias("df"))
     each = classes.select("window", "words", F.explode("shingles").alias("s")).select("window", "words", "s.off", "s.h")
     prefix = each.join(frequency, "h", "left").groupBy("window").agg(F.first("words").alias("words"), F.min_by(F.struct("off", "h"), F.struct(F.coalesce("df", F.lit(0)), "h", "off")).alias("p"), F.min(F.coalesce("df", F.lit(0))).alias("least")).where("least > 0")
-    prefix = sized(keep(prefix.select("window", "words", "p.off", "p.h")), width=F.octet_length(F.array_join("words", " ")))
-    met = local.join(prefix, "h").withColumn("from", F.expr("at - off - low")).where("`from` >= 0 AND `from` + size(words) <= size(around)").where(F.expr("slice(around, `from` + 1, size(words)) = words"))
+    prefix = keep(prefix.select("window", "words", "p.off", "p.h", F.col("least").alias("df")))
+    if is_small(prefix, width=F.octet_length(F.array_join("words", " "))):
+        met = local.join(F.broadcast(prefix.drop("df")), "h")
+    else:  # a frequent token's occurrences are dealt over copies of its windows
+        copies = prefix.withColumn("copies", F.ceil(F.col("df") / OCCURRENCES))
+        often = keep(copies.select("h", "copies", "df").distinct())
+        dealt = join_hot(local, often, "h", "df").withColumn("copy", F.pmod(F.xxhash64("row", "start", "at"), "copies"))
+        met = dealt.drop("df", "copies").join(copies.drop("df").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))), ["h", "copy"])
+    met = met.withColumn("from", F.expr("at - off - low")).where("`from` >= 0 AND `from` + size(words) <= size(around)").where(F.expr("slice(around, `from` + 1, size(words)) = words"))
     met = keep(met.selectExpr("row", "start + at - off AS low", "start + at - off + size(words) AS high", "window"))
 
     before = F.max("high").over(Window.partitionBy("row").orderBy("low", "high").rowsBetween(Window.unboundedPreceding, -1))
@@ -124,12 +141,12 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
     return out.select(F.col("id").alias(id_col), "fp", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
 
 
-def _bits(tokens: DataFrame) -> np.ndarray:
-    """One bit for each value of the first FILTER_BITS bits of a hash h. The bits are set in Spark: at most 2 ** FILTER_BITS / 32,768
+def _bits(tokens: DataFrame, n_bits: int) -> np.ndarray:
+    """One bit for each value of the first n_bits bits of a hash h. The bits are set in Spark: at most 2 ** n_bits / 32,768
     rows of 4 KB each come to the driver."""
-    place: Column = F.shiftrightunsigned("h", 64 - FILTER_BITS)
+    place: Column = F.shiftrightunsigned("h", 64 - n_bits)
     parts = tokens.select(F.bitmap_bucket_number(place + 1).alias("bucket"), F.bitmap_bit_position(place + 1).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    out = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8)
+    out = np.zeros(1 << (n_bits - 3), dtype=np.uint8)
     for row in parts.collect():  # bucket 1 has the places from 0 on
         out[(row["bucket"] - 1) * 4096 : row["bucket"] * 4096] = np.frombuffer(row["bits"], dtype=np.uint8)
     return out

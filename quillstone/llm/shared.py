@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.sources.tables import BROADCAST_ROWS, join_hot, keep, shared_dir, sized, table
+from quillstone.sources.tables import BROADCAST_ROWS, is_small, join_hot, keep, shared_dir, sized, table
 
-__all__ = ["BROADCAST_ROWS", "components", "fingerprint", "join_hot", "keep", "shared_dir", "sized", "table", "without"]
+__all__ = ["BROADCAST_ROWS", "components", "fingerprint", "is_small", "join_hot", "keep", "shared_dir", "sized", "table", "without"]
 
 
 def fingerprint(text_col: str) -> Column:

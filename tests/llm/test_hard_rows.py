@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from test_llm_operators import brute_components, brute_hits, check_packing, documents, library, prose, texts
 
 from quillstone.llm import decontam, kernels, linedup, neardup, packing, quality, shared, tokens
+from quillstone.sources import tables
 from quillstone.llm.queries import tokenizer_path
 
 
@@ -100,3 +101,18 @@ def test_hot_keys_are_joined_alike(spark, parts):
     rows = spark.range(1000).select((F.col("id") % 7 * F.when(F.col("id") % 3 == 0, 0).otherwise(1)).alias("k"), "id")
     side = rows.groupBy("k").agg(F.count("*").alias("n")).where("k <> 5").cache()
     assert sorted(shared.join_hot(rows, side, "k", "n", parts).collect()) == sorted(rows.join(side, "k").collect())
+
+
+def test_a_large_benchmark_is_joined_by_shares(spark, monkeypatch):
+    """Windows too many to be broadcast; one short item's word is in all documents many times."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(40)]
+    values = [" ".join(["the"] * 40 + [rng.choice(words) for _ in range(30)]) for _ in range(60)] + [None, "", "the"]
+    items = [(0, "the"), (1, values[7][-60:]), (2, "the w1"), (3, "w2 the"), *((10 + i, " ".join(values[i].split()[45:57])) for i in range(0, 60, 7))]
+    want = brute_hits(values, items, 10)
+    for rows, occurrences in ((10**6, 1 << 16), (0, 50), (0, 1 << 16)):
+        monkeypatch.setattr(tables, "BROADCAST_ROWS", rows)
+        monkeypatch.setattr(decontam, "OCCURRENCES", occurrences)
+        out = decontam.contamination(documents(spark, values), spark.createDataFrame(items, "item_id long, text string")).collect()
+        assert {r.doc_id: (r.n_words, r.n_hit, r["items"], r.contaminated) for r in out} == want
+    assert [decontam.filter_bits(n) for n in (0, 1 << 20, (1 << 20) + 1, 1 << 40)] == [24, 24, 25, 30]
