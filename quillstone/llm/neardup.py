@@ -99,8 +99,14 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) those with 100 * |A and B| >= percent * |A or B|, on full sets."""
-    both = pairs.join(sets.selectExpr("node AS a", "shingles AS sa"), "a").join(sets.selectExpr("node AS b", "shingles AS sb"), "b")
+    """Of pairs (a, b, copies) those with 100 * |A and B| >= percent * |A or B|, on full sets, as (a, b).
+
+    A set a that many pairs have comes in so many copies, among which its pairs are dealt by b, so that no task gets
+    all pairs of one set; copies is about the number of pairs by BLOCK.
+    """
+    wanted = pairs.select("a", "copies").distinct().join(sets.selectExpr("node AS a", "shingles AS sa"), "a")
+    wanted = wanted.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    both = pairs.join(sets.selectExpr("node AS b", "shingles AS sb"), "b").withColumn("copy", F.pmod(F.xxhash64("b"), "copies")).join(wanted, ["a", "copies", "copy"])
     both = both.withColumn("common", F.size(F.array_intersect("sa", "sb")))
     return both.where(F.col("common") * 100 >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
 
@@ -197,18 +203,22 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Labels (node, component) that connect, within each bucket of members (key, node, n, c), all that are similar.
 
     First every member is compared with one pivot of its bucket, the one that shares the most
-    buckets, hence nearest to a common original: this joins tight groups of any size with a row for each member. In
+    buckets, hence nearest to a common original: this joins tight groups of any size with a row for each member, and
+    copies of the pivot's set meet so many members each. In
     buckets that then hold more than one component, _possible_pairs() finds the members of different
     components that may be alike, and those are compared on full sets. So no possible pair is left
     out, and the pairs of a tight group are not formed.
     """
     order = F.struct((-F.col("c")).alias("c"), F.xxhash64("node").alias("x"), F.col("node"))
-    pivot = members.groupBy("key").agg(F.min_by(F.struct("node", "n"), order).alias("p"))
-    met = members.join(pivot, "key").where(f"node <> p.node AND 100 * least(n, p.n) >= {percent} * greatest(n, p.n)")
-    links = keep(_verified(keep(met.selectExpr("least(node, p.node) AS a", "greatest(node, p.node) AS b").distinct()), sets, percent))
+    pivot = keep(members.groupBy("key").agg(F.min_by(F.struct("node", "n"), order).alias("p"), F.count("*").alias("size")))
+    met = join_hot(members, pivot, "key", "size").where(f"node <> p.node AND 100 * least(n, p.n) >= {percent} * greatest(n, p.n)")
+    met = met.groupBy(F.col("p.node").alias("a"), F.col("node").alias("b")).agg(F.max(F.ceil(F.col("size") / BLOCK)).alias("copies"))
+    links = keep(_verified(keep(met), sets, percent))
     labels = keep(components(links))
     here = keep(members.join(labels, "node", "left").selectExpr("key", "node", "n", "coalesce(component, node) AS label"))
-    more = keep(_verified(keep(_possible_pairs(here, sets, percent)), sets, percent))
+    pairs = keep(_possible_pairs(here, sets, percent))
+    often = keep(pairs.groupBy("a").agg(F.count("*").alias("times")).withColumn("copies", F.ceil(F.col("times") / BLOCK)))
+    more = keep(_verified(join_hot(pairs, often, "a", "times"), sets, percent))
     if not more.isEmpty():
         labels = keep(components(links.union(more)))
     return labels
