@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
+import zlib
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -184,15 +187,22 @@ def license_scan(docs: DataFrame, known: dict[str, str] | None = None, rules: li
     none, other columns are not read.
     """
     known, rules = SENTENCES if known is None else known, RULES if rules is None else rules
-    words = "|".join(re.escape(w) for w in hints(known)) if known else "$^"
-    table = F.create_map(*(F.lit(x) for pair in known.items() for x in pair)).cast("map<string,string>")
+    words = hints(known)
+
+    def hinted(s: Column) -> Column:
+        return reduce(Column.__or__, (F.contains(s, F.lit(w)) for w in words)) if words else F.lit(bool(known))
+
+    buckets: list[dict[str, str]] = [{} for _ in range(1 << max(0, len(known) - 1).bit_length())]
+    for k, name in known.items():
+        buckets[zlib.crc32(k.encode()) % len(buckets)][k] = name
+    table = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,string>>")  # one constant; a map is searched in sequence, so each is small
     none = F.array().cast("array<string>")
-    look = lambda s: F.transform(F.array(normal(s)), lambda k: F.when(k.rlike(words), F.try_element_at(table, k)))[0]
+    look = lambda s: F.transform(F.array(normal(s)), lambda k: F.when(hinted(k), F.try_element_at(F.element_at(table, F.pmod(F.crc32(k), F.lit(len(buckets))).cast("int") + 1), k)))[0]
     lines = lambda s: F.when(F.contains(s, F.lit("\n")), F.transform(F.split(s, "\n"), look)).otherwise(none)
     each = F.transform(sentences(F.col(text_col)), lambda s: F.transform(F.array(look(s)), lambda x: F.when(x.isNotNull(), F.array(x)).otherwise(lines(s)))[0])
     ids = F.filter(F.flatten(each), lambda x: x.isNotNull())
     plain = F.translate(F.lower(F.col(text_col)), "\"'`‘’“”", "")
-    out = docs.select(F.col(id_col).alias("id"), F.when(plain.rlike(words), ids).otherwise(none).alias("identifiers"))
+    out = docs.select(F.col(id_col).alias("id"), F.when(hinted(plain), ids).otherwise(none).alias("identifiers"))
     ordered = F.array(*(F.struct(F.lit("".join(f"|{x}|" for x in sequence)).alias("seek"), F.lit(name).alias("name")) for sequence, name in rules)).cast("array<struct<seek:string,name:string>>")
     begin = F.struct(F.concat(F.lit("|"), F.array_join("identifiers", "||"), F.lit("|")).alias("left"), none.alias("names"))
     taken = lambda a, r: F.when(F.contains(a["left"], r["seek"]), F.struct(F.replace(a["left"], r["seek"], F.lit("||")).alias("left"), F.array_append(a["names"], r["name"]).alias("names"))).otherwise(a)
