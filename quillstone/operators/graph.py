@@ -6,15 +6,19 @@ round is joins and grouped aggregates over edges; nothing is gathered but a coun
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import constants as C
 from quillstone.functions import paths as P
-from quillstone.sources.tables import keep, sized
+from quillstone.sources.tables import BROADCAST_ROWS, keep, shared_dir, sized
 
 
 def links(edges: DataFrame) -> DataFrame:
@@ -48,38 +52,94 @@ def orphans(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 def pagerank(vertices: DataFrame, edges: DataFrame, iterations: int = C.PAGERANK_ITERATIONS, epsilon: float | None = C.PAGERANK_EPSILON, digits: int = 6) -> DataFrame:
     """id, page_rank. Ranks begin at 1/n; each round gives every vertex (1 - d)/n + d * dangling/n and, undamped, the
     rank of each predecessor divided by its links. Mass grows within cycles by design, so the number of
-    rounds counts. Ends after ``iterations``, or when ranks change by less than ``epsilon`` in all."""
+    rounds counts. Ends after ``iterations``, or when ranks change by less than ``epsilon`` in all.
+
+    What a round adds to all vertices alike moves on along the links like what any other round added. So only the unit waves are
+    computed over the graph: what a vertex gets after k steps where every vertex sent 1. A wave leaves out the
+    vertices that it no longer reaches, and the waves end where all have settled. All rounds' ranks are sums of waves with weights that
+    follow from one number per wave (its part on vertices without links); how far ranks move in each round is
+    summed up in one pass.
+    """
     e = links(edges)
-    outs = e.groupBy("src").agg(F.count("*").alias("n_out"))
-    shares = keep(e.join(outs, "src"))
-    ids = keep(vertices.select("id").distinct().join(outs.withColumnRenamed("src", "id"), "id", "left"))
+    outs = keep(e.groupBy("src").agg(F.count("*").alias("n_out")))
+    shares = keep(e.join(outs, "src").repartition("dst"))
+    ids = keep(vertices.select("id").distinct())
     n = ids.count()
     if not n:
         return ids.select("id", F.lit(0.0).alias("page_rank"))
-    ranks = ids.select("id", "n_out", F.lit(1.0 / n).alias("r"))
-    for i in range(iterations):
-        dangling = ranks.where("n_out IS NULL").agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("d"))
-        got = shares.join(ranks.select(F.col("id").alias("src"), "r"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("r") / F.col("n_out")).alias("got"))
-        base = F.lit((1 - C.DAMPING) / n) + F.lit(C.DAMPING) * F.col("d") / n
-        new = ranks.join(got, "id", "left").crossJoin(F.broadcast(dangling))  # one row
-        new = new.select("id", "n_out", (base + F.coalesce("got", F.lit(0.0))).alias("r"), F.col("r").alias("old"))
-        moved = Observation()
-        if epsilon is not None:
-            new = keep(new.observe(moved, F.sum(F.abs(F.col("r") - F.col("old"))).alias("by")))
-        elif i % 5 == 4:
-            new = keep(new)
-        ranks = new.drop("old")
-        if epsilon is not None and moved.get["by"] < epsilon:
+    small = n <= BROADCAST_ROWS  # a row of two numbers for each vertex
+    folder = f"{shared_dir(ids.sparkSession)}/quillstone-{uuid.uuid4().hex}"
+    wave = ids.withColumn("c", F.lit(1.0))
+    schema = wave.schema
+    for k in range(iterations + 1):
+        if k:
+            sent = wave.withColumnRenamed("id", "src")
+            wave = shares.join(F.broadcast(sent) if small else sent, "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("c") / F.col("n_out")).alias("c"))
+        got = Observation()
+        (wave.coalesce(max(1, n >> 18)) if small else wave).observe(got, F.count("*").alias("n")).write.parquet(f"{folder}/k={k}")
+        if not got.get["n"]:
             break
-    return ranks.select("id", F.round("r", digits).alias("page_rank"))
+        wave = ids.sparkSession.read.schema(schema).parquet(f"{folder}/k={k}")
+    waves = ids.sparkSession.read.parquet(folder)
+    sums = {r["k"]: r["c"] for r in waves.join(outs.select(F.col("src").alias("id")), "id", "left_anti").groupBy("k").agg(F.sum("c").alias("c")).collect()}  # a number for each round
+    length = k + 1
+    ended = np.array([sums.get(i, 0.0) for i in range(length)])
+    weights = np.zeros((iterations + 1, length))  # by round, of each wave
+    weights[0, 0] = 1 / n
+    for t in range(1, iterations + 1):
+        weights[t, 1:] = weights[t - 1, :-1]
+        weights[t, 0] = (1 - C.DAMPING) / n + C.DAMPING * float(weights[t - 1] @ ended) / n
+    last = iterations
+    if epsilon is not None:
+        steps = np.diff(weights, axis=0).T  # by wave, how its weight changes in each round
+
+        def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(steps.shape[1])
+            for batch in batches:
+                lists = batch.column(0)
+                owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+                flat = lists.flatten()
+                own = np.zeros((len(lists), len(steps)))
+                own[owner, flat.field("k").to_numpy()] = flat.field("c").to_numpy()
+                total += np.abs(own @ steps).sum(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, len(total) + 1), pa.int32()), pa.array(total)], ["t", "by"])
+
+        each = waves.groupBy("id").agg(F.collect_list(F.struct("k", "c")).alias("waves")).select("waves")  # as many as rounds at most
+        by = {r["t"]: r["by"] for r in each.mapInArrow(moved, "t int, by double").groupBy("t").agg(F.sum("by").alias("by")).collect()}
+        last = next((t for t in sorted(by) if by[t] < epsilon), iterations)
+    weight = F.element_at(F.array(*map(F.lit, weights[last].tolist())), F.col("k") + 1)
+    return waves.groupBy("id").agg(F.round(F.sum(F.col("c") * weight), digits).alias("page_rank"))
+
+
+def furthest(ids: DataFrame, edges: DataFrame) -> DataFrame:
+    """id and colour, the largest id that reaches a vertex over edges (src, dst), itself included.
+
+    Each round takes the colours of three others: of all predecessors, of the vertex that is one's
+    colour, and of the vertex that lies 2, 4, 8, ... steps back along one chosen predecessor each. So a path or
+    cycle of n vertices takes about log2(n) rounds; the result doesn't depend on the choice, since a round
+    that changes nothing ends the loop.
+    """
+    back = edges.groupBy(F.col("dst").alias("id")).agg(F.max_by("src", F.xxhash64("src")).alias("behind"))
+    now = keep(ids.join(back, "id", "left").select("id", F.col("id").alias("colour"), "behind"))
+    seen = None
+    while True:
+        at = lambda key, *more: now.select(F.col("id").alias(key), *more)
+        jump = now.join(at("colour", F.col("colour").alias("c1")), "colour", "left").join(at("behind", F.col("colour").alias("c2"), F.col("behind").alias("next")), "behind", "left")
+        push = edges.join(at("src", "colour"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("colour").alias("c3"))
+        now = keep(jump.join(push, "id", "left").select("id", F.greatest("colour", "c1", "c2", "c3").alias("colour"), F.col("next").alias("behind")))
+        mark = now.agg(F.sum(F.xxhash64("id", "colour").cast("decimal(38,0)"))).first()[0]
+        if mark == seen:
+            return now.select("id", "colour")
+        seen = mark
 
 
 def scc(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """Strongly connected components: id, component (its smallest member).
 
-    By colours: the largest id that reaches a vertex is its colour; what leads back to a colour's own
-    vertex within the colour is a component. Vertices without an edge in or out of what is left are
-    components of their own and go first. Rounds follow the longest path, work per round the edges.
+    By colours: the largest id that reaches a vertex is its colour, and within a colour, the vertices from which in turn the
+    colour's own vertex is the largest that they reach are its component. Both are furthest(), once along the
+    edges and once against them. Vertices without an edge in or out of what is left are components of
+    their own and go first. Rounds follow the logarithm of the longest chain, work per round the edges.
     """
     left = keep(vertices.select("id").distinct())
     e = keep(links(edges))
@@ -101,32 +161,12 @@ def scc(vertices: DataFrame, edges: DataFrame) -> DataFrame:
                 break
         if left.isEmpty():
             break
-        colour = keep(left.select("id", F.col("id").alias("colour")))
-        seen = -1
-        while True:
-            # a step along colours, since a colour's own vertex may have got a larger one, then two along the edges
-            jump = colour.select(F.col("id").alias("colour"), F.col("colour").alias("further"))
-            colour = colour.join(jump, "colour", "left").select("id", F.greatest("colour", "further").alias("colour"))
-            for _ in range(2):
-                push = e.join(colour.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("colour").alias("pushed"))
-                colour = colour.join(push, "id", "left").select("id", F.greatest("colour", "pushed").alias("colour"))
-            colour = keep(colour)
-            now = colour.agg(F.sum(F.xxhash64("id", "colour").cast("decimal(38,0)"))).first()[0]
-            if now == seen:
-                break
-            seen = now
-        inner = keep(e.join(colour.withColumnRenamed("id", "src").withColumnRenamed("colour", "a"), "src").join(colour.withColumnRenamed("id", "dst").withColumnRenamed("colour", "b"), "dst").where("a = b").select("src", "dst", F.col("a").alias("root")))
-        back = frontier = keep(colour.where("id = colour").select("id", F.col("colour").alias("root")))
-        while True:
-            step = inner.join(frontier.select(F.col("id").alias("dst"), "root"), ["dst", "root"]).select(F.col("src").alias("id"), "root").distinct()
-            frontier = keep(step.join(back, ["id", "root"], "left_anti"))
-            if frontier.isEmpty():
-                break
-            back = back.union(frontier)
-        back = keep(back)
-        add(back)
-        left = keep(left.join(back, "id", "left_anti"))
-        rest = left.select("id")
+        colour = furthest(left, e)
+        inner = keep(e.join(colour.withColumnRenamed("id", "src").withColumnRenamed("colour", "a"), "src").join(colour.withColumnRenamed("id", "dst").withColumnRenamed("colour", "b"), "dst").where("a = b").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        reached = furthest(left, inner).withColumnRenamed("colour", "reached")
+        found = keep(colour.join(reached, "id").where("colour = reached").select("id", F.col("colour").alias("root")))
+        add(found)
+        rest = left = keep(left.join(found, "id", "left_anti"))
         e = keep(e.join(rest.withColumnRenamed("id", "src"), "src", "left_semi").join(rest.withColumnRenamed("id", "dst"), "dst", "left_semi"))
     if done is None:
         return vertices.select("id", F.col("id").alias("component")).limit(0)

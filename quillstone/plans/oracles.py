@@ -10,7 +10,6 @@ from quillstone.functions import constants as C
 from quillstone.functions.paths import glob_regex, ignore_regex, workspace_regex
 from quillstone.operators.search import term_weights
 from quillstone.plans.base import CODE, EDGES, FILES, LAYERED, URL_PATHS, duck
-from quillstone.plans.queries import ROUNDS
 
 CODE, EDGES, FILES, LAYERED, URL_PATHS = (f"({duck(x)})" for x in (CODE, EDGES, FILES, LAYERED, URL_PATHS))
 LF = "chr(10)"
@@ -69,13 +68,17 @@ def _degrees(edges: str) -> str:
   LEFT JOIN (SELECT dst, count(*) AS n FROM {edges} GROUP BY dst) i ON i.dst = f.id LEFT JOIN (SELECT src, count(*) AS n FROM {edges} GROUP BY src) o ON o.src = f.id)"""
 
 
-def _pagerank(rounds: int, edges: str) -> str:
-    out = f"WITH n AS (SELECT count(*) AS n FROM {FILES}), e AS MATERIALIZED (SELECT * FROM {edges}), o AS MATERIALIZED (SELECT src, count(*) AS n FROM e GROUP BY src), v AS MATERIALIZED (SELECT id FROM {FILES}), r0 AS (SELECT id, 1::DOUBLE / (SELECT n FROM n) AS r FROM v)"
-    for i in range(1, rounds + 1):
-        p = f"r{i - 1}"
-        out += f""", r{i} AS MATERIALIZED (SELECT v.id, 0.15::DOUBLE / (SELECT n FROM n) + 0.85::DOUBLE * (SELECT coalesce(sum(r), 0) FROM {p} WHERE id NOT IN (SELECT src FROM o)) / (SELECT n FROM n) + coalesce(g.s, 0) AS r
-FROM v LEFT JOIN (SELECT e.dst, sum({p}.r / o.n) AS s FROM e JOIN {p} ON {p}.id = e.src JOIN o ON o.src = e.src GROUP BY e.dst) g ON g.dst = v.id)"""
-    return out + f" SELECT id, round(r, 6) AS page_rank FROM r{rounds}"
+def _pagerank(edges: str, rounds: int = C.PAGERANK_ITERATIONS, epsilon: float = C.PAGERANK_EPSILON) -> str:
+    """The rounds themselves; a row of a vertex to itself, without a share, carries it along."""
+    return f"""WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {edges}), o AS MATERIALIZED (SELECT src, count(*) AS n FROM e GROUP BY src), v AS MATERIALIZED (SELECT id, count(*) OVER () AS n FROM {FILES}),
+s AS MATERIALIZED (SELECT e.src, e.dst, o.n::DOUBLE AS n_out FROM e JOIN o USING (src) UNION ALL SELECT id, id, NULL FROM v),
+r(t, id, n, r, ends, moved) AS (
+  SELECT 0, id, v.n, 1::DOUBLE / v.n, o.src IS NULL, 1e9::DOUBLE FROM v LEFT JOIN o ON o.src = v.id
+  UNION ALL
+  SELECT t + 1, id, n, r, ends, sum(abs(r - old)) OVER () FROM (
+    SELECT any_value(t) AS t, s.dst AS id, any_value(n) AS n, 0.15::DOUBLE / any_value(n) + 0.85::DOUBLE * any_value(d) / any_value(n) + coalesce(sum(r / n_out), 0) AS r, bool_or(ends AND n_out IS NULL) AS ends, max(CASE WHEN n_out IS NULL THEN r END) AS old
+    FROM (SELECT *, coalesce(sum(CASE WHEN ends THEN r END) OVER (), 0) AS d FROM r WHERE t < {rounds} AND moved >= {epsilon}) x JOIN s ON s.src = x.id GROUP BY s.dst))
+SELECT id, round(r, 6) AS page_rank FROM r WHERE t = (SELECT max(t) FROM r)"""
 
 
 _boost = "CASE classification " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in C.ROLE_BOOST.items()) + " ELSE 0::DOUBLE END"
@@ -84,7 +87,7 @@ _boost = "CASE classification " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k,
 def _ranked(edges: str) -> str:
     return f"""(SELECT *, CASE WHEN is_parsed THEN greatest(0::DOUBLE, least(1::DOUBLE, round(0.55::DOUBLE * coalesce((page_rank - lp) / nullif(hp - lp, 0), 0) + 0.3::DOUBLE * coalesce((in_degree - li) / nullif(hi - li, 0), 0) + 0.15::DOUBLE * {_boost}, 6))) ELSE 0::DOUBLE END AS importance
   FROM (SELECT f.*, d.in_degree, d.out_degree, p.page_rank, min(p.page_rank) FILTER (is_parsed) OVER () AS lp, max(p.page_rank) FILTER (is_parsed) OVER () AS hp,
-    min(d.in_degree) FILTER (is_parsed) OVER () AS li, max(d.in_degree) FILTER (is_parsed) OVER () AS hi FROM {FILES_PLUS} f JOIN {_degrees(edges)} d USING (id) JOIN ({_pagerank(ROUNDS, edges)}) p USING (id)))"""
+    min(d.in_degree) FILTER (is_parsed) OVER () AS li, max(d.in_degree) FILTER (is_parsed) OVER () AS hi FROM {FILES_PLUS} f JOIN {_degrees(edges)} d USING (id) JOIN ({_pagerank(edges)}) p USING (id)))"""
 
 
 DEG, RANKED = _degrees(EDGES), _ranked(EDGES)
@@ -210,7 +213,8 @@ SELECT answer_id, coalesce(n_cited, 0) AS n_cited, coalesce(ok, false) AND NOT c
     "adjacency": f"SELECT id, coalesce(o, '') AS out_links, coalesce(i, '') AS in_links FROM (SELECT src AS id, string_agg(dst::VARCHAR, ',' ORDER BY dst) AS o FROM {EDGES} GROUP BY src) FULL JOIN (SELECT dst AS id, string_agg(src::VARCHAR, ',' ORDER BY src) AS i FROM {EDGES} GROUP BY dst) USING (id)",
     "orphans": f"SELECT id FROM {DEG} WHERE in_degree = 0 AND out_degree = 0",
     "distinct_edges": "SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber::BIGINT AS l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey, l_linenumber) = 1",
-    "pagerank_fixed": _pagerank(10, EDGES),
+    "pagerank_fixed": _pagerank(EDGES, 10, 0),
+    "pagerank_converged": _pagerank(f"(SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM {EDGES})"),
     "scc": f"WITH RECURSIVE {_scc(EDGES)} SELECT id, component FROM scc",
     "component_count": f"WITH RECURSIVE {_scc(LAYERED)} SELECT count(DISTINCT component) AS n_components FROM scc",
     "cycles_summary": f"WITH RECURSIVE {_scc(LAYERED)} SELECT row_number() OVER (ORDER BY edge_count DESC, component) AS cycle_rank, component, size, edge_count FROM (SELECT component, count(*) AS size FROM scc GROUP BY component HAVING count(*) > 1) JOIN (SELECT x.component, count(*) AS edge_count FROM e JOIN scc x ON x.id = e.src JOIN scc y ON y.id = e.dst WHERE x.component = y.component GROUP BY x.component) USING (component)",

@@ -37,10 +37,6 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.withColumn("language", P.language(path)).withColumn("classification", P.classify(path, F.lit(""), P.stem(path) == "main"))
 
 
-#: Rounds of the rank in queries; on cyclic graphs the rank's mass grows with each.
-ROUNDS = 10
-
-
 def _order() -> list:
     return [F.desc("is_parsed"), F.desc("importance"), F.desc("in_degree"), F.desc("line_count"), F.col("path"), F.col("id")]
 
@@ -48,7 +44,7 @@ def _order() -> list:
 def _ranked(spark: SparkSession, sf_dir: str, edges: str = EDGES) -> DataFrame:
     """files with degrees, rank and importance."""
     f, e = keep(_files(spark, sf_dir)), keep(base(spark, sf_dir, edges))
-    return keep(G.importance(f.join(G.degrees(f, e), "id").join(G.pagerank(f, e, ROUNDS, None), "id")))
+    return keep(G.importance(f.join(G.degrees(f, e), "id").join(G.pagerank(f, e), "id")))
 
 
 @query

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quillstone.operators import graph as G
 from quillstone.operators import parse, privacy, search, structure
 from quillstone.sources import files as S
+from quillstone.sources.tables import keep
 from quillstone.streaming import limits
 
 
@@ -230,3 +231,43 @@ def test_python_resolution(spark):
     rows = [(1, "app/main.py", ".models.user"), (2, "app/models/user.py", "..main"), (3, "app/main.py", "app.models.User"), (4, "app/main.py", "tool"), (5, "app/main.py", "os.path"), (6, "app/main.py", "requests.api"), (7, "app/main.py", ".gone"), (8, "app/main.py", "ns.deep"), (9, "app/models/user.py", ".")]
     got = {r.import_id: (r.outcome, r.to_path or r.package) for r in resolve.resolve_python(spark.createDataFrame(rows, "import_id long, path string, specifier string"), files, ["", "lib"]).collect()}
     assert got == {1: ("edge", "app/models/user.py"), 2: ("edge", "app/main.py"), 3: ("edge", "app/models/__init__.py"), 4: ("edge", "lib/tool.py"), 5: ("stdlib", "os"), 6: ("external", "requests"), 7: ("unresolved", None), 8: ("edge", "ns/deep/x.py"), 9: ("edge", "app/models/__init__.py")}
+
+
+@pytest.mark.parametrize("step", [1, -1])
+def test_a_long_cycle_settles_in_few_rounds(spark, monkeypatch, step):
+    """A component of 100,000 vertices, against the order of ids and along it, and a tail that leads into it."""
+    n, written = 100_000, []
+    monkeypatch.setattr(G, "keep", lambda df: written.append(1) or keep(df))
+    cycle = spark.range(n).select(F.col("id").alias("src"), F.pmod(F.col("id") + step, F.lit(n)).alias("dst"))
+    tail = spark.range(n, n + 5).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).union(spark.createDataFrame([(n + 5, 7)], "src long, dst long"))
+    parts = G.scc(spark.range(n + 6), cycle.union(tail))
+    assert sorted(tuple(r) for r in parts.groupBy("component").count().collect()) == [(0, n), *((n + i, 1) for i in range(6))]
+    assert len(written) < 70
+
+
+def test_strong_components_of_larger_graphs(spark):
+    """Against reachability by brute force, on sparse graphs with many components and long chains."""
+    for seed, n, m in ((1, 120, 150), (2, 80, 200), (3, 150, 150)):
+        rng = random.Random(seed)
+        pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] + [(i, i + 1) for i in range(0, n - 1, 2)] + [(i, i + 1) for i in range(40)]
+        out = {i: {b for a, b in pairs if a == i} for i in range(n)}
+        reach = {}
+        for i in range(n):
+            seen, todo = {i}, [i]
+            while todo:
+                for j in out[todo.pop()] - seen:
+                    seen.add(j)
+                    todo.append(j)
+            reach[i] = seen
+        want = {i: min(j for j in reach[i] if i in reach[j]) for i in range(n)}
+        assert {r.id: r.component for r in G.scc(vertices_of(spark, n), edges_of(spark, pairs)).collect()} == want
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_ranks_to_their_stop(spark, seed):
+    """A hundred rounds on graphs with cycles, fewer where the ranks settle first."""
+    rng = random.Random(seed)
+    n = 12
+    pairs = [(a, b) for a in range(n) for b in range(n) if rng.random() < 0.12 and (seed == 1 or a < b)]
+    got = {r.id: r.page_rank for r in G.pagerank(vertices_of(spark, n), edges_of(spark, pairs), 100 if seed == 1 else 400, 1e-6).collect()}
+    assert got == pytest.approx(brute_pagerank(n, pairs, 100 if seed == 1 else 400, 1e-6), abs=2e-6)
