@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from quillstone.functions import constants as C
 from quillstone.functions import paths as P
 from quillstone.functions import text as T
+from quillstone.sources.index import names_with
+from quillstone.sources.tables import keep, sized
 
 
 _RAW = re.compile(r"[A-Za-z0-9_]+")
@@ -69,18 +71,11 @@ def postings(files: DataFrame, terms: list[str] | None = None) -> DataFrame:
     return files.select("path", "text").mapInArrow(count, "token string, path string, count long, lines array<int>")
 
 
-def save_index(index: DataFrame, folder: str, buckets: int = 64) -> None:
-    """Writes postings once, in folders by a hash of the token and sorted by token within."""
-    bucketed = index.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int"))
-    spread = F.pmod(F.xxhash64("path"), F.lit(8))  # so that a common token's postings are several files
-    bucketed.repartition("bucket", spread).sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(folder)
-
-
-def open_index(spark: SparkSession, folder: str, terms: list[str], buckets: int = 64) -> DataFrame:
-    """The stored postings of some terms: other folders are not read, and the tokens are pushed down to the files."""
-    wanted = spark.createDataFrame([(t,) for t in terms], "token string").select(F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int").alias("b"))
-    places = sorted({r["b"] for r in wanted.collect()})  # a query's few terms
-    return spark.read.parquet(folder).where(F.col("bucket").isin(places) & F.col("token").isin(list(terms))).drop("bucket")
+def indexable(files: DataFrame) -> DataFrame:
+    """Files (text) without those that the skip rules leave out: unread, binary, too large, minified. Languages that aren't
+    parsed are indexed."""
+    text = F.col("text")
+    return files.where(text.isNotNull() & T.skip_reason(F.octet_length(text), text, F.lit(True)).isNull())
 
 
 def contains(rows: DataFrame, column: str, parts: list[str]) -> DataFrame:
@@ -118,9 +113,25 @@ def term_weights(query: str, keywords: dict[str, list[str]] | None = None) -> tu
     return dict(sorted(out.items())), [t for t in raw if len(t) < C.MIN_TERM]
 
 
-def search(spark: SparkSession, files: DataFrame, symbols: DataFrame, index: DataFrame, query: str, limit: int = 50, keywords: dict[str, list[str]] | None = None) -> DataFrame:
+def answer(spark: SparkSession, files: DataFrame, symbols: DataFrame, index: DataFrame, query: str, limit: int = 50, keywords: dict[str, list[str]] | None = None, grams: str | None = None) -> tuple[DataFrame, list[str]]:
+    """search() and the terms that were dropped as too short. A query without any usable term has no hits, and nothing is
+    read for it."""
+    weights, dropped = term_weights(query, keywords)
+    hits = search(spark, files, symbols, index, query, limit, keywords, grams)
+    return (hits if weights else spark.createDataFrame([], hits.schema)), dropped
+
+
+def search_names(files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """The names (name) that search() looks into, as gram_postings() takes them: symbols and file stems in lower case."""
+    return symbols.select(F.lower("name").alias("name")).union(files.select(F.lower(P.stem(F.col("path")))))
+
+
+def search(spark: SparkSession, files: DataFrame, symbols: DataFrame, index: DataFrame, query: str, limit: int = 50, keywords: dict[str, list[str]] | None = None, grams: str | None = None) -> DataFrame:
     """The best files for a query: path, score, match_kinds, best_symbol, lines.
 
+    With ``grams``, a folder of save_grams() over search_names(), only the names that hold a term are
+    read from it, and symbols and files are joined with them by equality; without, every name is compared with every term.
+
     files: path, classification, importance; symbols: path, name, is_exported; index: as postings().
     Points of each term and file add up by weight, then importance and a penalty by class. Terms are
     a query's, so their table is broadcast; files are only filtered by it. Candidates are cut by path before scoring, as the
@@ -129,12 +140,24 @@ def search(spark: SparkSession, files: DataFrame, symbols: DataFrame, index: Dat
     weights, _ = term_weights(query, keywords)
     terms = F.broadcast(spark.createDataFrame(list(weights.items()), "term string, weight double"))
     tier = F.when(F.col("nm") == F.col("term"), C.SYMBOL_EXACT).when(F.col("nm").startswith(F.col("term")), C.SYMBOL_PREFIX).otherwise(C.SYMBOL_SUBSTRING)
-    hit = symbols.withColumn("nm", F.lower("name")).join(terms, F.contains("nm", "term")).withColumn("tier", tier)
+    named = symbols.withColumn("nm", F.lower("name"))
+    if grams is None:
+        hit = named.join(terms, F.contains("nm", "term"))
+    else:
+        holding = keep(names_with(spark, grams, list(weights)).withColumnsRenamed({"part": "term", "name": "nm"}).join(terms, "term"))
+        hit = named.join(sized(holding, width=F.octet_length("nm") + 16), "nm")
+    hit = hit.withColumn("tier", tier)
     w = Window.partitionBy("path", "term").orderBy(F.desc("tier"), F.desc("is_exported"), "name")
     hit = hit.withColumn("k", F.row_number().over(w)).where("k = 1").select("path", "term", "weight", F.lit("symbol").alias("source"), (F.col("tier") + F.when(F.col("is_exported"), C.EXPORTED_BONUS).otherwise(0.0)).alias("points"), F.when(F.col("tier") == C.SYMBOL_EXACT, "symbol-exact").when(F.col("tier") == C.SYMBOL_PREFIX, "symbol-prefix").otherwise("symbol-substring").alias("kind"), "name", F.lit(None).cast("array<int>").alias("lines"))
     stem = F.lower(P.stem(F.col("path")))
     parts = F.transform(P.segments(F.col("path")), F.lower)
-    named = files.select("path", stem.alias("stem"), parts.alias("parts")).join(terms, F.contains("stem", "term") | F.array_contains("parts", F.col("term")))
+    named = files.select("path", stem.alias("stem"), parts.alias("parts"))
+    if grams is None:
+        named = named.join(terms, F.contains("stem", "term") | F.array_contains("parts", F.col("term")))
+    else:
+        by_stem = named.join(sized(holding.withColumnRenamed("nm", "stem"), width=F.octet_length("stem") + 16), "stem")
+        by_part = named.withColumn("term", F.explode(F.array_distinct("parts"))).join(terms, "term").where(~F.contains("stem", "term"))
+        named = by_stem.unionByName(by_part)
     name_kinds = F.array(
         F.when(F.col("stem") == F.col("term"), F.struct(F.lit(C.FILENAME_EXACT).alias("p"), F.lit("filename-exact").alias("k"))).when(F.contains("stem", "term"), F.struct(F.lit(C.FILENAME_SUBSTRING).alias("p"), F.lit("filename-substring").alias("k"))),
         F.when(F.array_contains("parts", F.col("term")), F.struct(F.lit(C.PATH_SEGMENT).alias("p"), F.lit("path-segment").alias("k"))),

@@ -126,8 +126,10 @@ def _redact(t: str) -> str:
 
 
 REDACTED = f"array_to_string(list_transform(string_split(text, {LF}), lambda l: {_redact('l')}), {LF})"
+SIZES = f"list_transform(string_split(text, {LF}), lambda l: length(l))"
 POSTINGS = f"""(SELECT token, path, count(*) AS count, list_sort(list_distinct(list(line)))[1:{C.LINES_PER_TOKEN}] AS lines
-  FROM (SELECT path, line, unnest({tokens('l')}) AS token FROM (SELECT path, unnest(string_split(text, {LF})) AS l, generate_subscripts(string_split(text, {LF}), 1) AS line FROM {CODE})) GROUP BY token, path)"""
+  FROM (SELECT path, line, unnest({tokens('l')}) AS token FROM (SELECT path, unnest(string_split(text, {LF})) AS l, generate_subscripts(string_split(text, {LF}), 1) AS line FROM {CODE}
+  WHERE NOT (strlen(text) > {C.MAX_PARSE_BYTES} OR contains(text[1:{C.BINARY_CHECK_BYTES}], chr(0)) OR list_max({SIZES}) > {C.MINIFIED_MAX_LINE} OR (text <> '' AND list_sum({SIZES}) / len({SIZES})::DOUBLE > {C.MINIFIED_MEAN_LINE})))) GROUP BY token, path)"""
 
 
 def _preview(line: str, terms: list[str]) -> str:
@@ -157,7 +159,6 @@ FROM c JOIN f ON c.path = f.path ORDER BY score DESC, importance DESC, c.path LI
 
 EXCLUDED = " OR ".join([f"list_contains({names(C.EXCLUDED_EXTENSIONS)}, {EXT})", *(f"regexp_matches({BASENAME}, {q(p)})" for p in C.EXCLUDED_BASENAMES), f"regexp_matches(path, {q(glob_regex('app/**'))})"])
 IGNORED = f"list_has_any(string_split(path, '/'), {names(C.IGNORED_DIRS)}) OR " + " OR ".join(f"regexp_matches(path, {q(ignore_regex(g))})" for g in C.IGNORED_GLOBS)
-SIZES = f"list_transform(string_split(text, {LF}), lambda l: length(l))"
 BUDGET = f"""SELECT source, doc_id, size, place, bytes_so_far::BIGINT AS bytes_so_far FROM (
   SELECT *, count(*) OVER w AS place, sum(size) OVER w AS bytes_so_far FROM (SELECT DISTINCT d.source, d.doc_id, l.quality, least(strlen(coalesce(d.text, '')), {C.SNIPPET_BYTES})::BIGINT AS size FROM documents d JOIN (SELECT DISTINCT doc_id, quality FROM labels) l ON l.doc_id = d.doc_id)
   WINDOW w AS (PARTITION BY source ORDER BY quality DESC, doc_id ROWS UNBOUNDED PRECEDING)) WHERE place <= {C.BUDGET_FILES} AND bytes_so_far <= {C.BUDGET_BYTES}"""
@@ -239,6 +240,9 @@ SELECT answer_id, coalesce(n_cited, 0) AS n_cited, coalesce(ok, false) AND NOT c
     "debounce_latest": "SELECT event_id, user_id FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after FROM events) WHERE after IS NULL OR after - ts >= INTERVAL 1800 SECONDS",
     "windowed_counts": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "session_counts": "SELECT user_id, count(*) AS n_sessions, max(n) AS longest FROM (SELECT user_id, s, count(*) AS n FROM (SELECT user_id, sum(g) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 2 HOURS THEN 0 ELSE 1 END AS g FROM events)) GROUP BY 1, 2) GROUP BY user_id",
+    "incremental_index": f"SELECT token, path, count, array_to_string(lines, ',') AS lines FROM {POSTINGS}",
+    "stored_search": f"SELECT path, score, array_to_string(kinds, ',') AS match_kinds, best_symbol, coalesce(array_to_string(lines, ','), '') AS lines, 'x1' AS dropped_terms FROM ({_search('token config widget x1 the', 50)})",
+    "names_by_part": "SELECT part, name, of FROM (SELECT p_name AS name, 'part ' || p_partkey AS of FROM part UNION ALL SELECT s_name, 'supplier ' || s_suppkey FROM supplier) JOIN (VALUES ('dget'), ('%'), ('ier#00000'), ('0'), ('lu'), ('no such part'), ('Supplier#000000001')) v(part) ON contains(name, part)",
     "lookup_contains": "SELECT p_partkey, p_name FROM part WHERE contains(p_name, 'dget') OR contains(p_name, '%')",
 }
 

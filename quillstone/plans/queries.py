@@ -15,6 +15,7 @@ from quillstone.operators import cards, parse, privacy, resolve, search, structu
 from quillstone.operators import graph as G
 from quillstone.plans.base import CODE, EDGES, FILES, LAYERED, MODULES, SCRIPTS, URL_PATHS, base, sources
 from quillstone.sources import files as S
+from quillstone.sources.index import PostingIndex, changed_rows, gram_postings, names_with, save_grams
 from quillstone.sources.tables import keep, shared_dir, spread, table
 from quillstone.streaming import limits
 
@@ -190,25 +191,43 @@ def truncate_content(spark, sf_dir):
     return base(spark, sf_dir, CODE).select("doc_id", F.octet_length(cut).cast("long").alias("n_bytes"), F.sha2(cut, 256).alias("cut_sha256"))
 
 
+def _postings(spark, sf_dir):
+    return search.postings(search.indexable(spread(base(spark, sf_dir, CODE).select("path", "text"))))
+
+
 @query
 def token_index(spark, sf_dir):
-    p = search.postings(spread(base(spark, sf_dir, CODE).select("path", "text")))
-    return p.select("token", "path", "count", F.array_join("lines", ",").alias("lines"))
+    return _postings(spark, sf_dir).select("token", "path", "count", F.array_join("lines", ",").alias("lines"))
 
 
 @query
 def token_top(spark, sf_dir):
-    p = search.postings(spread(base(spark, sf_dir, CODE).select("path", "text")))
-    g = p.groupBy("token").agg(F.sum("count").alias("n"), F.count("*").alias("n_files"))
+    g = _postings(spark, sf_dir).groupBy("token").agg(F.sum("count").alias("n"), F.count("*").alias("n_files"))
     return g.orderBy(F.desc("n"), "token").limit(50)
 
 
+@query
+def incremental_index(spark, sf_dir):
+    """An index of all texts as they were before some changed, brought up to date by reading the changed ones only: one
+    in fifty had another text, some were not there and some are gone now. Then it is compacted."""
+    now = keep(base(spark, sf_dir, CODE).select("doc_id", "path", "text"))
+    was = now.where("doc_id % 101 <> 5").withColumn("text", F.when(F.col("doc_id") % 50 == 7, F.reverse("text")).otherwise(F.col("text")))
+    was = keep(was.unionByName(now.where("doc_id % 103 = 9").withColumn("path", F.concat(F.lit("old/"), "path"))))
+    index = PostingIndex(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    index.create(search.postings(search.indexable(spread(was))))
+    hashed = lambda d: d.select("path", "text", F.xxhash64("text").alias("hash"))
+    changed, moved = changed_rows(hashed(was), hashed(now), "path", "hash")
+    index.update(search.postings(search.indexable(changed)), moved)
+    index.compact()
+    return index.read().select("token", "path", "count", F.array_join("lines", ",").alias("lines"))
+
+
 def _search_tables(spark, sf_dir, text):
     """Files, symbols and the postings of a query's terms."""
     code = spread(base(spark, sf_dir, CODE))
     files = code.select("path", F.when(F.col("doc_id") % 9 == 0, "test").when(F.col("doc_id") % 13 == 0, "fixture").otherwise("docs").alias("classification"), (F.col("doc_id") % 100 / 100.0).alias("importance"), "doc_id", "text")
     symbols = table(spark, sf_dir, "part").join(code.select(F.col("doc_id").alias("p_partkey"), "path"), "p_partkey").select("path", F.regexp_replace("p_name", " ", "_").alias("name"), (F.col("p_size") % 2 == 0).alias("is_exported"))
-    return files, symbols, search.postings(code.select("path", "text"), list(search.term_weights(text)[0]))
+    return files, symbols, search.postings(search.indexable(code.select("path", "text")), list(search.term_weights(text)[0]))
 
 
 @query
@@ -228,10 +247,32 @@ def search_previews(spark, sf_dir):
 @query
 def stored_index(spark, sf_dir):
     """Postings of some terms, read back from an index that is written once."""
+    index = PostingIndex(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    index.create(_postings(spark, sf_dir))
+    return index.read(["token", "config", "the", "x1y"]).select("token", "path", "count", F.array_join("lines", ",").alias("lines"))
+
+
+@query
+def stored_search(spark, sf_dir):
+    """keyword_search() from stored postings and runs of three characters; terms too short come with every row."""
+    text, folder = "token config widget x1 the", f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    files, symbols, _ = _search_tables(spark, sf_dir, text)
+    index = PostingIndex(spark, f"{folder}/tokens")
+    index.create(_postings(spark, sf_dir))
+    save_grams(gram_postings(search.search_names(files, symbols)), f"{folder}/names")
+    hits, dropped = search.answer(spark, files, symbols, index.read(list(search.term_weights(text)[0])), text, grams=f"{folder}/names")
+    return hits.select("path", "score", F.array_join("match_kinds", ",").alias("match_kinds"), "best_symbol", F.array_join("lines", ",").alias("lines"), F.lit(",".join(dropped)).alias("dropped_terms"))
+
+
+@query
+def names_by_part(spark, sf_dir):
+    """All parts and suppliers by literal parts of their names, through stored runs of three characters."""
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.concat(F.lit("part "), "p_partkey").alias("of"))
+    names = names.union(table(spark, sf_dir, "supplier").select("s_name", F.concat(F.lit("supplier "), "s_suppkey")))
     folder = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
-    search.save_index(search.postings(spread(base(spark, sf_dir, CODE).select("path", "text"))), folder)
-    found = search.open_index(spark, folder, ["token", "config", "the", "x1y"])
-    return found.select("token", "path", "count", F.array_join("lines", ",").alias("lines"))
+    save_grams(gram_postings(names), folder)
+    found = names_with(spark, folder, ["dget", "%", "ier#00000", "0", "lu", "no such part", "Supplier#000000001"])
+    return names.join(found, "name").select("part", "name", "of")
 
 
 @query

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import text as T
 from quillstone.operators import cards, graph, parse, search, structure
 from quillstone.sources import files as S
+from quillstone.sources.index import PostingIndex
 from quillstone.streaming import limits
 
 SCRIPT = '''// import gone from './commented';
@@ -215,8 +216,9 @@ def test_postings_and_their_index(spark, tmp_path):
     index = search.postings(files)
     assert {(r.token, r.path): (r["count"], r.lines) for r in index.collect()} == want
     assert {(r.token, r.path) for r in search.postings(files, ["get", "nope"]).collect()} == {("get", "a")}
-    search.save_index(index, str(tmp_path / "index"))
-    found = search.open_index(spark, str(tmp_path / "index"), ["get", "tok"])
+    stored = PostingIndex(spark, str(tmp_path / "index"))
+    stored.create(index)
+    found = stored.read(["get", "tok"])
     assert {(r.token, r.path) for r in found.collect()} == {("get", "a"), ("tok", "d")}
     assert "bucket" in found._jdf.queryExecution().toString() and "PushedFilters: [In(token" in found._jdf.queryExecution().toString()
 
