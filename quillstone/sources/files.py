@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,11 +32,13 @@ def over_cap(files: DataFrame, most: int = C.MAX_CORPUS_FILES) -> bool:
 
 
 def read_text(files: DataFrame) -> DataFrame:
-    """Adds text (lossy UTF-8), content_hash, line_count, language, skip_reason and is_lossy to scanned files."""
-    text = T.valid_text(F.col("content"))
-    out = files.withColumn("text", text).withColumn("content_hash", F.sha2("content", 256)).withColumn("language", P.language(F.col("path")))
+    """Adds text (lossy UTF-8), content_hash, line_count, language, skip_reason and is_lossy to scanned files. A file whose
+    content is null couldn't be read: it counts as empty, with skip_reason 'unreadable'."""
+    content = F.coalesce("content", F.lit(b""))
+    out = files.withColumn("text", T.valid_text(content)).withColumn("content_hash", F.sha2(content, 256)).withColumn("language", P.language(F.col("path"))).withColumn("__read", F.col("content").isNotNull())
     reason = T.skip_reason(F.col("size_bytes"), F.col("text"), F.col("language").isin(C.PARSED_LANGUAGES))
-    return out.drop("content").withColumn("line_count", T.n_lines(F.col("text"))).withColumn("skip_reason", reason).withColumn("is_lossy", F.col("text").contains("�"))
+    reason = F.when(~F.col("__read"), F.lit("unreadable")).otherwise(reason)
+    return out.drop("content").withColumn("line_count", T.n_lines(F.col("text"))).withColumn("skip_reason", reason).drop("__read").withColumn("is_lossy", F.col("text").contains("�"))
 
 
 def nested_ignores(files: DataFrame, rules: DataFrame) -> DataFrame:
@@ -203,20 +204,6 @@ def repo_id(root: Column) -> Column:
     return F.substring(F.sha2(F.regexp_replace(root, "/+$", ""), 256), 1, 16)
 
 
-def symlink_loops(root: str) -> list[str]:
-    """Directories below a local root whose real path is one of their own ancestors; a listing by the driver, since Spark's
-    reader sees no links. scan_files() reads the rest."""
-    loops = []
-    for folder, dirs, _ in os.walk(root, followlinks=True):
-        real = os.path.realpath(folder)
-        for d in list(dirs):
-            path = os.path.join(folder, d)
-            if os.path.islink(path) and (real + os.sep).startswith(os.path.realpath(path).rstrip(os.sep) + os.sep):
-                loops.append(os.path.relpath(path, root))
-                dirs.remove(d)
-    return sorted(loops)
-
-
 def strip_json_comments(text: Column) -> Column:
     """JSON without // and /* */ comments and trailing commas; strings stay."""
     kept = F.regexp_replace(text, r'(?s)("(?:\\.|[^"\\])*")|//[^\n]*|/\*.*?\*/', "$1")
