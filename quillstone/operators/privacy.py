@@ -2,23 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import constants as C
 from quillstone.functions import paths as P
 from quillstone.functions import text as T
+from quillstone.sources.tables import running
 
 PLACE = r"([A-Za-z0-9_@./-]+\.[A-Za-z0-9]+)(?::([0-9]+))?"
 #: Places are cited in code spans and as link targets.
 CITATIONS = [f"`{PLACE}`", rf"\]\({PLACE}\)"]
 
 
-def within_budget(snippets: DataFrame, key: str, order: list, size: str, most: int = C.BUDGET_FILES, most_bytes: int = C.BUDGET_BYTES) -> DataFrame:
+#: Up to so many snippets a request, Spark passes on no more than these of each task's rows.
+FEW = 1000
+
+
+def within_budget(snippets: DataFrame, key: str, order: list[Column], size: str, most: int = C.BUDGET_FILES, most_bytes: int = C.BUDGET_BYTES) -> DataFrame:
     """The longest prefix of each request whose number and running size stay within the budget; it stops at the first
-    snippet that doesn't fit."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return snippets.withColumn("place", F.count("*").over(w)).withColumn("bytes_so_far", F.sum(size).over(w)).where((F.col("place") <= most) & (F.col("bytes_so_far") <= most_bytes))
+    snippet that doesn't fit. ``order`` tells a request's snippets apart.
+
+    A small budget takes the first ``most`` of every task before anything is shuffled; a large one sums up over ranges
+    (running()). Either way a request with most of the rows fills no task.
+    """
+    if most <= FEW:
+        first = snippets.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("place") <= most)
+        w = Window.partitionBy(key).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+        return first.withColumn("place", F.col("place").cast("long")).withColumn("bytes_so_far", F.sum(size).over(w)).where(F.col("bytes_so_far") <= most_bytes)
+    rows = running(snippets, key, order, {"place": F.lit(1).cast("long"), "bytes_so_far": F.col(size).cast("long")})
+    return rows.where((F.col("place") <= most) & (F.col("bytes_so_far") <= most_bytes))
 
 
 def redacted(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:

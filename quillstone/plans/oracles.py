@@ -160,7 +160,7 @@ FROM c JOIN f ON c.path = f.path ORDER BY score DESC, importance DESC, c.path LI
 EXCLUDED = " OR ".join([f"list_contains({names(C.EXCLUDED_EXTENSIONS)}, {EXT})", *(f"regexp_matches({BASENAME}, {q(p)})" for p in C.EXCLUDED_BASENAMES), f"regexp_matches(path, {q(glob_regex('app/**'))})"])
 IGNORED = f"list_has_any(string_split(path, '/'), {names(C.IGNORED_DIRS)}) OR " + " OR ".join(f"regexp_matches(path, {q(ignore_regex(g))})" for g in C.IGNORED_GLOBS)
 BUDGET = f"""SELECT source, doc_id, size, place, bytes_so_far::BIGINT AS bytes_so_far FROM (
-  SELECT *, count(*) OVER w AS place, sum(size) OVER w AS bytes_so_far FROM (SELECT DISTINCT d.source, d.doc_id, l.quality, least(strlen(coalesce(d.text, '')), {C.SNIPPET_BYTES})::BIGINT AS size FROM documents d JOIN (SELECT DISTINCT doc_id, quality FROM labels) l ON l.doc_id = d.doc_id)
+  SELECT *, count(*) OVER w AS place, sum(size) OVER w AS bytes_so_far FROM (SELECT DISTINCT d.source, d.doc_id, l.quality, least(strlen(coalesce(d.text, '')), {C.SNIPPET_BYTES})::BIGINT AS size FROM documents d LEFT JOIN (SELECT DISTINCT doc_id, quality FROM labels) l ON l.doc_id = d.doc_id)
   WINDOW w AS (PARTITION BY source ORDER BY quality DESC, doc_id ROWS UNBOUNDED PRECEDING)) WHERE place <= {C.BUDGET_FILES} AND bytes_so_far <= {C.BUDGET_BYTES}"""
 NPM = list(C.DEPENDENCY_ROLES)[:25]
 _role = "CASE name " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in C.DEPENDENCY_ROLES.items()) + " END"

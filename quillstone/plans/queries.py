@@ -173,7 +173,7 @@ def citation_verify(spark, sf_dir):
 
 @query
 def snippet_budget(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality").distinct(), "doc_id")
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality").distinct(), "doc_id", "left")
     d = d.select("source", "doc_id", "quality", F.least(F.octet_length(F.coalesce("text", F.lit(""))), F.lit(C.SNIPPET_BYTES)).cast("long").alias("size"))
     out = privacy.within_budget(d, "source", [F.desc("quality"), "doc_id"], "size")
     return out.select("source", "doc_id", "size", "place", "bytes_so_far")

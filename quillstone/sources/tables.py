@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows up to which a side of fixed-width columns is broadcast; beyond, the join shuffles.
@@ -73,3 +73,21 @@ def join_hot(rows: DataFrame, side: DataFrame, key: str, n: str, parts: int = 20
     beside = rows.join(F.broadcast(hot.select(key, F.lit(True).alias("__hot"))), key, "left")  # at most `parts` rows
     often = beside.where("__hot").drop("__hot").join(F.broadcast(hot), key)
     return often.unionByName(beside.where("__hot IS NULL").drop("__hot").join(side.where(F.col(n) * parts <= total), key))
+
+
+def running(rows: DataFrame, key: str, order: list[str | Column], sums: dict[str, Column]) -> DataFrame:
+    """rows with a running sum for each name in ``sums``, within key and in the order of columns that tell its rows apart.
+
+    On two levels: rows are dealt by ranges of (key, order) and summed up within a range; what the ranges before hold of a
+    key is one row for each range and key. So no task gets more than a range, whatever share of the rows a key has.
+    """
+    by = [F.col(o) if isinstance(o, str) else o for o in (key, *order)]
+    sorted_ = rows.withColumns(sums).repartitionByRange(*by).sortWithinPartitions(*by)
+    part = keep(sorted_.withColumn("__at", F.monotonically_increasing_id()).withColumn("__p", F.shiftright(F.monotonically_increasing_id(), 33)))
+    totals = part.groupBy(key, "__p").agg(*(F.sum(n).alias(f"__{n}") for n in sums))
+    before = Window.partitionBy(key).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = keep(totals.select(F.col(key).alias("__k"), F.col("__p").alias("__q"), *(F.coalesce(F.sum(f"__{n}").over(before), F.lit(0)).alias(f"__{n}") for n in sums)))
+    here = Window.partitionBy("__p", key).orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    inner = part.withColumns({n: F.sum(n).over(here) for n in sums})
+    out = inner.join(ahead, (F.col("__p") == F.col("__q")) & F.col(key).eqNullSafe(F.col("__k")))
+    return out.withColumns({n: F.col(n) + F.col(f"__{n}") for n in sums}).drop("__at", "__p", "__q", "__k", *(f"__{n}" for n in sums))

@@ -15,9 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from quillstone.functions import constants as C
-from quillstone.sources.tables import keep
+from quillstone.sources.library import ship
+from quillstone.sources.tables import keep, running
 
 
 def _micros(ts: str) -> Column:
@@ -101,16 +103,28 @@ def throttle(events: DataFrame, key: str, ts: str, id_col: str, gap_s: float = 0
 
 
 def offered(events: DataFrame, key: str, ts: str, window_s: int = C.RATE_WINDOW_S) -> DataFrame:
-    """Events of a key within the trailing window, each itself included."""
-    w = Window.partitionBy(key).orderBy(_micros(ts)).rangeBetween(-window_s * 1_000_000, 0)
-    return events.withColumn("n_offered", F.count("*").over(w))
+    """events with n_offered: events of the key within the trailing window, each itself and those of its time included.
+
+    Every event counts those up to its time less those before its window. Both are running counts at two marks
+    that are sorted in among the events, so a key with any share of the rows lies in many partitions.
+    """
+    named = keep(events.withColumn("__row", F.monotonically_increasing_id()).withColumn("__us", _micros(ts)))
+    marks = F.array(*(F.struct((F.col("__us") - before).alias("us"), F.lit(kind).alias("kind")) for before, kind in ((window_s * 1_000_000, 0), (0, 1), (0, 2))))
+    each = named.where("__us IS NOT NULL").select(F.col(key).alias("k"), "__row", F.explode(marks).alias("x")).select("k", "__row", "x.us", "x.kind")
+    counted = running(each, "k", ["us", "kind", "__row"], {"n": (F.col("kind") == 1).cast("long")}).where("kind <> 1")
+    n = counted.groupBy("__row").agg(F.sum(F.when(F.col("kind") == 2, F.col("n")).otherwise(-F.col("n"))).alias("n_offered"))
+    return named.join(n, "__row", "left").drop("__row", "__us")
 
 
 def debounce(events: DataFrame, key: str, ts: str, id_col: str, gap_s: float) -> DataFrame:
-    """The last event of every run of events that follow one another within the gap."""
-    w = Window.partitionBy(key).orderBy(_micros(ts), id_col)
-    after = F.lead(_micros(ts)).over(w) - _micros(ts)
-    return events.withColumn("__gap", after).where(F.col("__gap").isNull() | (F.col("__gap") >= int(gap_s * 1_000_000))).drop("__gap")
+    """The last event of every run of events that follow one another within the gap. Runs are found by with_runs(), and each
+    is summed up to its last event before anything of it is shuffled."""
+    gap = int(gap_s * 1_000_000)
+    if gap <= 0:
+        return events
+    runs = with_runs(events.withColumn("__us", _micros(ts)), key, "__us", id_col, gap)
+    last = runs.groupBy(key, "run").agg(F.max_by(F.struct(*(F.col(f"`{c}`") for c in events.columns)), F.struct("__us", id_col)).alias("last"))
+    return last.select("last.*")
 
 
 def windowed_counts(stream: DataFrame, ts: str = "ts", late: str = "10 minutes", size: str = "5 minutes", slide: str | None = None, by: str = "event_type") -> DataFrame:
@@ -152,3 +166,107 @@ def admit_stream(stream: DataFrame, key: str, ts: str, id_col: str, limit: int =
     kinds = {c: stream.schema[c].dataType.simpleString() for c in (key, id_col)}
     marked = stream.withWatermark(ts, late)
     return marked.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {id_col} {kinds[id_col]}, admitted boolean", "times array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+class Ordered(StatefulProcessor):
+    """Events of a key wait in its state until the watermark says that none before them can come; then they are taken in the
+    order of time, however the stream dealt them. ``wait_us`` is how long after an event's time that has to be so."""
+
+    def __init__(self, key: str, ts: str, id_col: str, kinds: dict[str, str], wait_us: int, forced: str | None = None):
+        self.key, self.ts, self.id_col, self.kinds, self.wait_us, self.forced = key, ts, id_col, kinds, wait_us, forced
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pending = handle.getListState("pending", f"us long, id {self.kinds[self.id_col]}, force boolean")
+        self.last = handle.getValueState("last", "us long")
+
+    def _due(self, us: int) -> int:
+        """The watermark in milliseconds at which an event is taken."""
+        return -((-us - self.wait_us) // 1000)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        new: list[tuple] = []
+        for b in rows:
+            us = b[self.ts].astype("datetime64[us]").astype("int64")
+            force = b[self.forced].fillna(False).astype(bool) if self.forced else [False] * len(b)
+            new += zip(us.tolist(), b[self.id_col].tolist(), force, strict=True)
+        self.pending.appendList(new)
+        for due in {self._due(us) for us, _, _ in new}:
+            self.handle.registerTimer(due)
+        yield from ()
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        waiting = sorted(tuple(x) for x in self.pending.get()) if self.pending.exists() else []
+        due = [x for x in waiting if self._due(x[0]) <= now]
+        rest = waiting[len(due) :]
+        if due:
+            yield self.take(key, due, rest)
+            if rest:
+                self.pending.put(rest)
+            else:
+                self.pending.clear()
+        elif not waiting:
+            self.settled(now)
+
+    def take(self, key: tuple, due: list[tuple], rest: list[tuple]) -> pd.DataFrame:
+        raise NotImplementedError
+
+    def settled(self, now: int) -> None:
+        """Called by a timer when nothing waits."""
+
+    def close(self) -> None:
+        pass
+
+
+class Throttled(Ordered):
+    def __init__(self, *args, gap_us: int, **more):
+        super().__init__(*args, **more)
+        self.gap_us = gap_us
+
+    def take(self, key: tuple, due: list[tuple], rest: list[tuple]) -> pd.DataFrame:
+        last = self.last.get()[0] if self.last.exists() else None
+        passed = []
+        for us, _, force in due:
+            passed.append(force or last is None or us - last >= self.gap_us)
+            last = us if passed[-1] else last
+        self.last.update((last,))
+        self.handle.registerTimer(-((-last - self.gap_us) // 1000))  # from then on the key needs no state
+        return pd.DataFrame({self.key: key[0], self.id_col: [i for _, i, _ in due], "admitted": passed})
+
+    def settled(self, now: int) -> None:
+        if self.last.exists() and self.last.get()[0] + self.gap_us <= now * 1000:
+            self.last.clear()
+
+
+class Debounced(Ordered):
+    def take(self, key: tuple, due: list[tuple], rest: list[tuple]) -> pd.DataFrame:
+        after = [*due[1:], *rest[:1]]
+        out = [x for i, x in enumerate(due) if i >= len(after) or after[i][0] - x[0] >= self.wait_us]
+        return pd.DataFrame({self.key: key[0], self.id_col: [i for _, i, _ in out], self.ts: pd.to_datetime([us for us, _, _ in out], unit="us")})
+
+
+def _ordered_stream(stream: DataFrame, processor: Ordered, key: str, ts: str, late: str, out: str) -> DataFrame:
+    ship(stream.sparkSession)
+    return stream.withWatermark(ts, late).groupBy(key).transformWithStateInPandas(processor, out, "Append", "EventTime")
+
+
+def _kinds(stream: DataFrame, *columns: str) -> dict[str, str]:
+    return {c: stream.schema[c].dataType.simpleString() for c in columns}
+
+
+def throttle_stream(stream: DataFrame, key: str, ts: str, id_col: str, gap_s: float = 0.1, final: str | None = None, late: str = "1 minute") -> DataFrame:
+    """throttle() over a stream: key, id, admitted, once the watermark has passed an event, so events may come in any order
+    within ``late``. A key's state is its waiting events and the last one that passed, and goes when that is a
+    gap ago. Needs the RocksDB state store."""
+    kinds = _kinds(stream, key, id_col)
+    rule = Throttled(key, ts, id_col, kinds, 0, final, gap_us=int(gap_s * 1_000_000))
+    return _ordered_stream(stream, rule, key, ts, late, f"`{key}` {kinds[key]}, `{id_col}` {kinds[id_col]}, admitted boolean")
+
+
+def debounce_stream(stream: DataFrame, key: str, ts: str, id_col: str, gap_s: float, late: str = "1 minute") -> DataFrame:
+    """debounce() over a stream: key, id and time of the last event of every run, as soon as the watermark shows that the
+    gap after it stays empty. A key's state is what came within the gap and ``late``. Needs the RocksDB state store."""
+    kinds = _kinds(stream, key, id_col, ts)
+    rule = Debounced(key, ts, id_col, kinds, int(gap_s * 1_000_000))
+    return _ordered_stream(stream, rule, key, ts, late, f"`{key}` {kinds[key]}, `{id_col}` {kinds[id_col]}, `{ts}` {kinds[ts]}")
