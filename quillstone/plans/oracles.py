@@ -231,6 +231,8 @@ SELECT answer_id, coalesce(n_cited, 0) AS n_cited, coalesce(ok, false) AND NOT c
     "semi_changed": "SELECT doc_id AS path, sha256(coalesce(text, '')) AS content_hash FROM documents WHERE doc_id % 3 = 0 OR doc_id % 5 = 0",
     "anti_orphaned": "SELECT doc_id AS path, source FROM documents WHERE doc_id % 4 = 1",
     "upsert_cache": "SELECT doc_id AS path, lang, CASE WHEN doc_id % 6 = 2 THEN 2 ELSE 1 END::BIGINT AS version FROM documents",
+    "replaced_rows": "SELECT doc_id AS path, lang, CASE WHEN doc_id % 50 = 7 THEN 2 ELSE 1 END::BIGINT AS version FROM documents WHERE doc_id % 50 <> 11",
+    "stored_cache_hits": "SELECT doc_id AS path, sha256(coalesce(text, '')) AS content_hash, CASE WHEN doc_id % 3 <> 0 AND doc_id % 5 <> 0 THEN 'hit' ELSE 'miss' END AS state FROM documents UNION ALL SELECT -1 - doc_id, sha256(coalesce(text, '')), 'gone' FROM documents",
     "delete_cascade": "SELECT conv_id, turn, role FROM conversations WHERE conv_id % 5 <> 0",
     "reconcile_diff": "SELECT coalesce(l.id, t.id) AS id, CASE WHEN l.id IS NULL THEN 'add' ELSE 'remove' END AS change FROM (SELECT DISTINCT o_custkey AS id FROM orders) l FULL JOIN (SELECT c_custkey AS id FROM customer WHERE c_acctbal > 5000) t ON l.id = t.id WHERE l.id IS NULL OR t.id IS NULL",
     "consecutive_pairs": "SELECT * FROM (SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_partkey, lead(l_partkey) OVER w AS next_part, lag(l_partkey) OVER w AS previous_part FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity)) WHERE next_part IS NOT NULL",

@@ -16,6 +16,7 @@ from quillstone.operators import graph as G
 from quillstone.plans.base import CODE, EDGES, FILES, LAYERED, MODULES, SCRIPTS, URL_PATHS, base, sources
 from quillstone.sources import files as S
 from quillstone.sources.index import PostingIndex, changed_rows, gram_postings, names_with, save_grams
+from quillstone.sources.store import KeyedStore, StoredVersion
 from quillstone.sources.tables import keep, shared_dir, spread, table
 from quillstone.streaming import limits
 
@@ -487,6 +488,28 @@ def upsert_cache(spark, sf_dir):
     return structure.upsert(d, new, ["path"])
 
 
+@query
+def replaced_rows(spark, sf_dir):
+    """The same on storage, in folders by a hash of the key: some documents get a new version, some go and some come."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "lang", F.lit(1).cast("long").alias("version"))
+    store = KeyedStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", "path", 32)
+    store.create(d.where("path % 25 <> 3"))
+    store.replace(d.where("path % 50 = 7").withColumn("version", F.lit(2).cast("long")))
+    store.replace(d.where("path % 25 = 3"), d.where("path % 50 = 11"))
+    return store.read()
+
+
+@query
+def stored_cache_hits(spark, sf_dir):
+    """Hits, misses and vanished documents against a stored version that no join shuffles."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"))
+    version = StoredVersion(spark, f"{shared_dir(spark)}/version-{uuid.uuid4().hex}", ["path"], 64)
+    version.save(d.where("path % 3 <> 0").withColumn("content_hash", F.when(F.col("path") % 5 == 0, "old").otherwise(F.col("content_hash"))).union(d.select(-1 - F.col("path"), "content_hash")))
+    hits, misses, gone = version.split(d, "content_hash")
+    told = lambda rows, state: rows.select("path", "content_hash", F.lit(state).alias("state"))
+    return told(hits, "hit").union(told(misses, "miss")).union(told(gone, "gone"))
+
+
 @query
 def delete_cascade(spark, sf_dir):
     """Turns whose conversation no longer exists go with it."""
