@@ -6,7 +6,6 @@ round is joins and grouped aggregates over edges; nothing is gathered but a coun
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import constants as C
 from quillstone.functions import paths as P
-from quillstone.sources.tables import BROADCAST_ROWS, keep, shared_dir, sized
+from quillstone.sources.tables import BROADCAST_ROWS, fresh_path, keep, sized
 
 
 def links(edges: DataFrame) -> DataFrame:
@@ -68,7 +67,7 @@ def pagerank(vertices: DataFrame, edges: DataFrame, iterations: int = C.PAGERANK
     if not n:
         return ids.select("id", F.lit(0.0).alias("page_rank"))
     small = n <= BROADCAST_ROWS  # a row of two numbers for each vertex
-    folder = f"{shared_dir(ids.sparkSession)}/quillstone-{uuid.uuid4().hex}"
+    folder = fresh_path(ids.sparkSession)
     wave = ids.withColumn("c", F.lit(1.0))
     schema = wave.schema
     for k in range(iterations + 1):

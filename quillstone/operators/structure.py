@@ -213,6 +213,13 @@ def upsert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     return table.join(rows.select(*keys).distinct(), keys, "left_anti").unionByName(rows.select(*table.columns))
 
 
+def document_fingerprint(df: DataFrame) -> DataFrame:
+    """df with fingerprint: the SHA-256 of each row's canonical JSON in which its own fingerprint is empty, whatever df had
+    there."""
+    empty = df.withColumn("fingerprint", F.lit(""))
+    return empty.withColumn("fingerprint", F.sha2(canonical_json(empty), 256))
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
     """One row that identifies a table's rows whatever their order: n_rows, and the SHA-256 of the number and the sum of the
     rows' own digests (the first 60 bits of the SHA-256 of their canonical JSON). Sums combine before the shuffle."""

@@ -328,6 +328,7 @@ ORACLES |= {
 t AS (SELECT DISTINCT query, unnest(string_split_regex(lower(query), '[^a-z0-9_]+')) AS term FROM w), k(term, synonym) AS (VALUES {_synonyms})
 SELECT query, term, max(weight) AS weight FROM (SELECT query, term, 1::DOUBLE AS weight FROM t WHERE length(term) >= 3 UNION ALL SELECT query, synonym, 0.6::DOUBLE FROM t JOIN k USING (term) WHERE length(t.term) >= 3) GROUP BY query, term""",
     "cache_hits": "SELECT doc_id AS path, sha256(coalesce(text, '')) AS content_hash FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 5 <> 0",
+    "document_fingerprint": "SELECT c_custkey, sha256(to_json({'c_custkey': c_custkey, 'c_mktsegment': c_mktsegment, 'c_name': c_name, 'fingerprint': ''})::VARCHAR) AS fingerprint FROM customer",
     "canonical_json": "SELECT c_custkey, to_json({'c_at': {'c_calls': [c_mktsegment, NULL], 'c_nationkey': c_nationkey}, 'c_custkey': c_custkey, 'c_mktsegment': CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END, 'c_name': c_name})::VARCHAR AS json FROM customer",
     "internal_edges": f"WITH f AS (SELECT id, {DIRNAME} AS d FROM {FILES}) SELECT a.d AS component, count(*) AS edge_count FROM {EDGES} e JOIN f a ON a.id = e.src JOIN f b ON b.id = e.dst WHERE a.d = b.d GROUP BY a.d",
 }

@@ -754,6 +754,12 @@ def cache_hits(spark, sf_dir):
     return structure.hits(d, cached).select("path", "content_hash")
 
 
+@query
+def document_fingerprint(spark, sf_dir):
+    """Every customer as a document with a field for its own digest."""
+    return structure.document_fingerprint(table(spark, sf_dir, "customer").select("c_name", "c_custkey", "c_mktsegment")).select("c_custkey", "fingerprint")
+
+
 @query
 def canonical_json(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_name", "c_custkey", F.when(F.col("c_custkey") % 5 != 0, F.col("c_mktsegment")).alias("c_mktsegment"), F.struct("c_nationkey", F.array("c_mktsegment", F.lit(None).cast("string")).alias("c_calls")).alias("c_at"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,10 +41,32 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_scratch: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Within the block keep() writes below one folder, which is deleted at its end; results must have been written elsewhere
+    by then. Without it, what is kept stays until the shared folder is cleaned, since a lazy result may still read it."""
+    folder = f"{shared_dir(spark)}/quillstone-{uuid.uuid4().hex}"
+    _scratch.append(folder)
+    try:
+        yield folder
+    finally:
+        _scratch.remove(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh_path(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{_scratch[-1] if _scratch else shared_dir(spark)}/quillstone-{uuid.uuid4().hex}"
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: any executor may be lost afterwards, and plans stay short."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillstone-{uuid.uuid4().hex}"
+    path = fresh_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

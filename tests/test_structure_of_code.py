@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
 import random
 from collections import deque
 
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import text as T
 from quillstone.operators import cards, graph, parse, search, structure
 from quillstone.sources import files as S
+from quillstone.sources import tables
 from quillstone.sources.index import PostingIndex
 from quillstone.streaming import limits
 
@@ -228,6 +231,21 @@ def test_canonical_json_and_fingerprint(spark):
         spark.createDataFrame([(float("nan"),)], "x double").select(structure.canonical_json(spark.createDataFrame([(1.0,)], "x double"))).collect()
 
 
+def test_fingerprints_of_documents(spark):
+    df = spark.createDataFrame([(1, "é", "x")], "b int, a string, fingerprint string")
+    want = hashlib.sha256('{"a":"é","b":1,"fingerprint":""}'.encode()).hexdigest()
+    assert structure.document_fingerprint(df).first().fingerprint == want == structure.document_fingerprint(df.drop("fingerprint")).first().fingerprint
+
+
+def test_kept_tables_go_with_their_block(spark, tmp_path):
+    with tables.scratch(spark) as folder:
+        kept = tables.keep(spark.range(10))
+        tables.keep(kept.where("id > 3")).write.parquet(str(tmp_path / "out"))
+        assert len(os.listdir(folder.removeprefix("file:"))) == 2
+    assert not os.path.exists(folder.removeprefix("file:")) and spark.read.parquet(str(tmp_path / "out")).count() == 6
+    assert tables.keep(spark.range(3)).count() == 3
+
+
 def test_fallback_of_questions(spark):
     important = spark.createDataFrame([("a", 1), ("b", 2)], "path string, place long")
     hits = spark.createDataFrame([("z", 1)], "path string, place long")
