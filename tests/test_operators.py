@@ -242,7 +242,7 @@ def test_a_long_cycle_settles_in_few_rounds(spark, monkeypatch, step):
     tail = spark.range(n, n + 5).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).union(spark.createDataFrame([(n + 5, 7)], "src long, dst long"))
     parts = G.scc(spark.range(n + 6), cycle.union(tail))
     assert sorted(tuple(r) for r in parts.groupBy("component").count().collect()) == [(0, n), *((n + i, 1) for i in range(6))]
-    assert len(written) < 70
+    assert len(written) < 120  # twice two passes of about 18 rounds each: the tail's ids are larger, so its end is a root first
 
 
 def test_strong_components_of_larger_graphs(spark):
