@@ -41,8 +41,8 @@ def redacted(files: DataFrame, path: str = "path", text: str = "text") -> DataFr
 
 def unstable(files: DataFrame, text: str = "text") -> DataFrame:
     """Rows whose redacted text a second pass would still change; a request with any is to be refused."""
-    once = T.redact(F.col(text))
-    return files.withColumn("__once", once).where(T.redact(F.col("__once")) != F.col("__once")).drop("__once")
+    # the first pass is computed once a row, and a text that it leaves as it is needs no second one
+    return files.where(F.exists(F.array(T.redact(F.col(text))), lambda once: (once != F.col(text)) & (T.redact(once) != once)))
 
 
 def citations(answers: DataFrame, key: str, text: str = "text") -> DataFrame:
