@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import constants as C
 from quillstone.functions import paths as P
 from quillstone.operators.structure import nearest_ancestor
-from quillstone.sources.tables import keep, sized
+from quillstone.sources.tables import join_hot, keep, sized
 
 
 def collapse(path: Column) -> Column:
@@ -102,14 +102,17 @@ def resolve_python(imports: DataFrame, files: DataFrame, roots: list[str]) -> Da
     base = imports.select("import_id", "path", "specifier", dots.alias("dots"), name.alias("name"))
     up = F.array_join(F.slice(P.segments(P.dirname(F.col("path"))), 1, F.greatest(F.size(P.segments(P.dirname(F.col("path")))) - F.col("dots") + 1, F.lit(0))), "/")
     starts = F.when(F.col("dots") > 0, F.array(up)).otherwise(F.array(*(F.lit(r) for r in ordered)))
-    each = base.select("import_id", F.posexplode(starts).alias("tier", "start"), "name")
+    # imports that ask for the same are answered once; what many ask for, as a standard module, fills no task
+    base = keep(base.withColumn("starts", starts).withColumn("asked", F.concat_ws("\0", F.concat_ws("\1", "starts"), "name")))
+    asked = keep(base.groupBy("asked").agg(F.count("*").alias("n"), F.first("starts").alias("starts"), F.first("name").alias("name")))
+    each = asked.select("asked", F.posexplode("starts").alias("tier", "start"), "name")
     whole = F.regexp_replace(F.concat_ws("/", F.nullif("start", F.lit("")), F.nullif("name", F.lit(""))), "/+$", "")
     holder = P.dirname(whole)
     candidates = F.array(F.concat(whole, F.lit(".py")), F.concat(whole, F.lit("/__init__.py")), F.concat(holder, F.lit(".py")), F.concat(holder, F.lit("/__init__.py")), F.concat(whole, F.lit("/")))
-    each = each.select("import_id", "tier", F.posexplode(candidates).alias("pos", "candidate"))
+    each = each.select("asked", "tier", F.posexplode(candidates).alias("pos", "candidate"))
     known = files.select(F.col("path").alias("candidate"), "path").union(files.where(P.ext(F.col("path")) == "py").groupBy(F.concat(P.dirname(F.col("path")), F.lit("/")).alias("candidate")).agg(F.min("path").alias("path")))
-    found = each.join(known, "candidate").groupBy("import_id").agg(F.min_by("path", F.struct("tier", "pos")).alias("to_path"))
+    found = each.join(known, "candidate").groupBy("asked").agg(F.min_by("path", F.struct("tier", "pos")).alias("to_path"))
     top = F.substring_index("specifier", ".", 1)
-    out = base.join(found, "import_id", "left")
+    out = join_hot(base, keep(asked.select("asked", "n").join(found, "asked", "left")), "asked", "n")
     kind = F.when(F.col("to_path").isNotNull(), "edge").when(F.col("dots") > 0, "unresolved").when(top.isin(C.PYTHON_STDLIB), "stdlib").otherwise("external")
     return out.select("import_id", kind.alias("outcome"), "to_path", F.when(F.col("to_path").isNull() & (F.col("dots") == 0), top).alias("package"))
